@@ -35,6 +35,12 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._count = 0
+
+    def next(self) -> int:
+        """Numbers for table names."""
+        self._count += 1
+        return self._count
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
