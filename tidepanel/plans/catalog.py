@@ -55,12 +55,12 @@ def oracle_sql() -> dict[str, str]:
 # ---- cleaning ----------------------------------------------------------------------------------
 
 
-@query("densify", "q AS (SELECT * FROM dense)", "px", "d n asset ord", 4)
+@query("densify", "q AS (SELECT * FROM dense)", "px", "d n asset ord", 8)
 def _(spark, sf):
     return D.densify(D.raw_prices(spark, sf)).select("d", "n", "asset", "ord", "px")
 
 
-@query("bounded_ffill", "q AS (SELECT * FROM px)", "px", "d asset", 4)
+@query("bounded_ffill", "q AS (SELECT * FROM px)", "px", "d asset", 8)
 def _(spark, sf):
     return D.prices(spark, sf).select("d", "asset", "px")
 
@@ -71,13 +71,13 @@ def _(spark, sf):
     return C.normalize_index(rows, "text", "event_id", "event_type").select("d", "event_type", F.col("value").alias("v"))
 
 
-@query("drop_empty_assets", "q AS (SELECT d, asset, px FROM dense WHERE ord <> 2)", "px", "d asset", 4)
+@query("drop_empty_assets", "q AS (SELECT d, asset, px FROM dense WHERE ord <> 2)", "px", "d asset", 8)
 def _(spark, sf):
     p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.when(F.col("ord") != 2, F.col("px")))
     return C.drop_empty_assets(p).select("d", "asset", "px")
 
 
-@query("neutralize_nonpositive", "q AS (SELECT d, asset, CASE WHEN px - 1500 > 0 THEN px - 1500 END AS px FROM dense)", "px", "d asset", 4)
+@query("neutralize_nonpositive", "q AS (SELECT d, asset, CASE WHEN px - 1500 > 0 THEN px - 1500 END AS px FROM dense)", "px", "d asset", 8)
 def _(spark, sf):
     p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.col("px") - 1500)
     return C.neutralize_nonpositive(p).select("d", "asset", "px")
@@ -485,7 +485,7 @@ def _(spark, sf):
 
 
 @query("drawdown_table", _EQ + """, fl AS (SELECT *, dd < 0 AS low, coalesce(lag(dd < 0) OVER (ORDER BY n), false) AS was, lead(d) OVER (ORDER BY n) AS nd FROM dd), il AS (SELECT *, sum(CAST(low AND NOT was AS INTEGER)) OVER (ORDER BY n) AS k FROM fl),
-ep AS (SELECT k, min(d) AS start, arg_min(d, dd) AS trough, arg_max(nd, n) AS recovery, min(dd) AS drawdown, arg_min(n, dd) - min(n) + 1 AS days_to_trough, max(n) - min(n) + CASE WHEN arg_max(nd, n) IS NULL THEN 1 ELSE 2 END AS total_days FROM il WHERE low GROUP BY k),
+ep AS (SELECT k, min(d) AS start, arg_min(d, dd) AS trough, arg_max_null(nd, n) AS recovery, min(dd) AS drawdown, arg_min(n, dd) - min(n) + 1 AS days_to_trough, max(n) - min(n) + CASE WHEN arg_max_null(nd, n) IS NULL THEN 1 ELSE 2 END AS total_days FROM il WHERE low GROUP BY k),
 q AS (SELECT * FROM (SELECT start, trough, recovery, drawdown, CAST(days_to_trough AS BIGINT) AS days_to_trough, CAST(total_days AS BIGINT) AS total_days, row_number() OVER (ORDER BY drawdown, start) AS p FROM ep) WHERE p <= 5)""", "drawdown", "start trough recovery days_to_trough total_days")
 def _(spark, sf):
     return M.drawdown_table(_market(spark, sf)).drop("run_id")
