@@ -9,21 +9,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ASSET = W.partitionBy("asset").orderBy("d")
+def asset_days():
+    """The window of an asset's days."""
+    return W.partitionBy("asset").orderBy("d")
 
 
 def rolling(agg: Callable, x: Column | str, n: int, k: int | None = None) -> Column:
-    w = ASSET.rowsBetween(-(n - 1), 0)
+    w = asset_days().rowsBetween(-(n - 1), 0)
     return F.when(F.count(x).over(w) >= (n if k is None else k), agg(x).over(w))
 
 
 def lagged(x: str, n: int = 1) -> Column:
-    return F.lag(x, n).over(ASSET)
+    return F.lag(x, n).over(asset_days())
 
 
 def with_returns(panel: DataFrame, name: str = "r") -> DataFrame:
     """Returns over the last known price."""
-    padded = panel.withColumn("_p", F.last("px", ignorenulls=True).over(ASSET.rowsBetween(W.unboundedPreceding, 0)))
+    padded = panel.withColumn("_p", F.last("px", ignorenulls=True).over(asset_days().rowsBetween(W.unboundedPreceding, 0)))
     return padded.withColumn(name, F.try_divide("_p", lagged("_p")) - 1).drop("_p")
 
 
@@ -93,4 +95,4 @@ def top_n(score: str, n: int) -> Column:
 def sticky(enter: Column, leave: Column) -> Column:
     """1 from an entry to the next exit; an exit on the same day wins."""
     state = F.when(F.coalesce(leave, F.lit(False)), 0.0).when(F.coalesce(enter, F.lit(False)), 1.0)
-    return F.coalesce(F.last(state, ignorenulls=True).over(ASSET.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
+    return F.coalesce(F.last(state, ignorenulls=True).over(asset_days().rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))

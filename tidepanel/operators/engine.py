@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ASSET = W.partitionBy("run_id", "asset").orderBy("d")
+def _asset_days():
+    return W.partitionBy("run_id", "asset").orderBy("d")
 
 
 @dataclass(frozen=True)
@@ -39,15 +40,15 @@ def legs(panel: DataFrame, targets: DataFrame, events: DataFrame, lag: int, max_
     x = targets.select("run_id", "d", "asset", "w").join(r, ["d", "asset"])
     gross = F.sum(F.abs("w")).over(W.partitionBy("run_id", "d"))
     x = x.withColumn("g", gross).withColumn("w", F.when(F.col("g") > max_leverage, F.col("w") * max_leverage / F.col("g")).otherwise(F.col("w")))
-    x = x.withColumn("t", F.coalesce(F.lag("w", lag).over(ASSET), F.lit(0.0)) if lag else F.col("w"))
+    x = x.withColumn("t", F.coalesce(F.lag("w", lag).over(_asset_days()), F.lit(0.0)) if lag else F.col("w"))
     days = F.broadcast(events.select("d", F.lit(True).alias("ev")).distinct())
     return x.join(days, "d", "left").select("run_id", "d", "n", "asset", "ord", "r", "t", (F.coalesce("ev", F.lit(False)) & (F.col("n") > lag)).alias("ev"))
 
 
 def holdings(x: DataFrame) -> DataFrame:
     """legs with `x` (holding before trade for each unit held after the last event) and `prev` (whether there was one)."""
-    growth = F.product(1 + F.col("r")).over(ASSET.rowsBetween(W.unboundedPreceding, 0))
-    before = ASSET.rowsBetween(W.unboundedPreceding, -1)
+    growth = F.product(1 + F.col("r")).over(_asset_days().rowsBetween(W.unboundedPreceding, 0))
+    before = _asset_days().rowsBetween(W.unboundedPreceding, -1)
     out = x.withColumn("i", growth)
     out = out.withColumn("t0", F.last(F.when(F.col("ev"), F.col("t")), ignorenulls=True).over(before)).withColumn("i0", F.last(F.when(F.col("ev"), F.col("i")), ignorenulls=True).over(before))
     return out.withColumn("x", F.coalesce(F.col("t0") * F.col("i") / F.col("i0"), F.lit(0.0))).withColumn("t0", F.coalesce("t0", F.lit(0.0)))

@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RUN = W.partitionBy("run_id").orderBy("d")
 FLAT = 1e-5
 
 
+def run_days():
+    """The window of a run's days."""
+    return W.partitionBy("run_id").orderBy("d")
+
+
 def equity_curve(rows: DataFrame, initial: float = 1.0) -> DataFrame:
     """nav: compounded returns, a missing one counted as 0."""
-    grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(RUN.rowsBetween(W.unboundedPreceding, 0))
+    grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(run_days().rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("nav", initial * grown)
 
 
 def drawdown(rows: DataFrame) -> DataFrame:
     """dd: nav over its highest so far, less 1."""
-    return rows.withColumn("dd", F.col("nav") / F.max("nav").over(RUN.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    return rows.withColumn("dd", F.col("nav") / F.max("nav").over(run_days().rowsBetween(W.unboundedPreceding, 0)) - 1)
 
 
 def ratio(mean: Column, sd: Column, ppy: int) -> Column:
@@ -48,9 +52,9 @@ def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_
 def drawdown_table(rows: DataFrame, top: int = 5) -> DataFrame:
     """(run_id, start, trough, recovery, drawdown, days_to_trough, total_days): the deepest episodes. An
     episode begins where the value falls below its high and ends where it is back; recovery is null while open."""
-    x = drawdown(rows).withColumn("k", F.row_number().over(RUN)).withColumn("low", F.col("dd") < 0)
-    x = x.withColumn("island", F.sum(F.when(F.col("low") & ~F.coalesce(F.lag("low").over(RUN), F.lit(False)), 1).otherwise(0)).over(RUN))
-    x = x.withColumn("next_d", F.lead("d").over(RUN))
+    x = drawdown(rows).withColumn("k", F.row_number().over(run_days())).withColumn("low", F.col("dd") < 0)
+    x = x.withColumn("island", F.sum(F.when(F.col("low") & ~F.coalesce(F.lag("low").over(run_days()), F.lit(False)), 1).otherwise(0)).over(run_days()))
+    x = x.withColumn("next_d", F.lead("d").over(run_days()))
     e = x.where("low").groupBy("run_id", "island").agg(F.min("d").alias("start"), F.min_by("d", F.struct("dd", "d")).alias("trough"), F.min("dd").alias("drawdown"), F.min("k").alias("k0"), F.min_by("k", F.struct("dd", "d")).alias("k1"), F.max("k").alias("k2"), F.max_by("next_d", "d").alias("recovery"))
     total = F.col("k2") - F.col("k0") + F.when(F.col("recovery").isNotNull(), 2).otherwise(1)
     e = e.withColumn("place", F.row_number().over(W.partitionBy("run_id").orderBy("drawdown", "start"))).where(F.col("place") <= top)
@@ -90,7 +94,7 @@ def monthly_pivot(rows: DataFrame) -> DataFrame:
 
 
 def rolling_sharpe(rows: DataFrame, window: int = 252, ppy: int = 252) -> DataFrame:
-    w = RUN.rowsBetween(-(window - 1), 0)
+    w = run_days().rowsBetween(-(window - 1), 0)
     sd = F.nullif(F.stddev_samp("ret").over(w), F.lit(0.0))
     return rows.withColumn("rolling_sharpe", F.when(F.count("ret").over(w) >= window, F.try_divide(F.avg("ret").over(w), sd) * ppy**0.5))
 

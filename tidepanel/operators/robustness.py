@@ -13,7 +13,7 @@ from . import metrics as M
 
 def fold_stats(rows: DataFrame, folds: int, ppy: int = 252) -> DataFrame:
     """(fold, start, end, cagr, vol, sharpe, mdd) of equal consecutive parts with 30 rows at least."""
-    x = rows.withColumn("fold", F.ntile(max(2, folds)).over(M.RUN).cast("long"))
+    x = rows.withColumn("fold", F.ntile(max(2, folds)).over(M.run_days()).cast("long"))
     grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(W.partitionBy("fold").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
     s = M.statistics(x.withColumn("nav", grown), ppy=ppy, by="fold")
     span = x.groupBy("fold").agg(F.min("d").alias("start"), F.max("d").alias("end"))
@@ -23,7 +23,7 @@ def fold_stats(rows: DataFrame, folds: int, ppy: int = 252) -> DataFrame:
 def in_out_sample(rows: DataFrame, split: float = 0.6, ppy: int = 252) -> DataFrame:
     """(period, start, end, cagr, sharpe, mdd) of the first part and the rest."""
     n = F.count(F.lit(1)).over(W.partitionBy("run_id"))
-    x = rows.withColumn("period", F.when(F.row_number().over(M.RUN) <= F.floor(n * split), "in").otherwise("out"))
+    x = rows.withColumn("period", F.when(F.row_number().over(M.run_days()) <= F.floor(n * split), "in").otherwise("out"))
     grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(W.partitionBy("period").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
     s = M.statistics(x.withColumn("nav", grown), ppy=ppy, by="period")
     span = x.groupBy("period").agg(F.min("d").alias("start"), F.max("d").alias("end"))

@@ -55,14 +55,14 @@ def oracle_sql() -> dict[str, str]:
 # ---- cleaning ----------------------------------------------------------------------------------
 
 
-@query("densify", "q AS (SELECT * FROM dense)", "px", "d n asset ord", 8)
+@query("densify", "q AS (SELECT *, ln(px) AS log_px FROM dense)", "log_px", "d n asset ord")
 def _(spark, sf):
-    return D.densify(D.raw_prices(spark, sf)).select("d", "n", "asset", "ord", "px")
+    return D.densify(D.raw_prices(spark, sf)).select("d", "n", "asset", "ord", F.log("px").alias("log_px"))
 
 
-@query("bounded_ffill", "q AS (SELECT * FROM px)", "px", "d asset", 8)
+@query("bounded_ffill", "q AS (SELECT *, ln(px) AS log_px FROM px)", "log_px", "d asset")
 def _(spark, sf):
-    return D.prices(spark, sf).select("d", "asset", "px")
+    return D.prices(spark, sf).select("d", "asset", F.log("px").alias("log_px"))
 
 
 @query("normalize_index", """q AS (SELECT CAST(ts AS DATE) AS d, event_type, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2)""", "v", "d event_type")
@@ -71,16 +71,16 @@ def _(spark, sf):
     return C.normalize_index(rows, "text", "event_id", "event_type").select("d", "event_type", F.col("value").alias("v"))
 
 
-@query("drop_empty_assets", "q AS (SELECT d, asset, px FROM dense WHERE ord <> 2)", "px", "d asset", 8)
+@query("drop_empty_assets", "q AS (SELECT d, asset, ln(px) AS log_px FROM dense WHERE ord <> 2)", "log_px", "d asset")
 def _(spark, sf):
     p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.when(F.col("ord") != 2, F.col("px")))
-    return C.drop_empty_assets(p).select("d", "asset", "px")
+    return C.drop_empty_assets(p).select("d", "asset", F.log("px").alias("log_px"))
 
 
-@query("neutralize_nonpositive", "q AS (SELECT d, asset, CASE WHEN px - 1500 > 0 THEN px - 1500 END AS px FROM dense)", "px", "d asset", 8)
+@query("neutralize_nonpositive", "q AS (SELECT d, asset, CASE WHEN px - 1500 > 0 THEN ln(px - 1500) END AS log_px FROM dense)", "log_px", "d asset")
 def _(spark, sf):
     p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.col("px") - 1500)
-    return C.neutralize_nonpositive(p).select("d", "asset", "px")
+    return C.neutralize_nonpositive(p).select("d", "asset", F.log("px").alias("log_px"))
 
 
 _REPORT = """rep AS (SELECT asset, min(d) FILTER (px IS NOT NULL) AS first_d, max(d) FILTER (px IS NOT NULL) AS last_d, count(px) AS observations, max(n) FILTER (px IS NOT NULL) - min(n) FILTER (px IS NOT NULL) + 1 AS span FROM dense GROUP BY asset)"""
