@@ -22,7 +22,7 @@ from .common import read
 from .texts import arrow_batches, batch_of
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title|head)\b(?:.*?</\1\s*>|.*)"
+    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title)\b(?:.*?</\1\s*>|.*)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -69,8 +69,6 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, str]]:
         at = m.end()
         name = m[3]
         if name is None:
-            if m[1] and m[1].lower() == "head" and "</head" not in m[0][-12:].lower():
-                at = m.start() + 5  # a head that never ends hides nothing
             continue
         name, closing = name.lower(), bool(m[2])
         if name in INLINE:

@@ -201,7 +201,8 @@ def restore(chunks: DataFrame, recipes: DataFrame, width: int) -> DataFrame:
     def joined(streams):
         return streams.map(lambda xs: np.frombuffer(b"".join(bytes(x) for x in xs), kind).astype(np.int32))
 
-    rows = recipes.select("doc_id", "part", "root", F.monotonically_increasing_id().alias("row"), F.posexplode("chunks").alias("k", "digest"))
+    # a recipe is numbered before it is spread out
+    rows = recipes.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "part", "root", "row", F.posexplode("chunks").alias("k", "digest"))
     whole = rows.join(chunks.select("digest", "ids"), "digest").groupBy("row", "doc_id", "part", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("streams"))
     return whole.select("doc_id", "part", "root", joined("streams").alias("ids"))
 
