@@ -129,6 +129,7 @@ PAGES = (
     f"<body><table><tr><td><a href=1>First</a></td><td><a href=2>Second link</a></td></tr></table><h1>KEEP</h1><p>KEEP {_LONG}</p><p>KEEP {_LONG}</p><p><a href=r>Read more of this</a></p><p><a href=r>Next page of it</a> <a href=s>Last</a></p></body>",
     f"<body><div>Menu</div>{_MENU}<p>KEEP {_LONG}</p><p>KEEP short one</p><p>KEEP {_LONG} {_LONG}</p><div>KEEP {_LONG} {_LONG}</div><div>Contact</div><div><a href=t>Terms of use</a> | <a href=u>Imprint</a></div></body>",
     f"<body><article><header><h1>KEEP</h1></header><p>KEEP {_LONG}</p><div class=share>Share this page with friends</div><p>KEEP {_LONG}</p><aside><p>{_LONG} {_LONG}</p></aside><table><tr><td>KEEP 1</td><td>KEEP 2</td></tr></table></article><div class=cookie-notice>We use cookies {_LONG} {_LONG}</div></body>",
+    f"<body><p>Welcome to it</p><article><h1>KEEP</h1><p>KEEP {_LONG}</p><p>KEEP end.</p></article>{_MENU}<article><h2>KEEP two</h2><p>KEEP yes.</p></article><div>{_MENU}</div></body>",
 )
 
 
