@@ -1,0 +1 @@
+"""Nothing here yet: the panel work is batch work."""
