@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .texts import LOWER, SPACE, batch_of, map_texts
+from .texts import LOWER, SPACE, batch_of, map_texts, model
 
 #: Fragments that a task keeps, and the bytes of the longest.
 MEMO, MEMO_BYTES = 500_000, 48
@@ -137,15 +137,9 @@ class _Memo(dict):
         return out
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """Loaded once in each worker process."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return model(("encoder", path), lambda: Encoder(path))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -191,6 +185,21 @@ def with_decoded(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return df.select(key, "ids").mapInArrow(run, f"{key} {_kind(df, key)}, n_tokens long, ids array<int>, decoded string")
 
 
+def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, decoded) of every row: encode and with_decoded in one worker, so that a
+    task holds one vocabulary and ids don't cross to a second Python process."""
+
+    def work(keys, data, off, null):
+        enc = encoder(path)
+        ids = [np.frombuffer(x, enc.kind) for x in enc.encode(data, off)]
+        sizes = [len(x) for x in ids]
+        flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+        yield batch_of(**{key: keys, "n_tokens": pa.array(sizes, pa.int64()), "ids": lists, "decoded": pa.array([enc.decode(x.tolist()) for x in ids], pa.string())})
+
+    return map_texts(df, f"{key} {_kind(df, key)}, n_tokens long, ids array<int>, decoded string", work, (key, text))
+
+
 def _kind(df: DataFrame, key: str) -> str:
     return dict(df.dtypes)[key]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,6 +56,25 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_MODEL: dict = {}
+
+
+def model(key, make: Callable):
+    """The model of this worker process, made once. Workers outlive a stage: another key takes its place."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
+def release() -> None:
+    """At the end of a task: hands freed memory back, as the worker waits for the next one with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, is null) of a string or binary column, without a copy; a null is an empty text."""
     a = batch.column(batch.schema.get_field_index(name))
@@ -107,6 +127,7 @@ def map_texts(df: DataFrame, schema: str, work: Callable, columns: tuple[str, ..
             for lo, hi in slices(off):
                 o = off[lo : hi + 1]
                 yield from work(keys[lo:hi], data[o[0] : o[-1]], o - o[0], null[lo:hi])
+        release()
 
     return df.select(key, text).mapInArrow(run, schema)
 
