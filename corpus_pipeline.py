@@ -76,9 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every document."""
-    path = bpe.vocabulary()
-    ids = bpe.encode(docs, path)
-    return bpe.with_decoded(ids, path)
+    return bpe.round_trip(docs, bpe.vocabulary())
 
 
 STAGES = [("quality", quality_stage), ("minhash", minhash_stage), ("suffix", suffix_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
