@@ -40,9 +40,11 @@ def test_bpe(spark, texts):
     t = Tokenizer.from_file(bpe.vocabulary())
     got = {r.doc_id: r for r in bpe.digests(table(spark, texts), bpe.vocabulary()).collect()}
     ids = {r.doc_id: r.ids for r in bpe.encode(table(spark, texts), bpe.vocabulary()).collect()}
+    both = {r.doc_id: r for r in bpe.round_trip(table(spark, texts), bpe.vocabulary()).collect()}
     for i, x in enumerate(texts):
         e = t.encode(x or "", add_special_tokens=False).ids
         assert ids[i] == e and got[i].n_tokens == len(e), x
+        assert (both[i].n_tokens, both[i].ids, both[i].decoded) == (len(e), e, t.decode(e, skip_special_tokens=False)), x
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(e, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digests(table(spark, ["a"]).limit(0), bpe.vocabulary()).count() == 0
