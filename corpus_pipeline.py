@@ -26,7 +26,8 @@ MIX = mixing.Mix(share=0.9, max_epochs=1)
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.filter_quality(docs, bpe.vocabulary("piece_bpe_32k.model"))
+    path = bpe.vocabulary("piece_bpe_32k.model")
+    return quality.filter_quality(docs, path, quality.learn(docs, read(spark, sf_dir, "labels"), path))
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

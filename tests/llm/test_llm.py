@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe, embeddings, html_text, lang_id, mixing, near_dup, quality, repeats, store, url_filter
 from tidepanel.llm.common import Workspace
@@ -89,6 +90,22 @@ def test_quality(spark, texts):
     assert {r.doc_id for r in kept.collect()} == {i for i in got if got[i].kept} and kept.columns == table(spark, ["a"]).columns
 
 
+def test_quality_bands(spark):
+    """Bands from half of the labels, held against the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    path = bpe.vocabulary("piece_bpe_32k.model")
+    bands = quality.learn(docs, labels.where("xxhash64(doc_id, 1) % 2 = 0"), path)
+    assert set(bands) == {(k, "latin") for k in (None, "en", "de", "fr", "es")}
+    held = labels.where("xxhash64(doc_id, 1) % 2 <> 0").join(docs, "doc_id")
+    share = {}
+    for name, df in (("lang", held), ("script", held.drop("lang"))):
+        rows = quality.score(df, path, bands).where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("gone"))
+        share[name] = {r.quality: r.gone for r in rows.collect()}
+    # two bounds, each of which may cost QUANTILE, and as much again for chance
+    assert share["lang"][0] > 0.7 and share["lang"][1] < 4 * quality.QUANTILE
+    assert share["script"][0] > 0 and share["script"][1] < 4 * quality.QUANTILE
+
+
 def _components(n, links):
     low = list(range(n))
     for _ in range(n):
