@@ -10,6 +10,7 @@ from tidepanel.functions import rolling as R
 from tidepanel.operators import align as A
 from tidepanel.operators import clean as C
 from tidepanel.operators import engine as E
+from tidepanel.operators import robustness as B
 from tidepanel.operators import strategies as S
 from tidepanel.plans import catalog as K
 from tidepanel.sources import market as D
@@ -85,6 +86,26 @@ def test_empty_panel(spark):
     assert E.closed_form(E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1), 0.0).count() == 0
 
 
+@pytest.mark.parametrize("name", ["mc_bootstrap_bands", "mc_bootstrap_stats"])
+def test_bootstrap_oracle(spark, name):
+    test_oracle(spark, name)
+
+
+def test_bootstrap_spread(spark):
+    """Final values spread as those of numpy's draws do; those of the arithmetic rule don't."""
+    rows = K._market(spark, SF)
+    r = np.array([x.ret for x in rows.orderBy("d").collect()])
+    n, rng = len(r), np.random.default_rng(42)
+    want = np.array([np.log1p(np.concatenate([r[a : a + 21] for a in rng.integers(0, n - 21, -(-n // 21))])[:n]).sum() for _ in range(2000)])
+    got = np.log([x.v for x in B.bootstrap(rows).where(F.col("step") == n - 1).collect()])
+    assert len(got) == 500 and abs(got.std() / want.std() - 1) < 0.15
+    for p in (5, 50, 95):
+        assert abs(np.percentile(got, p) - np.percentile(want, p)) < 0.3 * want.std()
+    assert B.bootstrap(rows.limit(62)).count() == 0 and B.mc_summary(B.bootstrap(rows.limit(62))).count() == 0
+    gaps = rows.limit(80).withColumn("ret", F.when(F.month("d") > 1, F.col("ret")))
+    assert B.bootstrap(gaps, sims=2).groupBy("sim").count().where(F.col("count") != gaps.where("ret IS NOT NULL").count()).count() == 0
+
+
 def test_parse_weights():
     assert S.parse_weights("XIC.TO:0.6, zag.to : 0.4; Q:x") == {"XIC.TO": 0.6, "ZAG.TO": 0.4}
 

@@ -40,9 +40,14 @@ def param_grid(spark: SparkSession, grid: dict[str, list], max_runs: int = 400)
 
 
 def block_starts(spark: SparkSession, n: int, sims: int, block: int, seed: int | None = None) -> DataFrame:
-    """(sim, k, at): where each block of each path begins; by an arithmetic rule without a seed."""
+    """(sim, k, at): where each block of each path begins: drawn for each (sim, k) by a hash with a seed;
+    without one by an arithmetic rule, whose paths lie far too close together for bands or probabilities."""
     blocks = math.ceil(n / block)
-    rule = F.pmod(F.col("sim") * 7919 + F.col("k") * 104729 + (seed or 0), F.lit(n - block))
+    if seed is None:
+        rule = F.pmod(F.col("sim") * 7919 + F.col("k") * 104729, F.lit(n - block))
+    else:
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "sim", "k").cast("binary")), 1, 15), 16, 10).cast("long")
+        rule = F.pmod(drawn, F.lit(max(1, n - block)))
     return spark.range(sims).withColumnRenamed("id", "sim").select("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("k")).withColumn("at", rule)
 
 
@@ -54,6 +59,27 @@ def mc_paths(rows: DataFrame, starts: DataFrame, n: int, block: int) -> DataFram
     return steps.join(F.broadcast(r), "at").select("sim", "step", F.product(1 + F.col("ret")).over(path).alias("v"))
 
 
+def bootstrap(rows: DataFrame, sims: int = 500, block: int = 21, seed: int = 42) -> DataFrame:
+    """mc_paths over drawn blocks of the returns that aren't null; no rows below three blocks of them."""
+    rows = rows.where("ret IS NOT NULL")
+    n = rows.count()
+    return mc_paths(rows, block_starts(rows.sparkSession, n, sims if n >= 3 * block else 0, block, seed), n, block)
+
+
+def mc_summary(paths: DataFrame, ppy: int = 252) -> DataFrame:
+    """(percentile, cagr, mdd, sharpe, prob_loss, prob_dd_20, median_cagr): a row for each percentile over
+    the paths; the last three are the same in all."""
+    w = W.partitionBy("sim").orderBy("step")
+    x = paths.withColumn("dd", F.col("v") / F.max("v").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).withColumn("r", F.try_divide("v", F.coalesce(F.lag("v").over(w), F.lit(1.0))) - 1)
+    s = x.groupBy("sim").agg(F.max_by("v", "step").alias("f"), F.min("dd").alias("mdd"), M.ratio(F.avg("r"), F.stddev_samp("r"), ppy).alias("sharpe"), F.count(F.lit(1)).alias("n"))
+    s = s.withColumn("cagr", F.pow("f", F.lit(float(ppy)) / F.col("n")) - 1)
+    cuts = (5, 25, 50, 75, 95)
+    at = ", ".join(str(p / 100) for p in cuts)
+    one = s.agg(*[F.expr(f"percentile({c}, array({at}))").alias(c) for c in ("cagr", "mdd", "sharpe")], F.avg((F.col("f") < 1).cast("double")).alias("prob_loss"), F.avg((F.col("mdd") < -0.2).cast("double")).alias("prob_dd_20"), F.expr("percentile(cagr, 0.5)").alias("median_cagr"))
+    z = F.arrays_zip(F.array(*[F.lit(f"{p}th") for p in cuts]).alias("percentile"), "cagr", "mdd", "sharpe")
+    return one.where("median_cagr IS NOT NULL").select(F.inline(z), "prob_loss", "prob_dd_20", "median_cagr")
+
+
 def mc_bands(paths: DataFrame) -> DataFrame:
     return paths.groupBy("step").agg(*[F.expr(f"percentile(v, {p / 100})").alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
 

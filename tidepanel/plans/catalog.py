@@ -583,6 +583,30 @@ def _(spark, sf):
     return B.mc_stats(_paths(spark, sf))
 
 
+_BOOT = """rt AS (SELECT n - 1 AS at, r, count(*) OVER () AS nn FROM bret), st AS (SELECT s.range AS sim, k.range AS k, CAST('0x' || substr(md5(concat_ws('-', 42, s.range, k.range)), 1, 15) AS BIGINT) % ((SELECT max(nn) FROM rt) - 21) AS at0 FROM range(500) s, range((SELECT CAST(ceil(max(nn) / 21.0) AS BIGINT) FROM rt)) k),
+mp AS (SELECT sim, k * 21 + j.range AS step, product(1 + r) OVER (PARTITION BY sim ORDER BY k * 21 + j.range ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM st CROSS JOIN range(21) j JOIN rt ON rt.at = at0 + j.range WHERE k * 21 + j.range < nn)"""
+
+
+@query("mc_bootstrap_paths", _BOOT + ", q AS (SELECT * FROM mp)", "v", "sim step", 5)
+def _(spark, sf):
+    return B.bootstrap(_market(spark, sf))
+
+
+@query("mc_bootstrap_bands", _BOOT + ", q AS (SELECT step, " + ", ".join(f"quantile_cont(v, {p / 100}) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM mp GROUP BY step)", "p5 p25 p50 p75 p95", "step", 5)
+def _(spark, sf):
+    return B.mc_bands(B.bootstrap(_market(spark, sf)))
+
+
+_BOOTS = """md AS (SELECT *, v / max(v) OVER (PARTITION BY sim ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd, v / lag(v, 1, 1.0) OVER (PARTITION BY sim ORDER BY step) - 1 AS r FROM mp),
+fs AS (SELECT sim, arg_max(v, step) AS f, pow(arg_max(v, step), 252.0 / count(*)) - 1 AS cagr, min(dd) AS mdd, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM md GROUP BY sim)"""
+_BOOTQ = " UNION ALL ".join(f"SELECT '{p}th' AS percentile, quantile_cont(cagr, {p / 100}) AS cagr, quantile_cont(mdd, {p / 100}) AS mdd, quantile_cont(sharpe, {p / 100}) AS sharpe, avg(CAST(f < 1 AS DOUBLE)) AS prob_loss, avg(CAST(mdd < -0.2 AS DOUBLE)) AS prob_dd_20, quantile_cont(cagr, 0.5) AS median_cagr FROM fs" for p in (5, 25, 50, 75, 95))
+
+
+@query("mc_bootstrap_stats", f"{_BOOT}, {_BOOTS}, q AS ({_BOOTQ})", "cagr mdd sharpe prob_loss prob_dd_20 median_cagr", "percentile", 5)
+def _(spark, sf):
+    return B.mc_summary(B.bootstrap(_market(spark, sf)))
+
+
 @query("norm_ppf")
 def _(spark, sf):
     return spark.range(1, 1000).select((F.col("id") / 1000).alias("p"), B.norm_ppf(F.col("id") / 1000).alias("z"))
