@@ -49,6 +49,40 @@ def test_closed_form_equals_kernel(spark):
     assert np.allclose(a.exposure + a.cash_w, 1)
 
 
+@pytest.mark.parametrize("kind", ["proxy", "rate", "short proxy"])
+def test_cash_earns(spark, kind):
+    """Both simulators against the reference's recursion, half invested, with a proxy that has gaps or a rate."""
+    rng = np.random.default_rng(3)
+    v = 100 * np.cumprod(1 + rng.normal(0, 0.02, (90, 2)), axis=0)
+    p = _panel(spark, {"a": v[:, 0].tolist(), "b": v[:, 1].tolist()})
+    px = [None, None, *(50 * np.cumprod(1 + rng.normal(0.001, 0.003, 88))).tolist()]
+    px[40:45] = [None] * 5
+    if kind == "short proxy":
+        px[3:] = [None] * 87
+    proxy = _panel(spark, {"c": px}).select("d", "px") if kind != "rate" else None
+    if kind == "proxy":
+        rc = pd.Series(px, dtype=float).ffill().pct_change(fill_method=None).fillna(0).to_numpy()
+    else:
+        rc = np.full(90, 0.05 / 252)
+    t = S.get("buy_hold").generate(p).withColumn("run_id", F.lit("x")).withColumn("w", F.col("w") * 0.5)
+    events = A.rebalance_calendar(p, "weekly")
+    x = E.legs(p, t, events, 1, cash=E.cash_returns(p, proxy, 0.05))
+    at = {r.d for r in events.collect()}
+    w, c, nav, want, left = np.zeros(2), 1.0, 1.0, [], []
+    for i, d in enumerate(pd.date_range("2020-01-01", periods=90).date):
+        if i:
+            w, c = w * v[i] / v[i - 1], c * (1 + rc[i])
+            base = w.sum() + c
+            nav, w, c = nav * base, w / base, c / base
+            if d in at:
+                nav *= 1 - np.abs(0.25 - w).sum() * 0.003
+                w, c = np.full(2, 0.25), 0.5
+        want.append(nav)
+        left.append(c)
+    a, b = E.closed_form(x, 0.003).orderBy("d").toPandas(), E.kernel(x, 0.003).orderBy("d").toPandas()
+    assert np.allclose(a.nav, want, atol=1e-12) and np.allclose(b.nav, want, atol=1e-12) and np.allclose(a.cash_w, left, atol=1e-12)
+
+
 def test_no_look_ahead(spark):
     rng = np.random.default_rng(1)
     v = (100 * np.cumprod(1 + rng.normal(0, 0.02, 60))).tolist()

@@ -2,8 +2,9 @@
 
 closed_form says it in windows: between two rebalances a holding is its target times the growth of its
 price, so value, drift and turnover of every day follow from the last event before it, and the value over
-all events is a product. Exact without a dead band, borrowing or open execution. kernel walks the days of
-one run at a time for those; runs are spread over the cluster.
+all events is a product. What is uninvested is one more leg that grows by the cash return. Exact without a
+dead band, borrowing or open execution. kernel walks the days of one run at a time for those; runs are
+spread over the cluster.
 """
 
 from __future__ import annotations
@@ -33,34 +34,56 @@ def _returns(panel: DataFrame) -> DataFrame:
     return panel.withColumn("r", F.coalesce(F.try_divide("px", F.lag("px").over(W.partitionBy("asset").orderBy("d"))) - 1, F.lit(0.0)))
 
 
-def legs(panel: DataFrame, targets: DataFrame, events: DataFrame, lag: int, max_leverage: float = 1.0) -> DataFrame:
-    """(run_id, d, n, asset, ord, r, t, ev): returns, lagged and capped targets, and the days of trade.
-    targets: run_id, d, asset, w. events: d."""
+def cash_returns(days: DataFrame, proxy: DataFrame | None = None, rate: float = 0.0, ppy: int = 252) -> DataFrame:
+    """(d, rc): what cash earns each day, 0 on the first: the filled returns of a proxy (d, px) that has two
+    prices at least, else a yearly rate over ppy. days: d."""
+    days, w = days.select("d").distinct(), W.orderBy("d")
+    if proxy is not None and len(proxy.where("px IS NOT NULL AND NOT isnan(px)").take(2)) == 2:
+        px = F.when(~F.isnan("px"), F.col("px"))
+        filled = days.join(proxy.select("d", px.alias("px")), "d", "left").withColumn("px", F.last("px", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+        return filled.select("d", F.coalesce(F.try_divide("px", F.lag("px").over(w)) - 1, F.lit(0.0)).alias("rc"))
+    return days.select("d", F.when(F.row_number().over(w) > 1, F.lit(rate / ppy)).otherwise(0.0).alias("rc"))
+
+
+def legs(panel: DataFrame, targets: DataFrame, events: DataFrame, lag: int, max_leverage: float = 1.0, cash: DataFrame | None = None) -> DataFrame:
+    """(run_id, d, n, asset, ord, r, t, ev, rc): returns, lagged and capped targets, the days of trade, and
+    the return of cash. targets: run_id, d, asset, w. events: d. cash: d, rc; without it cash earns nothing."""
     r = _returns(panel).select("d", "n", "asset", "ord", "r")
     x = targets.select("run_id", "d", "asset", "w").join(r, ["d", "asset"])
     gross = F.sum(F.abs("w")).over(W.partitionBy("run_id", "d"))
     x = x.withColumn("g", gross).withColumn("w", F.when(F.col("g") > max_leverage, F.col("w") * max_leverage / F.col("g")).otherwise(F.col("w")))
     x = x.withColumn("t", F.coalesce(F.lag("w", lag).over(_asset_days()), F.lit(0.0)) if lag else F.col("w"))
     days = F.broadcast(events.select("d", F.lit(True).alias("ev")).distinct())
-    return x.join(days, "d", "left").select("run_id", "d", "n", "asset", "ord", "r", "t", (F.coalesce("ev", F.lit(False)) & (F.col("n") > lag)).alias("ev"))
+    x = x.join(F.broadcast(cash.select("d", "rc")), "d", "left") if cash is not None else x.withColumn("rc", F.lit(0.0))
+    return x.join(days, "d", "left").select("run_id", "d", "n", "asset", "ord", "r", "t", (F.coalesce("ev", F.lit(False)) & (F.col("n") > lag)).alias("ev"), F.coalesce("rc", F.lit(0.0)).alias("rc"))
 
 
 def holdings(x: DataFrame) -> DataFrame:
-    """legs with `x` (holding before trade for each unit held after the last event) and `prev` (whether there was one)."""
+    """legs with `x` (holding before trade for each unit held after the last event), `t0` (that holding then)
+    and `gc` (growth of cash since)."""
     growth = F.product(1 + F.col("r")).over(_asset_days().rowsBetween(W.unboundedPreceding, 0))
     before = _asset_days().rowsBetween(W.unboundedPreceding, -1)
     out = x.withColumn("i", growth)
     out = out.withColumn("t0", F.last(F.when(F.col("ev"), F.col("t")), ignorenulls=True).over(before)).withColumn("i0", F.last(F.when(F.col("ev"), F.col("i")), ignorenulls=True).over(before))
+    out = out.withColumn("c", F.product(1 + F.col("rc")).over(_asset_days().rowsBetween(W.unboundedPreceding, 0)))
+    out = out.withColumn("gc", F.col("c") / F.coalesce(F.last(F.when(F.col("ev"), F.col("c")), ignorenulls=True).over(before), F.lit(1.0)))
     return out.withColumn("x", F.coalesce(F.col("t0") * F.col("i") / F.col("i0"), F.lit(0.0))).withColumn("t0", F.coalesce("t0", F.lit(0.0)))
 
 
+def _worth(h: DataFrame) -> DataFrame:
+    """holdings with `v`, the value before trade for each unit after the last event: assets and cash."""
+    day = W.partitionBy("run_id", "d")
+    cash = (1 - F.sum("t0").over(day)) * (F.max("gc").over(day) - 1)
+    return h.withColumn("v", 1 + F.sum(F.col("x") - F.col("t0")).over(day) + cash)
+
+
 def closed_form(x: DataFrame, rate: float | str, capital: float = 1.0) -> DataFrame:
     """(run_id, d, n, nav, ret, turnover, cost, exposure, cash_w) of legs. rate: the cost of a unit of
     turnover, or the name of a column that has it."""
     h = holdings(x)
     fee = F.col(rate) if isinstance(rate, str) else F.lit(rate)
     # one pass over assets: value first, then turnover needs it, so both come from sums by day
-    day = h.withColumn("v", 1 + F.sum(F.col("x") - F.col("t0")).over(W.partitionBy("run_id", "d")))
+    day = _worth(h)
     held = F.when(F.col("ev"), F.col("t")).otherwise(F.col("x") / F.col("v"))
     day = day.groupBy("run_id", "d", "n", "ev", "v", fee.alias("fee") if not isinstance(rate, str) else F.col(rate).alias("fee")).agg(F.sum(F.abs(F.col("t") - F.col("x") / F.col("v"))).alias("moved"), F.sum(F.abs(held)).alias("exposure"), (1 - F.sum(held)).alias("cash_w"))
     day = day.withColumn("turnover", F.when(F.col("ev"), F.col("moved")).otherwise(0.0)).withColumn("cost", F.col("turnover") * F.col("fee"))
@@ -73,13 +96,13 @@ def closed_form(x: DataFrame, rate: float | str, capital: float = 1.0) -> DataFr
 
 def weights_after(x: DataFrame) -> DataFrame:
     """(run_id, d, asset, w): weights at the end of each day."""
-    h = holdings(x).withColumn("v", 1 + F.sum(F.col("x") - F.col("t0")).over(W.partitionBy("run_id", "d")))
+    h = _worth(holdings(x))
     return h.select("run_id", "d", "asset", F.when(F.col("ev"), F.col("t")).otherwise(F.col("x") / F.col("v")).alias("w"))
 
 
 def trades(x: DataFrame) -> DataFrame:
     """(run_id, d, asset, weight_before, weight_after, change) of every trade."""
-    h = holdings(x).withColumn("v", 1 + F.sum(F.col("x") - F.col("t0")).over(W.partitionBy("run_id", "d")))
+    h = _worth(holdings(x))
     out = h.where("ev").select("run_id", "d", "asset", (F.col("x") / F.col("v")).alias("weight_before"), F.col("t").alias("weight_after"))
     return out.withColumn("change", F.col("weight_after") - F.col("weight_before")).where("change <> 0")
 
@@ -95,15 +118,16 @@ def kernel(x: DataFrame, rate: float, min_trade: float = 0.0, max_leverage: floa
         pdf = pdf.sort_values(["d", "ord"])
         days = pdf["d"].drop_duplicates().to_numpy()
         k = len(pdf) // max(1, len(days))
-        r, t, ev = (pdf[c].to_numpy().reshape(len(days), k) for c in ("r", "t", "ev"))
+        r, t, ev, rc = (pdf[c].to_numpy().reshape(len(days), k) for c in ("r", "t", "ev", "rc"))
         w, cash, v, out = np.zeros(k), 1.0, capital, []
         for i in range(len(days)):
             if i:
                 owed = borrow / ppy * max(0.0, np.abs(w).sum() - 1)
                 w = w * (1 + r[i])
-                base = w.sum() + cash - owed
+                cash = cash * (1 + rc[i, 0]) - owed
+                base = w.sum() + cash
                 v *= base
-                w, cash = (w / base, (cash - owed) / base) if base > 0 else (w, cash - owed)
+                w, cash = (w / base, cash / base) if base > 0 else (w, cash)
             moved = 0.0
             if ev[i].any():
                 d = t[i] - w

@@ -401,6 +401,23 @@ def _(spark, sf):
     return E.kernel(_run(spark, sf), E.Costs().rate, min_trade=0.005).select("d", "nav", "turnover")
 
 
+def _half(spark, sf, lag: int = 1) -> DataFrame:
+    """Half in the assets, half in cash that follows the benchmark as its proxy."""
+    p = D.prices(spark, sf)
+    t = S.get("buy_hold").generate(p).withColumn("run_id", F.lit("run")).withColumn("w", F.col("w") * 0.5)
+    return E.legs(p, t, A.rebalance_calendar(p, "monthly"), lag, cash=E.cash_returns(p, D.benchmark(spark, sf)))
+
+
+@query("bt_cash_proxy")
+def _(spark, sf):
+    return E.closed_form(_half(spark, sf), E.Costs().rate).select("d", "nav", "ret", "turnover", "cost", "exposure", "cash_w")
+
+
+@query("bt_cash_proxy_general")
+def _(spark, sf):
+    return E.kernel(_half(spark, sf), E.Costs().rate, min_trade=0.005).select("d", "nav", "turnover")
+
+
 @query("bt_turnover_costs", _walk("0") + "), q AS (SELECT sum(tr) AS turnover, sum(tr * 0.003) AS cost, count(*) FILTER (tr > 0) AS rebalances FROM sim)", "turnover cost", "rebalances")
 def _(spark, sf):
     r = E.closed_form(_run(spark, sf), E.Costs().rate)
