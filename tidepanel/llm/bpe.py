@@ -99,11 +99,14 @@ class Encoder:
         self.memo = _Memo(self)
 
     def direct(self, fragment: bytes) -> bytes:
-        text = fragment.decode("utf-8", "replace")
-        if self.words and _LETTERS.fullmatch(text):  # one word already: only the merges are left
-            ids = [t.id for t in self.model.tokenize(fragment.decode("latin-1").translate(self.shown))]
+        if self.words and fragment.islower() and fragment.isalpha():  # ASCII letters stand for themselves
+            ids = [t.id for t in self.model.tokenize(fragment.decode("ascii"))]
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            text = fragment.decode("utf-8", "replace")
+            if self.words and _LETTERS.fullmatch(text):  # one word already: only the merges are left
+                ids = [t.id for t in self.model.tokenize(fragment.decode("latin-1").translate(self.shown))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[bytes]:

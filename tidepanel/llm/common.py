@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_OPEN: list[Workspace] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all is one machine."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_to:
         return set_to.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidepanel-")
@@ -36,6 +39,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        _OPEN.append(self)
 
     def next(self) -> int:
         """Numbers for table names."""
@@ -49,10 +53,28 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Deletes every table. A result that still reads them must be stored before."""
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Workspaces opened inside are deleted at the end."""
+    mark = len(_OPEN)
+    try:
+        yield
+    finally:
+        for ws in _OPEN[mark:]:
+            ws.close()
+        del _OPEN[mark:]
 
 
 @contextlib.contextmanager
@@ -71,6 +93,36 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """(row long, doc struct of all columns), written once: a number that holds for all later steps."""
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    return ws.table(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("doc")), "rows")
+
+
+def fields(doc: str, names: list[str]) -> list[Column]:
+    """The columns of a struct, each under its own name whatever it is."""
+    return [F.col(doc).getField(c).alias(c) for c in names]
+
+
+# ---- joins with hot keys ----------------------------------------------------------------------
+
+#: Rows that a key may bring to one task whatever the table's size, and the keys over their share, at most.
+KEY_ROWS, HOT_KEYS = 1000, 2000
+
+
+def split_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner", count: str = "n") -> DataFrame:
+    """rows joined with keys (one row a key; `count`: how many of rows it has). Keys with more than KEY_ROWS
+    and 1 / HOT_KEYS of the rows can't be over HOT_KEYS: these are broadcast and their rows stay where
+    they are; all others are joined by a shuffle. rows and keys should be tables, as they are read twice."""
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = keys.where(F.col(count) > max(KEY_ROWS, total // HOT_KEYS))
+    if not hot.take(1):
+        return rows.join(keys, on, how)
+    cold = keys.where(F.col(count) <= max(KEY_ROWS, total // HOT_KEYS))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on, how).unionByName(rest.join(cold, on, how))
+
+
 # ---- 64-bit keys in numpy -------------------------------------------------------------------
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -91,19 +143,21 @@ def components(ws: Workspace, edges: DataFrame, tag: str, max_rounds: int = 40)
     """(a long, b long) edges -> (id long, component long): the smallest id reachable, for every id
     of an edge. Alternates large-star and small-star steps (Kiveris et al. 2014) until the edge set
     stands still; every step is a table, so nothing is collected and lineage stays short.
-    Self-loops and repeated edges are ignored; no edges give no rows."""
+    Self-loops and repeated edges are ignored; no edges give no rows. Rounds grow with the logarithm of a
+    component's size; should max_rounds not do, it raises and no result is returned."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen = ws.table(now, f"{tag}-0"), None
     for k in range(1, max_rounds):
         # large star: every larger neighbour of v is linked with the least neighbour of v
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = ws.table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("m", "a").alias("m"), "n"), f"{tag}-l{k}")
+        large = split_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = ws.table(large, f"{tag}-m{k}")
         # small star: v and its smaller neighbours are linked with the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = ws.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), f"{tag}-s{k}")
+        small = split_join(large, least, ["a"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = ws.table(small, f"{tag}-{k}")
-        ws.drop(f"{tag}-{k - 1}")
+        ws.drop(f"{tag}-{k - 1}", f"{tag}-l{k}", f"{tag}-m{k}", f"{tag}-s{k}")
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == seen:
             break

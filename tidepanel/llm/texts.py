@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A 64-bit value for each byte.
 BYTE_KEY = mix(np.arange(1, 257, dtype=np.uint64))
+#: Words whose hash a task keeps, and the bytes of the longest.
+KNOWN, KNOWN_BYTES = 300_000, 48
 _BASE = 0x5851F42D4C957F2D
 _POWERS: list[np.ndarray] = []
 
@@ -38,21 +41,64 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def prefix_hash(data: np.ndarray, keys: np.ndarray = BYTE_KEY) -> np.ndarray:
-    """Sums of keys[byte] * base^place before every place; span_hash compares spans by them."""
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Sums of a key of each byte * base^place before every place: the hash of a span is a difference of two
+    of them. Different spans can be made to collide: for finding candidates only."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(keys[data] * powers(len(data))[0], out=out[1:])
+    np.cumsum(BYTE_KEY[data] * powers(len(data))[0], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span; equal spans have equal hashes."""
-    back = powers(len(prefix))[1]
-    return mix((prefix[end] - prefix[start]) * back[start] + mix((end - start).astype(np.uint64)))
+def joined(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The binary array of consecutive spans of data with these sizes."""
+    off = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def codes(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each span's content, contents): equal numbers, equal bytes. Numbers hold for this call."""
+    d = joined(data, sizes).dictionary_encode()
+    return d.indices.to_numpy().astype(np.int64), d.dictionary
+
+
+class _Known(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        out = hashlib.blake2b(word, digest_size=8).digest()
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = out
+        return out
+
+
+_HASH = _Known()
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit cryptographic hash of each word that word_spans found; one call a different word."""
+    which, words = codes(data[~SPACE[data]], end - start)
+    return np.frombuffer(b"".join(map(_HASH.__getitem__, words.to_numpy(zero_copy_only=False))), np.uint64)[which]
+
+
+def twins(keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows equal another row in all keys. Sorted by a hash; rows that only share it are told apart."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for x in keys:
+        h = mix(h + x.astype(np.uint64))
+    order = np.argsort(h, kind="stable")
+    alike = h[order][1:] == h[order][:-1]
+    same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in keys])
+    if (alike & ~same).any():
+        order = np.lexsort(keys)
+        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in keys])
+    hit = np.zeros(len(h), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return hit
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes besides rows."""
+    """Bounds Arrow batches by bytes besides rows. The setting stays: plans run later than they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
