@@ -1,9 +1,13 @@
-"""Main text of web pages: flat text blocks, judged by a small decision tree.
+"""Main text of web pages: flat text blocks, judged by a decision tree.
 
-A page is read once, left to right, into text blocks (a block tag ends one). Each block has its word
-count and link density, those of its neighbours, its tag, and whether it lies in an article or in a
-container whose tag or class names a menu, footer, advert and so on. A decision tree, grown here on the
-blocks of a few labelled pages (PAGES), keeps or drops every block.
+A page is read once, left to right, in time that grows with its length: `<` ends an unfinished tag, and an end
+tag that never comes hides nothing but what a browser hides too (script, style, comments). A block tag ends a
+text block. Each block has its word count and link density and those of its neighbours, its tag, whether it
+ends as a sentence does, and where it stands: in an article, after one, in a menu, footer, aside or form, in a
+container with a name that tells, or under a heading that does. A decision tree keeps or drops it. It is grown
+here on a small labelled table: the blocks of PAGES pages laid out by chance (`layout`), with and without
+containers, with telling and with empty names, with adverts, notices, link lists and comments in and around
+the article. So no single mark decides: without an article container word counts and link densities do.
 
 Null or empty html, or no kept block: the empty text. Unclosed and cut-off markup is read as far as it
 goes. Extra columns are ignored; repeated rows give repeated rows; an empty table gives an empty result.
@@ -11,7 +15,9 @@ goes. Extra columns are ignored; repeated rows give repeated rows; an empty tabl
 
 from __future__ import annotations
 
+import functools
 import html as _html
+import random
 import re
 
 import numpy as np
@@ -21,144 +27,263 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .texts import arrow_batches, batch_of
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title)\b(?:.*?</\1\s*>|.*)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[<>\"']")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: What these hold is no text. Without an end tag, script and style hide the rest, the others only their tag.
+RAW = frozenset("script style noscript template svg iframe object select textarea title".split())
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("article main section div nav header footer aside form ul ol dl table td th tr blockquote figure fieldset menu dialog body".split())
-BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset button".split())
+#: Tag -> the kind of place it opens.
+PLACE = {"nav": "nav", "menu": "nav", "header": "nav", "footer": "foot", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "dialog": "form"}
 #: Parts of a class or id that name what isn't the article.
 BAD_NAMES = frozenset("nav navbar navigation menu footer foot sidebar side ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal share sharing social comment comments disqus reply replies breadcrumb breadcrumbs related recommended widget newsletter subscribe pagination pager copyright masthead toolbar login signup".split())
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
+#: Headings that begin what isn't the article, in the languages of the corpus.
+LABELS = frozenset("comments comment replies discussion related kommentare kommentar commentaires commentaire comentarios comentario réactions antworten".split())
 TAGS = ("p", "h", "li", "td", "pre", "other")
-
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_bad", "is_p", "is_h", "is_li", "is_td", "is_pre")
-
-
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, str]]:
-    """(text, words, linked words, in article, in a bad container, tag) of each block with text."""
+PLACES = ("article", "nav", "foot", "aside", "form", "bad", "hidden")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "sentence", "after_article", "page_has_article", "labelled", *(f"in_{x}" for x in PLACES), *(f"is_{x}" for x in TAGS[:5]))
+
+
+def tokens(page: str):
+    """(text, None, False, "") and ("", tag, closing, attributes) in page order, comments and RAW left out."""
+    at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}  # no quote closes beyond it
+    endless: set[str] = set()  # RAW tags that no end tag follows any more
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            yield page[at:], None, False, ""
+            return
+        if i > at:
+            yield page[at:i], None, False, ""
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        if page[i + 1 : i + 2] in ("!", "?"):
+            end = page.find(">", i)
+            if end < 0:
+                return
+            at = end + 1
+            continue
+        m = _NAME.match(page, i + 1)
+        if not m:
+            yield "<", None, False, ""
+            at = i + 1
+            continue
+        p, begin = m.end(), m.end()
+        while True:
+            stop = _STOP.search(page, p)
+            if stop is None or stop[0] in "<>":
+                break
+            p = stop.end()
+            if page[p - 2] in "= \t\n":  # a quote that opens a value
+                p = page.find(stop[0], p) + 1 if p <= last[stop[0]] else p
+        end = n if stop is None else stop.start()
+        at = end + 1 if stop is not None and stop[0] == ">" else end
+        name, closing, attributes = m[2].lower(), bool(m[1]), page[begin:end]
+        if name in RAW:
+            if closing or attributes.endswith("/") and name in ("svg", "iframe", "object"):
+                continue
+            found = None if name in endless else _ENDS[name].search(page, at)
+            if found:
+                at = found.end()
+            elif name in ("script", "style"):
+                return
+            else:
+                endless.add(name)
+            continue
+        yield "", name, closing, attributes
+
+
+def places(name: str, attributes: str, inside: frozenset) -> frozenset:
+    """What a container adds to where its blocks stand."""
+    names, hidden = set(), False
+    for a in _ATTR.finditer(attributes):
+        key, value = a[1].lower(), (a[2] or "").lower()
+        if key in ("class", "id", "role"):
+            names.update(_SPLIT.split(value))
+        elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "") or key == "aria-hidden" and "true" in value:
+            hidden = True
+    out = set(inside)
+    if hidden:
+        out.add("hidden")
+    if name in PLACE and not (name == "header" and "article" in inside):
+        out.add(PLACE[name])
+    if names & BAD_NAMES and name not in ("article", "main", "body"):
+        out.add("bad")
+    elif name in ("article", "main") or names & GOOD_NAMES and name != "body":
+        out.add("article")
+    return frozenset(out)
+
+
+def blocks(page: str) -> list[tuple]:
+    """(text, words, linked words, places, tag, after an article, under a telling heading) of each block."""
     out: list = []
-    stack: list[tuple[str, int, int]] = []  # container, inside article, inside bad
-    good = bad = 0
-    parts: list[str] = []
-    linked: list[str] = []
-    in_a = False
-    tag, at = "other", 0
+    stack: list[tuple[str, frozenset, bool]] = []
+    inside, parts, linked = frozenset(), [], []
+    in_a, tag, after, label = False, "other", False, False
 
     def end() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, label
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append((text, text.count(" ") + 1, len(_html.unescape(" ".join(linked)).split()), good > 0, bad > 0, tag))
+                words = text.count(" ") + 1
+                if tag == "h":
+                    label = words <= 4 and not LABELS.isdisjoint(_SPLIT.sub(" ", text.lower()).split() + text.lower().split())
+                out.append((text, words, len(_html.unescape(" ".join(linked)).split()), inside, tag, after, label))
             parts, linked = [], []
 
-    def add(text: str) -> None:
-        parts.append(text)
-        if in_a:
-            linked.append(text)
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m[3]
+    for text, name, closing, attributes in tokens(page):
         if name is None:
-            continue
-        name, closing = name.lower(), bool(m[2])
-        if name in INLINE:
+            parts.append(text)
+            if in_a:
+                linked.append(text)
+        elif name in INLINE:
             if name == "a":
                 in_a = not closing
             elif name == "br":
                 parts.append(" ")
-            continue
-        end()
-        if closing:
-            in_a = False
-            tag = "other"
-            for k in range(len(stack) - 1, -1, -1):
+        elif closing:
+            end()
+            in_a, tag = False, "other"
+            for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
                 if stack[k][0] == name:
-                    good, bad = stack[k][1:]
+                    after = after or "article" in inside and "article" not in stack[k][1]
+                    label = stack[k][2]
+                    inside = stack[k][1]
                     del stack[k:]
                     break
-            continue
-        in_a = False
-        tag = "h" if re.fullmatch(r"h[1-6]", name) else "li" if name in ("li", "dt", "dd") else "td" if name in ("td", "th") else name if name in TAGS else "other"
-        if name in CONTAINER or name in BAD_TAGS:
-            stack.append((name, good, bad))
-            names, hidden = set(), False
-            for a in _ATTR.finditer(m[4] or ""):
-                key, value = a[1].lower(), (a[2] or "").lower()
-                if key in ("class", "id", "role"):
-                    names.update(_SPLIT.split(value))
-                elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "") or key == "aria-hidden" and "true" in value:
-                    hidden = True
-            if name in BAD_TAGS or hidden or name == "header" and not good or names & BAD_NAMES and name not in ("article", "main", "body"):
-                bad += 1
-            elif name in ("article", "main") or names & GOOD_NAMES:
-                good += 1
-    if at < len(page):
-        add(page[at:])
+        else:
+            end()
+            in_a = False
+            tag = "h" if len(name) == 2 and name[0] == "h" and name[1] in "123456" else "li" if name in ("li", "dt", "dd") else "td" if name in ("td", "th") else name if name in TAGS else "other"
+            if name in CONTAINER or name in PLACE:
+                stack.append((name, inside, label))
+                inside = places(name, attributes, inside)
+                if name in ("article", "main"):
+                    label = False
     end()
     return out
 
 
 def features(found: list) -> np.ndarray:
-    n = len(found)
+    if not found:
+        return np.zeros((0, len(FEATURES)))
     words = np.array([b[1] for b in found], float)
-    density = np.array([b[2] / b[1] for b in found], float)
-    pad = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k else np.concatenate([x[1:], [0.0]])
-    flags = [np.array([b[3] for b in found], float), np.array([b[4] for b in found], float), *(np.array([b[5] == t for b in found], float) for t in TAGS[:5])]
-    return np.stack([words, density, pad(words, 1), pad(density, 1), pad(words, 0), pad(density, 0), *flags], axis=1) if n else np.zeros((0, len(FEATURES)))
+    density = np.array([min(1.0, b[2] / b[1]) for b in found])
+    before = lambda x: np.concatenate([[0.0], x[:-1]])
+    next_ = lambda x: np.concatenate([x[1:], [0.0]])
+    has = float(any("article" in b[3] for b in found))
+    flags = [[b[0][-1] in ".!?…。:;\"”»" for b in found], [b[5] for b in found], [has] * len(found), [b[6] for b in found]]
+    flags += [[x in b[3] for b in found] for x in PLACES] + [[b[4] == t for b in found] for t in TAGS[:5]]
+    return np.stack([words, density, before(words), before(density), next_(words), next_(density), *(np.array(f, float) for f in flags)], axis=1)
 
 
 # ---- the labelled table -----------------------------------------------------------------------
 
-_LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
-_MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>World news</a></li><li><a href=/c>Sport</a></li></ul>"
-#: Small pages; a block whose text holds KEEP is article, the others are not.
-PAGES = (
-    f"<body><nav>{_MENU}</nav><div class=ad>Buy our fine new car today.</div><article><h1>KEEP title</h1><p>KEEP {_LONG}</p><p>KEEP.</p><p>KEEP {_LONG} <a href=x>seven</a> {_LONG}</p></article><footer>&copy; the site - all rights kept here {_LONG}</footer></body>",
-    f"<body><header><div>The Site</div>{_MENU}</header><main><h1>KEEP</h1><p>KEEP a b</p><p>KEEP {_LONG}</p><h2>KEEP more</h2><ul><li>KEEP first point of it</li><li>KEEP <a href=q>second point</a></li></ul></main><aside><h3>Related</h3><p>{_LONG} {_LONG} {_LONG}</p>{_MENU}</aside><footer><p>{_LONG} {_LONG}</p></footer></body>",
-    f"<body><div id=menu>{_MENU}</div><div class=content><h2>KEEP head</h2><p>KEEP {_LONG} {_LONG}</p><blockquote>KEEP {_LONG}</blockquote><pre>KEEP code here</pre></div><div class=comments><h3>Comments</h3><p>{_LONG} {_LONG} {_LONG} {_LONG}</p><p>I agree.</p></div><form><p>Your name and mail please</p></form></body>",
-    f"<body><table><tr><td><a href=1>First</a></td><td><a href=2>Second link</a></td></tr></table><h1>KEEP</h1><p>KEEP {_LONG}</p><p>KEEP {_LONG}</p><p><a href=r>Read more of this</a></p><p><a href=r>Next page of it</a> <a href=s>Last</a></p></body>",
-    f"<body><div>Menu</div>{_MENU}<p>KEEP {_LONG}</p><p>KEEP short one</p><p>KEEP {_LONG} {_LONG}</p><div>KEEP {_LONG} {_LONG}</div><div>Contact</div><div><a href=t>Terms of use</a> | <a href=u>Imprint</a></div></body>",
-    f"<body><article><header><h1>KEEP</h1></header><p>KEEP {_LONG}</p><div class=share>Share this page with friends</div><p>KEEP {_LONG}</p><aside><p>{_LONG} {_LONG}</p></aside><table><tr><td>KEEP 1</td><td>KEEP 2</td></tr></table></article><div class=cookie-notice>We use cookies {_LONG} {_LONG}</div></body>",
-    f"<body><p>Welcome to it</p><article><h1>KEEP</h1><p>KEEP {_LONG}</p><p>KEEP end.</p></article>{_MENU}<article><h2>KEEP two</h2><p>KEEP yes.</p></article><div>{_MENU}</div></body>",
-)
-
-
-def labelled() -> tuple[np.ndarray, np.ndarray]:
-    xs, ys = [], []
-    for page in PAGES:
-        found = blocks(page)
+#: Pages of the table and the seed of their layout.
+PAGES, SEED = 900, 11
+KEEP = "keep"
+
+
+def layout(rng: random.Random) -> str:
+    """A page; a block is article if its text begins with KEEP."""
+    pick, chance = rng.choice, lambda p: rng.random() < p
+    words = lambda a, b: " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(a, b)))
+    said = lambda a, b: words(a, b) + pick(["."] * 5 + ["?", "!"])
+    link = lambda a, b: f"<a href=/x>{words(a, b)}</a>"
+    box = lambda names, inner: f"<div class='{pick(names)}'>{inner}</div>"
+    plain = ["row", "c1", "x", "wrap"]
+    links = lambda: pick(["<ul>{}</ul>", "<div>{}</div>", "<p>{}</p>"]).format(pick(["<li>{}</li>"] * 3 + ["{} | "]).format("</li><li>".join(link(1, 4) for _ in range(rng.randint(2, 7)))))
+    held = chance(0.6)
+
+    def para() -> str:
+        kind = rng.random()
+        if kind < 0.55:
+            inner = f"{KEEP} {said(1, 70)}"
+            if chance(0.2):
+                inner += f" {link(1, 4)} {said(2, 30)}"
+            return pick([f"<p>{inner}</p>"] * 4 + [f"<div>{inner}</div>", f"<p>{inner}"])
+        if kind < 0.65:
+            return f"<p>{KEEP}{pick(['', '.', words(0, 3)])}</p>" if held else f"<p>{KEEP} {said(8, 20)}</p>"
+        if kind < 0.75:
+            return f"<h{rng.randint(2, 4)}>{KEEP} {words(1, 7)}</h2>"
+        if kind < 0.85:
+            return "<ul>" + "".join(f"<li>{KEEP} {words(2, 15)} {link(1, 3) if held and chance(0.3) else said(1, 9)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>"
+        if kind < 0.9:
+            return f"<blockquote>{KEEP} {said(5, 40)}</blockquote>"
+        if kind < 0.95:
+            return f"<pre>{KEEP} {words(2, 20)}</pre>" if held else f"<p>{KEEP} {said(20, 60)}</p>"
+        return f"<table><tr><td>{KEEP} {words(1, 5)}</td><td>{KEEP} {words(1, 5)}</td></tr></table>" if held else f"<p>{KEEP} {said(12, 50)}</p>"
+
+    def between() -> str:
+        return pick([
+            box(["ad", "advert box", "sponsored"], said(3, 25)), box(["share", "social-bar"], words(1, 6)), box(["related", "promo"], f"<h3>{words(1, 3)}</h3>{links()}"),
+            f"<aside><p>{said(5, 40)}</p></aside>", f"<form><p>{words(2, 12)}</p><button>{words(1, 2)}</button></form>", box(["newsletter", "cookie-notice", "alert"], f"<p>{said(4, 30)}</p>"),
+            f"<div style='display:none'>{said(3, 30)}</div>", links(),
+        ])
+
+    def comments() -> str:
+        inner = "".join(pick(["<p>{}</p>", "<li>{}</li>", "<div>{}</div>"]).format(said(2, 60)) for _ in range(rng.randint(1, 5)))
+        label = f"<h3>{pick(sorted(LABELS))}</h3>"
+        return pick([box(["comments", "comment-list", "replies"], label * chance(0.5) + inner), f"<section id=comments>{inner}</section>", box(plain, label + inner)])
+
+    inner = f"<h1>{KEEP} {words(1, 9)}</h1>" if chance(0.65) else ""
+    for _ in range(rng.randint(1, 9)):
+        inner += para() + (between() if chance(0.2) else "")
+    if not held:  # nothing but its paragraphs tells such an article
+        inner += f"<p>{KEEP} {said(15, 60)}</p>"
+    if held and chance(0.2):
+        inner += comments()
+    shell = pick(["<article>{}</article>"] * 3 + ["<main>{}</main>", "<div class=content>{}</div>", "<div id=post-12>{}</div>", "<section class='entry body'>{}</section>", "<main><article>{}</article></main>"]) if held else pick(["{}", "<div class=x>{}</div>", "<table><tr><td>{}</td></tr></table>", "<section>{}</section>"])
+    top = pick([f"<nav>{links()}</nav>", f"<header><div>{words(1, 4)}</div>{links()}</header>", f"<div id=menu>{links()}</div>", links(), f"<header><h1>{words(1, 3)}</h1></header><nav>{links()}</nav>"])
+    top = top if chance(0.75) else ""
+    top += (box(["banner ad", "notice", "cookie-consent"], said(3, 25)) if chance(0.4) else "") + (f"<p>{said(1, 40)}</p>" if held and chance(0.35) else "")
+    foot = (comments() if chance(0.4) else "") + (pick([f"<aside><h3>{words(1, 3)}</h3><p>{said(10, 60)}</p></aside>", box(["sidebar", "side widget"], f"<p>{said(5, 50)}</p>{links()}"), box(plain, links())]) if chance(0.6) else "")
+    if held and chance(0.4):
+        foot += box(plain, f"<p>{said(2, 60)}</p>")
+    if held and chance(0.25):
+        foot += pick(["", links()]) + shell.format(f"<h2>{KEEP} {words(1, 6)}</h2>" + para())
+    foot += "" if chance(0.2) else pick([f"<footer>{said(3, 40)}</footer>", f"<div id=footer>{words(2, 20)} {link(1, 3)}</div>", f"<div>{link(1, 2)} | {link(1, 2)} {words(0, 2)}</div>", f"<footer><p>{said(5, 30)}</p>{links()}</footer>"])
+    return f"<html><body>{top}{shell.format(inner)}{foot}</body></html>"
+
+
+def labelled(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    rng, xs, ys = random.Random(seed), [], []
+    for _ in range(pages):
+        found = blocks(layout(rng))
         xs.append(features(found))
-        ys.append([("KEEP" in b[0]) for b in found])
+        ys.append([b[0].startswith(KEEP) for b in found])
     return np.concatenate(xs), np.concatenate([np.array(y, float) for y in ys])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 20, least: int = 4):
     """A binary tree by Gini impurity: a share of kept blocks, or (feature, limit, below, above)."""
-    if depth == 0 or len(set(y.tolist())) < 2:
-        return float(y.mean())
-    best = (y.var() - 1e-9, None)
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for limit in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] < limit
-            loss = (y[low].var() * low.sum() + y[~low].var() * (~low).sum()) / len(y)
-            if loss < best[0]:
-                best = (loss, (f, limit))
+    n, best = len(y), (y.var() * len(y) - 1e-9, None)
+    if depth and n >= 2 * least and best[0] > 0:
+        k = np.arange(1, n)
+        for f in range(x.shape[1]):
+            order = np.argsort(x[:, f], kind="stable")
+            v, s = x[order, f], np.cumsum(y[order])
+            low, high = s[:-1], s[-1] - s[:-1]
+            loss = low - low * low / k + high - high * high / (n - k)
+            loss[(v[1:] == v[:-1]) | (k < least) | (n - k < least)] = np.inf
+            i = int(loss.argmin())
+            if loss[i] < best[0]:
+                best = (loss[i], (f, float(v[i] + v[i + 1]) / 2))
     if best[1] is None:
         return float(y.mean())
     f, limit = best[1]
     low = x[:, f] < limit
-    return (f, float(limit), grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return (f, limit, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
 
 
 def judge(tree, x: np.ndarray) -> np.ndarray:
@@ -171,17 +296,21 @@ def judge(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def grown():
+    """The tree on the labelled table."""
+    return grow(*labelled())
+
+
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
-    if not found:
-        return ""
     return "\n".join(b[0] for b, ok in zip(found, judge(tree, features(found)), strict=True) if ok)
 
 
 def extract(df: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of page_id, url, html."""
     arrow_batches(df.sparkSession)
-    tree = grow(*labelled())
+    tree = grown()
 
     def run(batches):
         for batch in batches:
