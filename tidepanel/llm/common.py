@@ -114,11 +114,11 @@ def split_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inne
     """rows joined with keys (one row a key; `count`: how many of rows it has). Keys with more than KEY_ROWS
     and 1 / HOT_KEYS of the rows can't be over HOT_KEYS: these are broadcast and their rows stay where
     they are; all others are joined by a shuffle. rows and keys should be tables, as they are read twice."""
-    total = keys.agg(F.sum(count)).first()[0] or 0
-    hot = keys.where(F.col(count) > max(KEY_ROWS, total // HOT_KEYS))
-    if not hot.take(1):
+    total, most = keys.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    limit = max(KEY_ROWS, total // HOT_KEYS)
+    if most <= limit:
         return rows.join(keys, on, how)
-    cold = keys.where(F.col(count) <= max(KEY_ROWS, total // HOT_KEYS))
+    hot, cold = keys.where(F.col(count) > limit), keys.where(F.col(count) <= limit)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on, how).unionByName(rest.join(cold, on, how))
 
@@ -150,13 +150,16 @@ def components(ws: Workspace, edges: DataFrame, tag: str, max_rounds: int = 40)
     for k in range(1, max_rounds):
         # large star: every larger neighbour of v is linked with the least neighbour of v
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ws.table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("m", "a").alias("m"), "n"), f"{tag}-l{k}")
-        large = split_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = ws.table(large, f"{tag}-m{k}")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("m", "a").alias("m"), "n")
+        hubs = (least.agg(F.max("n")).first()[0] or 0) > KEY_ROWS  # then joins are split, and their sides tables
+        least = ws.table(least, f"{tag}-l{k}") if hubs else least
+        large = (split_join(both, least, ["a"]) if hubs else both.join(least, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = ws.table(large, f"{tag}-m{k}") if hubs else large
         # small star: v and its smaller neighbours are linked with the least of them
-        least = ws.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), f"{tag}-s{k}")
-        small = split_join(large, least, ["a"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = ws.table(small, f"{tag}-{k}")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = ws.table(least, f"{tag}-s{k}") if hubs else least
+        small = split_join(large, least, ["a"]) if hubs else large.join(least, "a")
+        now = ws.table(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), f"{tag}-{k}")
         ws.drop(f"{tag}-{k - 1}", f"{tag}-l{k}", f"{tag}-m{k}", f"{tag}-s{k}")
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == seen:

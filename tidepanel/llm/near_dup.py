@@ -100,18 +100,19 @@ def collision(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, width: int) -> DataFrame:
-    """(row, n_shingles, key of the whole set, registers) of (row, text)."""
+    """(key as given, n_shingles, content: a key of the whole set, registers) of (key, text)."""
 
     def work(keys, data, off, null):
         sets = shingle_sets(data, off, width)
         yield batch_of(
-            row=keys,
+            key=keys,
             n_shingles=pa.array([len(x) for x in sets], pa.int64()),
-            key=pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+            content=pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
             registers=pa.array([x.tobytes() for x in registers(sets)], pa.binary()),
         )
 
-    return map_texts(texts, "row long, n_shingles long, key binary, registers binary", work, ("row", "text"))
+    kind = texts.schema["key"].dataType.simpleString()
+    return map_texts(texts, f"key {kind}, n_shingles long, content binary, registers binary", work, ("key", "text"))
 
 
 def band_buckets(reps: DataFrame) -> DataFrame:
@@ -261,9 +262,8 @@ def groups(ws: Workspace, rows: DataFrame, width: int, percent: int) -> DataFram
     """(row, doc_id, n_shingles, component_id, stays) of a numbered table whose doc has doc_id and text.
     stays: one row of each group, that of its smallest doc_id; rows without one come last."""
     texts = rows.select("row", F.col("doc.text").alias("text"))
-    sig = ws.table(signatures(texts, width), "signatures")
-    sig = ws.table(sig.join(rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id")), "row"), "sets-of")
-    ws.drop("signatures")
+    keyed = rows.select(F.struct("row", F.col("doc.doc_id").cast("long").alias("doc_id")).alias("key"), F.col("doc.text").alias("text"))
+    sig = ws.table(signatures(keyed, width).select("key.row", "key.doc_id", "n_shingles", F.col("content").alias("key"), "registers"), "signatures")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     reps = sig.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("row", "n_shingles", "registers")).alias("m"), F.min(best).alias("best"), F.count("*").alias("copies"))
     classes = ws.table(reps.select("key", F.col("m.row").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.registers").alias("registers"), "best", "copies"), "classes")
