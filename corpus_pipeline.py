@@ -3,18 +3,18 @@
 run(spark, sf_dir) applies STAGES to documents. Each stage writes what it needs to the shared folder
 (see tidepanel.llm.common) and returns a DataFrame; run() writes the result of each as a table there too,
 so a lost executor costs the tasks since the last table.
+
+docs may have any further columns, under any names; they are kept as they are. An empty table passes through
+all stages. What a stage does with nulls, equal rows and texts of any length is said there.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe, mixing, near_dup, quality, repeats
-from tidepanel.llm.common import Workspace, read
-from tidepanel.llm.texts import arrow_batches, column
+from tidepanel.llm.common import Workspace, read, scratch
 
 #: Passages of over 50 words are longer than this many bytes; shorter repeats stay.
 REPEAT_BYTES = 200
@@ -31,43 +31,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id."""
-    ws = Workspace(spark, "pipeline-minhash")
-    found = near_dup.near_duplicates(ws, docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    gone = ws.table(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    few = gone.count() <= near_dup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates stays: that of the least id, rows without an id last. Rows
+    without words (null and empty texts too) are in no group and stay; equal rows are a group."""
+    return near_dup.without_near_duplicates(Workspace(spark, "pipeline-minhash"), docs, SHINGLE, PERCENT)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand anywhere else too are cut out of every text; whole characters only."""
-    ws = Workspace(spark, "pipeline-repeats")
-    runs = repeats.repeated_windows(ws, docs, REPEAT_BYTES)
-    spans = ws.table(repeats.removed_spans(runs, REPEAT_BYTES), "spans")
-    side = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    both = docs.join(side, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*docs.columns, "_spans")
-    schema = docs.schema
-    names = schema.names
-
-    def run(batches):
-        for batch in batches:
-            data, off, _ = column(batch, "text")
-            texts = batch.column(names.index("text")).to_pylist()
-            for i, spans_ in enumerate(batch.column(len(names)).to_pylist()):
-                if spans_:
-                    x = data[off[i] : off[i + 1]]
-                    gone = repeats.covered(len(x), spans_, REPEAT_BYTES)
-                    char = ((x & 0xC0) != 0x80).cumsum() - 1  # a character goes if all its bytes do
-                    keep = np.bincount(char, ~gone)[char] > 0 if len(x) else gone
-                    texts[i] = x[keep].tobytes().decode("utf-8", "replace")
-            out = [pa.array(texts, batch.column(k).type) if n == "text" else batch.column(k) for k, n in enumerate(names)]
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                out[k] = pa.array([None if t is None else len(t) for t in texts], batch.column(k).type)
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    arrow_batches(spark)
-    return both.mapInArrow(run, schema)
+    """Passages that stand anywhere else too are cut out of every text; whole characters only. n_chars, if
+    there is one, follows. Null or empty texts stay; equal rows lose what they share, in all of them."""
+    out = repeats.without_repeats(Workspace(spark, "pipeline-repeats"), docs, REPEAT_BYTES)
+    if "n_chars" not in docs.columns:
+        return out
+    n = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[n.alias(c) if c == "n_chars" else out[f"`{c}`"] for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage wrote for itself is deleted when its result is stored, and that with the next one's."""
     ws = Workspace(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = ws.table(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = ws.table(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

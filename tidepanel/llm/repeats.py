@@ -5,21 +5,21 @@ Wanted: every place where a string of LENGTH bytes starts that also starts elsew
 1. Each window of LENGTH bytes is put in the bucket of its least k-gram hash (its anchor). Equal
    windows have the same anchor at the same offset, so only windows of one bucket can be equal. The
    windows of a text that share one anchor are a block.
-2. A bucket with one block is done: nothing in it repeats. Blocks that are equal as a whole are done
-   too: all their windows repeat. What is left are the buckets with different blocks, of which one
-   block of each content is kept: their suffixes are sorted.
-3. Suffixes are sorted one batch of buckets at a time. Texts lie aligned by anchor. The suffixes at the
-   positions of a difference cover (mod COVER) are ranked first, by doubling; a suffix is then placed
-   by its bucket and offset, its first bytes, and, where these tie, by the ranks of the cover positions
-   that follow it, so no comparison reads on through a long common string. Neighbours that agree to
-   LENGTH bytes are repeats.
-
-A bucket of more than HOT different blocks is dealt by a 128-bit name of each whole window instead, which
-Spark pre-aggregates and splits. Strings are compared by bytes in step 3, by 128 bits of hash in step 2.
-
-doc_id identifies a document. Null or empty text: nothing repeats, nothing removed. Repeated rows of one
-doc_id are texts of their own only if their ids differ. Extra columns are ignored; an empty table gives an
-empty result.
+2. A bucket with one block is done: nothing in it repeats. Blocks that are equal as a whole (by a 128-bit
+   cryptographic hash) are done too: all their windows repeat. What is left are the buckets with different
+   blocks, of which one block of each content is kept: their suffixes are sorted.
+3. A bucket is dealt in chunks of about CHUNK blocks, most in one. Suffixes are sorted one batch of chunks
+   at a time, and of a batch so many offsets from the anchor at a time as give SORT suffixes. Texts lie aligned by anchor. The suffixes at the positions of a difference cover (mod COVER)
+   are ranked first, by doubling; a suffix is then placed by its chunk and offset, its first bytes, and,
+   where these tie, by the ranks of the cover positions that follow it, so no comparison reads on through
+   a long common string. Neighbours that agree to LENGTH bytes are repeats.
+4. Chunks of one bucket are merged by one window of each content that is left in them, under a 128-bit name.
+
+Anchors and contents that bring many rows are split (see split_join), so no task takes a bucket whole.
+
+Rows are numbered once, in a table that all later steps read: rows that repeat a doc_id, or have none, are
+texts of their own, and repeat each other where they are equal. Null or empty text: nothing repeats, nothing
+removed. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,22 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, parts, read
-from .texts import BATCH_BYTES, arrow_batches, batch_of, column, map_texts, powers, prefix_hash, span_hash
+from .common import Workspace, mix, numbered, parts, read, split_join
+from .texts import arrow_batches, batch_of, column, map_texts, powers, prefix_hash
 
 #: A perfect difference set: every residue mod COVER is a difference of two of its members.
 COVER, MEMBERS = 31, (1, 5, 11, 24, 25, 27)
-HOT = 20_000
-#: Suffixes that a task sorts at once.
-SORT = 400_000
+#: Blocks of a chunk, on average (a bucket's blocks are dealt by a hash), and suffixes that a task sorts at
+#: once. They bound a task's memory; results don't depend on them.
+CHUNK, SORT = 8192, 200_000
 
 #: The bits of a place in a text (under 2 GiB).
 _PLACE = np.uint64((1 << 31) - 1)
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor place, anchor hash, block hash) of each block: the windows that
-    start at start..start+windows-1 and have the k-gram at anchor place as their least."""
+    """(text, start, windows, anchor place, anchor hash) of each block: the windows that start at
+    start..start+windows-1 and have the k-gram at anchor place as their least."""
     prefix = prefix_hash(data)
     out: list[tuple] = []
     if len(data) >= length:
@@ -66,20 +66,24 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.
             at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
             count = np.diff(np.append(at, len(least)))
             place = (_PLACE - (least[at] & _PLACE)).astype(np.int64)
-            out.append((np.full(len(at), i), at, count, place, g[place], span_hash(prefix, a + at, a + at + count - 1 + length)))
+            out.append((np.full(len(at), i), at, count, place, g[place]))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def blocks_of(df: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, block, doc_id, start, n, anchor) of every block of every text."""
+def blocks_of(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """(h, b1, b2, row, start, n, anchor) of every block of every text; (b1, b2) is a hash of its bytes."""
 
     def work(keys, data, off, null):
-        text, start, n, place, h, whole = anchors(data, off, length, k)
-        yield batch_of(h=h.view(np.int64), block=whole.view(np.int64), doc_id=keys.cast(pa.int64()).take(pa.array(text)), start=pa.array(start.astype(np.int32)), n=pa.array(n.astype(np.int32)), anchor=pa.array(place.astype(np.int32)))
+        text, start, n, place, h = anchors(data, off, length, k)
+        raw, low = memoryview(np.ascontiguousarray(data)), off[text] + start
+        names = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), (low + n - 1 + length).tolist(), strict=True)]
+        b = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+        whole = [pa.array(np.ascontiguousarray(b[:, i])) for i in (0, 1)]
+        yield batch_of(h=h.view(np.int64), b1=whole[0], b2=whole[1], row=keys.take(pa.array(text)), start=pa.array(start.astype(np.int32)), n=pa.array(n.astype(np.int32)), anchor=pa.array(place.astype(np.int32)))
 
-    return map_texts(df, "h long, block long, doc_id long, start int, n int, anchor int", work)
+    return map_texts(texts, "h long, b1 long, b2 long, row long, start int, n int, anchor int", work, ("row", "text"))
 
 
 def cover_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
@@ -123,9 +127,9 @@ def words_at(text: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(view[pos + 8 * i]).view(">u8").ravel().astype(np.uint64) for i in range(4)]
 
 
-def repeated_starts(bucket: np.ndarray, starts: np.ndarray, anchor: np.ndarray, texts: list[bytes], length: int) -> list[np.ndarray]:
+def repeated_starts(bucket: np.ndarray, starts: np.ndarray, anchor: np.ndarray, texts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each block (bucket number, windows, anchor's place in it, bytes): which windows have an equal
-    one in another block of the bucket. One suffix batch."""
+    one in another block of the bucket, and which are the first of their content. One suffix batch."""
     # every block begins where its anchor falls on a multiple of COVER
     size = np.array([len(t) for t in texts])
     room = -(-(size + 2 * COVER) // COVER) * COVER
@@ -144,20 +148,26 @@ def repeated_starts(bucket: np.ndarray, starts: np.ndarray, anchor: np.ndarray,
         to_next = np.array([next(d for d in range(COVER) if member[(r + d) % COVER]) for r in range(COVER)])
         most = length - depth
         to_last = np.array([next(d for d in range(most, -1, -1) if member[(r + d) % COVER]) for r in range(COVER)])
-        r = pos % COVER
-        ties = [rank[pos + to_next[r]], rank[pos + to_last[r]]]
+        ties = lambda p: [rank[p + to_next[p % COVER]], rank[p + to_last[p % COVER]]]
     else:
-        ties = [x for i in range(32, length - 32, 32) for x in words_at(text, pos + i)]
-    keys = [bucket[owner], anchor[owner] - inner, *words_at(text, pos), *ties, *words_at(text, pos + length - 32)]
-    order = np.lexsort(keys[::-1])
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for x in keys:
-        y = x[order]
-        same &= y[1:] == y[:-1]
-    hit = np.zeros(len(order), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return np.split(hit, np.cumsum(starts)[:-1])
+        ties = lambda p: [x for i in range(32, length - 32, 32) for x in words_at(text, p + i)]
+    hit, first, offset = np.zeros(len(pos), bool), np.ones(len(pos), bool), anchor[owner] - inner
+    held = np.cumsum(np.bincount(offset, minlength=1))
+    low = 0
+    while low < len(held):  # windows of different offsets can't be equal
+        high = max(low + 1, int(np.searchsorted(held, (held[low - 1] if low else 0) + SORT, "right")))
+        some = np.flatnonzero((offset >= low) & (offset < high)) if high - low < len(held) else np.arange(len(pos))
+        at_ = pos[some]
+        keys = [bucket[owner[some]], offset[some], *words_at(text, at_), *ties(at_), *words_at(text, at_ + length - 32)]
+        order = np.lexsort(keys[::-1])
+        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in keys])
+        order = some[order]
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+        first[order[1:][same]] = False
+        low = high
+    ends = np.cumsum(starts)[:-1]
+    return np.split(hit, ends), np.split(first, ends)
 
 
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,118 +175,112 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _sorted_buckets(items: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, stop) of the repeated runs of windows; items are dealt by h and sorted by it."""
+def _sorted_chunks(items: DataFrame, length: int) -> DataFrame:
+    """(row, start, last, name): repeated runs of windows (no name), and of buckets in several chunks one
+    window of each content (row is null if it needs no answer). items are dealt by h, chunk and sorted by them."""
 
     def flush(rows):
-        h = np.array([r[0] for r in rows])
-        _, bucket = np.unique(h, return_inverse=True)
-        hits = repeated_starts(bucket, np.array([r[3] for r in rows]), np.array([r[4] - r[2] for r in rows]), [r[6] for r in rows], length)
+        _, bucket = np.unique(np.array([(r[0], r[1]) for r in rows]), axis=0, return_inverse=True)
+        hits, firsts = repeated_starts(bucket.ravel(), np.array([r[5] for r in rows]), np.array([r[6] - r[4] for r in rows]), [r[8] for r in rows], length)
         out = []
-        for r, hit in zip(rows, hits, strict=True):
-            if r[5] and hit.any():
+        for r, hit, first in zip(rows, hits, firsts, strict=True):
+            _, _, chunks, row, start, _, _, wanted, text = r
+            if wanted and hit.any():
                 a, b = _runs(hit)
-                out += [(r[1], r[2] + int(i), r[2] + int(j) - 1) for i, j in zip(a, b, strict=True)]
-        d, a, b = zip(*out, strict=True) if out else ((), (), ())
-        return batch_of(doc_id=pa.array(d, pa.int64()), start=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()))
+                out += [(row, start + int(i), start + int(j) - 1, None) for i, j in zip(a, b, strict=True)]
+            if chunks > 1:
+                for i in np.flatnonzero(first).tolist():
+                    asks = wanted and not hit[i]
+                    out.append((row if asks else None, start + i, start + i, hashlib.blake2b(text[i : i + length], digest_size=16).digest()))
+        d, a, b, name = zip(*out, strict=True) if out else ((), (), (), ())
+        return batch_of(row=pa.array(d, pa.int64()), start=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()), name=pa.array(name, pa.binary()))
 
     def run(batches):
-        rows, now, total = [], [], 0  # whole buckets; the bucket being read
+        rows, now, total = [], [], 0  # whole chunks; the chunk being read
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now and now[0][0] != r[0]:
+                if now and now[0][:2] != r[:2]:
                     rows += now
                     now = []
                     if total >= SORT:
                         yield flush(rows)
                         rows, total = [], 0
                 now.append(r)
-                total += r[3]
+                total += r[5]
         rows += now
         if rows:
             yield flush(rows)
 
-    return items.mapInArrow(run, "doc_id long, start int, last int")
-
-
-def _named_windows(items: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of too many blocks: windows grouped by a 128-bit name."""
+    return items.mapInArrow(run, "row long, start int, last int, name binary")
 
-    def run(batches):
-        for batch in batches:
-            for h, doc, start, n, anchor, wanted, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield batch_of(name=pa.array(names, pa.binary()), doc_id=pa.array([doc] * n, pa.int64()), start=pa.array(range(start, start + n), pa.int32()), wanted=pa.array([wanted] * n, pa.bool_()))
 
-    windows = items.mapInArrow(run, "name binary, doc_id long, start int, wanted boolean")
-    twice = windows.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
-    return windows.where("wanted").join(twice, "name", "left_semi").select("doc_id", "start", F.col("start").alias("last"))
-
-
-def repeated_windows(ws: Workspace, docs: DataFrame, length: int, k: int | None = None) -> DataFrame:
-    """(doc_id, start, last): runs of byte places of a text where a string of length bytes starts that
-    also starts elsewhere; together all such places. Runs may touch or overlap."""
-    spark = docs.sparkSession
+def repeated_windows(ws: Workspace, texts: DataFrame, length: int, k: int | None = None) -> DataFrame:
+    """(row, start, last) of texts (row, text), a table with a number a row: runs of byte places of a text
+    where a string of length bytes starts that also starts elsewhere; together all such places. Runs may
+    touch or overlap."""
     k = k or length // 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = ws.table(blocks_of(docs, length, k), "blocks")
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = ws.table(found.join(shared, "h", "left_semi"), "shared")
-    ws.drop("blocks")
-    contents = ws.table(found.groupBy("h", "block").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "n", "anchor")).alias("x")), "contents")
-    copies = contents.where("copies > 1").select("h", "block")
-    settled = found.join(copies, ["h", "block"], "left_semi").select("doc_id", "start", (F.col("start") + F.col("n") - 1).alias("last"))
-    open_ = contents.groupBy("h").agg(F.count("*").alias("blocks"), F.min("copies").alias("least")).where("least = 1 AND blocks > 1").select("h", "blocks")
-    items = contents.join(open_, "h").select("h", "blocks", "x.*", (F.col("copies") == 1).alias("wanted"))
-    per = items.groupBy("doc_id").agg(F.collect_list(F.struct("h", "blocks", "start", "n", "anchor", "wanted")).alias("items"))
-    per = ws.table(per, "open")
-    cut = ws.table(_cut(docs, per, length), "cut")
-    cols = ["h", "doc_id", "start", "n", "anchor", "wanted", "bytes"]
-    arrow_batches(spark)
-    normal = cut.where(F.col("blocks") <= HOT).select(*cols).repartition(parts(spark), "h").sortWithinPartitions("h")
-    runs = ws.table(_sorted_buckets(normal, length), "runs")
-    hot = ws.table(_named_windows(cut.where(F.col("blocks") > HOT).select(*cols), length), "hot-runs")
-    return settled.unionByName(runs).unionByName(hot)
+    found = ws.table(blocks_of(texts, length, k), "blocks")
+    anchors_ = ws.table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    found = ws.table(split_join(found, anchors_, ["h"], "left_semi"), "shared")
+    ws.drop("blocks", "anchors")
+    content = ["h", "b1", "b2"]
+    contents = ws.table(found.groupBy(*content).agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n", "anchor")).alias("x")), "contents")
+    copies = contents.where("copies > 1").select(*content, F.col("copies").alias("times"))
+    settled = split_join(found, copies, content, "left_semi", "times").select("row", "start", (F.col("start") + F.col("n") - 1).alias("last"))
+    open_ = ws.table(contents.groupBy("h").agg(F.count("*").alias("blocks"), F.min("copies").alias("least")).where("least = 1 AND blocks > 1").select("h", "blocks"), "buckets")
+    chunks = F.ceil(F.col("blocks") / CHUNK).cast("int")
+    items = split_join(contents, open_, ["h"], "inner", "blocks").select("h", F.pmod(F.xxhash64("x.row", "x.start"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"), "x.*", (F.col("copies") == 1).alias("wanted"))
+    per = ws.table(items.groupBy("row").agg(F.collect_list(F.struct("h", "chunk", "chunks", "start", "n", "anchor", "wanted")).alias("items")), "open")
+    cut = ws.table(_cut(texts, per, length), "cut")
+    arrow_batches(texts.sparkSession)
+    dealt = cut.repartition(parts(texts.sparkSession), "h", "chunk").sortWithinPartitions("h", "chunk")
+    done = ws.table(_sorted_chunks(dealt, length), "sorted")
+    ws.drop("cut")
+    named = done.where("name IS NOT NULL")
+    twice = ws.table(named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
+    merged = split_join(named.where("row IS NOT NULL"), twice, ["name"], "left_semi")
+    runs = done.where("name IS NULL")
+    return settled.unionByName(runs.drop("name")).unionByName(merged.drop("name"))
 
 
 #: Ids that go to every task, at most.
 BROADCAST_IDS = 1_000_000
 
 
-def _cut(docs: DataFrame, per: DataFrame, length: int) -> DataFrame:
+def _cut(texts: DataFrame, per: DataFrame, length: int) -> DataFrame:
     """The bytes of blocks, from the texts that have some."""
     few = per.count() <= BROADCAST_IDS
-    ids = per.select("doc_id")
-    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    arrow_batches(docs.sparkSession)
+    ids = per.select("row")
+    some = texts.join(F.broadcast(ids) if few else ids, "row", "left_semi")
+    arrow_batches(texts.sparkSession)
 
     def run(batches):
         for batch in batches:
             data, off, _ = column(batch, "text")
             rows = []
             for i, items in enumerate(batch.column(batch.schema.get_field_index("items")).to_pylist()):
-                doc, base = batch.column(0)[i].as_py(), int(off[i])
+                row, base = batch.column(0)[i].as_py(), int(off[i])
                 for x in items:
                     a = base + x["start"]
-                    rows.append((x["h"], x["blocks"], doc, x["start"], x["n"], x["anchor"], x["wanted"], data[a : a + x["n"] - 1 + length].tobytes()))
+                    rows.append((x["h"], x["chunk"], x["chunks"], row, x["start"], x["n"], x["anchor"], x["wanted"], data[a : a + x["n"] - 1 + length].tobytes()))
                     if len(rows) >= 8192:
                         yield _rows(rows)
                         rows = []
             if rows:
                 yield _rows(rows)
 
-    return some.join(per, "doc_id").select("doc_id", "text", "items").mapInArrow(run, "h long, blocks long, doc_id long, start int, n int, anchor int, wanted boolean, bytes binary")
+    return some.join(per, "row").select("row", "text", "items").mapInArrow(run, "h long, chunk int, chunks int, row long, start int, n int, anchor int, wanted boolean, bytes binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-    names = ("h", "blocks", "doc_id", "start", "n", "anchor", "wanted", "bytes")
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    names = ("h", "chunk", "chunks", "row", "start", "n", "anchor", "wanted", "bytes")
     return batch_of(**{n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
 
-def removed_spans(runs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, spans array<struct<start, last>>): the runs of each text that has some."""
-    return runs.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "last"))).alias("spans"))
+def removed_spans(runs: DataFrame) -> DataFrame:
+    """(row, spans array<struct<start, last>>): the runs of each text that has some."""
+    return runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "last"))).alias("spans"))
 
 
 def covered(n: int, spans: list[dict], length: int) -> np.ndarray:
@@ -288,10 +292,18 @@ def covered(n: int, spans: list[dict], length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def spanned(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
+    """(doc struct of all columns, spans): every row of docs with the runs of its text, null if none."""
+    rows = numbered(ws, docs)
+    runs = repeated_windows(ws, rows.select("row", F.col("doc.text").alias("text")), length)
+    spans = ws.table(removed_spans(runs), "spans")
+    return rows.join(spans, "row", "left").select("doc", "spans")
+
+
 def digests(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    spans = ws.table(removed_spans(repeated_windows(ws, docs, length), length), "spans")
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row; text: the remaining bytes as
+    a string, with a mark where a cut has left part of a character."""
+    both = spanned(ws, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
 
     def run(batches):
         for batch in batches:
@@ -299,16 +311,39 @@ def digests(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
             rows = []
             for i, s in enumerate(batch.column(2).to_pylist()):
                 x = data[off[i] : off[i + 1]]
-                if s:
-                    gone = covered(len(x), s, length)
-                    rows.append((len(x), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(x[~gone].tobytes()).hexdigest()))
-                else:
-                    rows.append((len(x), 0, 0, hashlib.sha256(x.tobytes()).hexdigest()))
-            a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield batch_of(doc_id=batch.column(0), n_bytes=pa.array(a, pa.int64()), n_removed=pa.array(b, pa.int64()), n_spans=pa.array(c, pa.int64()), kept_sha256=pa.array(d, pa.string()))
+                gone = covered(len(x), s or [], length)
+                kept = (x[~gone] if s else x).tobytes()
+                rows.append((len(x), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            a, b, c, d, e = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield batch_of(doc_id=batch.column(0), n_bytes=pa.array(a, pa.int64()), n_removed=pa.array(b, pa.int64()), n_spans=pa.array(c, pa.int64()), kept_sha256=pa.array(d, pa.string()), text=pa.array(e, pa.string()))
+
+    arrow_batches(docs.sparkSession)
+    return both.select("doc.doc_id", "doc.text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+
+
+def without_repeats(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
+    """The rows of docs with the repeated passages cut out of text; a character goes if all its bytes do."""
+    schema = docs.schema
+    at = schema.names.index("text")
+    both = spanned(ws, docs, length)
+    # columns go by place, so that no name can clash
+    flat = both.select(*[F.col("doc").getField(c).alias(f"c{i}") for i, c in enumerate(schema.names)], "spans")
+
+    def run(batches):
+        for batch in batches:
+            data, off, _ = column(batch, f"c{at}")
+            texts = batch.column(at).to_pylist()
+            for i, spans in enumerate(batch.column(len(schema)).to_pylist()):
+                if spans:
+                    x = data[off[i] : off[i + 1]]
+                    gone = covered(len(x), spans, length)
+                    char = ((x & 0xC0) != 0x80).cumsum() - 1
+                    texts[i] = x[np.bincount(char, ~gone)[char] > 0].tobytes().decode("utf-8", "replace")
+            out = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(schema))]
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     arrow_batches(docs.sparkSession)
-    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return flat.mapInArrow(run, schema)
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
