@@ -57,24 +57,29 @@ def zscore(n: int) -> Column:
     return F.try_divide(F.col("px") - rolling(F.avg, "px", n), rolling(F.stddev_samp, "px", n))
 
 
-def ewm(panel: DataFrame, column: str, name: str, alpha: float, least: int) -> DataFrame:
-    """Exponential mean without adjustment; a gap lets old weight decay. A recursion along each asset's
-    days, the one indicator that windows can't say."""
-    schema = T.StructType([*panel.schema.fields, T.StructField(name, T.DoubleType())])
+def ewms(panel: DataFrame, names: dict[str, str], alpha: float, least: int) -> DataFrame:
+    """Exponential means without adjustment of the columns names, each under its new name; a gap lets old
+    weight decay. A recursion along each asset's days, the one indicator that windows can't say."""
+    schema = T.StructType([*panel.schema.fields, *(T.StructField(x, T.DoubleType()) for x in names.values())])
 
     def run(pdf):
         pdf = pdf.sort_values("d")
-        pdf[name] = pdf[column].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+        for column, name in names.items():
+            pdf[name] = pdf[column].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
         return pdf
 
     return panel.groupBy("asset").applyInPandas(run, schema)
 
 
+def ewm(panel: DataFrame, column: str, name: str, alpha: float, least: int) -> DataFrame:
+    return ewms(panel, {column: name}, alpha, least)
+
+
 def rsi(panel: DataFrame, n: int = 14) -> DataFrame:
     """Column rsi by Wilder's means; null where nothing fell."""
     diff = F.col("px") - lagged("px")
     out = panel.withColumn("_u", F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0)))).withColumn("_v", F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0))))
-    out = ewm(ewm(out, "_u", "_up", 1 / n, n), "_v", "_down", 1 / n, n)
+    out = ewms(out, {"_u": "_up", "_v": "_down"}, 1 / n, n)
     return out.withColumn("rsi", 100 - 100 / (1 + F.try_divide("_up", F.nullif("_down", F.lit(0.0))))).drop("_u", "_v", "_up", "_down")
 
 

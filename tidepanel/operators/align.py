@@ -7,14 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def exog_asof(exog: DataFrame, calendar: DataFrame, lag_days: int = 1) -> DataFrame:
-    """(d, series, v): on each day of the calendar, each series' last value published `lag_days` before.
-    One sort by series and day, no range join."""
+def exog_asof(exog: DataFrame, calendar: DataFrame, lag_days: int = 1, ffill_limit: int | None = None) -> DataFrame:
+    """(d, series, v): on each day of the calendar, each series' last value published `lag_days` before, if at
+    most ffill_limit rows (its days and the calendar's, together) lie after it. One sort by series and day,
+    no range join."""
     names = exog.select("series").distinct()
     known = exog.select("series", F.date_add("d", lag_days).alias("d"), "v", F.lit(0).alias("src"))
-    asked = calendar.select("d").distinct().crossJoin(F.broadcast(names)).select("series", "d", F.lit(None).cast("double").alias("v"), F.lit(1).alias("src"))
-    w = W.partitionBy("series").orderBy("d", "src").rowsBetween(W.unboundedPreceding, 0)
-    return known.unionByName(asked).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("src = 1").select("d", "series", "v")
+    asked = calendar.select("d").distinct().crossJoin(names).select("series", "d", F.lit(None).cast("double").alias("v"), F.lit(1).alias("src"))
+    if ffill_limit is None:
+        w = W.partitionBy("series").orderBy("d", "src").rowsBetween(W.unboundedPreceding, 0)
+        return known.unionByName(asked).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("src = 1").select("d", "series", "v")
+    both = known.unionByName(asked).groupBy("series", "d").agg(F.max("v").alias("v"), F.max("src").alias("src"))
+    w = W.partitionBy("series").orderBy("d").rowsBetween(-ffill_limit, 0)
+    return both.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("src = 1").select("d", "series", "v")
 
 
 def snap_dates(dates: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -58,17 +63,38 @@ def frequency(dates: DataFrame) -> DataFrame:
     return m.select("median_gap", name.otherwise("annual").alias("frequency"))
 
 
+def stream_frequency(dates: DataFrame) -> DataFrame:
+    """(median_gap, frequency, periods): of a return stream, with the periods of a year."""
+    gaps = dates.select("d").distinct().select(F.datediff("d", F.lag("d").over(W.orderBy("d"))).cast("double").alias("g"))
+    m = gaps.agg(F.expr("percentile(g, 0.5)").alias("median_gap"), F.count("g").alias("k"))
+    kind = F.when(F.col("k") < 2, F.struct(F.lit("undetermined").alias("frequency"), F.lit(252).alias("periods")))
+    for limit, name, periods in ((4, "daily", 252), (10, "weekly", 52), (45, "monthly", 12), (135, "quarterly", 4), (250, "semi-annual", 2)):
+        kind = kind.when(F.col("median_gap") <= limit, F.struct(F.lit(name).alias("frequency"), F.lit(periods).alias("periods")))
+    return m.select("median_gap", kind.otherwise(F.struct(F.lit("annual").alias("frequency"), F.lit(1).alias("periods"))).alias("x")).select("median_gap", "x.*")
+
+
+def exog_flags(exog: DataFrame, calendar: DataFrame, lag_days: int = 1) -> DataFrame:
+    """(series, flag): stale (last value over 180 days before the calendar's end), thin (under half of the
+    calendar covered), and for the table as a whole (series null) lag: monthly or rarer, with a lag under 15 days."""
+    end = calendar.agg(F.max("d").alias("end"))
+    rep = exog_report(exog, calendar, lag_days).crossJoin(end)
+    flags = F.array(F.when(F.col("last_d") < F.date_sub("end", 180), "stale"), F.when(F.col("coverage") < 50, "thin"))
+    own = rep.select("series", F.explode(F.array_compact(flags)).alias("flag"))
+    rare = frequency(exog).where(F.col("frequency").isin("monthly", "quarterly", "semi-annual", "annual") & F.lit(lag_days < 15))
+    return own.unionByName(rare.select(F.lit(None).cast("string").alias("series"), F.lit("lag").alias("flag")))
+
+
 def exog_report(exog: DataFrame, calendar: DataFrame, lag_days: int = 1) -> DataFrame:
     """(series, observations, first_d, last_d, coverage, first_usable)."""
-    days = calendar.select("d").distinct().count()
+    days = calendar.agg(F.countDistinct("d").alias("days"))
     seen = exog_asof(exog, calendar, lag_days).where("v IS NOT NULL").groupBy("series").agg(F.count("*").alias("c"), F.min("d").alias("first_usable"))
     own = exog.where("v IS NOT NULL").groupBy("series").agg(F.count("*").alias("observations"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
-    return own.join(seen, "series", "left").select("series", "observations", "first_d", "last_d", F.round(100 * F.coalesce("c", F.lit(0)) / days, 1).alias("coverage"), "first_usable")
+    return own.join(seen, "series", "left").crossJoin(days).select("series", "observations", "first_d", "last_d", F.round(100 * F.coalesce("c", F.lit(0)) / F.greatest("days", F.lit(1)), 1).alias("coverage"), "first_usable")
 
 
 def split_roles(exog: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Series that are assets of the universe whatever the case (factors), and the others (macro)."""
-    names = F.broadcast(universe.select(F.upper("asset").alias("u")).distinct())
+    names = universe.select(F.upper("asset").alias("u")).distinct()
     key = F.upper(exog["series"]) == names["u"]
     return exog.join(names, key, "left_semi"), exog.join(names, key, "left_anti")
 

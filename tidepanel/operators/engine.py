@@ -3,7 +3,7 @@
 closed_form says it in windows: between two rebalances a holding is its target times the growth of its
 price, so value, drift and turnover of every day follow from the last event before it, and the value over
 all events is a product. What is uninvested is one more leg that grows by the cash return. Exact without a
-dead band, borrowing or open execution. kernel walks the days of one run at a time for those; runs are
+dead band, borrowing, dividends or open execution. kernel walks the days of one run at a time for those; runs are
 spread over the cluster.
 """
 
@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .align import signal_to_exec_dates
+
+
 def _asset_days():
     return W.partitionBy("run_id", "asset").orderBy("d")
 
@@ -29,9 +32,22 @@ class Costs:
         return (self.commission_bps + self.slippage_bps) / 1e4
 
 
-def _returns(panel: DataFrame) -> DataFrame:
-    """r: price over the price of the row before, 0 where either is missing."""
-    return panel.withColumn("r", F.coalesce(F.try_divide("px", F.lag("px").over(W.partitionBy("asset").orderBy("d"))) - 1, F.lit(0.0)))
+def _returns(panel: DataFrame, opens: DataFrame | None = None, dividends: DataFrame | None = None) -> DataFrame:
+    """r: price over the price of the row before, less 1; with opens (d, asset, px) its part after the open,
+    and r_on the part before it (a missing open is the price before). dv: dividends (d, asset, v) over the
+    price before. 0 where a value is missing or isn't finite."""
+    before = F.lag("px").over(W.partitionBy("asset").orderBy("d"))
+    clean = lambda c: F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c).otherwise(0.0)
+    x = panel.withColumn("_p", before)
+    if opens is None:
+        x = x.withColumn("r_on", F.lit(0.0)).withColumn("r", clean(F.try_divide("px", "_p") - 1))
+    else:
+        x = x.join(opens.select("d", "asset", F.col("px").alias("_o")), ["d", "asset"], "left")
+        x = x.withColumn("_o", F.when((F.col("_o") > 0) & ~F.isnan("_o"), F.col("_o")).otherwise(F.col("_p")))
+        x = x.withColumn("r_on", clean(F.try_divide("_o", "_p") - 1)).withColumn("r", clean(F.try_divide("px", "_o") - 1))
+    if dividends is None:
+        return x.withColumn("dv", F.lit(0.0))
+    return x.join(dividends.select("d", "asset", F.col("v").alias("_v")), ["d", "asset"], "left").withColumn("dv", clean(F.try_divide("_v", "_p")))
 
 
 def cash_returns(days: DataFrame, proxy: DataFrame | None = None, rate: float = 0.0, ppy: int = 252) -> DataFrame:
@@ -45,17 +61,18 @@ def cash_returns(days: DataFrame, proxy: DataFrame | None = None, rate: float =
     return days.select("d", F.when(F.row_number().over(w) > 1, F.lit(rate / ppy)).otherwise(0.0).alias("rc"))
 
 
-def legs(panel: DataFrame, targets: DataFrame, events: DataFrame, lag: int, max_leverage: float = 1.0, cash: DataFrame | None = None) -> DataFrame:
-    """(run_id, d, n, asset, ord, r, t, ev, rc): returns, lagged and capped targets, the days of trade, and
-    the return of cash. targets: run_id, d, asset, w. events: d. cash: d, rc; without it cash earns nothing."""
-    r = _returns(panel).select("d", "n", "asset", "ord", "r")
+def legs(panel: DataFrame, targets: DataFrame, events: DataFrame, lag: int, max_leverage: float = 1.0, cash: DataFrame | None = None, opens: DataFrame | None = None, dividends: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """(run_id, d, n, asset, ord, r_on, r, dv, t, ev, rc): returns, lagged and capped targets, the days of
+    trade, and the return of cash. targets: run_id, d, asset, w. events: d. cash: d, rc; without it cash earns
+    nothing. signals (d) are imposed days of signal: trades are `lag` sessions later, instead of on events."""
+    r = _returns(panel, opens, dividends).select("d", "n", "asset", "ord", "r_on", "r", "dv")
     x = targets.select("run_id", "d", "asset", "w").join(r, ["d", "asset"])
     gross = F.sum(F.abs("w")).over(W.partitionBy("run_id", "d"))
     x = x.withColumn("g", gross).withColumn("w", F.when(F.col("g") > max_leverage, F.col("w") * max_leverage / F.col("g")).otherwise(F.col("w")))
     x = x.withColumn("t", F.coalesce(F.lag("w", lag).over(_asset_days()), F.lit(0.0)) if lag else F.col("w"))
-    days = F.broadcast(events.select("d", F.lit(True).alias("ev")).distinct())
-    x = x.join(F.broadcast(cash.select("d", "rc")), "d", "left") if cash is not None else x.withColumn("rc", F.lit(0.0))
-    return x.join(days, "d", "left").select("run_id", "d", "n", "asset", "ord", "r", "t", (F.coalesce("ev", F.lit(False)) & (F.col("n") > lag)).alias("ev"), F.coalesce("rc", F.lit(0.0)).alias("rc"))
+    days = (events if signals is None else signal_to_exec_dates(signals, panel, lag)).select("d", F.lit(True).alias("ev")).distinct()
+    x = x.join(cash.select("d", "rc"), "d", "left") if cash is not None else x.withColumn("rc", F.lit(0.0))
+    return x.join(days, "d", "left").select("run_id", "d", "n", "asset", "ord", "r_on", "r", "dv", "t", (F.coalesce("ev", F.lit(False)) & (F.col("n") > lag)).alias("ev"), F.coalesce("rc", F.lit(0.0)).alias("rc"))
 
 
 def holdings(x: DataFrame) -> DataFrame:
@@ -107,43 +124,87 @@ def trades(x: DataFrame) -> DataFrame:
     return out.withColumn("change", F.col("weight_after") - F.col("weight_before")).where("change <> 0")
 
 
-def kernel(x: DataFrame, rate: float, min_trade: float = 0.0, max_leverage: float = 1.0, borrow: float = 0.0, capital: float = 1.0, ppy: int = 252) -> DataFrame:
-    """(run_id, d, nav, turnover) by a walk over the days of legs: a dead band, a leverage limit at each
-    trade, and a charge on what is borrowed. A run is one group: a path of days times assets."""
+def kernel(x: DataFrame, rate: float | str, min_trade: float = 0.0, max_leverage: float = 1.0, borrow: float = 0.0, capital: float = 1.0, ppy: int = 252, at_open: bool = False) -> DataFrame:
+    """(run_id, d, nav, ret, gross_ret, turnover, cost, exposure, cash_w, div_income, w, w_before, w_after) by
+    a walk over the days of legs: a dead band, a leverage limit at each trade, a charge on what is borrowed,
+    dividends that stay in cash till the next trade, and trades at the close or at the open (the part of a day
+    before it is earned on the old weights). w are the day's last weights in the order of `ord`; w_before and
+    w_after, null without a trade, those around it. A run is a path that can't be cut: one row a day with
+    arrays over assets goes to its task, and runs are spread over the cluster. rate: a number or a column."""
+    fee = F.col(rate) if isinstance(rate, str) else F.lit(float(rate))
+    legs_ = F.array_sort(F.collect_list(F.struct("ord", "r_on", "r", "dv", "t")))
+    days = x.withColumn("_fee", fee).groupBy("run_id", "d").agg(legs_.alias("l"), F.max("ev").alias("ev"), F.max("rc").alias("rc"), F.max("_fee").alias("fee"))
+    days = days.select("run_id", "d", *[F.col("l")[c].alias(c) for c in ("r_on", "r", "dv", "t")], "ev", "rc", "fee")
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values(["d", "ord"])
-        days = pdf["d"].drop_duplicates().to_numpy()
-        k = len(pdf) // max(1, len(days))
-        r, t, ev, rc = (pdf[c].to_numpy().reshape(len(days), k) for c in ("r", "t", "ev", "rc"))
-        w, cash, v, out = np.zeros(k), 1.0, capital, []
-        for i in range(len(days)):
+        pdf = pdf.sort_values("d")
+        r_on, r, dv, t = (np.stack(pdf[c].to_numpy()) for c in ("r_on", "r", "dv", "t"))
+        ev, rc, fee = (pdf[c].to_numpy() for c in ("ev", "rc", "fee"))
+        w, cash, value, out = np.zeros(r.shape[1]), 1.0, capital, []
+
+        def trade(now, wanted):
+            d = wanted - now
+            d[np.abs(d) < min_trade] = 0
+            new = now + d
+            gross = np.abs(new).sum()
+            if gross > max_leverage and d.any():
+                new = new * max_leverage / gross
+            return new, np.abs(new - now).sum()
+
+        for i in range(len(r)):
+            moved, cost, income, port, around = 0.0, 0.0, 0.0, 0.0, (None, None)
             if i:
-                owed = borrow / ppy * max(0.0, np.abs(w).sum() - 1)
+                start = w
+                income = float((start * dv[i]).sum())
+                cash = cash * (1 + rc[i]) + income - borrow / ppy * max(0.0, np.abs(start).sum() - 1)
+                w = start * (1 + r_on[i])
+                base = w.sum() + cash
+                if at_open and ev[i] and base > 0:
+                    new, moved = trade(w / base, t[i])
+                    around = (w / base, new) if moved > 0 else around
+                    cost = moved * fee[i]
+                    w, cash = new * base * (1 - cost), (1 - new.sum()) * base * (1 - cost)
                 w = w * (1 + r[i])
-                cash = cash * (1 + rc[i, 0]) - owed
                 base = w.sum() + cash
-                v *= base
+                port = base - 1
+                value *= base
                 w, cash = (w / base, cash / base) if base > 0 else (w, cash)
-            moved = 0.0
-            if ev[i].any():
-                d = t[i] - w
-                d[np.abs(d) < min_trade] = 0
-                new = w + d
-                gross = np.abs(new).sum()
-                if gross > max_leverage:
-                    new = new * max_leverage / gross
-                moved = np.abs(new - w).sum()
+            gross_ret = port + cost
+            if not at_open and ev[i]:
+                new, moved = trade(w, t[i])
                 if moved > 0:
-                    v *= 1 - moved * rate
+                    around, cost = (w, new), moved * fee[i]
+                    value *= 1 - cost
                     w, cash = new, 1 - new.sum()
-            out.append((pdf["run_id"].iat[0], days[i], v, moved))
-        return pd.DataFrame(out, columns=["run_id", "d", "nav", "turnover"])
+            net = (1 + port) * (1 if at_open else 1 - cost) - 1
+            out.append((pdf["run_id"].iat[0], pdf["d"].iat[i], value, net, gross_ret, moved, cost, np.abs(w).sum(), cash, income, w, *around))
+        return pd.DataFrame(out, columns=["run_id", "d", "nav", "ret", "gross_ret", "turnover", "cost", "exposure", "cash_w", "div_income", "w", "w_before", "w_after"])
+
+    doubles = " double, ".join(("nav", "ret", "gross_ret", "turnover", "cost", "exposure", "cash_w", "div_income"))
+    return days.groupBy("run_id").applyInPandas(run, f"run_id string, d date, {doubles} double, w array<double>, w_before array<double>, w_after array<double>")
+
+
+def _by_asset(walked: DataFrame, x: DataFrame, *columns: str) -> DataFrame:
+    """Arrays of the kernel as rows: run_id, d, asset and a value of each."""
+    names = x.select("ord", "asset").distinct()
+    rank = F.row_number().over(W.orderBy("ord")) - 1
+    flat = walked.select("run_id", "d", F.posexplode(F.arrays_zip(*columns)).alias("k", "z"))
+    return flat.join(names.select("asset", rank.alias("k")), "k").select("run_id", "d", "asset", *[F.col("z")[c].alias(c) for c in columns])
 
-    return x.groupBy("run_id").applyInPandas(run, "run_id string, d date, nav double, turnover double")
+
+def kernel_weights(walked: DataFrame, x: DataFrame) -> DataFrame:
+    """(run_id, d, asset, w) of a kernel's result on legs x."""
+    return _by_asset(walked, x, "w")
+
+
+def kernel_trades(walked: DataFrame, x: DataFrame) -> DataFrame:
+    """(run_id, d, asset, weight_before, weight_after, change) of a kernel's result on legs x."""
+    rows = _by_asset(walked.where("w_before IS NOT NULL"), x, "w_before", "w_after")
+    out = rows.select("run_id", "d", "asset", F.col("w_before").alias("weight_before"), F.col("w_after").alias("weight_after"))
+    return out.withColumn("change", F.col("weight_after") - F.col("weight_before")).where("change <> 0")
 
 
 def benchmark_result(bench: DataFrame, capital: float = 1.0) -> DataFrame:
@@ -159,13 +220,21 @@ def first_active(run: DataFrame, threshold: float = 1e-9) -> DataFrame:
     return run.groupBy("run_id").agg(F.min(F.when(F.col("exposure") > threshold, F.col("d"))).alias("first_d"))
 
 
-def trim_warmup(run: DataFrame, capital: float = 1.0) -> DataFrame:
-    """Each run from its first active day on, rebased to capital; that day's return is 0."""
-    cut = run.join(F.broadcast(first_active(run)), "run_id").where("d >= first_d")
+def trim_warmup(run: DataFrame, capital: float = 1.0, start: DataFrame | None = None) -> DataFrame:
+    """Each run from its first active day on, or from start (run_id, first_d), rebased to capital; that day's
+    return is 0. A run that was never active stays whole."""
+    days = first_active(run) if start is None else start
+    cut = run.join(days, "run_id").where("d >= coalesce(first_d, d)")
     base = F.first("nav").over(W.partitionBy("run_id").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
     return cut.withColumn("nav", capital * F.col("nav") / base).withColumn("ret", F.when(F.col("d") == F.col("first_d"), 0.0).otherwise(F.col("ret"))).drop("first_d")
 
 
+def align_start(runs: DataFrame, capital: float = 1.0) -> DataFrame:
+    """All runs from the latest of their first active days on."""
+    days = first_active(runs)
+    return trim_warmup(runs, capital, days.select("run_id").crossJoin(days.agg(F.max("first_d").alias("first_d"))))
+
+
 def align_results(a: DataFrame, b: DataFrame) -> DataFrame:
     """(d, a, b): values on common days, 100 on the first."""
     both = a.select("d", F.col("nav").alias("x")).join(b.select("d", F.col("nav").alias("y")), "d").where("x IS NOT NULL AND y IS NOT NULL")

@@ -64,7 +64,7 @@ def drawdown_table(rows: DataFrame, top: int = 5) -> DataFrame:
 def var_cvar(rows: DataFrame, level: float = 0.05) -> DataFrame:
     """(run_id, var, cvar): the quantile of returns, and the mean of those up to it."""
     q = rows.groupBy("run_id").agg(F.expr(f"percentile(ret, {level})").alias("var"))
-    return rows.join(F.broadcast(q), "run_id").groupBy("run_id", "var").agg(F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"))
+    return rows.join(q, "run_id").groupBy("run_id", "var").agg(F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"))
 
 
 def beta_alpha(rows: DataFrame, bench: DataFrame, rf: float = 0.0, ppy: int = 252) -> DataFrame:
@@ -100,16 +100,20 @@ def rolling_sharpe(rows: DataFrame, window: int = 252, ppy: int = 252) -> DataFr
 
 
 def correlation_matrix(panel: DataFrame) -> DataFrame:
-    """(a, b, corr) of returns (column r) of every two assets, on the days both have one."""
-    x, y = panel.select("d", F.col("asset").alias("a"), F.col("r").alias("x")), panel.select("d", F.col("asset").alias("b"), F.col("r").alias("y"))
-    return x.join(y, "d").where("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    """(a, b, corr) of returns (column r) of every two assets, on the days both have one. A day's returns are
+    one array, so pairs are made where they lie, each once, and summed before a shuffle."""
+    day = panel.where("r IS NOT NULL").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 1, F.size("x")), lambda b: F.struct(a["asset"].alias("a"), b["asset"].alias("b"), a["r"].alias("x"), b["r"].alias("y")))))
+    half = day.select(F.inline(pairs)).groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(both).alias("p"), "corr").select("p.a", "p.b", "corr")
 
 
 def return_histogram(rows: DataFrame, bins: int = 90) -> DataFrame:
     """(bin, n): equal bins between the least and the largest return."""
     lim = rows.agg(F.min("ret").alias("lo"), F.max("ret").alias("hi"))
     k = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("ret") - F.col("lo"), F.col("hi") - F.col("lo")) * bins))
-    return rows.crossJoin(F.broadcast(lim)).where("ret IS NOT NULL").groupBy(F.coalesce(k, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return rows.crossJoin(lim).where("ret IS NOT NULL").groupBy(F.coalesce(k, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 _PERCENT = {"total_return", "cagr", "vol", "mdd", "best", "worst", "positive", "alpha", "tracking_error"}
@@ -124,3 +128,22 @@ def summary(stats: DataFrame) -> DataFrame:
     """(run_id, metric, value) of a statistics table."""
     cols = [c for c in stats.columns if c != "run_id"]
     return stats.select("run_id", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot("run_id", cols, "metric", "value")
+
+
+def report(rows: DataFrame, bench: DataFrame | None = None, rf: float = 0.0, ppy: int = 252) -> DataFrame:
+    """(run_id, metric, value): all that a report shows of runs (run_id, d, ret, nav[, turnover, exposure]):
+    the statistics, VaR and CVaR, months, turnover and exposure, and with bench (d, ret) the regression on it."""
+    names = {"total_return": "total_return", "cagr": "cagr", "vol": "vol", "sharpe": "sharpe", "sortino": "sortino", "calmar": "calmar", "mdd": "mdd", "ulcer": "ulcer", "skew": "skew", "kurtosis": "kurtosis"}
+    out = statistics(rows, rf, ppy).select("run_id", *names).join(var_cvar(rows), "run_id")
+    m = monthly_returns(rows).groupBy("run_id").agg(F.avg((F.col("ret") > 0).cast("double")).alias("positive_months"), F.max("ret").alias("best_month"), F.min("ret").alias("worst_month"))
+    out = out.join(m, "run_id")
+    extra = []
+    if "turnover" in rows.columns:
+        extra.append((F.sum("turnover") / (F.count("ret") / ppy)).alias("annual_turnover"))
+    if "exposure" in rows.columns:
+        extra.append(F.avg("exposure").alias("average_exposure"))
+    if extra:
+        out = out.join(rows.groupBy("run_id").agg(*extra), "run_id")
+    if bench is not None:
+        out = out.join(beta_alpha(rows, bench, rf, ppy).drop("corr"), "run_id", "left")
+    return summary(out)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from . import engine as E
 from . import metrics as M
+from . import strategies as S
+
+#: Runs of a sweep that are planned together.
+TOGETHER = 24
 
 
 def fold_stats(rows: DataFrame, folds: int, ppy: int = 252) -> DataFrame:
@@ -39,6 +47,66 @@ def param_grid(spark: SparkSession, grid: dict[str, list], max_runs: int = 400)
     return out.withColumn("_k", F.row_number().over(W.orderBy(*order))).where(F.col("_k") <= max_runs).select(F.concat_ws("-", *order).alias("run_id"), *order)
 
 
+def cost_levels(days: DataFrame, levels: list[float]) -> DataFrame:
+    """(run_id, bps, d, ret, nav): a run without costs (run_id, d, ret, turnover) at every level of costs. Costs
+    don't change what is held, so the run is simulated once and a level is a factor on each day."""
+    rates = days.sparkSession.createDataFrame([(float(b),) for b in levels], "bps double")
+    x = days.select("run_id", "d", "ret", "turnover").crossJoin(rates)
+    x = x.withColumn("ret", (1 + F.col("ret")) * (1 - F.col("turnover") * F.col("bps") / 1e4) - 1)
+    path = W.partitionBy("run_id", "bps").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    return x.select("run_id", "bps", "d", "ret", F.product(1 + F.col("ret")).over(path).alias("nav"))
+
+
+def cost_statistics(days: DataFrame, levels: list[float], ppy: int = 252) -> DataFrame:
+    """(run_id, bps, cagr, sharpe, mdd) of cost_levels."""
+    x = cost_levels(days, levels).withColumn("level", F.struct("run_id", "bps"))
+    return M.statistics(x, ppy=ppy, by="level").select("level.run_id", "level.bps", "cagr", "sharpe", "mdd")
+
+
+def run_statistics(runs: DataFrame, ppy: int = 252) -> DataFrame:
+    """(run_id, cagr, vol, sharpe, sortino, calmar, mdd, turnover) of simulated runs; turnover is a year's."""
+    t = runs.groupBy("run_id").agg((F.sum("turnover") / (F.count(F.lit(1)) / ppy)).alias("turnover"))
+    return M.statistics(runs, ppy=ppy).join(t, "run_id").select("run_id", "cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover")
+
+
+def parameter_sweep(panel: DataFrame, key: str, base: dict, grid: dict[str, list], events: DataFrame, rate: float, lag: int = 1, exog: DataFrame | None = None, max_runs: int = 400, ppy: int = 252) -> DataFrame:
+    """(run_id, the parameters as strings, statistics, error): a run for each combination of the grid, at most
+    max_runs in the order of the lists. panel and events should be stored tables. All runs go through one
+    simulation; a combination that the strategy refuses has an error and no statistics."""
+    spark, rows, targets, out = panel.sparkSession, [], [], None
+    for values in itertools.islice(itertools.product(*grid.values()), max_runs):
+        p, run, error = dict(zip(grid, values, strict=True)), "-".join(map(str, values)), None
+        try:
+            targets.append(S.get(key).generate(panel, {**base, **p}, exog).withColumn("run_id", F.lit(run)))
+        except Exception as e:  # a wrong combination doesn't stop the others
+            error = str(e)[:120]
+        rows.append((run, *map(str, values), error))
+    for i in range(0, len(targets), TOGETHER):
+        part = stored(functools.reduce(DataFrame.unionByName, targets[i : i + TOGETHER]))
+        out = part if out is None else out.unionByName(part)
+    table = spark.createDataFrame(rows, ", ".join(["run_id string", *(f"`{k}` string" for k in grid), "error string"]))
+    if out is None:
+        none = F.lit(None).cast("double")
+        return table.select("run_id", *grid, *[none.alias(c) for c in ("cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover")], "error")
+    stats = run_statistics(E.closed_form(E.legs(panel, out, events, lag), rate), ppy)
+    return table.join(stats, "run_id", "left").select("run_id", *grid, "cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover", "error")
+
+
+def sweep_pivot(sweep: DataFrame, rows: str, columns: str, value: str) -> DataFrame:
+    """A row for each value of one parameter, a column for each of another: the surface of a statistic."""
+    return sweep.groupBy(rows).pivot(columns).agg(F.avg(value))
+
+
+def walk_forward(runs: DataFrame, folds: int = 5, ppy: int = 252) -> DataFrame:
+    """fold_stats of one simulated run: its signals come from the whole history, its folds are judged apart."""
+    return fold_stats(runs.select("run_id", "d", "ret"), folds, ppy)
+
+
+def dispersion(folds: DataFrame) -> DataFrame:
+    """(sharpe_dispersion, sharpe_min) over folds."""
+    return folds.agg(F.stddev_samp("sharpe").alias("sharpe_dispersion"), F.min("sharpe").alias("sharpe_min"))
+
+
 def block_starts(spark: SparkSession, n: int, sims: int, block: int, seed: int | None = None) -> DataFrame:
     """(sim, k, at): where each block of each path begins: drawn for each (sim, k) by a hash with a seed;
     without one by an arithmetic rule, whose paths lie far too close together for bands or probabilities."""
@@ -56,7 +124,7 @@ def mc_paths(rows: DataFrame, starts: DataFrame, n: int, block: int) -> DataFram
     r = rows.select((F.row_number().over(W.orderBy("d")) - 1).cast("long").alias("at"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
     steps = starts.select("sim", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"), "k", F.col("at").alias("at0")).select("sim", (F.col("k") * block + F.col("j")).alias("step"), (F.col("at0") + F.col("j")).alias("at")).where(F.col("step") < n)
     path = W.partitionBy("sim").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    return steps.join(F.broadcast(r), "at").select("sim", "step", F.product(1 + F.col("ret")).over(path).alias("v"))
+    return steps.join(r, "at").select("sim", "step", F.product(1 + F.col("ret")).over(path).alias("v"))
 
 
 def bootstrap(rows: DataFrame, sims: int = 500, block: int = 21, seed: int = 42) -> DataFrame:

@@ -15,8 +15,10 @@ from ..operators import engine as E
 from ..operators import imports as I
 from ..operators import metrics as M
 from ..operators import robustness as B
+from ..operators import sinks as K
 from ..operators import strategies as S
 from ..sources import market as D
+from ..sources.tables import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -357,23 +359,33 @@ def _(spark, sf):
 
 
 def _run(spark, sf, rule: str = "monthly", lag: int = 1) -> DataFrame:
-    p = D.prices(spark, sf)
+    p = D.panel(spark, sf)
     t = S.get("buy_hold").generate(p).withColumn("run_id", F.lit("run"))
     return E.legs(p, t, A.rebalance_calendar(p, rule), lag)
 
 
-def _walk(min_trade: str, rate: str = "0.003") -> str:
-    """The day recursion over lists of weights; ends in sim(n, d, w, c, v, tr)."""
-    return f"""rr AS (SELECT d, n, asset, px, coalesce(px / lag(px) OVER (PARTITION BY asset ORDER BY n) - 1, 0) AS r, CASE WHEN px IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS m FROM px),
-tw AS (SELECT *, coalesce(m / nullif(sum(m) OVER (PARTITION BY d), 0), 0) AS w FROM rr), tl AS (SELECT *, coalesce(lag(w, 1) OVER (PARTITION BY asset ORDER BY n), 0) AS t FROM tw),
-reb AS (SELECT max(d) AS d FROM cal GROUP BY date_trunc('month', d)),
-dy AS (SELECT tl.d, n, list(r ORDER BY asset) AS r, list(t ORDER BY asset) AS t, bool_or(reb.d IS NOT NULL) AND n > 1 AS ev FROM tl LEFT JOIN reb ON tl.d = reb.d GROUP BY tl.d, n),
+_MONTHLY = "SELECT max(d) AS d FROM cal GROUP BY date_trunc('month', d)"
+_HELD = "SELECT *, coalesce(m / nullif(sum(m) OVER (PARTITION BY d), 0), 0) AS w FROM rr"
+
+
+def _trend(n: int) -> str:
+    """The weights of sma_trend, in place of _HELD."""
+    return f"SELECT *, CASE WHEN px > ma THEN 1.0::DOUBLE ELSE 0 END / nullif(sum(m) OVER (PARTITION BY d), 0) AS w FROM (SELECT *, {_guard('avg', 'px', n)} AS ma FROM rr)"
+
+
+def _walk(min_trade: str, rate: str = "0.003", held: str = _HELD, events: str = _MONTHLY, income: str = "0.0::DOUBLE") -> str:
+    """The day recursion over lists of weights; ends in sim(n, d, w, c, v, tr). held: target weights of rr;
+    events: days of trade; income: dividends over the price before, of rr."""
+    return f"""r0 AS (SELECT *, lag(px) OVER (PARTITION BY asset ORDER BY n) AS before FROM px), rr AS (SELECT d, n, asset, px, coalesce(px / lag(px) OVER (PARTITION BY asset ORDER BY n) - 1, 0) AS r, CASE WHEN px IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS m, coalesce({income}, 0) AS dv FROM r0),
+tw AS ({held}), tl AS (SELECT *, coalesce(lag(w, 1) OVER (PARTITION BY asset ORDER BY n), 0) AS t FROM tw),
+reb AS ({events}),
+dy AS (SELECT tl.d, n, list(r ORDER BY asset) AS r, list(dv ORDER BY asset) AS dv, list(t ORDER BY asset) AS t, bool_or(reb.d IS NOT NULL) AND n > 1 AS ev FROM tl LEFT JOIN reb ON tl.d = reb.d GROUP BY tl.d, n),
 sim AS (SELECT n, d, list_transform(t, lambda x: 0.0::DOUBLE) AS w, 1.0::DOUBLE AS c, 1.0::DOUBLE AS v, 0.0::DOUBLE AS tr FROM dy WHERE n = 1 UNION ALL
 SELECT n, d, CASE WHEN ev AND tr > 0 THEN nw ELSE w2 END, CASE WHEN ev AND tr > 0 THEN 1 - list_sum(nw) ELSE c2 END, v2 * (1 - CASE WHEN ev THEN tr ELSE 0 END * {rate}), CASE WHEN ev THEN tr ELSE 0.0::DOUBLE END FROM (
 SELECT *, list_sum(list_transform(list_zip(nw, w2), lambda z: abs(z[1] - z[2]))) AS tr FROM (SELECT *, CASE WHEN g0 > 1 THEN list_transform(nw0, lambda x: x / g0) ELSE nw0 END AS nw FROM (SELECT *, list_sum(list_transform(nw0, lambda x: abs(x))) AS g0 FROM (SELECT *, list_transform(list_zip(w2, dl), lambda z: z[1] + z[2]) AS nw0 FROM (
 SELECT *, CASE WHEN ev THEN list_transform(list_zip(t, w2), lambda z: CASE WHEN abs(z[1] - z[2]) < {min_trade} THEN 0.0::DOUBLE ELSE z[1] - z[2] END) ELSE list_transform(t, lambda x: 0.0::DOUBLE) END AS dl FROM (
 SELECT n, d, t, ev, list_transform(wg, lambda x: x / (list_sum(wg) + c)) AS w2, c / (list_sum(wg) + c) AS c2, v * (list_sum(wg) + c) AS v2 FROM (
-SELECT dy.n, dy.d, dy.t, dy.ev, list_transform(list_zip(sim.w, dy.r), lambda z: z[1] * (1 + z[2])) AS wg, sim.c, sim.v FROM sim JOIN dy ON dy.n = sim.n + 1)))))))"""
+SELECT dy.n, dy.d, dy.t, dy.ev, list_transform(list_zip(sim.w, dy.r), lambda z: z[1] * (1 + z[2])) AS wg, sim.c + list_sum(list_transform(list_zip(sim.w, dy.dv), lambda z: z[1] * z[2])) AS c, sim.v FROM sim JOIN dy ON dy.n = sim.n + 1)))))))"""
 
 
 @query("bt_nav_closed_form", _walk("0") + "), q AS (SELECT d, v AS nav, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS ret, tr AS turnover, tr * 0.003 AS cost FROM sim)", "nav ret turnover cost", "d")
@@ -403,7 +415,7 @@ def _(spark, sf):
 
 def _half(spark, sf, lag: int = 1) -> DataFrame:
     """Half in the assets, half in cash that follows the benchmark as its proxy."""
-    p = D.prices(spark, sf)
+    p = D.panel(spark, sf)
     t = S.get("buy_hold").generate(p).withColumn("run_id", F.lit("run")).withColumn("w", F.col("w") * 0.5)
     return E.legs(p, t, A.rebalance_calendar(p, "monthly"), lag, cash=E.cash_returns(p, D.benchmark(spark, sf)))
 
@@ -448,19 +460,16 @@ def _(spark, sf):
 def _(spark, sf):
     w = E.weights_after(_run(spark, sf))
     last = w.agg(F.max("d").alias("d"))
-    return w.join(F.broadcast(last), "d").where(F.abs("w") > 1e-6).orderBy(F.desc("w")).limit(30).select("d", "asset", "w")
+    return w.join(last, "d").where(F.abs("w") > 1e-6).orderBy(F.desc("w")).limit(30).select("d", "asset", "w")
+
+
+LEVELS = (0, 5, 10, 20, 30, 50, 75, 100)
 
 
 @query("cost_sensitivity", "q AS (SELECT 1)")
 def _(spark, sf):
-    x = _run(spark, sf)
-    levels = spark.createDataFrame([(float(b),) for b in (0, 5, 10, 20, 30, 50, 75, 100)], "bps double")
-    # every level is a run of its own over the same legs
-    runs = x.crossJoin(F.broadcast(levels)).withColumn("run_id", F.col("bps").cast("string")).withColumn("fee", F.col("bps") / 1e4)
-    h = E.holdings(runs).withColumn("v", 1 + F.sum(F.col("x") - F.col("t0")).over(W.partitionBy("run_id", "d")))
-    day = h.groupBy("run_id", "bps", "fee", "d", "n", "ev", "v").agg(F.sum(F.abs(F.col("t") - F.col("x") / F.col("v"))).alias("moved"))
-    factor = F.when(F.col("ev"), F.col("v") * (1 - F.col("moved") * F.col("fee"))).otherwise(1.0)
-    return day.groupBy("bps").agg((F.product(factor) * F.max_by(F.when(F.col("ev"), F.lit(1.0)).otherwise(F.col("v")), "d")).alias("nav"))
+    days = E.closed_form(_run(spark, sf), 0.0)
+    return B.cost_levels(days, LEVELS).groupBy("bps").agg(F.max_by("nav", "d").alias("nav"))
 
 
 _SQL["cost_sensitivity"] = f"{D.SQL.rstrip()},\n{_walk('0', '0.0')}), lv AS (SELECT unnest([0, 5, 10, 20, 30, 50, 75, 100])::DOUBLE AS bps) SELECT bps, round(max_by(v, n) * product(1 - tr * bps / 1e4), 6) + 0.0::DOUBLE AS nav FROM sim CROSS JOIN lv GROUP BY bps"
@@ -580,7 +589,7 @@ mp AS (SELECT sim, step, product(1 + r) OVER (PARTITION BY sim ORDER BY step ROW
 
 
 def _paths(spark, sf) -> DataFrame:
-    rows = _market(spark, sf)
+    rows = stored(_market(spark, sf))
     n = rows.count()
     return B.mc_paths(rows, B.block_starts(spark, n, 40, 21), n, 21)
 
@@ -634,16 +643,168 @@ def _(spark, sf):
     return spark.range(1, 50).select("id", B.deflated_sharpe(F.col("id"), F.lit(500)).alias("z"))
 
 
-@query("parameter_sweep")
+def _stats_of(table: str) -> str:
+    """Statistics of a table (n, d, v, r, tr)."""
+    return f"""e0 AS (SELECT *, v / max(v) OVER (ORDER BY n) - 1 AS dd FROM {table}), e1 AS (SELECT pow(arg_max(v, n) / arg_min(v, n), 252.0 / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(252) AS vol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, avg(r) / stddev_samp(r) FILTER (r < 0) * sqrt(252) AS sortino, min(dd) AS mdd, sum(tr) / (count(*) / 252.0) AS turnover FROM e0)"""
+
+
+_STATED = "cagr vol sharpe sortino calmar mdd turnover".split()
+_GRID = {"window": [20, 50, 100], "sizing": ["Equal"]}
+
+
+def _swept(n: int) -> str:
+    cols = ", ".join(f"round({c}, 5) + 0.0::DOUBLE AS {c}" for c in _STATED)
+    return f"""SELECT '{n}-Equal' AS run_id, '{n}' AS "window", 'Equal' AS sizing, NULL::VARCHAR AS error, {cols} FROM ({D.SQL.rstrip()},
+{_walk("0", held=_trend(n))}), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r FROM sim), {_stats_of("ru")} SELECT *, cagr / abs(mdd) AS calmar FROM e1)"""
+
+
+@query("parameter_sweep", " UNION ALL ".join(_swept(n) for n in _GRID["window"]), digits=5)
+def _(spark, sf):
+    """Moving-average windows: one run each, over one stored panel."""
+    p = D.panel(spark, sf)
+    return B.parameter_sweep(p, "sma_trend", {}, _GRID, A.rebalance_calendar(p, "monthly"), E.Costs().rate)
+
+
+@query("sweep_pivot")
+def _(spark, sf):
+    p = D.panel(spark, sf)
+    grid = {"window": [20, 50], "buffer": [0.0, 2.0]}
+    s = B.parameter_sweep(p, "sma_trend", {}, grid, A.rebalance_calendar(p, "monthly"), E.Costs().rate)
+    return B.sweep_pivot(s, "window", "buffer", "sharpe").withColumnsRenamed({"0.0": "b0", "2.0": "b2"})
+
+
+def _trend_run(spark, sf) -> DataFrame:
+    p = D.panel(spark, sf)
+    t = S.get("sma_trend").generate(p, {"window": LONG}).withColumn("run_id", F.lit("trend"))
+    return E.closed_form(E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1), E.Costs().rate)
+
+
+_TRENDED = _walk("0", held=_trend(LONG)) + "), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r, list_sum(w) AS e FROM sim)"
+
+
+@query("walk_forward", f"{_TRENDED}, pt AS (SELECT n, d, r, ntile(5) OVER (ORDER BY n) AS k FROM ru), {_PART}, q AS (SELECT k AS fold, start, \"end\", cagr, vol, CASE WHEN vol > 0.002 THEN sharpe END AS sharpe, mdd FROM ps)", "cagr vol sharpe mdd", 'fold start "end"', 5)
+def _(spark, sf):
+    return B.walk_forward(_trend_run(spark, sf))
+
+
+@query("fold_dispersion", f"{_TRENDED}, pt AS (SELECT n, d, r, ntile(5) OVER (ORDER BY n) AS k FROM ru), {_PART}, q AS (SELECT stddev_samp(CASE WHEN vol > 0.002 THEN sharpe END) AS sharpe_dispersion, min(CASE WHEN vol > 0.002 THEN sharpe END) AS sharpe_min FROM ps)", "sharpe_dispersion sharpe_min", "", 5)
+def _(spark, sf):
+    return B.dispersion(B.walk_forward(_trend_run(spark, sf)))
+
+
+@query("cost_statistics", "q AS (SELECT 1)", digits=5)
+def _(spark, sf):
+    return B.cost_statistics(E.closed_form(_run(spark, sf), 0.0), LEVELS).drop("run_id")
+
+
+_SQL["cost_statistics"] = f"""{D.SQL.rstrip()},\n{_walk('0', '0.0')}), lv AS (SELECT unnest([{', '.join(map(str, LEVELS))}])::DOUBLE AS bps), gr AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) AS g FROM sim),
+lr AS (SELECT bps, n, g * (1 - tr * bps / 1e4) - 1 AS r FROM gr CROSS JOIN lv), le AS (SELECT *, product(1 + r) OVER (PARTITION BY bps ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM lr), ld AS (SELECT *, v / max(v) OVER (PARTITION BY bps ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM le)
+SELECT bps, round(pow(arg_max(v, n) / arg_min(v, n), 252.0 / count(*)) - 1, 5) + 0.0::DOUBLE AS cagr, round(avg(r) / stddev_samp(r) * sqrt(252), 5) + 0.0::DOUBLE AS sharpe, round(min(dd), 5) + 0.0::DOUBLE AS mdd FROM ld GROUP BY bps"""
+
+
+@query("align_start", f"{_TRENDED}, fa AS (SELECT min(n) AS n0 FROM ru WHERE e > 1e-9), q AS (SELECT 'trend' AS run_id, d, v / first_value(v) OVER (ORDER BY n) AS nav, CASE WHEN n = n0 THEN 0 ELSE r END AS ret FROM ru, fa WHERE n >= n0 UNION ALL SELECT 'market', b.d, px / first_value(px) OVER (ORDER BY b.n), CASE WHEN b.n = n0 THEN 0 ELSE r END FROM bret b, fa WHERE b.n >= n0)", "nav ret", "run_id d")
+def _(spark, sf):
+    market = E.benchmark_result(D.benchmark(spark, sf)).select(F.lit("market").alias("run_id"), "d", "nav", "ret", F.lit(1.0).alias("exposure"))
+    return E.align_start(_trend_run(spark, sf).select("run_id", "d", "nav", "ret", "exposure").unionByName(market)).select("run_id", "d", "nav", "ret")
+
+
+# ---- options of the simulation -----------------------------------------------------------------
+
+
+def _held(spark, sf, **options) -> tuple[DataFrame, DataFrame]:
+    """(panel, targets) of equal weights."""
+    p = D.panel(spark, sf)
+    return p, S.get("buy_hold").generate(p).withColumn("run_id", F.lit("run"))
+
+
+_PAID = "CASE WHEN d IN (SELECT max(d) FROM cal GROUP BY date_trunc('quarter', d)) THEN 0.005 * px / before END"
+_SIGNALS = "SELECT b.d FROM cal a JOIN cal b ON b.n = a.n + 1 WHERE a.d IN (SELECT d FROM wimp)"
+
+
+@query("bt_dividends", _walk("0.005", income=_PAID) + "), q AS (SELECT d, v AS nav, tr AS turnover, list_sum(w) AS exposure FROM sim)", "nav turnover exposure", "d")
+def _(spark, sf):
+    p, t = _held(spark, sf)
+    x = E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1, dividends=D.dividends(p))
+    return E.kernel(x, E.Costs().rate, min_trade=0.005).select("d", "nav", "turnover", "exposure")
+
+
+@query("dividend_totals")
+def _(spark, sf):
+    """Income by year of two runs, with and without a dead band."""
+    p, t = _held(spark, sf)
+    x = E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1, dividends=D.dividends(p))
+    runs = E.kernel(x, E.Costs().rate, min_trade=0.005)
+    return runs.groupBy(F.year("d").alias("year")).agg(F.sum("div_income").alias("income"), F.sum("cost").alias("cost"))
+
+
+@query("bt_explicit_dates", _walk("0", events=_SIGNALS) + "), q AS (SELECT d, v AS nav, tr AS turnover FROM sim)", "nav turnover", "d")
+def _(spark, sf):
+    p, t = _held(spark, sf)
+    x = E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1, signals=D.imported_weights(spark, sf).select("d").distinct())
+    return E.closed_form(x, E.Costs().rate).select("d", "nav", "turnover")
+
+
+@query("bt_open_exec")
+def _(spark, sf):
+    p, t = _held(spark, sf)
+    x = E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1, opens=D.opens(p))
+    return E.kernel(x, E.Costs().rate, min_trade=0.005, at_open=True).select("d", "nav", "ret", "gross_ret", "turnover", "cost")
+
+
+@query("bt_daily_returns", _walk("0.005") + "), q AS (SELECT d, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS ret, v / (1 - tr * 0.003) / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS gross_ret FROM sim)", "ret gross_ret", "d")
+def _(spark, sf):
+    return E.kernel(_run(spark, sf), E.Costs().rate, min_trade=0.005).select("d", "ret", "gross_ret")
+
+
+@query("bt_general_trades")
+def _(spark, sf):
+    x = _run(spark, sf)
+    return E.kernel_trades(E.kernel(x, E.Costs().rate, min_trade=0.005), x).select("d", "asset", "weight_before", "weight_after", "change")
+
+
+@query("bt_segments")
+def _(spark, sf):
+    """Dead bands of four widths: four runs, spread over the cluster."""
+    x, out = _run(spark, sf), None
+    for band in (0.0, 0.005, 0.01, 0.02):
+        days = E.kernel(x.withColumn("run_id", F.lit(str(band))), E.Costs().rate, min_trade=band)
+        out = days if out is None else out.unionByName(days)
+    return B.run_statistics(out)
+
+
+@query("trades_tail", _walk("0") + "), tt AS (SELECT dy.d, asset, dy.t[ord] AS weight_after FROM dy CROSS JOIN uni JOIN sim USING (n) WHERE ev AND tr > 0), q AS (SELECT * FROM tt ORDER BY d DESC, asset LIMIT 50)", "weight_after", "d asset")
+def _(spark, sf):
+    return E.trades(_run(spark, sf)).orderBy(F.desc("d"), "asset").limit(50).select("d", "asset", "weight_after")
+
+
+@query("current_holdings", _walk("0") + "), la AS (SELECT * FROM sim ORDER BY n DESC LIMIT 1), q AS (SELECT asset AS instrument, la.w[ord] AS weight, la.w[ord] * v AS value FROM la CROSS JOIN uni WHERE abs(la.w[ord]) > 1e-6 UNION ALL SELECT 'Cash', 1 - list_sum(w), (1 - list_sum(w)) * v FROM la)", "weight value", "instrument")
+def _(spark, sf):
+    x = _run(spark, sf)
+    return K.current_holdings(E.weights_after(x), E.closed_form(x, E.Costs().rate)).drop("run_id")
+
+
+@query("daily_series", _walk("0") + "), bn AS (SELECT d, px / first_value(px) OVER (ORDER BY d) AS y FROM bret), q AS (SELECT sim.d, v AS value, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS \"return\", list_sum(w) AS exposure, 1 - list_sum(w) AS cash, tr AS turnover, tr * 0.003 AS costs, y AS benchmark FROM sim LEFT JOIN bn USING (d))", 'value "return" exposure cash turnover costs benchmark', "d")
+def _(spark, sf):
+    return K.daily_series(E.closed_form(_run(spark, sf), E.Costs().rate), E.benchmark_result(D.benchmark(spark, sf))).drop("run_id")
+
+
+_MONTHS = "mq AS (SELECT avg(CAST(ret > 0 AS DOUBLE)) AS positive_months, max(ret) AS best_month, min(ret) AS worst_month FROM mr)"
+
+
+@query("report", f"""{_EQ}, {_STATS}, {_MON}, {_MONTHS}, vv AS (SELECT quantile_cont(r, 0.05) AS var FROM bret), vc AS (SELECT any_value(var) AS var, avg(r) FILTER (r <= var) AS cvar FROM bret, vv),
+al AS (SELECT total_return, cagr, vol, sharpe, sortino, cagr / abs(mdd) AS calmar, mdd, ulcer, skew, kurtosis, var, cvar, positive_months, best_month, worst_month FROM sx, vc, mq), q AS (UNPIVOT al ON COLUMNS(*) INTO NAME metric VALUE value)""", "value", "metric", 5)
+def _(spark, sf):
+    return M.report(_market(spark, sf)).select("metric", "value")
+
+
+@query("report_with_benchmark")
+def _(spark, sf):
+    return M.report(_trend_run(spark, sf), _market(spark, sf)).select("metric", "value")
+
+
+@query("return_frequency", "g AS (SELECT CAST(d - lag(d) OVER (ORDER BY d) AS DOUBLE) AS g FROM (SELECT DISTINCT d FROM factor)), m AS (SELECT quantile_cont(g, 0.5) AS median_gap, count(g) AS k FROM g), q AS (SELECT median_gap, CASE WHEN k < 2 THEN 'undetermined' WHEN median_gap <= 4 THEN 'daily' WHEN median_gap <= 10 THEN 'weekly' WHEN median_gap <= 45 THEN 'monthly' WHEN median_gap <= 135 THEN 'quarterly' WHEN median_gap <= 250 THEN 'semi-annual' ELSE 'annual' END AS frequency, CASE WHEN k < 2 OR median_gap <= 4 THEN 252 WHEN median_gap <= 10 THEN 52 WHEN median_gap <= 45 THEN 12 WHEN median_gap <= 135 THEN 4 WHEN median_gap <= 250 THEN 2 ELSE 1 END AS periods FROM m)", "median_gap", "frequency periods")
 def _(spark, sf):
-    """Moving-average windows: one run each, all in one plan."""
-    p = D.prices(spark, sf)
-    out = None
-    for n in (20, 50, 100):
-        t = S.get("sma_trend").generate(p, {"window": n}).withColumn("run_id", F.lit(str(n)))
-        out = t if out is None else out.unionByName(t)
-    runs = E.closed_form(E.legs(p, out, A.rebalance_calendar(p, "monthly"), 1), E.Costs().rate)
-    return M.statistics(runs).select("run_id", "cagr", "vol", "sharpe", "sortino", "calmar", "mdd")
+    return A.stream_frequency(D.factor(spark, sf))
 
 
 # ---- imported weights and returns --------------------------------------------------------------

@@ -10,22 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, asset, e, q, disc): value, quantity and mean discount of a day's trades by kind of part."""
-    lines = read(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity", "l_discount")
+    """(d, asset, e, q): value and quantity of a day's trades by kind of part."""
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("asset"))
     return lines.join(part, "l_partkey").groupBy("d", "asset").agg(F.sum("l_extendedprice").alias("e"), F.sum("l_quantity").alias("q"))
 
 
 def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, asset, px): value over quantity of the last 60 days with trades."""
+    """(d, asset, px): value over quantity of the last 60 days with trades. Stored: a panel uses it several
+    times, and the trades are read once."""
     w = W.partitionBy("asset").orderBy("d").rowsBetween(-59, 0)
-    return daily(spark, sf_dir).select("d", "asset", (F.sum("e").over(w) / F.sum("q").over(w)).alias("px"))
+    return stored(daily(spark, sf_dir).select("d", "asset", (F.sum("e").over(w) / F.sum("q").over(w)).alias("px")))
 
 
 def densify(rows: DataFrame, value: str = "px") -> DataFrame:
@@ -33,7 +36,7 @@ def densify(rows: DataFrame, value: str = "px") -> DataFrame:
     product is the panel itself and nothing more."""
     cal = rows.select("d").distinct().select("d", F.row_number().over(W.orderBy("d")).cast("long").alias("n"))
     uni = rows.select("asset").distinct().select("asset", F.row_number().over(W.orderBy("asset")).cast("long").alias("ord"))
-    return cal.crossJoin(F.broadcast(uni)).join(rows.select("d", "asset", value), ["d", "asset"], "left")
+    return cal.crossJoin(uni).join(rows.select("d", "asset", value), ["d", "asset"], "left")
 
 
 def prices(spark: SparkSession, sf_dir: str, fill: int = 5) -> DataFrame:
@@ -43,6 +46,11 @@ def prices(spark: SparkSession, sf_dir: str, fill: int = 5) -> DataFrame:
     return bounded_ffill(densify(raw_prices(spark, sf_dir)), "px", fill)
 
 
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prices, stored: for plans that use them many times."""
+    return stored(prices(spark, sf_dir))
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(d, px): the whole market's price."""
     w = W.orderBy("d").rowsBetween(-59, 0)
@@ -50,6 +58,18 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day.select("d", (F.sum("e").over(w) / F.sum("q").over(w)).alias("px"))
 
 
+def opens(panel: DataFrame) -> DataFrame:
+    """(d, asset, px): an opening price a quarter of the way from the close before; none on days of a month's first."""
+    before = F.lag("px").over(W.partitionBy("asset").orderBy("d"))
+    return panel.select("d", "asset", F.when(F.dayofmonth("d") > 1, before + (F.col("px") - before) / 4).alias("px"))
+
+
+def dividends(panel: DataFrame) -> DataFrame:
+    """(d, asset, v): half a percent of the price on a quarter's last session."""
+    last = panel.groupBy(F.trunc("d", "quarter").alias("q")).agg(F.max("d").alias("d")).select("d")
+    return panel.join(last, "d", "left_semi").select("d", "asset", (F.col("px") * 0.005).alias("v"))
+
+
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(d, series, v): orders' total by month, on its last day."""
     orders = read(spark, sf_dir, "orders")
