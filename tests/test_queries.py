@@ -16,7 +16,8 @@ from tidepanel.plans import catalog as K
 from tidepanel.sources import market as D
 
 SF = "/root/testdata/sf0.01"
-FAST = ["bounded_ffill", "exog_asof", "snap_dates", "sma", "rsi", "pct_rank_avg", "strat_dual_momentum", "bt_nav_closed_form", "bt_general", "drawdown_table", "monthly_returns", "fold_stats", "external_weights_normalized", "var_cvar"]
+FAST = ["bounded_ffill", "exog_asof", "snap_dates", "sma", "rsi", "pct_rank_avg", "strat_dual_momentum", "bt_nav_closed_form", "bt_general", "drawdown_table", "monthly_returns", "fold_stats", "external_weights_normalized", "var_cvar",
+        "parameter_sweep", "walk_forward", "cost_statistics", "cost_sensitivity", "align_start", "bt_dividends", "bt_explicit_dates", "bt_daily_returns", "current_holdings", "daily_series", "report", "return_frequency", "correlation_matrix", "strat_macro_gate", "strat_trend_quality"]
 
 
 @pytest.mark.parametrize("name", FAST)

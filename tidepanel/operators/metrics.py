@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FLAT = 1e-5
+#: A day that loses less is one of rounding, as days without a position are.
+NOISE = 1e-12
 
 
 def run_days():
@@ -38,7 +40,7 @@ def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_
     g1, g2 = F.skewness("ret"), F.kurtosis("ret")
     agg = x.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("nav", "d").alias("first"), F.max_by("nav", "d").alias("last"), F.stddev_samp("ret").alias("sd"),
-        F.avg("ex").alias("mean"), F.stddev_samp("ex").alias("sx"), F.stddev_samp(F.when(F.col("ex") < 0, F.col("ex"))).alias("sn"), F.min("dd").alias("mdd"),
+        F.avg("ex").alias("mean"), F.stddev_samp("ex").alias("sx"), F.stddev_samp(F.when(F.col("ex") < -NOISE, F.col("ex"))).alias("sn"), F.min("dd").alias("mdd"),
         F.sqrt(F.avg(F.pow(100 * F.col("dd"), F.lit(2.0)))).alias("ulcer"), F.max("ret").alias("best"), F.min("ret").alias("worst"),
         F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("positive"),
         F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)).alias("skew"),

@@ -645,7 +645,7 @@ def _(spark, sf):
 
 def _stats_of(table: str) -> str:
     """Statistics of a table (n, d, v, r, tr)."""
-    return f"""e0 AS (SELECT *, v / max(v) OVER (ORDER BY n) - 1 AS dd FROM {table}), e1 AS (SELECT pow(arg_max(v, n) / arg_min(v, n), 252.0 / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(252) AS vol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, avg(r) / stddev_samp(r) FILTER (r < 0) * sqrt(252) AS sortino, min(dd) AS mdd, sum(tr) / (count(*) / 252.0) AS turnover FROM e0)"""
+    return f"""e0 AS (SELECT *, v / max(v) OVER (ORDER BY n) - 1 AS dd FROM {table}), e1 AS (SELECT pow(arg_max(v, n) / arg_min(v, n), 252.0 / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(252) AS vol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, avg(r) / stddev_samp(r) FILTER (r < -1e-12) * sqrt(252) AS sortino, min(dd) AS mdd, sum(tr) / (count(*) / 252.0) AS turnover FROM e0)"""
 
 
 _STATED = "cagr vol sharpe sortino calmar mdd turnover".split()
