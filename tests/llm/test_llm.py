@@ -275,3 +275,72 @@ def test_pipeline(spark, texts):
         assert docs.columns == before.columns and docs.count() <= before.count()
     last = P.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count()
+
+
+NAMES = "doc_id long, text string, lang string, source string, `a.b` int, _id long, _spans int, row long, doc string, spans int, key string, component long, h long, c1 int, `text.x` string"
+
+
+def _odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s1", 1, 2, 3, 4, "5", 6, "7", 8, 9, 10, "11") for i, t in rows], NAMES)
+
+
+def test_stages_keep_columns_and_repeated_rows(spark):
+    """Names that clash with the operators' own or hold dots, repeated and missing ids, empty tables."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    a, shared = words(120), words(60)
+    rows = [(1, a), (1, a), (1, words(80) + shared), (None, words(90) + shared), (None, None), (2, ""), (3, a + " more words"), (None, a), (4, "short")]
+    for name, stage in P.STAGES[:-1]:
+        df = _odd(spark, rows)
+        out = stage(spark, df, SF)
+        assert out.schema.simpleString() == df.schema.simpleString(), name
+        got = out.collect()
+        assert all(tuple(r)[2:] == tuple(_odd(spark, rows[:1]).first())[2:] for r in got), name
+        if name == "minhash":  # one of the copies and near copies of a; the rest
+            assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(1, a), *rows[2:6], rows[8]])
+        if name == "suffix":  # copies lose all in every row; what two rows share goes from both, with a null id too
+            left = {(r.doc_id, i): r.text for i, r in enumerate(got)}
+            assert sum(r.text == "" for r in got) == 4 and not any(shared in (r.text or "") for r in got) and sum(r.text is None for r in got) == 1, left
+        assert stage(spark, df.limit(0), SF).count() == 0, name
+    assert P.STAGES[-1][1](spark, _odd(spark, []), SF).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    x, y = "".join(random.Random(9).choice("abcdef ") for _ in range(700)), "z" * 100
+    df = spark.createDataFrame([(7, x + "1"), (7, y + x), (None, "2" + x), (None, y), (8, None)], "doc_id long, text string")
+    got = sorted((tuple(r)[:4] for r in repeats.digests(Workspace(spark, "t"), df, 400).collect()), key=str)
+    assert got == sorted([(7, 701, 700, 1), (7, 800, 700, 1), (None, 701, 700, 1), (None, 100, 0, 0), (8, 0, 0, 0)], key=str)
+    assert repeats.digests(Workspace(spark, "t"), df.limit(0), 400).count() == 0
+    w = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(5, w), (5, w), (None, w + " x"), (None, "q r s"), (3, None), (5, "other words here")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(Workspace(spark, "t"), df, 2, 80).collect()), key=str)
+    assert got == sorted([(5, 39, 5, True), (5, 39, 5, True), (None, 40, 5, False), (None, 2, None, True), (3, 0, 3, True), (5, 2, 5, True)], key=str)
+    assert near_dup.near_duplicates(Workspace(spark, "t"), df.limit(0), 2, 80).count() == 0
+
+
+def test_equal_hashes_are_told_apart(spark):
+    """Thue-Morse strings: polynomial hashes modulo 2^64 can't tell them from their complements."""
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    pair = [f"{t}\n{u}\n{t}", f"{t} x y", f"{u} x y"]
+    got = {r.doc_id: r for r in quality.score(table(spark, pair), bpe.vocabulary("piece_bpe_32k.model")).collect()}
+    assert got[0].n_dup_lines == 1
+    comp = {r.doc_id: r.component_id for r in near_dup.near_duplicates(Workspace(spark, "t"), table(spark, pair), 5, 80).collect()}
+    assert comp == {0: 0, 1: 1, 2: 2}
+
+
+def test_registers_estimate_similarity():
+    """Sets of any size agree in a register with the chance of their similarity."""
+    rng = np.random.default_rng(1)
+    for n in (3, 30, 300, 3000):
+        same = []
+        for _ in range(200):
+            x = rng.integers(0, 1 << 63, n + n // 3, dtype=np.uint64)
+            a, b = near_dup.registers([np.unique(x[:n]), np.unique(x[n // 3 :])])
+            same.append((a == b).mean())
+        want = (n - n // 3) / (n + n // 3)
+        assert abs(np.mean(same) - want) < 0.02, n

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, read
+from .common import Workspace, components, read, split_join
 from .texts import batch_of
 
 #: Vectors that k-means is fitted on, at most; a cell's expected size; cells at most; a tile's side.
@@ -151,8 +151,8 @@ def near_vectors(ws: Workspace, df: DataFrame, t: float = 0.9) -> DataFrame:
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     comp = ws.table(components(ws, found.where("b IS NOT NULL").select("a", "b"), "groups"), "components")
     of_class = classes.join(links, F.col("vec_id") == F.col("a"), "left").join(comp, F.col("vec_id") == F.col("id"), "left")
-    of_class = of_class.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    per = good.join(of_class, "v").select("vec_id", "n_links", "component_id")
+    of_class = ws.table(of_class.select("v", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "of-class")
+    per = split_join(good, of_class, ["v"], "inner", "copies").select("vec_id", "n_links", "component_id")
     out = every.join(per, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
