@@ -173,6 +173,7 @@ def test_repeats(spark, texts, length, chunk, key, sort, monkeypatch):
 def test_vectors(spark, cell, side, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL", cell)
     monkeypatch.setattr(embeddings, "SIDE", side)
+    monkeypatch.setattr(embeddings, "SLICE", 7)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(150, 8)).astype(np.float32).astype(float)
     x[100:] = (x[:50] + rng.normal(size=(50, 8)) * 0.2).astype(np.float32)
@@ -190,6 +191,32 @@ def test_vectors(spark, cell, side, monkeypatch):
     assert embeddings.near_vectors(Workspace(spark, "t"), df.limit(0)).count() == 0
 
 
+def test_vectors_by_a_plane():
+    """Pairs over a plane count once, where the nearer end visits; ties too."""
+    rng = np.random.default_rng(1)
+    x = embeddings.unit(rng.normal(size=(400, 6)))
+    x[200:] = embeddings.unit(x[:200] + rng.normal(size=(200, 6)) * 0.1)
+    centres = embeddings.fit(x, 12)
+    centres[1] = centres[0] * [-1, 1, 1, 1, 1, 1]
+    x[0], x[1] = [0.1, *centres[0][1:]], [-0.1, *centres[0][1:]]  # mirrored by the plane between these two
+    x = embeddings.unit(x)
+    own, ids = (x @ centres.T).argmax(1), np.arange(400)
+    seen = {}
+    for c in range(12):
+        a, b = np.flatnonzero(own == c), np.flatnonzero(own != c)
+        if len(a):
+            counts = embeddings.nearer(x[a], x[b], ids[a], ids[b], own[b], c, centres)
+            for i, j in embeddings.tile_links(x[a], x[b], 0.9):
+                keep = counts(i, j)
+                dist = (x[b][j] * (centres[own[b][j]] - centres[c])).sum(1) / np.linalg.norm(centres[own[b][j]] - centres[c], axis=1)
+                assert (dist[keep] <= 0.2**0.5 / 2 + 1e-9).all()
+                for p, q in zip(a[i[keep]].tolist(), b[j[keep]].tolist(), strict=True):
+                    seen[min(p, q), max(p, q)] = seen.get((min(p, q), max(p, q)), 0) + 1
+    g = x @ x.T >= 0.9
+    want = {(p, q) for p, q in zip(*(z.tolist() for z in np.nonzero(g)), strict=True) if p < q and own[p] != own[q]}
+    assert len(want) > 20 and set(seen) == want and set(seen.values()) == {1}
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>A &amp; B</h1><p>one\n  two <b>three<br>four</p><script>x='</p>'</script><p>Be.</article><footer>&copy; us</footer>"
     df = spark.createDataFrame([(1, "u", page, 1), (2, None, None, 1), (3, "u", "<p>", 1)], "page_id long, url string, html string, text int")

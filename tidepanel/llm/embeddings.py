@@ -2,13 +2,15 @@
 
 Vectors are scaled to length 1; equal ones are one class, counted and not compared. Spherical k-means
 (fitted on at most FIT vectors, chosen by a hash) gives every vector the cell of its best centre. A pair
-with cosine >= t is at most r = sqrt(2 - 2t) apart, so it lies in one cell, or each end lies within r of
-the plane between the two cells. A vector visits every other cell whose plane is within r of it: no pair
-is lost. Cells are dealt in blocks of a bounded size; a block of members is held against a block of
-members or visitors in one float32 product, and what is near t is decided in double precision.
+with cosine >= t is at most r = sqrt(2 - 2t) apart, so it lies in one cell, or the distances of its two ends
+to the plane between their cells add up to r at most, and one of them is r / 2 or less. A vector visits every
+other cell whose plane is within r / 2 of it: no pair is lost. If both ends visit, the pair counts where the
+one nearer to the plane visits (of equally near ones that of the lower id). Cells are dealt in blocks of a
+bounded size; a block of members is held against a block of members or visitors in float32 products of SLICE
+rows, and what is near t is decided in double precision.
 
-A tile returns the number of links of each vector it holds and, for the components, a link from each
-member to one partner of each group of linked vectors, not all pairs.
+A tile returns the number of links of each vector it holds and, for the components, one link from each
+vector to the first of its group of linked vectors, not all pairs.
 
 Vectors that are null, zero, or hold a null or non-finite component link with nothing. vec_id identifies a
 vector. Vectors of another length than the commonest link only among their own length. Extra columns are
@@ -17,6 +19,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, components, read, split_join
 from .texts import batch_of
 
-#: Vectors that k-means is fitted on, at most; a cell's expected size; cells at most; a tile's side.
-FIT, CELL, MOST_CELLS, SIDE = 20_000, 4096, 4096, 2048
+#: Vectors that k-means is fitted on, at most; a cell's expected size; cells at most; a tile's side, and
+#: numbers in one side at most (longer vectors get smaller tiles); rows of a product.
+FIT, CELL, MOST_CELLS, SIDE, NUMBERS, SLICE = 20_000, 4096, 4096, 8192, 1 << 20, 256
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -56,7 +61,8 @@ def fit(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.nd
 
 
 def assign(df: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
-    """(cell, vec_id, home, v): a row in its own cell and one in each cell it visits."""
+    """(cell, vec_id, copies, own, home, v): a row in its own cell and one in each cell it visits, whose plane
+    is within the radius."""
 
     def run(batches):
         for batch in batches:
@@ -73,15 +79,15 @@ def assign(df: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
                 row, cell = np.nonzero(near)
                 flat = pa.array(y[row].ravel())
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) + 1, dtype=np.int32) * y.shape[1]), flat)
-                yield batch_of(cell=pa.array(cell.astype(np.int32)), vec_id=batch.column(0).slice(i, len(y)).take(pa.array(row)), copies=batch.column(2).slice(i, len(y)).take(pa.array(row)), home=pa.array(own[row] == cell), v=vec)
+                yield batch_of(cell=pa.array(cell.astype(np.int32)), vec_id=batch.column(0).slice(i, len(y)).take(pa.array(row)), copies=batch.column(2).slice(i, len(y)).take(pa.array(row)), own=pa.array(own[row].astype(np.int32)), home=pa.array(own[row] == cell), v=vec)
 
-    return df.select("vec_id", "v", "copies").mapInArrow(run, "cell int, vec_id long, copies long, home boolean, v array<double>")
+    return df.select("vec_id", "v", "copies").mapInArrow(run, "cell int, vec_id long, copies long, own int, home boolean, v array<double>")
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, side: int) -> DataFrame:
     """Rows with their tiles (x, y). Members of a cell form blocks, visitors too; a block of members
     meets itself, the blocks of members before it, and every block of visitors."""
-    size = rows.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / F.lit(SIDE)).cast("int").alias("members"), F.ceil(F.count(F.when(~F.col("home"), 1)) / F.lit(SIDE)).cast("int").alias("visitors"))
+    size = rows.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / F.lit(side)).cast("int").alias("members"), F.ceil(F.count(F.when(~F.col("home"), 1)) / F.lit(side)).cast("int").alias("visitors"))
     placed = rows.join(size.where("members > 0"), "cell")
     k = F.pmod(F.xxhash64("vec_id"), F.when(F.col("home"), F.col("members")).otherwise(F.col("visitors"))).cast("int")
     placed = placed.withColumn("k", k)
@@ -90,40 +96,54 @@ def dealt(rows: DataFrame) -> DataFrame:
     among = F.transform(all_members, lambda i: F.struct(F.greatest(i, F.col("k")).alias("x"), F.least(i, F.col("k")).alias("y")))
     visits = F.transform(all_members, lambda i: F.struct(i.alias("x"), (-F.col("k") - 1).alias("y")))
     tile = F.explode(F.when(F.col("home"), F.concat(among, guests)).otherwise(visits)).alias("t")
-    return placed.select("cell", "vec_id", "copies", "v", F.when(F.col("home"), F.col("k")).otherwise(-F.col("k") - 1).alias("side"), tile).select("cell", "vec_id", "copies", "v", "side", "t.x", "t.y")
+    return placed.select("cell", "vec_id", "copies", "own", "v", F.when(F.col("home"), F.col("k")).otherwise(-F.col("k") - 1).alias("side"), tile).select("cell", "vec_id", "copies", "own", "v", "side", "t.x", "t.y")
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) with cosine >= t, in double precision where float32 can't tell."""
-    found_i, found_j = [], []
+def tile_links(x: np.ndarray, y: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) with cosine >= t, in double precision where float32 can't tell; SLICE rows of x at once."""
     y32 = y.astype(np.float32)
-    for a in range(0, len(x), 512):
-        c = x[a : a + 512].astype(np.float32) @ y32.T
+    for a in range(0, len(x), SLICE):
+        c = x[a : a + SLICE].astype(np.float32) @ y32.T
         i, j = np.nonzero(c >= t - 1e-5)
-        close = c[i, j] < t + 1e-5
-        sure = np.ones(len(i), bool)
-        sure[close] = np.einsum("ij,ij->i", x[a + i[close]], y[j[close]]) >= t
-        found_i.append(a + i[sure])
-        found_j.append(j[sure])
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars with the same components as the links (a, b)."""
-    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = flat[: len(a)], flat[len(a) :]
-    low = np.arange(len(names))
+        close = np.flatnonzero(c[i, j] < t + 1e-5)
+        wrong = [close[k : k + 65536] for k in range(0, len(close), 65536)]
+        wrong = [w[np.einsum("ij,ij->i", x[a + i[w]], y[j[w]]) < t] for w in wrong]
+        i, j = (np.delete(z, np.concatenate(wrong)) if wrong else z for z in (i, j))
+        yield a + i, j
+
+
+def nearer(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, own: np.ndarray, cell: int, centres: np.ndarray) -> Callable:
+    """For visitors y (from the cells own) of members x of a cell: (i, j) -> which pairs count here. Distances are
+    sums of the same products on both sides of a plane, so exactly one side has a pair."""
+    cells, at = np.unique(own, return_inverse=True)
+    of_y = (y * (centres[own] - centres[cell])).sum(1)
+    of_x: dict[int, np.ndarray] = {}
+
+    def counts(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for c in np.unique(at[j]):
+            if c not in of_x:
+                of_x[c] = (x * (centres[cell] - centres[cells[c]])).sum(1)
+            k = np.flatnonzero(at[j] == c)
+            mine, theirs = of_y[j[k]], of_x[c][i[k]]
+            out[k] = (mine < theirs) | ((mine == theirs) & (ids_y[j[k]] < ids_x[i[k]]))
+        return out
+
+    return counts
+
+
+def merged(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least place of each place's component, after the links (i, j) are added to those that low stands for."""
     while True:
         m = np.minimum(low[i], low[j])
         new = low.copy()
         np.minimum.at(new, low[i], m)
         np.minimum.at(new, low[j], m)
-        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
         if (new == low).all():
-            break
+            return low
         low = new
-    far = low != np.arange(len(names))
-    return names[far], names[low[far]]
 
 
 def near_vectors(ws: Workspace, df: DataFrame, t: float = 0.9) -> DataFrame:
@@ -140,7 +160,8 @@ def near_vectors(ws: Workspace, df: DataFrame, t: float = 0.9) -> DataFrame:
         rows = unit(np.stack(sample.to_numpy()).astype(float)) if len(sample) else None
         cells = max(1, min(MOST_CELLS, round(n / CELL)))
         centres = fit(rows, cells) if rows is not None else np.eye(1, size)
-        results.append(_within(dealt(ws.table(assign(same, centres, (2 - 2 * t) ** 0.5), f"cells-{size}")), t))
+        rows = ws.table(assign(same, centres, (2 - 2 * t) ** 0.5 / 2), f"cells-{size}")
+        results.append(_within(dealt(rows, max(1, min(SIDE, NUMBERS // size))), t, centres))
     if not results:
         none = F.lit(0).cast("long")
         return every.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -157,29 +178,40 @@ def near_vectors(ws: Workspace, df: DataFrame, t: float = 0.9) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _within(tiles: DataFrame, t: float) -> DataFrame:
+def _within(tiles: DataFrame, t: float, centres: np.ndarray) -> DataFrame:
     """(a, b, n): links of a with their number (b null), and spanning links (n null)."""
 
     def tile(pdf):
         import pandas as pd
 
-        left, right = (pdf["side"] == pdf["x"]).to_numpy(), (pdf["side"] == pdf["y"]).to_numpy()
-        ids, copies = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy()
+        k, m = pdf["x"].iat[0], pdf["y"].iat[0]
+        left, right = (pdf["side"] == k).to_numpy(), (pdf["side"] == m).to_numpy()
+        ids, copies, own = (pdf[c].to_numpy() for c in ("vec_id", "copies", "own"))
         if not left.any() or not right.any():
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="Int64")})
-        x, y = np.stack(pdf["v"][left].to_numpy()), np.stack(pdf["v"][right].to_numpy())
-        i, j = tile_links(x, y, t)
-        a, b = ids[left][i], ids[right][j]
-        once = a < b if pdf["x"].iat[0] == pdf["y"].iat[0] else np.full(len(a), True)
-        if pdf["y"].iat[0] < 0:  # a visitor meets a member here, and the member visits the visitor's cell
-            counted = np.full(len(a), True)
-            one, other, times = a, b, copies[right][j]
+        x = np.stack(pdf["v"][left].to_numpy())
+        y = x if k == m else np.stack(pdf["v"][right].to_numpy())
+        a, b = ids[left], ids[right]
+        if k == m:
+            once = lambda i, j: i < j
+        elif m < 0:
+            once = nearer(x, y, a, b, own[right], pdf["cell"].iat[0], centres)
         else:
-            counted = once
-            one, other, times = np.concatenate([a[once], b[once]]), None, np.concatenate([copies[right][j][once], copies[left][i][once]])
-        n = pd.Series(times).groupby(one).sum()
-        s, d = _spanning(a[counted], b[counted])
-        return pd.concat([pd.DataFrame({"a": n.index.to_numpy(), "b": pd.array([None] * len(n), "Int64"), "n": pd.array(n.to_numpy(), "Int64")}), pd.DataFrame({"a": s, "b": pd.array(d, "Int64"), "n": pd.array([None] * len(s), "Int64")})])
+            once = lambda i, j: np.full(len(i), True)
+        of_x, of_y = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        who = a if k == m else np.concatenate([a, b])
+        low = np.arange(len(who))
+        for i, j in tile_links(x, y, t):
+            keep = once(i, j)
+            i, j = i[keep], j[keep]
+            np.add.at(of_x, i, copies[right][j])
+            np.add.at(of_y, j, copies[left][i])
+            low = merged(low, i, j + len(who) - len(b))
+        n = of_x + of_y if k == m else np.concatenate([of_x, of_y])
+        far = np.flatnonzero(low != np.arange(len(who)))
+        star = pd.DataFrame({"a": who[far], "b": pd.array(who[low[far]], "Int64"), "n": pd.array([None] * len(far), "Int64")})
+        count = pd.DataFrame({"a": who[n > 0], "b": pd.array([None] * int((n > 0).sum()), "Int64"), "n": pd.array(n[n > 0], "Int64")})
+        return pd.concat([count, star])
 
     return tiles.groupBy("cell", "x", "y").applyInPandas(tile, "a long, b long, n long")
 
