@@ -46,6 +46,16 @@ def quality_flags(report: DataFrame, min_history: int = 60) -> DataFrame:
     return report.withColumn("start", start).select("asset", F.explode(F.array_compact(flags)).alias("flag"))
 
 
+def quality_warnings(panel: DataFrame, min_history: int = 60) -> DataFrame:
+    """(asset, flag): an asset without any value is `dropped`; of the others, short_history (begins after the
+    panel) and gaps; too_few, without an asset, if the panel as a whole has fewer days than min_history."""
+    days = panel.agg(F.countDistinct("d").alias("days"), F.min("d").alias("start"))
+    report = quality_report(panel).crossJoin(days)
+    flags = F.array(F.when(F.col("observations") == 0, "dropped"), F.when(F.col("first_d") > F.col("start"), "short_history"), F.when(F.col("gaps") > 0, "gaps"))
+    own = report.select("asset", F.explode(F.array_compact(flags)).alias("flag"))
+    return own.unionByName(days.where(F.col("days") < min_history).select(F.lit(None).cast("string").alias("asset"), F.lit("too_few").alias("flag")))
+
+
 def sanitize_weights(weights: DataFrame, panel: DataFrame) -> DataFrame:
     """Weights on the panel: 0 where there is none, where it isn't finite, or where there's no price."""
     w = F.when(F.col("w").isNotNull() & ~F.isnan("w") & (F.abs("w") != float("inf")), F.col("w")).otherwise(0.0)

@@ -98,6 +98,13 @@ def _(spark, sf):
     return C.quality_flags(C.quality_report(D.densify(D.raw_prices(spark, sf))))
 
 
+@query("quality_warnings", """hd AS (SELECT * FROM dense WHERE ord <> 2), hr AS (SELECT asset, min(d) FILTER (px IS NOT NULL) AS first_d, count(px) AS k, max(n) FILTER (px IS NOT NULL) - min(n) FILTER (px IS NOT NULL) + 1 AS span FROM hd GROUP BY asset), days AS (SELECT count(DISTINCT d) AS k, min(d) AS d0 FROM dense),
+q AS (SELECT asset, 'short_history' AS flag FROM hr, days WHERE first_d > d0 UNION ALL SELECT asset, 'gaps' FROM hr WHERE span > k UNION ALL SELECT asset, 'dropped' FROM uni WHERE ord = 2 UNION ALL SELECT NULL, 'too_few' FROM days WHERE k < 5000)""", "", "asset flag")
+def _(spark, sf):
+    p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.when(F.col("ord") != 2, F.col("px")))
+    return C.quality_warnings(p, 5000)
+
+
 @query("sanitize_weights", "q AS (SELECT px.d, px.asset, CASE WHEN px.px IS NOT NULL THEN coalesce(w, 0) ELSE 0 END AS w FROM px LEFT JOIN wimp ON px.d = wimp.d AND px.asset = wimp.asset)", "w", "d asset")
 def _(spark, sf):
     return C.sanitize_weights(D.imported_weights(spark, sf), D.prices(spark, sf)).select("d", "asset", "w")
@@ -139,6 +146,11 @@ def _(spark, sf):
     return A.exog_asof(D.macro(spark, sf), D.raw_prices(spark, sf), 5)
 
 
+@query("exog_asof_limit", "eu AS (SELECT d, max(v) AS v, bool_or(c) AS c FROM (SELECT d + 5 AS d, v, false AS c FROM macro UNION ALL SELECT d, NULL, true FROM cal) GROUP BY d), el AS (SELECT d, c, last_value(v IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS v FROM eu), q AS (SELECT d, 'ORDERS' AS series, v FROM el WHERE c)", "v", "d series")
+def _(spark, sf):
+    return A.exog_asof(D.macro(spark, sf), D.raw_prices(spark, sf), 5, 10)
+
+
 @query("snap_dates", "q AS (SELECT f.d AS file_d, cal.d AS d FROM (SELECT DISTINCT d FROM wimp) f ASOF JOIN cal ON f.d >= cal.d)", "", "file_d d")
 def _(spark, sf):
     return A.snap_dates(D.imported_weights(spark, sf), D.raw_prices(spark, sf))
@@ -190,6 +202,18 @@ def _mixed_exog(spark, sf):
 _MIXED = "ex AS (SELECT * FROM macro UNION ALL SELECT d, lower(series), v FROM factor), "
 
 
+@query("exog_flags", _MIXED + """xl AS (SELECT series, count(*) AS k, min(d) AS first_d, max(d) AS last_d FROM ex GROUP BY series), xc AS (SELECT series, last_d, round(100.0 * (SELECT count(*) FROM cal WHERE cal.d >= first_d + 1) / (SELECT count(*) FROM cal), 1) AS coverage FROM xl),
+xg AS (SELECT CAST(d - lag(d) OVER (ORDER BY d) AS DOUBLE) AS g FROM (SELECT DISTINCT d FROM ex)),
+q AS (SELECT series, 'stale' AS flag FROM xc WHERE last_d < (SELECT max(d) FROM cal) - 180 UNION ALL SELECT series, 'thin' FROM xc WHERE coverage < 50 UNION ALL SELECT NULL, 'lag' FROM xg HAVING count(g) >= 2 AND quantile_cont(g, 0.5) > 10)""", "", "series flag")
+def _(spark, sf):
+    return A.exog_flags(_mixed_exog(spark, sf), D.raw_prices(spark, sf))
+
+
+@query("name_report", _MIXED + "q AS (SELECT DISTINCT series AS asset, 'unknown' AS state FROM ex WHERE upper(series) NOT IN (SELECT upper(asset) FROM uni) UNION ALL SELECT asset, 'absent' FROM uni WHERE upper(asset) NOT IN (SELECT upper(series) FROM ex))", "", "asset state")
+def _(spark, sf):
+    return I.name_report(_mixed_exog(spark, sf).withColumnRenamed("series", "asset"), D.raw_prices(spark, sf))
+
+
 @query("split_roles_factor", _MIXED + "q AS (SELECT * FROM ex WHERE upper(series) IN (SELECT upper(asset) FROM uni))", "v", "d series", 4)
 def _(spark, sf):
     return A.split_roles(_mixed_exog(spark, sf), D.raw_prices(spark, sf))[0]
@@ -257,14 +281,16 @@ em AS (SELECT asset, k, d, px, px AS y, n FROM w0 WHERE k = 1 UNION ALL
 @query("ema", _EMA + ", q AS (SELECT px.d, px.asset, CASE WHEN k >= 50 THEN y END AS x FROM px LEFT JOIN em ON px.asset = em.asset AND px.n = em.n)", "x", "d asset", 4)
 def _(spark, sf):
     p = D.prices(spark, sf).select("d", "n", "asset", "px")
-    return R.ewm(p, "px", "x", 2 / 51, 50).where("px IS NOT NULL OR x IS NULL").select("d", "asset", "x")
+    return R.ewm(p, "px", "x", 2 / 51, 50).select("d", "asset", F.when(F.col("px").isNotNull(), F.col("x")).alias("x"))
 
 
-@query("rsi", """w0 AS (SELECT asset, n, d, greatest(px - lag(px) OVER (PARTITION BY asset ORDER BY n), 0) AS u, greatest(lag(px) OVER (PARTITION BY asset ORDER BY n) - px, 0) AS v, px - lag(px) OVER (PARTITION BY asset ORDER BY n) AS df FROM px),
+_RSI = """w0 AS (SELECT asset, n, d, greatest(px - lag(px) OVER (PARTITION BY asset ORDER BY n), 0) AS u, greatest(lag(px) OVER (PARTITION BY asset ORDER BY n) - px, 0) AS v, px - lag(px) OVER (PARTITION BY asset ORDER BY n) AS df FROM px),
 w1 AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY n) AS k FROM w0 WHERE df IS NOT NULL),
 rs AS (SELECT asset, k, n, u AS yu, v AS yv FROM w1 WHERE k = 1 UNION ALL
-  SELECT w1.asset, w1.k, w1.n, (pow(1 - 1.0 / 14, w1.n - rs.n) * rs.yu + 1.0 / 14 * w1.u) / (pow(1 - 1.0 / 14, w1.n - rs.n) + 1.0 / 14), (pow(1 - 1.0 / 14, w1.n - rs.n) * rs.yv + 1.0 / 14 * w1.v) / (pow(1 - 1.0 / 14, w1.n - rs.n) + 1.0 / 14) FROM rs JOIN w1 ON w1.asset = rs.asset AND w1.k = rs.k + 1),
-q AS (SELECT w0.d, w0.asset, CASE WHEN rs.k >= 14 THEN 100 - 100 / (1 + yu / nullif(yv, 0)) END AS x FROM w1 w0 JOIN rs ON rs.asset = w0.asset AND rs.n = w0.n)""", "x", "d asset", 4)
+  SELECT w1.asset, w1.k, w1.n, (pow(1 - 1.0 / 14, w1.n - rs.n) * rs.yu + 1.0 / 14 * w1.u) / (pow(1 - 1.0 / 14, w1.n - rs.n) + 1.0 / 14), (pow(1 - 1.0 / 14, w1.n - rs.n) * rs.yv + 1.0 / 14 * w1.v) / (pow(1 - 1.0 / 14, w1.n - rs.n) + 1.0 / 14) FROM rs JOIN w1 ON w1.asset = rs.asset AND w1.k = rs.k + 1)"""
+
+
+@query("rsi", _RSI + ", q AS (SELECT w0.d, w0.asset, CASE WHEN rs.k >= 14 THEN 100 - 100 / (1 + yu / nullif(yv, 0)) END AS x FROM w1 w0 JOIN rs ON rs.asset = w0.asset AND rs.n = w0.n)", "x", "d asset", 4)
 def _(spark, sf):
     p = D.prices(spark, sf).withColumn("df", F.col("px") - R.lagged("px"))
     return R.rsi(p).where("df IS NOT NULL").select("d", "asset", F.col("rsi").alias("x"))
@@ -324,7 +350,10 @@ sc AS (SELECT *, ({_PR.format(s='a')} + {_PR.format(s='b')} + {_PR.format(s='c')
 _strategy("strat_risk_parity", "risk_parity", {"vol_window": SHORT}, f"{_V}, {_iv('m', 'vol', None, 'vo')}, cp AS (SELECT d, n, asset, px, least(w, 0.4) AS c FROM iv), sg AS (SELECT *, c / nullif(sum(c) OVER (PARTITION BY d), 0) AS w FROM cp)")
 _strategy("strat_vol_target", "vol_target", {"vol_window": SHORT}, f"""eq AS (SELECT *, CAST(px IS NOT NULL AS DOUBLE) / nullif({_PRICED}, 0) AS e FROM ret), bk0 AS (SELECT d, n, coalesce(lag(e) OVER (PARTITION BY asset ORDER BY n), 0) * coalesce(r, 0) AS c FROM eq), bk AS (SELECT d, n, sum(c) AS pr FROM bk0 GROUP BY d, n),
 vs AS (SELECT d, coalesce(least(0.1 / nullif(CASE WHEN count(pr) OVER (ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 10 THEN stddev_samp(pr) OVER (ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252) END, 0), CASE WHEN count(pr) OVER (ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 10 THEN 1 END), CASE WHEN count(pr) OVER (ORDER BY n ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 10 THEN 1 ELSE 1 END) AS s FROM bk), sg AS (SELECT eq.d, eq.asset, eq.px, e * s AS w FROM eq JOIN vs USING (d))""")
-_strategy("strat_rsi_reversion", "rsi_reversion", {"trend_filter": LONG}, None)
+_REV = f"""{_RSI}, m0 AS (SELECT *, {_SMA} AS ma FROM px), m1 AS (SELECT m0.*, CASE WHEN k >= 14 THEN 100 - 100 / (1 + yu / nullif(yv, 0)) END AS x FROM m0 LEFT JOIN rs ON rs.asset = m0.asset AND rs.n = m0.n),
+m2 AS (SELECT *, CASE WHEN coalesce(x > 55, false) THEN 0.0 WHEN coalesce(x < 30, false) THEN 1.0 END AS s FROM m1), m3 AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY asset ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS held FROM m2)"""
+_strategy("strat_rsi_reversion", "rsi_reversion", {"trend_filter": LONG}, f"{_REV}, sg AS (SELECT *, held * CAST(coalesce(px > ma, false) AS DOUBLE) / nullif({_PRICED}, 0) AS w FROM m3)")
+_strategy("strat_rsi_reversion_plain", "rsi_reversion", {"trend_filter": 0}, f"{_REV}, sg AS (SELECT *, held / nullif({_PRICED}, 0) AS w FROM m3)")
 _strategy("strat_fixed_weights", "fixed_weights", {"weights": "STANDARD:0.6; ECONOMY:0.2, X:y"}, "sg AS (SELECT *, CASE asset WHEN 'STANDARD' THEN 0.6 WHEN 'ECONOMY' THEN 0.2 ELSE 0 END::DOUBLE AS w FROM px)")
 
 
@@ -338,9 +367,19 @@ def _factor_daily(spark, sf):
 
 _MG = "mg AS (SELECT cal.d, cal.n, v FROM cal ASOF LEFT JOIN (SELECT d + 5 AS d, v FROM macro) m ON cal.d >= m.d), mw AS (SELECT d, v - CASE WHEN count(v) OVER w >= 12 THEN avg(v) OVER w END > 1e-12 * avg(v) OVER w AS up FROM mg WINDOW w AS (ORDER BY n ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"
 _strategy("strat_macro_gate", "macro_gate", {"series": "orders", "window": LONG, "risk_off": 0.25}, f"{_MG}, sg AS (SELECT px.*, CAST(px IS NOT NULL AS DOUBLE) / nullif({_PRICED.replace('PARTITION BY d', 'PARTITION BY px.d')}, 0) * CASE WHEN coalesce(up, false) THEN 1 ELSE 0.25 END AS w FROM px JOIN mw ON px.d = mw.d)", _macro_daily)
+_GATED = "{g}, sg AS (SELECT px.*, CAST(px IS NOT NULL AS DOUBLE) / nullif(" + _PRICED.replace("PARTITION BY d", "PARTITION BY px.d") + ", 0) * CASE WHEN coalesce(up, false) THEN 1 ELSE 0.25 END AS w FROM px JOIN mw ON px.d = mw.d)"
+_MV = "mg AS (SELECT cal.d, cal.n, v FROM cal ASOF LEFT JOIN (SELECT d + 5 AS d, v FROM macro) m ON cal.d >= m.d), "
+_MZ = _MV + f"mw AS (SELECT d, CASE WHEN count(v) OVER w >= 12 THEN (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) END {{t}} AS up FROM mg WINDOW w AS (ORDER BY n ROWS BETWEEN {LONG - 1} PRECEDING AND CURRENT ROW))"
+_strategy("strat_macro_gate_rising", "macro_gate", {"series": "orders", "rule": "rising", "window": LONG, "risk_off": 0.25}, _GATED.format(g=_MV + f"mw AS (SELECT d, v - lag(v, {LONG}) OVER (ORDER BY n) > 0 AS up FROM mg)"), _macro_daily)
+_strategy("strat_macro_gate_z_above", "macro_gate", {"series": "orders", "rule": "z above", "threshold": 0.5, "window": LONG, "risk_off": 0.25}, _GATED.format(g=_MZ.format(t="> 0.5")), _macro_daily)
+_strategy("strat_macro_gate_z_below", "macro_gate", {"series": "orders", "rule": "z below", "threshold": -0.5, "window": LONG, "risk_off": 0.25}, _GATED.format(g=_MZ.format(t="< -0.5")), _macro_daily)
 _FD = "fd AS (SELECT px.d, px.n, px.asset, px.ord, px.px, (SELECT arg_max(v, f.d) FROM factor f WHERE f.series = px.asset AND f.d + 5 <= px.d) AS f FROM px)"
 _strategy("strat_factor_rank", "factor_rank", {}, f"{_FD}, pk AS (SELECT *, {_PR.format(s='f')} AS s0 FROM fd), tp AS (SELECT *, CASE WHEN px IS NOT NULL THEN s0 END AS s FROM pk), sg AS (SELECT *, {_TOP3} / 3 AS w FROM tp)", _factor_daily)
 _strategy("strat_exog_signal", "exog_signal", {}, f"{_FD}, ws AS (SELECT *, CASE WHEN px IS NOT NULL AND f IS NOT NULL THEN greatest(f, 0) ELSE 0 END AS w0 FROM fd), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)", _factor_daily)
+_FW = ", ws AS (SELECT *, CASE WHEN px IS NOT NULL AND f IS NOT NULL THEN {w} ELSE 0 END AS w0 FROM fd), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)"
+_strategy("strat_exog_signal_binary", "exog_signal", {"mode": "binary", "threshold": 0.05, "allow_short": True}, _FD + _FW.format(w="CASE WHEN f > 0.05 THEN 1 WHEN f < -0.05 THEN -1 ELSE 0 END"), _factor_daily)
+_strategy("strat_exog_signal_short", "exog_signal", {"allow_short": True}, _FD + _FW.format(w="f - 0.05"), lambda spark, sf: _factor_daily(spark, sf).withColumn("v", F.col("v") - 0.05))
+_strategy("strat_exog_signal_rank", "exog_signal", {"mode": "rank"}, _FD + ", tp AS (SELECT *, f AS s FROM fd), ws AS (SELECT *, CASE WHEN px IS NOT NULL AND f IS NOT NULL THEN " + _TOP3 + " ELSE 0 END AS w0 FROM tp), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)", _factor_daily)
 
 
 @query("size_equal", _MOM + ", mk AS (SELECT *, CAST(coalesce(s > 0, false) AS DOUBLE) AS m FROM mo), q AS (SELECT d, asset, coalesce(m / nullif(sum(m) OVER (PARTITION BY d), 0), 0) AS w FROM mk)", "w", "d asset")
@@ -633,12 +672,25 @@ def _(spark, sf):
     return B.mc_summary(B.bootstrap(_market(spark, sf)))
 
 
-@query("norm_ppf")
+def _powers(coefficients, x: str) -> str:
+    """A polynomial's terms, its highest power first."""
+    return "(" + " + ".join(f"({c!r}::DOUBLE) * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients)) + ")"
+
+
+def _ppf(p: str) -> str:
+    """SQL of the normal quantile of a number within (0, 1)."""
+    t, q = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    far = f"{_powers(B._C, t)} / {_powers((*B._D, 1.0), t)}"
+    near = f"{_powers(B._A, f'pow({q}, 2)')} * {q} / {_powers((*B._B, 1.0), f'pow({q}, 2)')}"
+    return f"CASE WHEN {p} < 0.02425 THEN {far} WHEN {p} > 1 - 0.02425 THEN -({far}) ELSE {near} END"
+
+
+@query("norm_ppf", f"pp AS (SELECT range / 1e3 AS p FROM range(1, 1000)), q AS (SELECT p, {_ppf('p')} AS z FROM pp)", "p z")
 def _(spark, sf):
     return spark.range(1, 1000).select((F.col("id") / 1000).alias("p"), B.norm_ppf(F.col("id") / 1000).alias("z"))
 
 
-@query("deflated_sharpe")
+@query("deflated_sharpe", f"pp AS (SELECT range AS id, 1 - 1.0::DOUBLE / range AS a, 1 - 1 / (range * exp(1.0)) AS b FROM range(2, 50)), dz AS (SELECT id, (1 - 0.5772156649015329) * ({_ppf('a')}) + 0.5772156649015329 * ({_ppf('b')}) AS z FROM pp), q AS (SELECT id, z / sqrt(500.0) * sqrt(252.0) AS z FROM dz UNION ALL SELECT 1, NULL)", "z", "id")
 def _(spark, sf):
     return spark.range(1, 50).select("id", B.deflated_sharpe(F.col("id"), F.lit(500)).alias("z"))
 
@@ -834,6 +886,28 @@ def _(spark, sf):
     return I.weights_report(I.external_weights(_percent(spark, sf), D.prices(spark, sf)))
 
 
+@query("weight_flags", _IMP + ", fy AS (SELECT d, n, bool_or(is_rebal) AS e, sum(abs(w)) AS g, min(w) AS low FROM wf GROUP BY d, n), fl AS (SELECT unnest(['shorts', 'over', 'under', 'idle']) AS flag, unnest([count(*) FILTER (low < -1e-9), count(*) FILTER (e AND g > 1 + 1e-9), count(*) FILTER (e AND g < 0.99), CASE WHEN min(n) FILTER (e) - 1 > 5 THEN min(n) FILTER (e) - 1 ELSE 0 END]) AS n FROM fy), q AS (SELECT * FROM fl WHERE n > 0)", "", "flag n")
+def _(spark, sf):
+    return I.weight_flags(I.external_weights(_percent(spark, sf), D.prices(spark, sf)), idle=5)
+
+
+_STREAMS = "sk AS (SELECT CASE WHEN quantile_cont(abs(r * 100), 0.5) > 0.05 THEN 100 ELSE 1 END AS k FROM ret), rp AS (SELECT d, asset AS series, coalesce(r * 100 / k, 0) AS ret FROM ret, sk)"
+
+
+def _streams(spark, sf) -> DataFrame:
+    return R.with_returns(D.prices(spark, sf)).select("d", F.col("asset").alias("series"), (F.col("r") * 100).alias("ret"))
+
+
+@query("prepared_returns", _STREAMS + ", q AS (SELECT * FROM rp)", "ret", "d series")
+def _(spark, sf):
+    return I.prepared_returns(_streams(spark, sf))
+
+
+@query("return_flags", _STREAMS + ", rm AS (SELECT d, series, abs(ret) * 30 AS ret FROM rp), rs AS (SELECT count(*) FILTER (ret < 0) AS losses, count(*) FILTER (ret > 1) AS extreme, count(DISTINCT d) AS days FROM rm), q AS (SELECT 'no_losses' AS flag, days AS n FROM rs WHERE losses = 0 UNION ALL SELECT 'extreme', extreme FROM rs WHERE extreme > 0 UNION ALL SELECT 'thin', days FROM rs WHERE days < 60)", "", "flag n")
+def _(spark, sf):
+    return I.return_flags(I.prepared_returns(_streams(spark, sf)).withColumn("ret", F.abs("ret") * 30))
+
+
 @query("weights_scale_detect", "g AS (SELECT d, sum(abs(w * 100)) AS g FROM wimp GROUP BY d), q AS (SELECT quantile_cont(g, 0.5) AS median, 100.0::DOUBLE AS divisor FROM g)", "median divisor")
 def _(spark, sf):
     return A.detect_scale(_percent(spark, sf).groupBy("d").agg(F.sum(F.abs("w")).alias("g")), 40, 160)
