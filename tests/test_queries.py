@@ -116,6 +116,21 @@ def test_ranks_and_ties(spark):
     assert [got[x][1] for x in "abc"] == [1.0, 1.0, 0.0]
 
 
+def test_signals_of_names_without_a_price(spark):
+    """They take part in ranks and shares; what falls to them stays in cash."""
+    p = _panel(spark, {"a": [1.0], "b": [None], "c": [1.0], "d": [1.0]})
+    ex = spark.createDataFrame([("2020-01-01", k, v) for k, v in (("A", 1.0), ("b", 3.0), ("c", 2.0), ("d", -2.0))], "d string, series string, v double").withColumn("d", F.to_date("d"))
+
+    def w(key, **params):
+        return [r.w for r in S.get(key).generate(p, params, ex).orderBy("asset").collect()]
+
+    assert w("exog_signal") == [1 / 6, 0, 2 / 6, 0] and w("exog_signal", allow_short=True) == [1 / 8, 0, 2 / 8, -2 / 8]
+    assert w("exog_signal", mode="binary", threshold=1.5, allow_short=True) == [0, 0, 1 / 3, -1 / 3]
+    assert w("exog_signal", mode="rank", top_n=2) == [0, 0, 0.5, 0]
+    assert w("factor_rank", top_n=2) == [0, 0, 0.5, 0] and w("factor_rank", top_n=2, direction="low") == [0.5, 0, 0, 0.5]
+    assert w("factor_rank", top_n=2, hold_cash=False) == [0, 0, 0.5, 0]
+
+
 def test_empty_panel(spark):
     p = _panel(spark, {"a": [1.0]}).where("d IS NULL")
     t = S.get("buy_hold").generate(p).withColumn("run_id", F.lit("x"))

@@ -374,12 +374,12 @@ _strategy("strat_macro_gate_rising", "macro_gate", {"series": "orders", "rule":
 _strategy("strat_macro_gate_z_above", "macro_gate", {"series": "orders", "rule": "z above", "threshold": 0.5, "window": LONG, "risk_off": 0.25}, _GATED.format(g=_MZ.format(t="> 0.5")), _macro_daily)
 _strategy("strat_macro_gate_z_below", "macro_gate", {"series": "orders", "rule": "z below", "threshold": -0.5, "window": LONG, "risk_off": 0.25}, _GATED.format(g=_MZ.format(t="< -0.5")), _macro_daily)
 _FD = "fd AS (SELECT px.d, px.n, px.asset, px.ord, px.px, (SELECT arg_max(v, f.d) FROM factor f WHERE f.series = px.asset AND f.d + 5 <= px.d) AS f FROM px)"
-_strategy("strat_factor_rank", "factor_rank", {}, f"{_FD}, pk AS (SELECT *, {_PR.format(s='f')} AS s0 FROM fd), tp AS (SELECT *, CASE WHEN px IS NOT NULL THEN s0 END AS s FROM pk), sg AS (SELECT *, {_TOP3} / 3 AS w FROM tp)", _factor_daily)
-_strategy("strat_exog_signal", "exog_signal", {}, f"{_FD}, ws AS (SELECT *, CASE WHEN px IS NOT NULL AND f IS NOT NULL THEN greatest(f, 0) ELSE 0 END AS w0 FROM fd), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)", _factor_daily)
-_FW = ", ws AS (SELECT *, CASE WHEN px IS NOT NULL AND f IS NOT NULL THEN {w} ELSE 0 END AS w0 FROM fd), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)"
+_strategy("strat_factor_rank", "factor_rank", {}, f"{_FD}, pk AS (SELECT *, {_PR.format(s='f')} AS s0 FROM fd), tp AS (SELECT *, s0 AS s FROM pk), sg AS (SELECT *, {_TOP3} / 3 AS w FROM tp)", _factor_daily)
+_strategy("strat_exog_signal", "exog_signal", {}, f"{_FD}, ws AS (SELECT *, CASE WHEN f IS NOT NULL THEN greatest(f, 0) ELSE 0 END AS w0 FROM fd), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)", _factor_daily)
+_FW = ", ws AS (SELECT *, CASE WHEN f IS NOT NULL THEN {w} ELSE 0 END AS w0 FROM fd), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)"
 _strategy("strat_exog_signal_binary", "exog_signal", {"mode": "binary", "threshold": 0.05, "allow_short": True}, _FD + _FW.format(w="CASE WHEN f > 0.05 THEN 1 WHEN f < -0.05 THEN -1 ELSE 0 END"), _factor_daily)
 _strategy("strat_exog_signal_short", "exog_signal", {"allow_short": True}, _FD + _FW.format(w="f - 0.05"), lambda spark, sf: _factor_daily(spark, sf).withColumn("v", F.col("v") - 0.05))
-_strategy("strat_exog_signal_rank", "exog_signal", {"mode": "rank"}, _FD + ", tp AS (SELECT *, f AS s FROM fd), ws AS (SELECT *, CASE WHEN px IS NOT NULL AND f IS NOT NULL THEN " + _TOP3 + " ELSE 0 END AS w0 FROM tp), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)", _factor_daily)
+_strategy("strat_exog_signal_rank", "exog_signal", {"mode": "rank"}, _FD + ", tp AS (SELECT *, f AS s FROM fd), ws AS (SELECT *, CASE WHEN f IS NOT NULL THEN " + _TOP3 + " ELSE 0 END AS w0 FROM tp), sg AS (SELECT *, w0 / nullif(sum(abs(w0)) OVER (PARTITION BY d), 0) AS w FROM ws)", _factor_daily)
 
 
 @query("size_equal", _MOM + ", mk AS (SELECT *, CAST(coalesce(s > 0, false) AS DOUBLE) AS m FROM mo), q AS (SELECT d, asset, coalesce(m / nullif(sum(m) OVER (PARTITION BY d), 0), 0) AS w FROM mk)", "w", "d asset")
