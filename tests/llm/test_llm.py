@@ -292,7 +292,94 @@ def test_mixing(spark):
     assert mixing.select_mix(Workspace(spark, "t"), rows.limit(0), mixing.Mix()).count() == 0
 
 
+def _fertile(x, model, bounds):
+    """The verdict on a text in Latin letters: characters a token, share of byte tokens, entropy."""
+    words = re.findall("[^\x20\x09-\x0d]+", x)
+    ids = [i for w in words for i in model.encode(w)]
+    p = np.array(list(collections.Counter(ids).values())) / max(len(ids), 1)
+    low, bits = bounds
+    per, share = sum(map(len, words)) / max(len(ids), 1), sum(map(model.is_byte, ids)) / max(len(ids), 1)
+    _, high, most, _ = quality.BANDS["latin"]
+    return low <= per <= high and share <= most and (len(ids) < quality.BAND_TOKENS or -(p * np.log2(p)).sum() >= bits)
+
+
+def test_pipeline_quality(spark, texts):
+    """The first stage against the base rule and the measures word by word; its verdict rejects texts that the base rule keeps."""
+    import corpus_pipeline as P
+    from sentencepiece import SentencePieceProcessor
+
+    path = bpe.vocabulary("piece_bpe_32k.model")
+    model, docs, labels = SentencePieceProcessor(model_file=path), spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    bands = quality.learn(docs, labels, path)
+    want, passed = set(), 0
+    for r in docs.collect():
+        w = WORD.findall(r.text or "")
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        twice = {k + j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        if len(w) >= 50 and 100 * len(twice) <= 50 * len(w):
+            passed += 1
+            if _fertile(r.text, model, bands.get((r.lang, "latin"), (quality.BANDS["latin"][0], quality.BANDS["latin"][3]))):
+                want.add(r.doc_id)
+    assert {r.doc_id for r in P.quality_stage(spark, docs, "/root/testdata/sf0.01").collect()} == want
+    assert 0 < len(want) < passed
+
+
+def test_pipeline_minhash(spark, texts):
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    texts = [*texts, *(" ".join(w if rng.random() > 0.02 else f"r{rng.random()}" for w in base) for _ in range(25))]
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for x in texts:
+        w = WORD.findall((x or "").translate(low))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = [i for i, k in enumerate(_components(len(sets), links)) if i == k]
+    assert sorted(r.doc_id for r in P.minhash_stage(spark, table(spark, texts), SF).collect()) == want and len(want) < len(sets) - 10
+
+
+def test_pipeline_suffix(spark, texts):
+    """A character goes if all its bytes do; n_chars follows."""
+    import corpus_pipeline as P
+
+    n, raw = P.REPEAT_BYTES, [(t or "").encode() for t in texts]
+    c = collections.Counter(b[j : j + n] for b in raw for j in range(len(b) - n + 1))
+    got = {r.doc_id: r for r in P.suffix_stage(spark, table(spark, texts), SF).collect()}
+    assert len(got) == len(texts)
+    for i, b in enumerate(raw):
+        gone, kept, at = bytearray(len(b)), "", 0
+        for j in range(len(b) - n + 1):
+            if c[b[j : j + n]] > 1:
+                gone[j : j + n] = b"\1" * n
+        for ch in texts[i] or "":
+            size = len(ch.encode())
+            kept += "" if all(gone[at : at + size]) else ch
+            at += size
+        assert (got[i].text or "") == kept and (got[i].text is None) == (texts[i] is None), i
+        assert texts[i] is None or got[i].n_chars == len(kept)
+
+
+def test_pipeline_mixing_and_tokens(spark, texts):
+    """Mixing gives rows of its input, none twice, at most nine tenths of the tokens; the tokens are the library's."""
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    docs = table(spark, texts)
+    out = P.mixing_stage(spark, docs, SF)
+    ids = [r.doc_id for r in out.collect()]
+    assert out.columns == docs.columns and 0 < len(ids) == len(set(ids)) <= len(texts)
+    size = docs.select("doc_id", mixing.tokens_of(F.col("text")).alias("n")).toPandas().set_index("doc_id").n
+    assert size[ids].sum() <= 0.9 * size.sum()
+    t = Tokenizer.from_file(bpe.vocabulary())
+    for r in P.bpe_stage(spark, docs, SF).collect():
+        e = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids, r.decoded) == (len(e), e, t.decode(e, skip_special_tokens=False))
+
+
 def test_pipeline(spark, texts):
+    """A stage's rows are the next one's."""
     import corpus_pipeline as P
 
     docs = table(spark, texts).drop("h", "k", "n")
