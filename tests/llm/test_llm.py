@@ -279,6 +279,25 @@ def test_language(spark):
     assert len({tuple(c) for c in lang_id.codewords(9).tolist()}) == 9
 
 
+def test_language_query(spark, tmp_path):
+    """held_out by crc32 of the id; a prediction depends on the text alone, and learning not on the rows held out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    # other labels, sources and texts where the rows are held out
+    other = docs.withColumn("source", F.lit("x")).withColumn("lang", F.when(out, F.lit("xx")).otherwise(F.col("lang")))
+    other.withColumn("text", F.when(out & (F.col("doc_id") % 3 == 0), F.lit(None)).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/b/documents.parquet")
+    a, b = ({r.doc_id: r for r in lang_id.op6_language(spark, f"{tmp_path}/{k}").collect()} for k in "ab")
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert set(a) == set(b) == set(truth)
+    for i, r in a.items():
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        assert r.held_out == held and 0 <= r.score <= 1
+        assert (b[i].lang_pred, b[i].score) == (("und", 0.0) if held and i % 3 == 0 else (r.lang_pred, r.score))
+    held = [i for i in a if a[i].held_out and truth[i]]
+    assert len(held) > 200 and np.mean([a[i].lang_pred == truth[i] for i in held]) > 0.98
+
+
 def test_mixing(spark):
     import duckdb
 
