@@ -18,7 +18,7 @@ from tidepanel.sources import market as D
 SF = "/root/testdata/sf0.01"
 FAST = ["bounded_ffill", "exog_asof", "snap_dates", "sma", "rsi", "pct_rank_avg", "strat_dual_momentum", "bt_nav_closed_form", "bt_general", "drawdown_table", "monthly_returns", "fold_stats", "external_weights_normalized", "var_cvar",
         "parameter_sweep", "walk_forward", "cost_statistics", "cost_sensitivity", "align_start", "bt_dividends", "bt_explicit_dates", "bt_daily_returns", "current_holdings", "daily_series", "report", "return_frequency", "correlation_matrix", "strat_macro_gate", "strat_trend_quality",
-        "ema", "norm_ppf", "deflated_sharpe", "strat_rsi_reversion_plain", "strat_macro_gate_rising", "strat_macro_gate_z_above", "strat_exog_signal_binary", "strat_exog_signal_short", "strat_exog_signal_rank", "quality_warnings", "exog_asof_limit", "exog_flags", "name_report", "weight_flags", "return_flags"]
+        "ema", "norm_ppf", "deflated_sharpe", "strat_rsi_reversion_plain", "strat_macro_gate_rising", "strat_macro_gate_z_above", "strat_exog_signal_binary", "strat_exog_signal_short", "strat_exog_signal_rank", "quality_warnings", "exog_asof_limit", "exog_flags", "name_report", "weight_flags", "return_flags", "bt_trades"]
 
 
 @pytest.mark.parametrize("name", FAST)

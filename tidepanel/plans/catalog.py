@@ -442,9 +442,12 @@ def _(spark, sf):
     return E.closed_form(_run(spark, sf), E.Costs().rate).select("d", "exposure", "cash_w")
 
 
-@query("bt_trades", _walk("0") + "), q AS (SELECT dy.d, asset, dy.t[ord] AS weight_after FROM dy CROSS JOIN uni JOIN sim USING (n) WHERE ev AND tr > 0)", "weight_after", "d asset")
+_BEFORE = "bf AS (SELECT dy.d, asset, s0.w[ord] AS held, s0.w[ord] * (1 + dy.r[ord]) / (list_sum(list_transform(list_zip(s0.w, dy.r), lambda z: z[1] * (1 + z[2]))) + s0.c) AS weight_before, dy.t[ord] AS weight_after FROM dy JOIN sim s0 ON s0.n = dy.n - 1 JOIN sim s1 ON s1.n = dy.n CROSS JOIN uni WHERE ev AND s1.tr > 0)"
+
+
+@query("bt_trades", _walk("0") + f"), {_BEFORE}, q AS (SELECT *, weight_after - weight_before AS change FROM bf WHERE held <> 0 OR weight_after <> 0)", "weight_before weight_after change", "d asset")
 def _(spark, sf):
-    return E.trades(_run(spark, sf)).select("d", "asset", "weight_after")
+    return E.trades(_run(spark, sf)).select("d", "asset", "weight_before", "weight_after", "change")
 
 
 @query("bt_general", _walk("0.005") + "), q AS (SELECT d, v AS nav, tr AS turnover FROM sim)", "nav turnover", "d")
