@@ -5,9 +5,9 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
-from . import bpe, embeddings, html_text, lang_id, mixing, near_dup, quality, repeats, store, url_filter
+from . import bpe, embeddings, html_text, importance, lang_id, mixing, near_dup, quality, repeats, store, token_counts, url_filter, whitening
 
-_MODULES = (repeats, bpe, embeddings, html_text, url_filter, lang_id, store, mixing, near_dup, quality)
+_MODULES = (repeats, bpe, embeddings, html_text, url_filter, lang_id, store, mixing, near_dup, quality, token_counts, whitening, importance)
 
 
 def queries() -> dict:
