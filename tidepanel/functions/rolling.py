@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from ..operators import scan as S
+
 
 def asset_days():
     """The window of an asset's days."""
@@ -58,17 +59,20 @@ def zscore(n: int) -> Column:
 
 
 def ewms(panel: DataFrame, names: dict[str, str], alpha: float, least: int) -> DataFrame:
-    """Exponential means without adjustment of the columns names, each under its new name; a gap lets old
-    weight decay. A recursion along each asset's days, the one indicator that windows can't say."""
-    schema = T.StructType([*panel.schema.fields, *(T.StructField(x, T.DoubleType()) for x in names.values())])
-
-    def run(pdf):
-        pdf = pdf.sort_values("d")
-        for column, name in names.items():
-            pdf[name] = pdf[column].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return pdf
-
-    return panel.groupBy("asset").applyInPandas(run, schema)
+    """Exponential means without adjustment of the columns names, each under its new name; a gap lets old weight
+    decay, and days without a value carry the mean on. The columns have their values on the same days. Each value
+    is a linear map of the mean before it, so the means are a scan of such maps over blocks of days."""
+    known = panel.where(F.col(next(iter(names))).isNotNull()).select("asset", "d", "n", *names)
+    x = S.carried(known, ["asset"], {"_c": F.count(F.lit(1)), "_l": F.max("n")}, {"_k0": lambda o: F.coalesce(F.sum("_c").over(S.before(o)), F.lit(0)), "_n0": lambda o: F.lag("_l").over(o)})
+    days = W.partitionBy("asset", "_b").orderBy("d")
+    x = x.withColumn("_k", F.col("_k0") + F.row_number().over(days) - 1).withColumn("_g", F.col("n") - F.coalesce(F.lag("n").over(days), "_n0"))
+    old = F.when(F.col("_g").isNotNull(), F.pow(F.lit(1 - alpha), F.col("_g")))
+    share = F.coalesce(alpha / (old + alpha), F.lit(1.0))
+    most = panel.agg(F.max("n")).first()[0] or 0
+    y = S.affine_scan(x, ["asset"], "_k", 1 - share, [share * F.col(c) for c in names], list(names.values()), most, ["d"])
+    y = y.select("asset", "d", F.when(F.col("_k") >= least - 1, F.struct(*names.values())).alias("_y"))
+    out = S.last_known(panel.join(y, ["asset", "d"], "left"), ["asset"], F.col("_y"), "_y")
+    return out.select(*panel.columns, *[F.col("_y")[c].alias(c) for c in names.values()])
 
 
 def ewm(panel: DataFrame, column: str, name: str, alpha: float, least: int) -> DataFrame:

@@ -6,28 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan as S
+
 
 def exog_asof(exog: DataFrame, calendar: DataFrame, lag_days: int = 1, ffill_limit: int | None = None) -> DataFrame:
     """(d, series, v): on each day of the calendar, each series' last value published `lag_days` before, if at
-    most ffill_limit rows (its days and the calendar's, together) lie after it. One sort by series and day,
-    no range join."""
+    most ffill_limit rows (its days and the calendar's, together) lie after it. Months of a series
+    are worked on apart, each with the last value before it; no range join."""
     names = exog.select("series").distinct()
     known = exog.select("series", F.date_add("d", lag_days).alias("d"), "v", F.lit(0).alias("src"))
     asked = calendar.select("d").distinct().crossJoin(names).select("series", "d", F.lit(None).cast("double").alias("v"), F.lit(1).alias("src"))
     if ffill_limit is None:
-        w = W.partitionBy("series").orderBy("d", "src").rowsBetween(W.unboundedPreceding, 0)
-        return known.unionByName(asked).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("src = 1").select("d", "series", "v")
-    both = known.unionByName(asked).groupBy("series", "d").agg(F.max("v").alias("v"), F.max("src").alias("src"))
-    w = W.partitionBy("series").orderBy("d").rowsBetween(-ffill_limit, 0)
-    return both.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("src = 1").select("d", "series", "v")
+        return S.last_known(known.unionByName(asked), ["series"], F.col("v"), "v", "src").where("src = 1").select("d", "series", "v")
+    both = S.positions(known.unionByName(asked).groupBy("series", "d").agg(F.max("v").alias("v"), F.max("src").alias("src")), ["series"], "_k")
+    both = S.last_known(both, ["series"], F.when(F.col("v").isNotNull(), F.struct("v", "_k")), "_s")
+    return both.where("src = 1").select("d", "series", F.when(F.col("_k") - F.col("_s")["_k"] <= ffill_limit, F.col("_s")["v"]).alias("v"))
 
 
 def snap_dates(dates: DataFrame, calendar: DataFrame) -> DataFrame:
     """(file_d, d): the last day of the calendar up to each date; dates before all of it go."""
-    asked = dates.select(F.col("d").alias("file_d")).distinct().select("file_d", F.col("file_d").alias("at"), F.lit(None).cast("date").alias("d"), F.lit(1).alias("src"))
-    known = calendar.select(F.lit(None).cast("date").alias("file_d"), F.col("d").alias("at"), "d", F.lit(0).alias("src")).distinct()
-    w = W.orderBy("at", "src").rowsBetween(W.unboundedPreceding, 0)
-    return known.unionByName(asked).withColumn("d", F.last("d", ignorenulls=True).over(w)).where("src = 1 AND d IS NOT NULL").select("file_d", "d")
+    asked = dates.select(F.col("d").alias("file_d")).distinct().select("file_d", F.col("file_d").alias("d"), F.lit(None).cast("date").alias("at"), F.lit(1).alias("src"))
+    known = calendar.select(F.lit(None).cast("date").alias("file_d"), "d", F.col("d").alias("at"), F.lit(0).alias("src")).distinct()
+    x = S.last_known(known.unionByName(asked), [], F.col("at"), "at", "src")
+    return x.where("src = 1 AND at IS NOT NULL").select("file_d", F.col("at").alias("d"))
 
 
 #: Rule -> the period that a day belongs to.
@@ -53,24 +54,33 @@ def signal_to_exec_dates(signals: DataFrame, calendar: DataFrame, lag: int) -> D
     return at.join(cal, "n").select("signal_d", "d")
 
 
+def _median_gap(dates: DataFrame) -> DataFrame:
+    """(median_gap, k): of the days between neighbours of a set of dates, and how many gaps there are."""
+    gaps = S.lagged(dates.select("d").distinct(), [], F.col("d"), "_p").select(F.datediff("d", "_p").cast("double").alias("g"))
+    # a gap is a whole number of days, so counts of each length say all
+    sizes = gaps.where("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.orderBy("g"))
+    k = F.sum("c").over(W.partitionBy())
+    x = sizes.select("g", upto.alias("upto"), k.alias("k"))
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("g")))
+    return x.agg(((at(F.floor((F.col("k") - 1) / 2)) + at(F.ceil((F.col("k") - 1) / 2))) / 2).alias("median_gap"), F.coalesce(F.max("k"), F.lit(0)).alias("k"))
+
+
 def frequency(dates: DataFrame) -> DataFrame:
     """(median_gap, frequency) of a set of dates."""
-    gaps = dates.select("d").distinct().select(F.datediff("d", F.lag("d").over(W.orderBy("d"))).cast("double").alias("g"))
-    m = gaps.agg(F.expr("percentile(g, 0.5)").alias("median_gap"), F.count("g").alias("k"))
     name = F.when(F.col("k") < 2, "undetermined")
     for limit, said in ((1.5, "daily"), (4, "business-daily"), (10, "weekly"), (45, "monthly"), (135, "quarterly"), (250, "semi-annual")):
         name = name.when(F.col("median_gap") <= limit, said)
-    return m.select("median_gap", name.otherwise("annual").alias("frequency"))
+    return _median_gap(dates).select("median_gap", name.otherwise("annual").alias("frequency"))
 
 
 def stream_frequency(dates: DataFrame) -> DataFrame:
     """(median_gap, frequency, periods): of a return stream, with the periods of a year."""
-    gaps = dates.select("d").distinct().select(F.datediff("d", F.lag("d").over(W.orderBy("d"))).cast("double").alias("g"))
-    m = gaps.agg(F.expr("percentile(g, 0.5)").alias("median_gap"), F.count("g").alias("k"))
     kind = F.when(F.col("k") < 2, F.struct(F.lit("undetermined").alias("frequency"), F.lit(252).alias("periods")))
     for limit, name, periods in ((4, "daily", 252), (10, "weekly", 52), (45, "monthly", 12), (135, "quarterly", 4), (250, "semi-annual", 2)):
         kind = kind.when(F.col("median_gap") <= limit, F.struct(F.lit(name).alias("frequency"), F.lit(periods).alias("periods")))
-    return m.select("median_gap", kind.otherwise(F.struct(F.lit("annual").alias("frequency"), F.lit(1).alias("periods"))).alias("x")).select("median_gap", "x.*")
+    x = _median_gap(dates).select("median_gap", kind.otherwise(F.struct(F.lit("annual").alias("frequency"), F.lit(1).alias("periods"))).alias("x"))
+    return x.select("median_gap", "x.*")
 
 
 def exog_flags(exog: DataFrame, calendar: DataFrame, lag_days: int = 1) -> DataFrame:
@@ -100,5 +110,6 @@ def split_roles(exog: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def detect_scale(gross: DataFrame, low: float, high: float) -> DataFrame:
-    """(median, divisor): 100 if the median of column g lies between low and high."""
-    return gross.agg(F.expr("percentile(g, 0.5)").alias("median")).select("median", F.when((F.col("median") >= low) & (F.col("median") <= high), 100.0).otherwise(1.0).alias("divisor"))
+    """(median, divisor): 100 if the median of column g lies between low and high; one row, also of no values."""
+    median = S.quantiles(gross, "g", [0.5]).select(F.col("q")[0].alias("median")).agg(F.max("median").alias("median"))
+    return median.select("median", F.when((F.col("median") >= low) & (F.col("median") <= high), 100.0).otherwise(1.0).alias("divisor"))

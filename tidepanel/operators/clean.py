@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan as S
+
 
 def normalize_index(rows: DataFrame, date: str, order: str, *keys: str) -> DataFrame:
     """Strings to dates in UTC; rows without a date go, of a date's rows the last by `order` stays."""
@@ -25,9 +27,12 @@ def neutralize_nonpositive(panel: DataFrame) -> DataFrame:
 
 
 def bounded_ffill(panel: DataFrame, column: str, limit: int) -> DataFrame:
-    """The last value of up to `limit` rows before; 0 fills nothing."""
-    w = W.partitionBy("asset").orderBy("d").rowsBetween(-limit, 0)
-    return panel.withColumn(column, F.last(column, ignorenulls=True).over(w)) if limit else panel
+    """The last value of up to `limit` places (n) before; 0 fills nothing."""
+    if not limit:
+        return panel
+    x = S.last_known(panel, ["asset"], F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), "n")), "_s")
+    filled = F.when(F.col("n") - F.col("_s")["n"] <= limit, F.col("_s")["v"])
+    return x.select(*[filled.alias(c) if c == column else c for c in panel.columns])
 
 
 def quality_report(panel: DataFrame) -> DataFrame:

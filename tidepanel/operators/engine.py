@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan as SC
 from .align import signal_to_exec_dates
 
 
@@ -53,12 +54,13 @@ def _returns(panel: DataFrame, opens: DataFrame | None = None, dividends: DataFr
 def cash_returns(days: DataFrame, proxy: DataFrame | None = None, rate: float = 0.0, ppy: int = 252) -> DataFrame:
     """(d, rc): what cash earns each day, 0 on the first: the filled returns of a proxy (d, px) that has two
     prices at least, else a yearly rate over ppy. days: d."""
-    days, w = days.select("d").distinct(), W.orderBy("d")
+    days = days.select("d").distinct()
     if proxy is not None and len(proxy.where("px IS NOT NULL AND NOT isnan(px)").take(2)) == 2:
         px = F.when(~F.isnan("px"), F.col("px"))
-        filled = days.join(proxy.select("d", px.alias("px")), "d", "left").withColumn("px", F.last("px", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-        return filled.select("d", F.coalesce(F.try_divide("px", F.lag("px").over(w)) - 1, F.lit(0.0)).alias("rc"))
-    return days.select("d", F.when(F.row_number().over(w) > 1, F.lit(rate / ppy)).otherwise(0.0).alias("rc"))
+        filled = SC.last_known(days.join(proxy.select("d", px.alias("px")), "d", "left"), [], F.col("px"), "px")
+        return SC.lagged(filled, [], F.col("px"), "_p").select("d", F.coalesce(F.try_divide("px", "_p") - 1, F.lit(0.0)).alias("rc"))
+    first = days.agg(F.min("d").alias("_first"))
+    return days.crossJoin(F.broadcast(first)).select("d", F.when(F.col("d") > F.col("_first"), F.lit(rate / ppy)).otherwise(0.0).alias("rc"))
 
 
 def legs(panel: DataFrame, targets: DataFrame, events: DataFrame, lag: int, max_leverage: float = 1.0, cash: DataFrame | None = None, opens: DataFrame | None = None, dividends: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
@@ -210,9 +212,9 @@ def kernel_trades(walked: DataFrame, x: DataFrame) -> DataFrame:
 def benchmark_result(bench: DataFrame, capital: float = 1.0) -> DataFrame:
     """(d, nav, ret): bought on the first day with a price and held, without cost."""
     p = bench.where("px IS NOT NULL")
-    w = W.orderBy("d")
-    first = F.first("px").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return p.select("d", (capital * F.col("px") / first).alias("nav"), F.coalesce(F.col("px") / F.lag("px").over(w) - 1, F.lit(0.0)).alias("ret"))
+    first = p.agg(F.min_by("px", "d").alias("_first"))  # one row
+    x = SC.lagged(p.crossJoin(F.broadcast(first)), [], F.col("px"), "_p")
+    return x.select("d", (capital * F.col("px") / F.col("_first")).alias("nav"), F.coalesce(F.col("px") / F.col("_p") - 1, F.lit(0.0)).alias("ret"))
 
 
 def first_active(run: DataFrame, threshold: float = 1e-9) -> DataFrame:
@@ -222,11 +224,17 @@ def first_active(run: DataFrame, threshold: float = 1e-9) -> DataFrame:
 
 def trim_warmup(run: DataFrame, capital: float = 1.0, start: DataFrame | None = None) -> DataFrame:
     """Each run from its first active day on, or from start (run_id, first_d), rebased to capital; that day's
-    return is 0. A run that was never active stays whole."""
+    returns (ret, and gross_ret if there) are 0. A run stays as it is if it was never active, if it is cut at its
+    first day or before, or if under two rows would be left."""
     days = first_active(run) if start is None else start
-    cut = run.join(days, "run_id").where("d >= coalesce(first_d, d)")
-    base = F.first("nav").over(W.partitionBy("run_id").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
-    return cut.withColumn("nav", capital * F.col("nav") / base).withColumn("ret", F.when(F.col("d") == F.col("first_d"), 0.0).otherwise(F.col("ret"))).drop("first_d")
+    kept = F.count_if(F.col("d") >= F.col("first_d"))
+    span = run.join(days, "run_id").groupBy("run_id", "first_d").agg(F.min("d").alias("_a"), kept.alias("_n"), F.min_by("nav", F.when(F.col("d") >= F.col("first_d"), F.col("d"))).alias("_base"))
+    cut = run.join(span, "run_id").withColumn("_cut", F.coalesce((F.col("first_d") > F.col("_a")) & (F.col("_n") >= 2), F.lit(False)))
+    cut = cut.where("NOT _cut OR d >= first_d").withColumn("nav", F.when(F.col("_cut"), capital * F.col("nav") / F.col("_base")).otherwise(F.col("nav")))
+    zero = F.col("_cut") & (F.col("d") == F.col("first_d"))
+    for c in {"ret", "gross_ret"} & set(run.columns):
+        cut = cut.withColumn(c, F.when(zero, 0.0).otherwise(F.col(c)))
+    return cut.select(*run.columns)
 
 
 def align_start(runs: DataFrame, capital: float = 1.0) -> DataFrame:
@@ -238,5 +246,5 @@ def align_start(runs: DataFrame, capital: float = 1.0) -> DataFrame:
 def align_results(a: DataFrame, b: DataFrame) -> DataFrame:
     """(d, a, b): values on common days, 100 on the first."""
     both = a.select("d", F.col("nav").alias("x")).join(b.select("d", F.col("nav").alias("y")), "d").where("x IS NOT NULL AND y IS NOT NULL")
-    w = W.orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    return both.select("d", (100 * F.col("x") / F.first("x").over(w)).alias("a"), (100 * F.col("y") / F.first("y").over(w)).alias("b"))
+    first = both.agg(F.min_by("x", "d").alias("_x"), F.min_by("y", "d").alias("_y"))  # one row
+    return both.crossJoin(F.broadcast(first)).select("d", (100 * F.col("x") / F.col("_x")).alias("a"), (100 * F.col("y") / F.col("_y")).alias("b"))

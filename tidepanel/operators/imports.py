@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .align import detect_scale, snap_dates, stream_frequency
+from .scan import positions
 
 
 def scaled_weights(raw: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def weight_flags(dense: DataFrame, normalize: bool = False, max_leverage: float
     """(flag, n): what is worth a warning in imported weights: short positions, days over and under budget, and
     sessions before the first file day."""
     day = dense.groupBy("d").agg(F.max("is_rebal").alias("is_rebal"), F.sum(F.abs("w")).alias("g"), F.min("w").alias("low"))
-    day = day.withColumn("k", F.row_number().over(W.orderBy("d")) - 1)
+    day = positions(day, [], "k").withColumn("k", F.col("k") - 1)
     one = day.agg(F.count_if(F.col("low") < -1e-9).alias("shorts"), F.count_if(F.col("is_rebal") & (F.col("g") > max_leverage + 1e-9)).alias("over"), F.count_if(F.col("is_rebal") & (F.col("g") < 0.99) & F.lit(not normalize)).alias("under"), F.coalesce(F.min(F.when(F.col("is_rebal"), F.col("k"))), F.lit(0)).cast("long").alias("idle"))
     one = one.withColumn("idle", F.when(F.col("idle") > idle, F.col("idle")).otherwise(0))
     return one.unpivot([], ["shorts", "over", "under", "idle"], "flag", "n").where("n > 0")

@@ -6,39 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan as S
+
+#: What tells streams apart.
+RUN = ["run_id"]
 FLAT = 1e-5
 #: A day that loses less is one of rounding, as days without a position are.
 NOISE = 1e-12
 
 
-def run_days():
-    """The window of a run's days."""
-    return W.partitionBy("run_id").orderBy("d")
-
-
-def equity_curve(rows: DataFrame, initial: float = 1.0) -> DataFrame:
+def equity_curve(rows: DataFrame, initial: float = 1.0, by: list[str] = RUN) -> DataFrame:
     """nav: compounded returns, a missing one counted as 0."""
-    grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(run_days().rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("nav", initial * grown)
+    return S.running_product(rows, by, 1 + F.coalesce("ret", F.lit(0.0)), "nav").withColumn("nav", initial * F.col("nav"))
 
 
-def drawdown(rows: DataFrame) -> DataFrame:
+def drawdown(rows: DataFrame, by: list[str] = RUN) -> DataFrame:
     """dd: nav over its highest so far, less 1."""
-    return rows.withColumn("dd", F.col("nav") / F.max("nav").over(run_days().rowsBetween(W.unboundedPreceding, 0)) - 1)
+    return S.running_max(rows, by, "nav", "_high").withColumn("dd", F.col("nav") / F.col("_high") - 1).drop("_high")
 
 
 def ratio(mean: Column, sd: Column, ppy: int) -> Column:
     return F.when(sd > FLAT, mean / F.when(sd > FLAT, sd) * ppy**0.5)
 
 
-def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_id") -> DataFrame:
+def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_id", span: bool = False) -> DataFrame:
     """One aggregate for all: total_return, cagr, vol, sharpe, sortino, mdd, calmar, ulcer, skew, kurtosis,
-    best, worst, positive, n. rows: ret and nav; the worst loss is counted from the first nav of `by`."""
-    w = W.partitionBy(by).orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    x = rows.withColumn("dd", F.col("nav") / F.max("nav").over(w) - 1).withColumn("ex", F.col("ret") - rf / ppy)
+    best, worst, positive, n. rows: ret and nav; the worst loss is counted from the first nav of `by`. span: start and end
+    too."""
+    x = drawdown(rows, [by]).withColumn("ex", F.col("ret") - rf / ppy)
     n = F.count("ret").cast("double")
     g1, g2 = F.skewness("ret"), F.kurtosis("ret")
     agg = x.groupBy(by).agg(
+        F.min("d").alias("start"), F.max("d").alias("end"),
         F.count(F.lit(1)).alias("n"), F.min_by("nav", "d").alias("first"), F.max_by("nav", "d").alias("last"), F.stddev_samp("ret").alias("sd"),
         F.avg("ex").alias("mean"), F.stddev_samp("ex").alias("sx"), F.stddev_samp(F.when(F.col("ex") < -NOISE, F.col("ex"))).alias("sn"), F.min("dd").alias("mdd"),
         F.sqrt(F.avg(F.pow(100 * F.col("dd"), F.lit(2.0)))).alias("ulcer"), F.max("ret").alias("best"), F.min("ret").alias("worst"),
@@ -48,16 +47,20 @@ def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_
     )
     cagr = F.when((F.col("n") >= 2) & (F.col("first") > 0), F.pow(F.col("last") / F.when(F.col("first") > 0, F.col("first")), F.lit(float(ppy)) / F.col("n")) - 1)
     out = agg.withColumn("cagr", cagr)
-    return out.select(by, "n", (F.col("last") / F.nullif("first", F.lit(0.0)) - 1).alias("total_return"), "cagr", (F.col("sd") * ppy**0.5).alias("vol"), ratio(F.col("mean"), F.col("sx"), ppy).alias("sharpe"), ratio(F.col("mean"), F.col("sn"), ppy).alias("sortino"), "mdd", F.try_divide("cagr", F.abs("mdd")).alias("calmar"), "ulcer", "skew", "kurtosis", "best", "worst", "positive")
+    return out.select(by, *(["start", "end"] if span else []), "n", (F.col("last") / F.nullif("first", F.lit(0.0)) - 1).alias("total_return"), "cagr", (F.col("sd") * ppy**0.5).alias("vol"), ratio(F.col("mean"), F.col("sx"), ppy).alias("sharpe"), ratio(F.col("mean"), F.col("sn"), ppy).alias("sortino"), "mdd", F.try_divide("cagr", F.abs("mdd")).alias("calmar"), "ulcer", "skew", "kurtosis", "best", "worst", "positive")
 
 
 def drawdown_table(rows: DataFrame, top: int = 5) -> DataFrame:
     """(run_id, start, trough, recovery, drawdown, days_to_trough, total_days): the deepest episodes. An
     episode begins where the value falls below its high and ends where it is back; recovery is null while open."""
-    x = drawdown(rows).withColumn("k", F.row_number().over(run_days())).withColumn("low", F.col("dd") < 0)
-    x = x.withColumn("island", F.sum(F.when(F.col("low") & ~F.coalesce(F.lag("low").over(run_days()), F.lit(False)), 1).otherwise(0)).over(run_days()))
-    x = x.withColumn("next_d", F.lead("d").over(run_days()))
-    e = x.where("low").groupBy("run_id", "island").agg(F.min("d").alias("start"), F.min_by("d", F.struct("dd", "d")).alias("trough"), F.min("dd").alias("drawdown"), F.min("k").alias("k0"), F.min_by("k", F.struct("dd", "d")).alias("k1"), F.max("k").alias("k2"), F.max_by("next_d", "d").alias("recovery"))
+    low = F.col("dd") < 0
+    carries = {"_k0": lambda o: F.coalesce(F.sum("_n").over(S.before(o)), F.lit(0)), "_high0": lambda o: F.last("_peak", ignorenulls=True).over(S.before(o)), "_after": lambda o: F.lead("_first").over(o)}
+    x = S.carried(drawdown(rows), RUN, {"_n": F.count(F.lit(1)), "_peak": F.max(F.when(~low, F.col("d"))), "_first": F.min("d")}, carries)
+    days = W.partitionBy(*RUN, "_b").orderBy("d")
+    x = x.withColumn("k", F.col("_k0") + F.row_number().over(days)).withColumn("next_d", F.coalesce(F.lead("d").over(days), "_after"))
+    # the last day at a high tells episodes apart
+    x = x.withColumn("high", F.coalesce(F.last(F.when(~low, F.col("d")), ignorenulls=True).over(S.within(RUN)), "_high0"))
+    e = x.where(low).groupBy("run_id", "high").agg(F.min("d").alias("start"), F.min_by("d", F.struct("dd", "d")).alias("trough"), F.min("dd").alias("drawdown"), F.min("k").alias("k0"), F.min_by("k", F.struct("dd", "d")).alias("k1"), F.max("k").alias("k2"), F.max_by("next_d", "d").alias("recovery"))
     total = F.col("k2") - F.col("k0") + F.when(F.col("recovery").isNotNull(), 2).otherwise(1)
     e = e.withColumn("place", F.row_number().over(W.partitionBy("run_id").orderBy("drawdown", "start"))).where(F.col("place") <= top)
     return e.select("run_id", "start", "trough", "recovery", "drawdown", (F.col("k1") - F.col("k0") + 1).cast("long").alias("days_to_trough"), total.cast("long").alias("total_days"))
@@ -65,7 +68,7 @@ def drawdown_table(rows: DataFrame, top: int = 5) -> DataFrame:
 
 def var_cvar(rows: DataFrame, level: float = 0.05) -> DataFrame:
     """(run_id, var, cvar): the quantile of returns, and the mean of those up to it."""
-    q = rows.groupBy("run_id").agg(F.expr(f"percentile(ret, {level})").alias("var"))
+    q = S.quantiles(rows, "ret", [level], RUN).select("run_id", F.col("q")[0].alias("var"))
     return rows.join(q, "run_id").groupBy("run_id", "var").agg(F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"))
 
 
@@ -96,17 +99,56 @@ def monthly_pivot(rows: DataFrame) -> DataFrame:
 
 
 def rolling_sharpe(rows: DataFrame, window: int = 252, ppy: int = 252) -> DataFrame:
-    w = run_days().rowsBetween(-(window - 1), 0)
-    sd = F.nullif(F.stddev_samp("ret").over(w), F.lit(0.0))
-    return rows.withColumn("rolling_sharpe", F.when(F.count("ret").over(w) >= window, F.try_divide(F.avg("ret").over(w), sd) * ppy**0.5))
+    x, over = S.halo(S.positions(rows, RUN, "_k"), RUN, "_k", window)
+    sd = F.nullif(over(F.stddev_samp("ret")), F.lit(0.0))
+    x = x.withColumn("rolling_sharpe", F.when(over(F.count("ret")) >= window, F.try_divide(over(F.avg("ret")), sd) * ppy**0.5))
+    return x.where("_own").drop("_k", "_blk", "_own")
+
+
+#: Assets of one side of a tile.
+SIDE = 256
 
 
 def correlation_matrix(panel: DataFrame) -> DataFrame:
-    """(a, b, corr) of returns (column r) of every two assets, on the days both have one. A day's returns are
-    one array, so pairs are made where they lie, each once, and summed before a shuffle."""
-    day = panel.where("r IS NOT NULL").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("x"))
-    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 1, F.size("x")), lambda b: F.struct(a["asset"].alias("a"), b["asset"].alias("b"), a["r"].alias("x"), b["r"].alias("y")))))
-    half = day.select(F.inline(pairs)).groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    """(a, b, corr) of returns (column r) of every two assets, on the days both have one. Assets are cut in groups
+    of SIDE and days in years: a tile is two groups in a year, its co-moments are matrix products, centred in
+    the tile, and tiles are merged by pair. Each row is sent once for every group that its own meets."""
+    rows = panel.where("r IS NOT NULL").select("d", "asset", "r")
+    names = rows.select("asset").distinct()
+    names = names.select("asset", F.expr(f"(row_number() OVER (ORDER BY asset) - 1) div {SIDE}").alias("g"))
+    groups = names.agg((F.coalesce(F.max("g"), F.lit(-1)) + 1).alias("m"))
+    x = rows.join(names, "asset").crossJoin(F.broadcast(groups)).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    x = x.select("d", "asset", "r", "g", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), F.trunc("d", "year").alias("m"))
+
+    def tile(pdf):
+        import numpy as np
+        import pandas as pd
+
+        wide = pdf.pivot(index="d", columns="asset", values="r").sort_index(axis=1)
+        side = pdf.drop_duplicates("asset").set_index("asset")["g"].reindex(wide.columns).to_numpy()
+        low, high = pdf["i"].iat[0], pdf["j"].iat[0]
+        v = wide.to_numpy()
+        ok = ~np.isnan(v)
+        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        mean = np.where(ok.any(0), np.nansum(v, 0) / np.maximum(ok.sum(0), 1), 0)
+        c, k = np.where(ok, v - mean, 0), ok.astype(float)
+        # of the days both have a value: number, sums and products of what is left of the assets' own means
+        a, b, ka, kb = c[:, left], c[:, right], k[:, left], k[:, right]
+        n, sx, sy = ka.T @ kb, a.T @ kb, ka.T @ b
+        some = np.maximum(n, 1)
+        out = {"n": n, "mx": mean[left][:, None] + sx / some, "my": mean[right][None, :] + sy / some, "xx": (a * a).T @ kb - sx * sx / some, "yy": ka.T @ (b * b) - sy * sy / some, "xy": a.T @ b - sx * sy / some}
+        p, q = np.nonzero((n > 0) & (wide.columns.to_numpy()[left][:, None] <= wide.columns.to_numpy()[right][None, :]))
+        names_ = wide.columns.to_numpy()
+        return pd.DataFrame({"a": names_[left[p]], "b": names_[right[q]], **{key: val[p, q] for key, val in out.items()}})
+
+    t = x.groupBy("i", "j", "m").applyInPandas(tile, "a string, b string, n double, mx double, my double, xx double, yy double, xy double")
+    # about the means of all: what is within years, and the years' means about the whole
+    t = t.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy"), F.collect_list(F.struct("n", "mx", "my")).alias("means"))
+    mean = lambda c: F.aggregate("means", F.lit(0.0), lambda s, m: s + m["n"] * m[c]) / F.col("n")
+    t = t.withColumn("mx", mean("mx")).withColumn("my", mean("my"))
+    spread = lambda c, e: F.aggregate("means", F.lit(0.0), lambda s, m: s + m["n"] * (m[c] - F.col(c)) * (m[e] - F.col(e)))
+    xx, yy, xy = F.col("xx") + spread("mx", "mx"), F.col("yy") + spread("my", "my"), F.col("xy") + spread("mx", "my")
+    half = t.select("a", "b", F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)).alias("corr"))
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return half.select(F.explode(both).alias("p"), "corr").select("p.a", "p.b", "corr")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,38 +14,54 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 from . import engine as E
 from . import metrics as M
+from . import scan as SC
 from . import strategies as S
+from . import sweep
 
 #: Runs of a sweep that are planned together.
 TOGETHER = 24
 
 
+def _parts(rows: DataFrame, part: str, name: Column, total: str) -> DataFrame:
+    """rows in parts by their place _k of `total`, each part with its own nav."""
+    x = SC.positions(rows, M.RUN, "_k", total).withColumn(part, name)
+    return M.equity_curve(x, by=["run_id", part]).withColumn("_key", F.struct("run_id", part))
+
+
+def _stats_by(x: DataFrame, part: str, ppy: int) -> DataFrame:
+    return M.statistics(x, ppy=ppy, by="_key", span=True).where("n >= 30").withColumn(part, F.col("_key")[part])
+
+
 def fold_stats(rows: DataFrame, folds: int, ppy: int = 252) -> DataFrame:
     """(fold, start, end, cagr, vol, sharpe, mdd) of equal consecutive parts with 30 rows at least."""
-    x = rows.withColumn("fold", F.ntile(max(2, folds)).over(M.run_days()).cast("long"))
-    grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(W.partitionBy("fold").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
-    s = M.statistics(x.withColumn("nav", grown), ppy=ppy, by="fold")
-    span = x.groupBy("fold").agg(F.min("d").alias("start"), F.max("d").alias("end"))
-    return s.join(span, "fold").where("n >= 30").select("fold", "start", "end", "cagr", "vol", F.when(F.col("vol") > 0.002, F.col("sharpe")).alias("sharpe"), "mdd")
+    f = max(2, folds)
+    size, more, k = F.expr(f"_n div {f}"), F.col("_n") % f, F.col("_k") - 1  # the first `more` folds have one row more
+    fold = F.when(k < more * (size + 1), F.floor(k / (size + 1))).otherwise(more + F.floor((k - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    s = _stats_by(_parts(rows, "fold", fold.cast("long"), "_n"), "fold", ppy)
+    return s.select("fold", "start", "end", "cagr", "vol", F.when(F.col("vol") > 0.002, F.col("sharpe")).alias("sharpe"), "mdd")
 
 
 def in_out_sample(rows: DataFrame, split: float = 0.6, ppy: int = 252) -> DataFrame:
     """(period, start, end, cagr, sharpe, mdd) of the first part and the rest."""
-    n = F.count(F.lit(1)).over(W.partitionBy("run_id"))
-    x = rows.withColumn("period", F.when(F.row_number().over(M.run_days()) <= F.floor(n * split), "in").otherwise("out"))
-    grown = F.product(1 + F.coalesce("ret", F.lit(0.0))).over(W.partitionBy("period").orderBy("d").rowsBetween(W.unboundedPreceding, 0))
-    s = M.statistics(x.withColumn("nav", grown), ppy=ppy, by="period")
-    span = x.groupBy("period").agg(F.min("d").alias("start"), F.max("d").alias("end"))
-    return s.join(span, "period").where("n >= 30").select("period", "start", "end", "cagr", "sharpe", "mdd")
+    period = F.when(F.col("_k") <= F.floor(F.col("_n") * split), "in").otherwise("out")
+    s = _stats_by(_parts(rows, "period", period, "_n"), "period", ppy)
+    return s.select("period", "start", "end", "cagr", "sharpe", "mdd")
+
+
+def combinations(grid: dict[str, list], max_runs: int = 400) -> list[dict]:
+    """The product of the lists, the last fastest, cut at max_runs in that order."""
+    return [dict(zip(grid, v, strict=True)) for v in itertools.islice(itertools.product(*grid.values()), max_runs)]
 
 
-def param_grid(spark: SparkSession, grid: dict[str, list], max_runs: int = 400) -> DataFrame:
-    """(run_id, parameters): the product of the lists, cut at max_runs."""
-    out = spark.range(1).select()
-    for name, values in grid.items():
-        out = out.crossJoin(spark.createDataFrame([(v,) for v in values], [name]))
-    order = list(grid)
-    return out.withColumn("_k", F.row_number().over(W.orderBy(*order))).where(F.col("_k") <= max_runs).select(F.concat_ws("-", *order).alias("run_id"), *order)
+def param_grid(values: dict[str, DataFrame], max_runs: int = 400) -> DataFrame:
+    """(run_id, parameters): the product of the lists, cut at max_runs in the order of the lists, the last fastest.
+    values: name -> (at, value), a list's values and their places from 0."""
+    out, k = None, F.lit(0).cast("long")
+    for name, table in values.items():
+        side = table.select(F.col("at").alias(f"_{name}"), F.col("value").alias(name)).crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias(f"_n{name}"))))
+        out = side if out is None else out.crossJoin(side)
+        k = k * F.col(f"_n{name}") + F.col(f"_{name}")
+    return out.where(k < max_runs).select(F.concat_ws("-", *values).alias("run_id"), *values)
 
 
 def cost_levels(days: DataFrame, levels: list[float]) -> DataFrame:
@@ -69,27 +86,55 @@ def run_statistics(runs: DataFrame, ppy: int = 252) -> DataFrame:
     return M.statistics(runs, ppy=ppy).join(t, "run_id").select("run_id", "cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover")
 
 
-def parameter_sweep(panel: DataFrame, key: str, base: dict, grid: dict[str, list], events: DataFrame, rate: float, lag: int = 1, exog: DataFrame | None = None, max_runs: int = 400, ppy: int = 252) -> DataFrame:
+STATED = ("cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover")
+
+
+@dataclass(frozen=True)
+class Setting:
+    """How runs are simulated: costs of a unit of turnover, lag, cash (d, rc), dead band, borrowing, leverage."""
+
+    rate: float = 0.0
+    lag: int = 1
+    cash: DataFrame | None = None
+    min_trade: float = 0.0
+    borrow: float = 0.0
+    max_leverage: float = 1.0
+    ppy: int = 252
+
+    def simulate(self, panel: DataFrame, targets: DataFrame, events: DataFrame) -> DataFrame:
+        """Days of all runs: in windows where these say it exactly, else by a walk for each run."""
+        x = E.legs(panel, targets, events, self.lag, self.max_leverage, self.cash)
+        if self.min_trade or self.borrow:
+            return E.kernel(x, self.rate, self.min_trade, self.max_leverage, self.borrow, ppy=self.ppy)
+        return E.closed_form(x, self.rate)
+
+
+def parameter_sweep(panel: DataFrame, key: str, base: dict, grid: dict[str, list], events: DataFrame, setting: Setting, exog: DataFrame | None = None, max_runs: int = 400) -> DataFrame:
     """(run_id, the parameters as strings, statistics, error): a run for each combination of the grid, at most
     max_runs in the order of the lists. panel and events should be stored tables. All runs go through one
-    simulation; a combination that the strategy refuses has an error and no statistics."""
-    spark, rows, targets, out = panel.sparkSession, [], [], None
-    for values in itertools.islice(itertools.product(*grid.values()), max_runs):
-        p, run, error = dict(zip(grid, values, strict=True)), "-".join(map(str, values)), None
+    simulation, and of the strategies of sweep.GRID their targets come from one plan too; those of others are made
+    TOGETHER at a time. A combination that the strategy's rules exclude has an error and no statistics."""
+    spark, strategy, rows, runs, out = panel.sparkSession, S.get(key), [], {}, None
+    for p in combinations(grid, max_runs):
+        run, error = "-".join(map(str, p.values())), None
         try:
-            targets.append(S.get(key).generate(panel, {**base, **p}, exog).withColumn("run_id", F.lit(run)))
-        except Exception as e:  # a wrong combination doesn't stop the others
+            runs[run] = strategy.check({**base, **p})
+        except ValueError as e:  # a wrong combination doesn't stop the others
             error = str(e)[:120]
-        rows.append((run, *map(str, values), error))
-    for i in range(0, len(targets), TOGETHER):
-        part = stored(functools.reduce(DataFrame.unionByName, targets[i : i + TOGETHER]))
-        out = part if out is None else out.unionByName(part)
+        rows.append((run, *map(str, p.values()), error))
     table = spark.createDataFrame(rows, ", ".join(["run_id string", *(f"`{k}` string" for k in grid), "error string"]))
-    if out is None:
+    if not runs:
         none = F.lit(None).cast("double")
-        return table.select("run_id", *grid, *[none.alias(c) for c in ("cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover")], "error")
-    stats = run_statistics(E.closed_form(E.legs(panel, out, events, lag), rate), ppy)
-    return table.join(stats, "run_id", "left").select("run_id", *grid, "cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover", "error")
+        return table.select("run_id", *grid, *[none.alias(c) for c in STATED], "error")
+    if sweep.can(key, runs):
+        out = sweep.targets(panel, key, runs)
+    else:
+        made = [strategy.generate(panel, p, exog).withColumn("run_id", F.lit(run)) for run, p in runs.items()]
+        for i in range(0, len(made), TOGETHER):
+            part = stored(functools.reduce(DataFrame.unionByName, made[i : i + TOGETHER]))
+            out = part if out is None else out.unionByName(part)
+    stats = run_statistics(stored(setting.simulate(panel, out, events).select("run_id", "d", "nav", "ret", "turnover")), setting.ppy)
+    return table.join(stats, "run_id", "left").select("run_id", *grid, *STATED, "error")
 
 
 def sweep_pivot(sweep: DataFrame, rows: str, columns: str, value: str) -> DataFrame:
@@ -97,34 +142,78 @@ def sweep_pivot(sweep: DataFrame, rows: str, columns: str, value: str) -> DataFr
     return sweep.groupBy(rows).pivot(columns).agg(F.avg(value))
 
 
+def sweep_line(sweep: DataFrame, x: str, value: str) -> DataFrame:
+    """(x, value): a statistic's mean over all other parameters, by one."""
+    return sweep.groupBy(F.col(x).cast("double").alias(x)).agg(F.avg(value).alias(value))
+
+
+def sweep_spread(sweep: DataFrame, value: str, obs: int, sharpe: float | None = None) -> DataFrame:
+    """(trials, spread, expected_max_sharpe, haircut): the gap between the best and the worst run if over two have
+    the statistic, the Sharpe ratio that so many trials would show by chance, and what is left of `sharpe`."""
+    one = sweep.agg(F.count(F.lit(1)).alias("trials"), F.count(value).alias("k"), (F.max(value) - F.min(value)).alias("s"))
+    chance = deflated_sharpe(F.col("trials"), F.lit(obs))
+    left = F.lit(sharpe).cast("double") - chance if sharpe is not None else F.lit(None).cast("double")
+    return one.select("trials", F.when(F.col("k") > 2, F.col("s")).alias("spread"), chance.alias("expected_max_sharpe"), left.alias("haircut"))
+
+
 def walk_forward(runs: DataFrame, folds: int = 5, ppy: int = 252) -> DataFrame:
     """fold_stats of one simulated run: its signals come from the whole history, its folds are judged apart."""
     return fold_stats(runs.select("run_id", "d", "ret"), folds, ppy)
 
 
-def dispersion(folds: DataFrame) -> DataFrame:
-    """(sharpe_dispersion, sharpe_min) over folds."""
-    return folds.agg(F.stddev_samp("sharpe").alias("sharpe_dispersion"), F.min("sharpe").alias("sharpe_min"))
+def dispersion(folds: DataFrame, most: float = 0.6) -> DataFrame:
+    """(sharpe_dispersion, sharpe_min, high): over folds; high: the result depends on the market's regime."""
+    one = folds.agg(F.stddev_samp("sharpe").alias("sharpe_dispersion"), F.min("sharpe").alias("sharpe_min"))
+    return one.withColumn("high", F.coalesce(F.col("sharpe_dispersion") > most, F.lit(False)))
 
 
-def block_starts(spark: SparkSession, n: int, sims: int, block: int, seed: int | None = None) -> DataFrame:
-    """(sim, k, at): where each block of each path begins: drawn for each (sim, k) by a hash with a seed;
-    without one by an arithmetic rule, whose paths lie far too close together for bands or probabilities."""
-    blocks = math.ceil(n / block)
-    if seed is None:
-        rule = F.pmod(F.col("sim") * 7919 + F.col("k") * 104729, F.lit(n - block))
-    else:
-        drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "sim", "k").cast("binary")), 1, 15), 16, 10).cast("long")
-        rule = F.pmod(drawn, F.lit(max(1, n - block)))
-    return spark.range(sims).withColumnRenamed("id", "sim").select("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("k")).withColumn("at", rule)
+def block_starts(spark: SparkSession, n: int, sims: int, block: int, seed: int) -> DataFrame:
+    """(sim, k, at): where each block of each path begins, drawn for each (sim, k) by a hash with a seed."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "sim", "k").cast("binary")), 1, 15), 16, 10).cast("long")
+    last = F.lit(math.ceil(n / block) - 1).cast("long")
+    return spark.range(sims).withColumnRenamed("id", "sim").select("sim", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k")).withColumn("at", F.pmod(drawn, F.lit(max(1, n - block))))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(at, r): returns by their place from 0."""
+    return SC.positions(rows.select("d", F.coalesce("ret", F.lit(0.0)).alias("r")), [], "at").select((F.col("at") - 1).alias("at"), "r")
 
 
 def mc_paths(rows: DataFrame, starts: DataFrame, n: int, block: int) -> DataFrame:
-    """(sim, step, v): compounded blocks of returns, n steps a path."""
-    r = rows.select((F.row_number().over(W.orderBy("d")) - 1).cast("long").alias("at"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    steps = starts.select("sim", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j"), "k", F.col("at").alias("at0")).select("sim", (F.col("k") * block + F.col("j")).alias("step"), (F.col("at0") + F.col("j")).alias("at")).where(F.col("step") < n)
-    path = W.partitionBy("sim").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    return steps.join(r, "at").select("sim", "step", F.product(1 + F.col("ret")).over(path).alias("v"))
+    """(sim, step, v): compounded blocks of returns, n steps a path. A block's own growth is looked up, what
+    enters it is a product over the path's blocks before."""
+    index = block_index(rows, block).select(F.col("at"), F.posexplode("grown").alias("j", "g"), "whole")
+    x = starts.join(block_index(rows, block).select("at", "whole"), "at")
+    before = F.coalesce(F.product("whole").over(W.partitionBy("sim").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0))
+    x = x.select("sim", "k", "at", before.alias("_in"))
+    out = x.join(index.drop("whole"), "at").select("sim", (F.col("k") * block + F.col("j")).alias("step"), (F.col("_in") * F.col("g")).alias("v"))
+    return out.where(F.col("step") < n)
+
+
+def block_index(rows: DataFrame, block: int) -> DataFrame:
+    """(at, grown, whole, high, low, drop, sum, squares): of the block of returns that begins at each place, the
+    growth after each of its rows and the summary that blocks are put together from: the growth of the whole, its
+    highest, lowest and deepest fall from a high (the start is none), sum and squares of returns. Rows are
+    dealt to the blocks that hold them; a place needs no row but its own block's."""
+    r = _numbered(rows)
+    n = F.broadcast(r.agg(F.count(F.lit(1)).alias("_n")))
+    x = r.select("r", F.col("at").alias("_i"), F.explode(F.sequence(F.col("at") - (block - 1), F.col("at"))).alias("at")).crossJoin(n).where((F.col("at") >= 0) & (F.col("at") < F.greatest(F.lit(1), F.col("_n") - block)))
+    g = x.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "r"))), lambda e: e["r"]).alias("rs"))
+    return summary_of(g.select("at", "rs"))
+
+
+def summary_of(g: DataFrame) -> DataFrame:
+    """(at, rs) with the summary of block_index."""
+    start = F.struct(F.array().cast("array<double>").alias("g"), F.lit(1.0).alias("v"), F.lit(None).cast("double").alias("h"), F.lit(None).cast("double").alias("l"), F.lit(0.0).alias("d"))
+
+    def step(s, r):
+        v = s["v"] * (1 + r)
+        high = F.greatest(s["h"], v)
+        return F.struct(F.concat(s["g"], F.array(v)).alias("g"), v.alias("v"), high.alias("h"), F.least(s["l"], v).alias("l"), F.least(s["d"], v / high - 1).alias("d"))
+
+    total = lambda f: F.aggregate("rs", F.lit(0.0), lambda a, r: a + f(r))
+    out = g.withColumn("_s", F.aggregate("rs", start, step))
+    return out.select("at", F.col("_s.g").alias("grown"), F.col("_s.v").alias("whole"), F.col("_s.h").alias("high"), F.col("_s.l").alias("low"), F.col("_s.d").alias("drop"), total(lambda r: r).alias("sum"), total(lambda r: r * r).alias("squares"))
 
 
 def bootstrap(rows: DataFrame, sims: int = 500, block: int = 21, seed: int = 42) -> DataFrame:
@@ -134,13 +223,31 @@ def bootstrap(rows: DataFrame, sims: int = 500, block: int = 21, seed: int = 42)
     return mc_paths(rows, block_starts(rows.sparkSession, n, sims if n >= 3 * block else 0, block, seed), n, block)
 
 
-def mc_summary(paths: DataFrame, ppy: int = 252) -> DataFrame:
-    """(percentile, cagr, mdd, sharpe, prob_loss, prob_dd_20, median_cagr): a row for each percentile over
-    the paths; the last three are the same in all."""
-    w = W.partitionBy("sim").orderBy("step")
-    x = paths.withColumn("dd", F.col("v") / F.max("v").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).withColumn("r", F.try_divide("v", F.coalesce(F.lag("v").over(w), F.lit(1.0))) - 1)
-    s = x.groupBy("sim").agg(F.max_by("v", "step").alias("f"), F.min("dd").alias("mdd"), M.ratio(F.avg("r"), F.stddev_samp("r"), ppy).alias("sharpe"), F.count(F.lit(1)).alias("n"))
-    s = s.withColumn("cagr", F.pow("f", F.lit(float(ppy)) / F.col("n")) - 1)
+def mc_summary(rows: DataFrame, sims: int = 500, block: int = 21, seed: int = 42, ppy: int = 252) -> DataFrame:
+    """(percentile, cagr, mdd, sharpe, prob_loss, prob_dd_20, median_cagr): a row for each percentile over drawn
+    paths; the last three are the same in all. A path is a fold over its blocks' summaries (growth, high, deepest
+    fall, sums), so no row is made for a path's day; the last block is cut to the path's length."""
+    rows = rows.where("ret IS NOT NULL")
+    n = rows.count()
+    starts = block_starts(rows.sparkSession, n, sims if n >= 3 * block else 0, block, seed)
+    blocks, short = math.ceil(n / block), n - (math.ceil(n / block) - 1) * block
+    whole = block_index(rows, block).withColumn("cut", F.lit(False))
+    r = _numbered(rows)
+    ends = r.select("r", F.col("at").alias("_i"), F.explode(F.sequence(F.col("at") - (short - 1), F.col("at"))).alias("at")).where(f"at >= 0 AND at < {max(1, n - block)}")
+    ends = summary_of(ends.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "r"))), lambda e: e["r"]).alias("rs"))).withColumn("cut", F.lit(True))
+    index = whole.unionByName(ends).drop("grown")
+    x = starts.withColumn("cut", F.col("k") == blocks - 1).join(index, ["at", "cut"])
+    x = x.groupBy("sim").agg(F.array_sort(F.collect_list(F.struct("k", "whole", "high", "low", "drop", "sum", "squares"))).alias("b"))
+    start = F.struct(F.lit(1.0).alias("v"), F.lit(None).cast("double").alias("h"), F.lit(0.0).alias("d"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+
+    def put(s, b):  # the deepest fall so far: inside the block, or from the high before it to its lowest
+        return F.struct((s["v"] * b["whole"]).alias("v"), F.greatest(s["h"], s["v"] * b["high"]).alias("h"), F.least(s["d"], b["drop"], F.coalesce(s["v"] * b["low"] / s["h"] - 1, F.lit(0.0))).alias("d"), (s["s"] + b["sum"]).alias("s"), (s["q"] + b["squares"]).alias("q"))
+
+    f = F.col("f")
+    s = x.select("sim", F.aggregate("b", start, put).alias("f"))
+    mean = f["s"] / n
+    sd = F.sqrt(F.greatest(F.lit(0.0), f["q"] - n * mean * mean) / (n - 1))
+    s = s.select("sim", f["v"].alias("f"), f["d"].alias("mdd"), M.ratio(mean, sd, ppy).alias("sharpe"), (F.pow(f["v"], F.lit(ppy / max(1, n))) - 1).alias("cagr"))
     cuts = (5, 25, 50, 75, 95)
     at = ", ".join(str(p / 100) for p in cuts)
     one = s.agg(*[F.expr(f"percentile({c}, array({at}))").alias(c) for c in ("cagr", "mdd", "sharpe")], F.avg((F.col("f") < 1).cast("double")).alias("prob_loss"), F.avg((F.col("mdd") < -0.2).cast("double")).alias("prob_dd_20"), F.expr("percentile(cagr, 0.5)").alias("median_cagr"))
@@ -149,16 +256,10 @@ def mc_summary(paths: DataFrame, ppy: int = 252) -> DataFrame:
 
 
 def mc_bands(paths: DataFrame) -> DataFrame:
+    """(step, p5 .. p95): over the paths of each step; a step has as many values as there are paths."""
     return paths.groupBy("step").agg(*[F.expr(f"percentile(v, {p / 100})").alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
 
 
-def mc_stats(paths: DataFrame) -> DataFrame:
-    """(prob_loss, prob_dd_20, median_final)."""
-    x = paths.withColumn("dd", F.col("v") / F.greatest(F.max("v").over(W.partitionBy("sim").orderBy("step").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)) - 1)
-    s = x.groupBy("sim").agg(F.max_by("v", "step").alias("f"), F.min("dd").alias("mdd"))
-    return s.agg(F.avg(F.when(F.col("f") < 1, 1.0).otherwise(0.0)).alias("prob_loss"), F.avg(F.when(F.col("mdd") < -0.2, 1.0).otherwise(0.0)).alias("prob_dd_20"), F.expr("percentile(f, 0.5)").alias("median_final"))
-
-
 # The coefficients of Acklam's published approximation of the normal quantile.
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)

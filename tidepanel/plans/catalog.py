@@ -15,6 +15,7 @@ from ..operators import engine as E
 from ..operators import imports as I
 from ..operators import metrics as M
 from ..operators import robustness as B
+from ..operators import scan as SC
 from ..operators import sinks as K
 from ..operators import strategies as S
 from ..sources import market as D
@@ -59,7 +60,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query("densify", "q AS (SELECT *, ln(px) AS log_px FROM dense)", "log_px", "d n asset ord")
 def _(spark, sf):
-    return D.densify(D.raw_prices(spark, sf)).select("d", "n", "asset", "ord", F.log("px").alias("log_px"))
+    return D.dense(spark, sf).select("d", "n", "asset", "ord", F.log("px").alias("log_px"))
 
 
 @query("bounded_ffill", "q AS (SELECT *, ln(px) AS log_px FROM px)", "log_px", "d asset")
@@ -75,13 +76,13 @@ def _(spark, sf):
 
 @query("drop_empty_assets", "q AS (SELECT d, asset, ln(px) AS log_px FROM dense WHERE ord <> 2)", "log_px", "d asset")
 def _(spark, sf):
-    p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.when(F.col("ord") != 2, F.col("px")))
+    p = D.dense(spark, sf).withColumn("px", F.when(F.col("ord") != 2, F.col("px")))
     return C.drop_empty_assets(p).select("d", "asset", F.log("px").alias("log_px"))
 
 
 @query("neutralize_nonpositive", "q AS (SELECT d, asset, CASE WHEN px - 1500 > 0 THEN ln(px - 1500) END AS log_px FROM dense)", "log_px", "d asset")
 def _(spark, sf):
-    p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.col("px") - 1500)
+    p = D.dense(spark, sf).withColumn("px", F.col("px") - 1500)
     return C.neutralize_nonpositive(p).select("d", "asset", F.log("px").alias("log_px"))
 
 
@@ -90,18 +91,18 @@ _REPORT = """rep AS (SELECT asset, min(d) FILTER (px IS NOT NULL) AS first_d, ma
 
 @query("quality_report", _REPORT + ", q AS (SELECT *, span - observations AS gaps, round(100.0 * (span - observations) / span, 2) AS pct_missing FROM rep)", "pct_missing", "asset first_d last_d observations gaps")
 def _(spark, sf):
-    return C.quality_report(D.densify(D.raw_prices(spark, sf)))
+    return C.quality_report(D.dense(spark, sf))
 
 
 @query("quality_flags", _REPORT + """, f AS (SELECT asset, unnest([CASE WHEN first_d > (SELECT min(first_d) FROM rep) THEN 'short_history' END, CASE WHEN span > observations THEN 'gaps' END, CASE WHEN observations < 60 THEN 'too_few' END]) AS flag FROM rep), q AS (SELECT * FROM f WHERE flag IS NOT NULL)""", "", "asset flag")
 def _(spark, sf):
-    return C.quality_flags(C.quality_report(D.densify(D.raw_prices(spark, sf))))
+    return C.quality_flags(C.quality_report(D.dense(spark, sf)))
 
 
 @query("quality_warnings", """hd AS (SELECT * FROM dense WHERE ord <> 2), hr AS (SELECT asset, min(d) FILTER (px IS NOT NULL) AS first_d, count(px) AS k, max(n) FILTER (px IS NOT NULL) - min(n) FILTER (px IS NOT NULL) + 1 AS span FROM hd GROUP BY asset), days AS (SELECT count(DISTINCT d) AS k, min(d) AS d0 FROM dense),
 q AS (SELECT asset, 'short_history' AS flag FROM hr, days WHERE first_d > d0 UNION ALL SELECT asset, 'gaps' FROM hr WHERE span > k UNION ALL SELECT asset, 'dropped' FROM uni WHERE ord = 2 UNION ALL SELECT NULL, 'too_few' FROM days WHERE k < 5000)""", "", "asset flag")
 def _(spark, sf):
-    p = D.densify(D.raw_prices(spark, sf)).withColumn("px", F.when(F.col("ord") != 2, F.col("px")))
+    p = D.dense(spark, sf).withColumn("px", F.when(F.col("ord") != 2, F.col("px")))
     return C.quality_warnings(p, 5000)
 
 
@@ -143,17 +144,17 @@ def _(spark, sf):
 
 @query("exog_asof", "q AS (SELECT cal.d, 'ORDERS' AS series, v FROM cal ASOF LEFT JOIN (SELECT d + 5 AS d, v FROM macro) m ON cal.d >= m.d)", "v", "d series")
 def _(spark, sf):
-    return A.exog_asof(D.macro(spark, sf), D.raw_prices(spark, sf), 5)
+    return A.exog_asof(D.macro(spark, sf), D.calendar(spark, sf), 5)
 
 
 @query("exog_asof_limit", "eu AS (SELECT d, max(v) AS v, bool_or(c) AS c FROM (SELECT d + 5 AS d, v, false AS c FROM macro UNION ALL SELECT d, NULL, true FROM cal) GROUP BY d), el AS (SELECT d, c, last_value(v IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS v FROM eu), q AS (SELECT d, 'ORDERS' AS series, v FROM el WHERE c)", "v", "d series")
 def _(spark, sf):
-    return A.exog_asof(D.macro(spark, sf), D.raw_prices(spark, sf), 5, 10)
+    return A.exog_asof(D.macro(spark, sf), D.calendar(spark, sf), 5, 10)
 
 
 @query("snap_dates", "q AS (SELECT f.d AS file_d, cal.d AS d FROM (SELECT DISTINCT d FROM wimp) f ASOF JOIN cal ON f.d >= cal.d)", "", "file_d d")
 def _(spark, sf):
-    return A.snap_dates(D.imported_weights(spark, sf), D.raw_prices(spark, sf))
+    return A.snap_dates(D.imported_weights(spark, sf), D.daily(spark, sf))
 
 
 _PERIOD = {"weekly": "d + CAST((6 - (dayofweek(d) + 1) + 7) % 7 AS INTEGER)", "monthly": "date_trunc('month', d)", "quarterly": "date_trunc('quarter', d)", "annual": "date_trunc('year', d)"}
@@ -161,17 +162,17 @@ for _rule, _p in _PERIOD.items():
 
     @query(f"rebalance_{_rule}", f"q AS (SELECT max(d) AS d FROM cal GROUP BY {_p})", "", "d")
     def _(spark, sf, rule=_rule):
-        return A.rebalance_calendar(D.raw_prices(spark, sf), rule)
+        return A.rebalance_calendar(D.calendar(spark, sf), rule)
 
 
 @query("rebalance_semi", "q AS (SELECT DISTINCT d FROM wimp WHERE d IN (SELECT d FROM cal))", "", "d")
 def _(spark, sf):
-    return D.imported_weights(spark, sf).select("d").distinct().join(D.raw_prices(spark, sf).select("d").distinct(), "d", "left_semi")
+    return D.imported_weights(spark, sf).select("d").distinct().join(D.calendar(spark, sf).select("d").distinct(), "d", "left_semi")
 
 
 @query("signal_to_exec_dates", "q AS (SELECT a.d AS signal_d, b.d AS d FROM cal a JOIN cal b ON b.n = a.n + 2 WHERE a.d IN (SELECT d FROM wimp))", "", "signal_d d")
 def _(spark, sf):
-    return A.signal_to_exec_dates(D.imported_weights(spark, sf).select("d").distinct(), D.densify(D.raw_prices(spark, sf)), 2)
+    return A.signal_to_exec_dates(D.imported_weights(spark, sf).select("d").distinct(), D.dense(spark, sf), 2)
 
 
 _FREQ = """g AS (SELECT CAST(d - lag(d) OVER (ORDER BY d) AS DOUBLE) AS g FROM (SELECT DISTINCT d FROM {t})), m AS (SELECT quantile_cont(g, 0.5) AS median_gap, count(g) AS k FROM g),
@@ -192,7 +193,7 @@ def _(spark, sf):
 c AS (SELECT series, count(*) FILTER (k > 0) AS c, min(d) FILTER (k > 0) AS first_usable FROM s GROUP BY series),
 q AS (SELECT f.series, count(*) AS observations, min(f.d) AS first_d, max(f.d) AS last_d, 100.0 * any_value(c.c) / (SELECT count(*) FROM cal) AS coverage, any_value(c.first_usable) AS first_usable FROM factor f JOIN c USING (series) GROUP BY f.series)""", "coverage", "series observations first_d last_d first_usable", 1)
 def _(spark, sf):
-    return A.exog_report(D.factor(spark, sf), D.raw_prices(spark, sf))
+    return A.exog_report(D.factor(spark, sf), D.daily(spark, sf))
 
 
 def _mixed_exog(spark, sf):
@@ -206,37 +207,37 @@ _MIXED = "ex AS (SELECT * FROM macro UNION ALL SELECT d, lower(series), v FROM f
 xg AS (SELECT CAST(d - lag(d) OVER (ORDER BY d) AS DOUBLE) AS g FROM (SELECT DISTINCT d FROM ex)),
 q AS (SELECT series, 'stale' AS flag FROM xc WHERE last_d < (SELECT max(d) FROM cal) - 180 UNION ALL SELECT series, 'thin' FROM xc WHERE coverage < 50 UNION ALL SELECT NULL, 'lag' FROM xg HAVING count(g) >= 2 AND quantile_cont(g, 0.5) > 10)""", "", "series flag")
 def _(spark, sf):
-    return A.exog_flags(_mixed_exog(spark, sf), D.raw_prices(spark, sf))
+    return A.exog_flags(_mixed_exog(spark, sf), D.daily(spark, sf))
 
 
 @query("name_report", _MIXED + "q AS (SELECT DISTINCT series AS asset, 'unknown' AS state FROM ex WHERE upper(series) NOT IN (SELECT upper(asset) FROM uni) UNION ALL SELECT asset, 'absent' FROM uni WHERE upper(asset) NOT IN (SELECT upper(series) FROM ex))", "", "asset state")
 def _(spark, sf):
-    return I.name_report(_mixed_exog(spark, sf).withColumnRenamed("series", "asset"), D.raw_prices(spark, sf))
+    return I.name_report(_mixed_exog(spark, sf).withColumnRenamed("series", "asset"), D.daily(spark, sf))
 
 
 @query("split_roles_factor", _MIXED + "q AS (SELECT * FROM ex WHERE upper(series) IN (SELECT upper(asset) FROM uni))", "v", "d series", 4)
 def _(spark, sf):
-    return A.split_roles(_mixed_exog(spark, sf), D.raw_prices(spark, sf))[0]
+    return A.split_roles(_mixed_exog(spark, sf), D.daily(spark, sf))[0]
 
 
 @query("split_roles_macro", _MIXED + "q AS (SELECT * FROM ex WHERE upper(series) NOT IN (SELECT upper(asset) FROM uni))", "v", "d series", 2)
 def _(spark, sf):
-    return A.split_roles(_mixed_exog(spark, sf), D.raw_prices(spark, sf))[1]
+    return A.split_roles(_mixed_exog(spark, sf), D.daily(spark, sf))[1]
 
 
 @query("calendar_union", "q AS (SELECT d FROM cal UNION SELECT d FROM macro)", "", "d")
 def _(spark, sf):
-    return D.raw_prices(spark, sf).select("d").union(D.macro(spark, sf).select("d")).distinct()
+    return D.calendar(spark, sf).select("d").union(D.macro(spark, sf).select("d")).distinct()
 
 
 @query("calendar_intersect", "q AS (SELECT d FROM cal INTERSECT SELECT d FROM macro)", "", "d")
 def _(spark, sf):
-    return D.raw_prices(spark, sf).select("d").intersect(D.macro(spark, sf).select("d"))
+    return D.calendar(spark, sf).select("d").intersect(D.macro(spark, sf).select("d"))
 
 
 @query("universe_except", "q AS (SELECT series FROM ex EXCEPT SELECT lower(asset) FROM uni)".replace("q AS", "ex AS (SELECT * FROM macro UNION ALL SELECT d, lower(series), v FROM factor), q AS", 1), "", "series")
 def _(spark, sf):
-    return _mixed_exog(spark, sf).select("series").subtract(D.raw_prices(spark, sf).select(F.lower("asset").alias("series")))
+    return _mixed_exog(spark, sf).select("series").subtract(D.daily(spark, sf).select(F.lower("asset").alias("series")))
 
 
 # ---- indicators --------------------------------------------------------------------------------
@@ -358,11 +359,11 @@ _strategy("strat_fixed_weights", "fixed_weights", {"weights": "STANDARD:0.6; ECO
 
 
 def _macro_daily(spark, sf):
-    return A.exog_asof(D.macro(spark, sf), D.raw_prices(spark, sf), 5)
+    return A.exog_asof(D.macro(spark, sf), D.calendar(spark, sf), 5)
 
 
 def _factor_daily(spark, sf):
-    return A.exog_asof(D.factor(spark, sf), D.raw_prices(spark, sf), 5)
+    return A.exog_asof(D.factor(spark, sf), D.calendar(spark, sf), 5)
 
 
 _MG = "mg AS (SELECT cal.d, cal.n, v FROM cal ASOF LEFT JOIN (SELECT d + 5 AS d, v FROM macro) m ON cal.d >= m.d), mw AS (SELECT d, v - CASE WHEN count(v) OVER w >= 12 THEN avg(v) OVER w END > 1e-12 * avg(v) OVER w AS up FROM mg WINDOW w AS (ORDER BY n ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"
@@ -398,7 +399,7 @@ def _(spark, sf):
 
 
 def _run(spark, sf, rule: str = "monthly", lag: int = 1) -> DataFrame:
-    p = D.panel(spark, sf)
+    p = D.prices(spark, sf)
     t = S.get("buy_hold").generate(p).withColumn("run_id", F.lit("run"))
     return E.legs(p, t, A.rebalance_calendar(p, rule), lag)
 
@@ -412,19 +413,24 @@ def _trend(n: int) -> str:
     return f"SELECT *, CASE WHEN px > ma THEN 1.0::DOUBLE ELSE 0 END / nullif(sum(m) OVER (PARTITION BY d), 0) AS w FROM (SELECT *, {_guard('avg', 'px', n)} AS ma FROM rr)"
 
 
-def _walk(min_trade: str, rate: str = "0.003", held: str = _HELD, events: str = _MONTHLY, income: str = "0.0::DOUBLE") -> str:
+_NO_CASH = "SELECT d, 0.0::DOUBLE AS rc FROM cal"
+_PROXY = "SELECT d, r AS rc FROM bret"
+_HALF = f"SELECT * REPLACE (w * 0.5 AS w) FROM ({_HELD})"
+
+
+def _walk(min_trade: str, rate: str = "0.003", held: str = _HELD, events: str = _MONTHLY, income: str = "0.0::DOUBLE", cash: str = _NO_CASH) -> str:
     """The day recursion over lists of weights; ends in sim(n, d, w, c, v, tr). held: target weights of rr;
-    events: days of trade; income: dividends over the price before, of rr."""
+    events: days of trade; income: dividends over the price before, of rr; cash: d, rc."""
     return f"""r0 AS (SELECT *, lag(px) OVER (PARTITION BY asset ORDER BY n) AS before FROM px), rr AS (SELECT d, n, asset, px, coalesce(px / lag(px) OVER (PARTITION BY asset ORDER BY n) - 1, 0) AS r, CASE WHEN px IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS m, coalesce({income}, 0) AS dv FROM r0),
 tw AS ({held}), tl AS (SELECT *, coalesce(lag(w, 1) OVER (PARTITION BY asset ORDER BY n), 0) AS t FROM tw),
-reb AS ({events}),
-dy AS (SELECT tl.d, n, list(r ORDER BY asset) AS r, list(dv ORDER BY asset) AS dv, list(t ORDER BY asset) AS t, bool_or(reb.d IS NOT NULL) AND n > 1 AS ev FROM tl LEFT JOIN reb ON tl.d = reb.d GROUP BY tl.d, n),
+reb AS ({events}), cr AS ({cash}),
+dy AS (SELECT tl.d, n, any_value(rc) AS rc, list(r ORDER BY asset) AS r, list(dv ORDER BY asset) AS dv, list(t ORDER BY asset) AS t, bool_or(reb.d IS NOT NULL) AND n > 1 AS ev FROM tl JOIN cr ON cr.d = tl.d LEFT JOIN reb ON tl.d = reb.d GROUP BY tl.d, n),
 sim AS (SELECT n, d, list_transform(t, lambda x: 0.0::DOUBLE) AS w, 1.0::DOUBLE AS c, 1.0::DOUBLE AS v, 0.0::DOUBLE AS tr FROM dy WHERE n = 1 UNION ALL
 SELECT n, d, CASE WHEN ev AND tr > 0 THEN nw ELSE w2 END, CASE WHEN ev AND tr > 0 THEN 1 - list_sum(nw) ELSE c2 END, v2 * (1 - CASE WHEN ev THEN tr ELSE 0 END * {rate}), CASE WHEN ev THEN tr ELSE 0.0::DOUBLE END FROM (
 SELECT *, list_sum(list_transform(list_zip(nw, w2), lambda z: abs(z[1] - z[2]))) AS tr FROM (SELECT *, CASE WHEN g0 > 1 THEN list_transform(nw0, lambda x: x / g0) ELSE nw0 END AS nw FROM (SELECT *, list_sum(list_transform(nw0, lambda x: abs(x))) AS g0 FROM (SELECT *, list_transform(list_zip(w2, dl), lambda z: z[1] + z[2]) AS nw0 FROM (
 SELECT *, CASE WHEN ev THEN list_transform(list_zip(t, w2), lambda z: CASE WHEN abs(z[1] - z[2]) < {min_trade} THEN 0.0::DOUBLE ELSE z[1] - z[2] END) ELSE list_transform(t, lambda x: 0.0::DOUBLE) END AS dl FROM (
 SELECT n, d, t, ev, list_transform(wg, lambda x: x / (list_sum(wg) + c)) AS w2, c / (list_sum(wg) + c) AS c2, v * (list_sum(wg) + c) AS v2 FROM (
-SELECT dy.n, dy.d, dy.t, dy.ev, list_transform(list_zip(sim.w, dy.r), lambda z: z[1] * (1 + z[2])) AS wg, sim.c + list_sum(list_transform(list_zip(sim.w, dy.dv), lambda z: z[1] * z[2])) AS c, sim.v FROM sim JOIN dy ON dy.n = sim.n + 1)))))))"""
+SELECT dy.n, dy.d, dy.t, dy.ev, list_transform(list_zip(sim.w, dy.r), lambda z: z[1] * (1 + z[2])) AS wg, sim.c * (1 + dy.rc) + list_sum(list_transform(list_zip(sim.w, dy.dv), lambda z: z[1] * z[2])) AS c, sim.v FROM sim JOIN dy ON dy.n = sim.n + 1)))))))"""
 
 
 @query("bt_nav_closed_form", _walk("0") + "), q AS (SELECT d, v AS nav, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS ret, tr AS turnover, tr * 0.003 AS cost FROM sim)", "nav ret turnover cost", "d")
@@ -457,17 +463,17 @@ def _(spark, sf):
 
 def _half(spark, sf, lag: int = 1) -> DataFrame:
     """Half in the assets, half in cash that follows the benchmark as its proxy."""
-    p = D.panel(spark, sf)
+    p = D.prices(spark, sf)
     t = S.get("buy_hold").generate(p).withColumn("run_id", F.lit("run")).withColumn("w", F.col("w") * 0.5)
     return E.legs(p, t, A.rebalance_calendar(p, "monthly"), lag, cash=E.cash_returns(p, D.benchmark(spark, sf)))
 
 
-@query("bt_cash_proxy")
+@query("bt_cash_proxy", _walk("0", held=_HALF, cash=_PROXY) + "), q AS (SELECT d, v AS nav, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS ret, tr AS turnover, tr * 0.003 AS cost, list_sum(w) AS exposure, 1 - list_sum(w) AS cash_w FROM sim)", "nav ret turnover cost exposure cash_w", "d")
 def _(spark, sf):
     return E.closed_form(_half(spark, sf), E.Costs().rate).select("d", "nav", "ret", "turnover", "cost", "exposure", "cash_w")
 
 
-@query("bt_cash_proxy_general")
+@query("bt_cash_proxy_general", _walk("0.005", held=_HALF, cash=_PROXY) + "), q AS (SELECT d, v AS nav, tr AS turnover FROM sim)", "nav turnover", "d")
 def _(spark, sf):
     return E.kernel(_half(spark, sf), E.Costs().rate, min_trade=0.005).select("d", "nav", "turnover")
 
@@ -521,8 +527,7 @@ _SQL["cost_sensitivity"] = f"{D.SQL.rstrip()},\n{_walk('0', '0.0')}), lv AS (SEL
 
 
 def _market(spark, sf) -> DataFrame:
-    b = E.benchmark_result(D.benchmark(spark, sf)).withColumn("run_id", F.lit("market"))
-    return M.equity_curve(b.select("run_id", "d", "ret"))
+    return D.market(spark, sf)
 
 
 _EQ = "eq AS (SELECT d, n, r, product(1 + r) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nav FROM bret), dd AS (SELECT *, nav / max(nav) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM eq)"
@@ -621,46 +626,25 @@ def _(spark, sf):
     return B.in_out_sample(_market(spark, sf))
 
 
-@query("param_grid", "SELECT concat_ws('-', a, b) AS run_id, a::BIGINT AS a, b::BIGINT AS b FROM (SELECT a, b, row_number() OVER (ORDER BY a, b) AS k FROM (SELECT unnest([20, 50, 100]) AS a) CROSS JOIN (SELECT unnest([1, 2, 3]) AS b)) WHERE k <= 8")
-def _(spark, sf):
-    return B.param_grid(spark, {"a": [20, 50, 100], "b": [1, 2, 3]}, 8)
-
-
-_MC = """rt AS (SELECT n - 1 AS at, r, count(*) OVER () AS nn FROM bret), sm AS (SELECT s.range AS sim, j.range AS step FROM range(40) s, range((SELECT max(nn) FROM rt)) j),
-mp AS (SELECT sim, step, product(1 + r) OVER (PARTITION BY sim ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM sm JOIN rt ON rt.at = (sim * 7919 + (step // 21) * 104729) % (rt.nn - 21) + step % 21)"""
-
-
-def _paths(spark, sf) -> DataFrame:
-    rows = stored(_market(spark, sf))
-    n = rows.count()
-    return B.mc_paths(rows, B.block_starts(spark, n, 40, 21), n, 21)
-
-
-@query("mc_paths", _MC + ", q AS (SELECT * FROM mp)", "v", "sim step")
+@query("param_grid", "a0 AS (SELECT year(d) AS value, row_number() OVER (ORDER BY year(d) DESC) - 1 AS at FROM cal GROUP BY 1), b0 AS (SELECT asset AS value, ord - 1 AS at FROM uni), q AS (SELECT concat_ws('-', a0.value, b0.value) AS run_id, a0.value::BIGINT AS year, b0.value AS asset FROM a0 CROSS JOIN b0 WHERE a0.at * (SELECT count(*) FROM b0) + b0.at < 20)", "", "run_id year asset")
 def _(spark, sf):
-    return _paths(spark, sf)
-
-
-@query("mc_bands", _MC + ", q AS (SELECT step, " + ", ".join(f"quantile_cont(v, {p / 100}) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM mp GROUP BY step)", "p5 p25 p50 p75 p95", "step")
-def _(spark, sf):
-    return B.mc_bands(_paths(spark, sf))
-
-
-@query("mc_stats", _MC + ", md AS (SELECT *, v / max(v) OVER (PARTITION BY sim ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM mp), fs AS (SELECT sim, arg_max(v, step) AS f, min(dd) AS mdd FROM md GROUP BY sim), q AS (SELECT avg(CAST(f < 1 AS DOUBLE)) AS prob_loss, avg(CAST(mdd < -0.2 AS DOUBLE)) AS prob_dd_20, quantile_cont(f, 0.5) AS median_final FROM fs)", "prob_loss prob_dd_20 median_final")
-def _(spark, sf):
-    return B.mc_stats(_paths(spark, sf))
+    """Start years, the latest first, and assets: a run for each pair, 20 at most in that order."""
+    p = D.prices(spark, sf)
+    years = p.groupBy(F.year("d").cast("long").alias("value")).count().select("value", (F.row_number().over(W.orderBy(F.desc("value"))) - 1).cast("long").alias("at"))
+    assets = p.select((F.col("ord") - 1).alias("at"), F.col("asset").alias("value")).distinct()
+    return B.param_grid({"year": years, "asset": assets}, 20)
 
 
 _BOOT = """rt AS (SELECT n - 1 AS at, r, count(*) OVER () AS nn FROM bret), st AS (SELECT s.range AS sim, k.range AS k, CAST('0x' || substr(md5(concat_ws('-', 42, s.range, k.range)), 1, 15) AS BIGINT) % ((SELECT max(nn) FROM rt) - 21) AS at0 FROM range(500) s, range((SELECT CAST(ceil(max(nn) / 21.0) AS BIGINT) FROM rt)) k),
 mp AS (SELECT sim, k * 21 + j.range AS step, product(1 + r) OVER (PARTITION BY sim ORDER BY k * 21 + j.range ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM st CROSS JOIN range(21) j JOIN rt ON rt.at = at0 + j.range WHERE k * 21 + j.range < nn)"""
 
 
-@query("mc_bootstrap_paths", _BOOT + ", q AS (SELECT * FROM mp)", "v", "sim step", 5)
+@query("mc_paths", _BOOT + ", q AS (SELECT * FROM mp)", "v", "sim step", 5)
 def _(spark, sf):
     return B.bootstrap(_market(spark, sf))
 
 
-@query("mc_bootstrap_bands", _BOOT + ", q AS (SELECT step, " + ", ".join(f"quantile_cont(v, {p / 100}) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM mp GROUP BY step)", "p5 p25 p50 p75 p95", "step", 5)
+@query("mc_bands", _BOOT + ", q AS (SELECT step, " + ", ".join(f"quantile_cont(v, {p / 100}) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM mp GROUP BY step)", "p5 p25 p50 p75 p95", "step", 5)
 def _(spark, sf):
     return B.mc_bands(B.bootstrap(_market(spark, sf)))
 
@@ -670,9 +654,9 @@ fs AS (SELECT sim, arg_max(v, step) AS f, pow(arg_max(v, step), 252.0 / count(*)
 _BOOTQ = " UNION ALL ".join(f"SELECT '{p}th' AS percentile, quantile_cont(cagr, {p / 100}) AS cagr, quantile_cont(mdd, {p / 100}) AS mdd, quantile_cont(sharpe, {p / 100}) AS sharpe, avg(CAST(f < 1 AS DOUBLE)) AS prob_loss, avg(CAST(mdd < -0.2 AS DOUBLE)) AS prob_dd_20, quantile_cont(cagr, 0.5) AS median_cagr FROM fs" for p in (5, 25, 50, 75, 95))
 
 
-@query("mc_bootstrap_stats", f"{_BOOT}, {_BOOTS}, q AS ({_BOOTQ})", "cagr mdd sharpe prob_loss prob_dd_20 median_cagr", "percentile", 5)
+@query("mc_stats", f"{_BOOT}, {_BOOTS}, q AS ({_BOOTQ})", "cagr mdd sharpe prob_loss prob_dd_20 median_cagr", "percentile", 5)
 def _(spark, sf):
-    return B.mc_summary(B.bootstrap(_market(spark, sf)))
+    return B.mc_summary(_market(spark, sf))
 
 
 def _powers(coefficients, x: str) -> str:
@@ -688,14 +672,21 @@ def _ppf(p: str) -> str:
     return f"CASE WHEN {p} < 0.02425 THEN {far} WHEN {p} > 1 - 0.02425 THEN -({far}) ELSE {near} END"
 
 
-@query("norm_ppf", f"pp AS (SELECT range / 1e3 AS p FROM range(1, 1000)), q AS (SELECT p, {_ppf('p')} AS z FROM pp)", "p z")
+@query("norm_ppf", f"pp AS (SELECT d, (n - 0.5)::DOUBLE / (SELECT count(*) FROM bret) AS p FROM (SELECT d, row_number() OVER (ORDER BY r, d) AS n FROM bret)), q AS (SELECT d, p, {_ppf('p')} AS z FROM pp)", "p z", "d")
 def _(spark, sf):
-    return spark.range(1, 1000).select((F.col("id") / 1000).alias("p"), B.norm_ppf(F.col("id") / 1000).alias("z"))
+    """Normal scores of the market's returns: the quantile of each day's place among all."""
+    x = SC.global_number(_market(spark, sf), [F.asc("ret"), F.asc("d")], "k")
+    p = (F.col("k") - 0.5) / F.col("n")
+    return x.crossJoin(F.broadcast(x.agg(F.count(F.lit(1)).alias("n")))).select("d", p.alias("p"), B.norm_ppf(p).alias("z"))
 
 
-@query("deflated_sharpe", f"pp AS (SELECT range AS id, 1 - 1.0::DOUBLE / range AS a, 1 - 1 / (range * exp(1.0)) AS b FROM range(2, 50)), dz AS (SELECT id, (1 - 0.5772156649015329) * ({_ppf('a')}) + 0.5772156649015329 * ({_ppf('b')}) AS z FROM pp), q AS (SELECT id, z / sqrt(500.0) * sqrt(252.0) AS z FROM dz UNION ALL SELECT 1, NULL)", "z", "id")
+@query("deflated_sharpe", f"""rs AS (SELECT asset, count(r) AS obs, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM ret GROUP BY asset), tn AS (SELECT count(*)::DOUBLE AS k FROM rs), ab AS (SELECT rs.*, 1 - 1 / k AS a, 1 - 1 / (k * exp(1.0)) AS b FROM rs, tn),
+dz AS (SELECT *, (1 - 0.5772156649015329) * ({_ppf('a')}) + 0.5772156649015329 * ({_ppf('b')}) AS z FROM ab), q AS (SELECT asset, sharpe, z / sqrt(obs) * sqrt(252.0) AS expected_max, sharpe - z / sqrt(obs) * sqrt(252.0) AS haircut FROM dz)""", "sharpe expected_max haircut", "asset", 5)
 def _(spark, sf):
-    return spark.range(1, 50).select("id", B.deflated_sharpe(F.col("id"), F.lit(500)).alias("z"))
+    """Each asset's Sharpe ratio beside what the best of as many assets would show by chance."""
+    s = R.with_returns(D.prices(spark, sf)).groupBy("asset").agg(F.count("r").alias("obs"), M.ratio(F.avg("r"), F.stddev_samp("r"), 252).alias("sharpe"))
+    chance = B.deflated_sharpe(F.count(F.lit(1)).over(W.partitionBy()), F.col("obs"))
+    return s.select("asset", "sharpe", chance.alias("expected_max"), (F.col("sharpe") - chance).alias("haircut"))
 
 
 def _stats_of(table: str) -> str:
@@ -707,31 +698,79 @@ _STATED = "cagr vol sharpe sortino calmar mdd turnover".split()
 _GRID = {"window": [20, 50, 100], "sizing": ["Equal"]}
 
 
-def _swept(n: int) -> str:
+def _sweep_sql(runs: list[tuple[str, str, str]]) -> str:
+    """Statistics of runs (columns that name it, its target weights, its dead band)."""
     cols = ", ".join(f"round({c}, 5) + 0.0::DOUBLE AS {c}" for c in _STATED)
-    return f"""SELECT '{n}-Equal' AS run_id, '{n}' AS "window", 'Equal' AS sizing, NULL::VARCHAR AS error, {cols} FROM ({D.SQL.rstrip()},
-{_walk("0", held=_trend(n))}), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r FROM sim), {_stats_of("ru")} SELECT *, cagr / abs(mdd) AS calmar FROM e1)"""
+    return " UNION ALL ".join(f"""SELECT {named}, NULL::VARCHAR AS error, {cols} FROM ({D.SQL.rstrip()},
+{_walk(band, held=held)}), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r FROM sim), {_stats_of("ru")} SELECT *, cagr / abs(mdd) AS calmar FROM e1)""" for named, held, band in runs)
+
+
+_WINDOWS = _sweep_sql([(f"""'{n}-Equal' AS run_id, '{n}' AS "window", 'Equal' AS sizing""", _trend(n), "0") for n in _GRID["window"]])
+
+
+def _swept(spark, sf, grid: dict, **setting) -> DataFrame:
+    p = D.prices(spark, sf)
+    return B.parameter_sweep(p, "sma_trend", {}, grid, A.rebalance_calendar(p, "monthly"), B.Setting(rate=E.Costs().rate, **setting))
+
+
+@query("parameter_sweep", _WINDOWS, digits=5)
+def _(spark, sf):
+    """Moving-average windows: runs as data, over one stored panel."""
+    return _swept(spark, sf, _GRID)
+
+
+def _buffered(n: int, b: float) -> str:
+    """The weights of sma_trend with a buffer, in place of _HELD."""
+    turn = f"CASE WHEN coalesce(px < ma * {1 - b}, false) THEN 0.0 WHEN coalesce(px > ma * {1 + b}, false) THEN 1.0 END" if b else "CASE WHEN coalesce(px > ma, false) THEN 1.0 ELSE 0.0 END"
+    state = "coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY asset ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"
+    return f"SELECT * REPLACE (CASE WHEN px IS NOT NULL THEN w ELSE 0 END AS w) FROM (SELECT *, {state} / nullif(sum(m) OVER (PARTITION BY d), 0) AS w FROM (SELECT *, {turn} AS s FROM (SELECT *, {_guard('avg', 'px', n)} AS ma FROM rr)))"
+
+
+_SURFACE = {"window": [20, 50], "buffer": [0.0, 2.0]}
+_SURFACE_SQL = _sweep_sql([(f"""'{n}-{b}' AS run_id, '{n}' AS "window", '{b}' AS buffer""", _buffered(n, b / 100), "0") for n in _SURFACE["window"] for b in _SURFACE["buffer"]])
+
+
+@query("sweep_pivot", f"""SELECT "window", round(max(sharpe) FILTER (buffer = '0.0'), 5) AS b0, round(max(sharpe) FILTER (buffer = '2.0'), 5) AS b2 FROM ({_SURFACE_SQL}) GROUP BY 1""", digits=5)
+def _(spark, sf):
+    return B.sweep_pivot(_swept(spark, sf, _SURFACE), "window", "buffer", "sharpe").withColumnsRenamed({"0.0": "b0", "2.0": "b2"})
+
+
+@query("sweep_line", f"""SELECT CAST("window" AS DOUBLE) AS "window", round(avg(sharpe), 4) AS sharpe FROM ({_SURFACE_SQL}) GROUP BY 1""", digits=4)
+def _(spark, sf):
+    """A line over one parameter: the mean over the other."""
+    return B.sweep_line(_swept(spark, sf, _SURFACE), "window", "sharpe")
+
+
+@query("sweep_spread", f"""WITH sw AS ({_WINDOWS}), tr AS (SELECT count(*) AS trials, max(sharpe) - min(sharpe) AS spread FROM sw), ob AS (SELECT count(DISTINCT CAST(l_shipdate AS DATE)) AS obs FROM lineitem), ab AS (SELECT *, 1 - 1.0::DOUBLE / trials AS a, 1 - 1 / (trials * exp(1.0)) AS b FROM tr, ob),
+dz AS (SELECT *, ((1 - 0.5772156649015329) * ({_ppf('a')}) + 0.5772156649015329 * ({_ppf('b')})) / sqrt(obs) * sqrt(252.0) AS z FROM ab) SELECT trials, round(spread, 4) AS spread, round(z, 4) AS expected_max_sharpe, NULL::DOUBLE AS haircut FROM dz""", digits=4)
+def _(spark, sf):
+    return B.sweep_spread(_swept(spark, sf, _GRID), "sharpe", D.prices(spark, sf).agg(F.max("n")).first()[0])
+
+
+@query("sweep_surface", digits=5)
+def _(spark, sf):
+    """Seven windows by seven buffers: 49 runs in one plan."""
+    return _swept(spark, sf, {"window": [10, 20, 35, 50, 80, 120, 200], "buffer": [0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0]})
 
 
-@query("parameter_sweep", " UNION ALL ".join(_swept(n) for n in _GRID["window"]), digits=5)
+@query("sweep_banded", _sweep_sql([(f"""'{n}' AS run_id, '{n}' AS "window\"""", _trend(n), "0.02") for n in (20, 100)]), digits=5)
 def _(spark, sf):
-    """Moving-average windows: one run each, over one stored panel."""
-    p = D.panel(spark, sf)
-    return B.parameter_sweep(p, "sma_trend", {}, _GRID, A.rebalance_calendar(p, "monthly"), E.Costs().rate)
+    """The sweep under a dead band: a walk for each run."""
+    return _swept(spark, sf, {"window": [20, 100]}, min_trade=0.02)
 
 
-@query("sweep_pivot")
+@query("sweep_grid_400", digits=5)
 def _(spark, sf):
-    p = D.panel(spark, sf)
-    grid = {"window": [20, 50], "buffer": [0.0, 2.0]}
-    s = B.parameter_sweep(p, "sma_trend", {}, grid, A.rebalance_calendar(p, "monthly"), E.Costs().rate)
-    return B.sweep_pivot(s, "window", "buffer", "sharpe").withColumnsRenamed({"0.0": "b0", "2.0": "b2"})
+    """Lookbacks, skips, names and trend windows of dual momentum: 400 of 420 combinations, in one plan."""
+    p = D.prices(spark, sf)
+    grid = {"lookback": [20, 40, 63, 84, 105, 126, 168], "skip": [0, 5, 10, 21], "top_n": [1, 2, 3], "trend_window": [20, 50, 100, 150, 200]}
+    return B.parameter_sweep(p, "dual_momentum", {}, grid, A.rebalance_calendar(p, "monthly"), B.Setting(rate=E.Costs().rate))
 
 
 def _trend_run(spark, sf) -> DataFrame:
-    p = D.panel(spark, sf)
+    p = D.prices(spark, sf)
     t = S.get("sma_trend").generate(p, {"window": LONG}).withColumn("run_id", F.lit("trend"))
-    return E.closed_form(E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1), E.Costs().rate)
+    return stored(E.closed_form(E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1), E.Costs().rate))
 
 
 _TRENDED = _walk("0", held=_trend(LONG)) + "), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r, list_sum(w) AS e FROM sim)"
@@ -768,7 +807,7 @@ def _(spark, sf):
 
 def _held(spark, sf, **options) -> tuple[DataFrame, DataFrame]:
     """(panel, targets) of equal weights."""
-    p = D.panel(spark, sf)
+    p = D.prices(spark, sf)
     return p, S.get("buy_hold").generate(p).withColumn("run_id", F.lit("run"))
 
 

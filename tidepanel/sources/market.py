@@ -10,52 +10,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import stored
+from ..operators import scan as S
+from .tables import derived
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, asset, e, q): value and quantity of a day's trades by kind of part."""
+def _trades(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet"]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("asset"))
-    return lines.join(part, "l_partkey").groupBy("d", "asset").agg(F.sum("l_extendedprice").alias("e"), F.sum("l_quantity").alias("q"))
+    return lines.join(part, "l_partkey")
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d, asset, e, q): value and quantity of a day's trades by kind of part. Stored: all other tables of the
+    trades come from it, so they are read once."""
+    return derived(spark, "daily", _trades(sf_dir), (), lambda: _lines(spark, sf_dir).groupBy("d", "asset").agg(F.sum("l_extendedprice").alias("e"), F.sum("l_quantity").alias("q")))
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d): the days of trade, from the trades' dates alone."""
+    return _lines(spark, sf_dir).select("d").distinct()
 
 
 def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, asset, px): value over quantity of the last 60 days with trades. Stored: a panel uses it several
-    times, and the trades are read once."""
-    w = W.partitionBy("asset").orderBy("d").rowsBetween(-59, 0)
-    return stored(daily(spark, sf_dir).select("d", "asset", (F.sum("e").over(w) / F.sum("q").over(w)).alias("px")))
+    """(d, asset, px): value over quantity of the last 60 days with trades."""
+    x, over = S.halo(S.positions(daily(spark, sf_dir), ["asset"], "_k"), ["asset"], "_k", 60)
+    return x.select("d", "asset", "_own", (over(F.sum("e")) / over(F.sum("q"))).alias("px")).where("_own").drop("_own")
 
 
-def densify(rows: DataFrame, value: str = "px") -> DataFrame:
-    """(d, n, asset, ord, value) on calendar x universe. Both sides are keys of the rows, so their
-    product is the panel itself and nothing more."""
-    cal = rows.select("d").distinct().select("d", F.row_number().over(W.orderBy("d")).cast("long").alias("n"))
-    uni = rows.select("asset").distinct().select("asset", F.row_number().over(W.orderBy("asset")).cast("long").alias("ord"))
+def densify(rows: DataFrame, value: str = "px", keys: DataFrame | None = None) -> DataFrame:
+    """(d, n, asset, ord, value) on calendar x universe, those of rows or of a table `keys` (d, asset) that has the
+    same. Both sides are keys of the rows, so their product is the panel itself and nothing more."""
+    keys = rows if keys is None else keys
+    cal = S.positions(keys.select("d").distinct(), [], "n").select("d", F.col("n").cast("long").alias("n"))
+    uni = keys.select("asset").distinct().select("asset", F.row_number().over(W.orderBy("asset")).cast("long").alias("ord"))
     return cal.crossJoin(uni).join(rows.select("d", "asset", value), ["d", "asset"], "left")
 
 
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of prices as they are."""
+    return densify(raw_prices(spark, sf_dir), keys=daily(spark, sf_dir))
+
+
 def prices(spark: SparkSession, sf_dir: str, fill: int = 5) -> DataFrame:
-    """The cleaned panel: gaps of at most `fill` days are filled."""
+    """The cleaned panel, stored: gaps of at most `fill` days are filled."""
     from ..operators.clean import bounded_ffill
 
-    return bounded_ffill(densify(raw_prices(spark, sf_dir)), "px", fill)
+    return derived(spark, "prices", _trades(sf_dir), (fill,), lambda: bounded_ffill(dense(spark, sf_dir), "px", fill))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """prices, stored: for plans that use them many times."""
-    return stored(prices(spark, sf_dir))
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d, px): the whole market's price, stored."""
 
+    def build():
+        day = daily(spark, sf_dir).groupBy("d").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
+        x, over = S.halo(S.positions(day, [], "_k"), [], "_k", 60)
+        return x.select("d", "_own", (over(F.sum("e")) / over(F.sum("q"))).alias("px")).where("_own").drop("_own")
 
-def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, px): the whole market's price."""
-    w = W.orderBy("d").rowsBetween(-59, 0)
-    day = daily(spark, sf_dir).groupBy("d").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
-    return day.select("d", (F.sum("e").over(w) / F.sum("q").over(w)).alias("px"))
+    return derived(spark, "benchmark", _trades(sf_dir), (), build)
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, d, ret, nav): the whole market as a return stream, stored."""
+    from ..operators import engine, metrics
+
+    def build():
+        b = engine.benchmark_result(benchmark(spark, sf_dir)).withColumn("run_id", F.lit("market"))
+        return metrics.equity_curve(b.select("run_id", "d", "ret"))
+
+    return derived(spark, "market", _trades(sf_dir), (), build)
 
 
 def opens(panel: DataFrame) -> DataFrame:
