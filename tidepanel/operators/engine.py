@@ -3,8 +3,8 @@
 closed_form says it in windows: between two rebalances a holding is its target times the growth of its
 price, so value, drift and turnover of every day follow from the last event before it, and the value over
 all events is a product. What is uninvested is one more leg that grows by the cash return. Exact without a
-dead band, borrowing, dividends or open execution. kernel walks the days of one run at a time for those; runs are
-spread over the cluster.
+dead band, borrowing, dividends or open execution. kernel says the days between trades in windows too and walks
+only over the trades, one row each; day_walk walks every day of a run, for borrowing.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from . import scan as SC
 from .align import signal_to_exec_dates
 
@@ -126,13 +127,112 @@ def trades(x: DataFrame) -> DataFrame:
     return out.withColumn("change", F.col("weight_after") - F.col("weight_before")).where("change <> 0")
 
 
-def kernel(x: DataFrame, rate: float | str, min_trade: float = 0.0, max_leverage: float = 1.0, borrow: float = 0.0, capital: float = 1.0, ppy: int = 252, at_open: bool = False) -> DataFrame:
-    """(run_id, d, nav, ret, gross_ret, turnover, cost, exposure, cash_w, div_income, w, w_before, w_after) by
-    a walk over the days of legs: a dead band, a leverage limit at each trade, a charge on what is borrowed,
-    dividends that stay in cash till the next trade, and trades at the close or at the open (the part of a day
-    before it is earned on the old weights). w are the day's last weights in the order of `ord`; w_before and
-    w_after, null without a trade, those around it. A run is a path that can't be cut: one row a day with
-    arrays over assets goes to its task, and runs are spread over the cluster. rate: a number or a column."""
+def kernel(x: DataFrame, rate: float | str, min_trade: float | str = 0.0, max_leverage: float = 1.0, borrow: float = 0.0, capital: float = 1.0, ppy: int = 252, at_open: bool = False) -> DataFrame:
+    """(run_id, d, nav, ret, gross_ret, turnover, cost, exposure, cash_w, div_income, w, w_before, w_after) of legs:
+    with a dead band, a leverage limit at each trade, a charge on what is borrowed, dividends that stay in cash till
+    the next trade, and trades at the close or at the open (the part of a day before it is earned on the old
+    weights). w are the day's last weights in the order of `ord`; w_before and w_after, null without a trade, those
+    around it. rate and, without borrowing and leverage, min_trade (the dead band): a number or a column.
+
+    Between two days of trade all is linear in the weights after the first of them. So growth and income of each
+    asset are windows within a stretch; only the trades themselves depend on each other: a walk over one row for
+    each day of trade, a run's rows in one task; and every day's figures follow from the stretch's first weights."""
+    if borrow or max_leverage > 1:
+        return day_walk(x, rate, min_trade, max_leverage, borrow, capital, ppy, at_open)
+    fee = F.col(rate) if isinstance(rate, str) else F.lit(float(rate))
+    band = F.col(min_trade) if isinstance(min_trade, str) else F.lit(float(min_trade))
+    rows = _stretches(x.withColumn("_fee", fee).withColumn("_band", band), at_open)
+    path = W.partitionBy("run_id", "asset", "seg").orderBy("d", "part")
+    upto = path.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("g", F.product("f").over(upto)).withColumn("gc", F.product(1 + F.col("rc")).over(upto)).withColumn("_paid", F.coalesce(F.lag("g").over(path), F.lit(1.0)) * F.col("dv"))
+    rows = stored(rows.withColumn("i", F.col("gc") * F.sum(F.col("_paid") / F.col("gc")).over(upto)))
+    ends = rows.where("trade").groupBy("run_id", "seg").agg(F.array_sort(F.collect_list(F.struct("ord", "g", "i", "t"))).alias("l"), F.max("gc").alias("gc"), F.max("_fee").alias("fee"), F.max("_band").alias("band"))
+    ends = ends.select("run_id", "seg", *[F.col("l")[c].alias(c) for c in ("ord", "g", "i", "t")], "gc", "fee", "band")
+    names = rows.select("ord").distinct().agg(F.array_sort(F.collect_list("ord")).alias("ords"))  # the universe, one row
+    start = rows.select("run_id").distinct().crossJoin(F.broadcast(names))
+    states = _trade_walk(start, ends, max_leverage, capital)
+    held = states.select("run_id", "seg", F.col("value").alias("v0"), F.col("cash").alias("c0"), F.inline(F.arrays_zip(F.col("ords").alias("ord"), F.col("w").alias("w0"))))
+    x0 = rows.join(held, ["run_id", "seg", "ord"]).withColumn("now", F.col("w0") * F.col("g"))
+    parts = x0.groupBy("run_id", "seg", "d", "part").agg(
+        F.max("trade").alias("trade"), F.max("v0").alias("v0"), (F.sum("now") + F.max("c0") * F.max("gc") + F.sum(F.col("w0") * F.col("i"))).alias("base"), F.sum(F.col("w0") * F.col("_paid")).alias("paid"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "now"))), lambda e: e["now"]).alias("now"),
+    )
+    parts = parts.withColumn("last", F.coalesce(F.lag("base").over(W.partitionBy("run_id", "seg").orderBy("d", "part")), F.lit(1.0)))
+    after = states.where("seg > 0").select("run_id", (F.col("seg") - 1).alias("seg"), "moved", "cost", "w_before", "w_after", F.col("w").alias("w1"), F.col("cash").alias("c1"))
+    parts = parts.join(after, ["run_id", "seg"], "left")
+    traded = F.col("trade") & F.coalesce(F.col("moved") > 0, F.lit(False))
+    parts = parts.withColumns({"moved": F.when(traded, F.col("moved")).otherwise(0.0), "cost": F.when(traded, F.col("cost")).otherwise(0.0), "w_before": F.when(traded, F.col("w_before")), "w_after": F.when(traded, F.col("w_after"))})
+    w_end = F.when(traded, F.col("w1")).otherwise(F.transform("now", lambda v: v / F.col("base")))
+    parts = parts.withColumn("end", F.struct((F.col("v0") * F.col("base") * (1 - F.col("cost"))).alias("nav"), w_end.alias("w")))
+    day = parts.groupBy("run_id", "d").agg(
+        F.max_by("end", "part").alias("end"), F.min_by(F.col("v0") * F.col("last"), "part").alias("before"), F.min_by(F.col("paid") / F.col("last"), "part").alias("div_income"), F.min_by(F.col("base") / F.col("last") - 1, "part").alias("port"),
+        F.max("moved").alias("turnover"), F.max("cost").alias("cost"), F.max("w_before").alias("w_before"), F.max("w_after").alias("w_after"),
+    )
+    ret = F.col("end.nav") / F.col("before") - 1
+    gross = ret + F.col("cost") if at_open else F.col("port")
+    total = lambda f: F.aggregate("end.w", F.lit(0.0), lambda a, v: a + f(v))
+    return day.select("run_id", "d", F.col("end.nav").alias("nav"), ret.alias("ret"), gross.alias("gross_ret"), "turnover", "cost", total(F.abs).alias("exposure"), (1 - total(lambda v: v)).alias("cash_w"), "div_income", F.col("end.w").alias("w"), "w_before", "w_after")
+
+
+def _stretches(x: DataFrame, at_open: bool) -> DataFrame:
+    """legs with seg (the days of trade before), f (growth), and trade: whether the row ends its stretch. At the
+    open a day of trade has two rows: part 0, before the trade, and part 1, which begins the next stretch."""
+    first = x.groupBy("run_id").agg(F.min("d").alias("_first"))
+    days = x.groupBy("run_id", "d").agg(F.max("ev").alias("ev")).join(first, "run_id")
+    if at_open:  # nothing is held yet on a run's first day
+        days = days.withColumn("ev", F.col("ev") & (F.col("d") > F.col("_first")))
+    days = SC.carried(days, ["run_id"], {"_e": F.count_if("ev")}, {"_e0": lambda o: F.coalesce(F.sum("_e").over(SC.before(o)), F.lit(0))})
+    seg = F.col("_e0") + F.count_if("ev").over(SC.within(["run_id"])) - F.col("ev").cast("long")
+    days = days.select("run_id", "d", seg.alias("seg"), F.col("ev").alias("trade"))
+    rows = x.drop("ev").join(days, ["run_id", "d"]).withColumn("part", F.lit(0)).withColumn("f", (1 + F.col("r_on")) * (1 + F.col("r")))
+    if not at_open:
+        return rows
+    opened = F.struct(F.lit(0).alias("part"), "seg", (1 + F.col("r_on")).alias("f"), "dv", "rc", F.lit(True).alias("trade"))
+    rest = F.struct(F.lit(1).alias("part"), (F.col("seg") + 1).alias("seg"), (1 + F.col("r")).alias("f"), F.lit(0.0).alias("dv"), F.lit(0.0).alias("rc"), F.lit(False).alias("trade"))
+    whole = F.struct("part", "seg", "f", "dv", "rc", "trade")
+    rows = rows.withColumn("_p", F.explode(F.when(F.col("trade"), F.array(opened, rest)).otherwise(F.array(whole))))
+    return rows.select("run_id", "d", "asset", "ord", "t", "_fee", "_band", "_p.*")
+
+
+def _trade_walk(start: DataFrame, ends: DataFrame, max_leverage: float, capital: float) -> DataFrame:
+    """(run_id, seg, value, cash, ords, w, moved, cost, w_before, w_after): the state in which each stretch begins,
+    and the trade that led to it. start: run_id, ords; ends: growth and income of each stretch, targets, fee and dead band."""
+    schema = "run_id string, seg long, value double, cash double, ords array<long>, w array<double>, moved double, cost double, w_before array<double>, w_after array<double>"
+
+    def run(key, rows):
+        import numpy as np
+        import pandas as pd
+
+        ords = rows["ords"].iat[0]
+        w, cash, value = np.zeros(len(ords)), 1.0, capital
+        out = [(key[0], 0, value, cash, ords, w, 0.0, 0.0, None, None)]
+        for e in rows.dropna(subset="seg").sort_values("seg").itertuples():
+            now = w * e.g
+            base = now.sum() + cash * e.gc + (w * e.i).sum()
+            now = now / base
+            step = e.t - now
+            step[np.abs(step) < e.band] = 0
+            new = now + step
+            gross = np.abs(new).sum()
+            if gross > max_leverage and step.any():
+                new = new * max_leverage / gross
+            moved = np.abs(new - now).sum()
+            value *= base
+            if moved > 0:
+                value *= 1 - moved * e.fee
+                w, cash = new, 1 - new.sum()
+            else:
+                w, cash = now, 1 - now.sum()
+            out.append((key[0], int(e.seg) + 1, value, cash, ords, w, moved, moved * e.fee, now if moved > 0 else None, new if moved > 0 else None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return start.join(ends.drop("ord"), "run_id", "left").groupBy("run_id").applyInPandas(run, schema)
+
+
+def day_walk(x: DataFrame, rate: float | str, min_trade: float = 0.0, max_leverage: float = 1.0, borrow: float = 0.0, capital: float = 1.0, ppy: int = 252, at_open: bool = False) -> DataFrame:
+    """What kernel returns, by a walk over every day of a run: for a charge on what is borrowed or a leverage over 1,
+    where a day's return isn't linear in the weights before it. One row a day with arrays over assets goes to a
+    run's task; runs are spread over the cluster."""
     fee = F.col(rate) if isinstance(rate, str) else F.lit(float(rate))
     legs_ = F.array_sort(F.collect_list(F.struct("ord", "r_on", "r", "dv", "t")))
     days = x.withColumn("_fee", fee).groupBy("run_id", "d").agg(legs_.alias("l"), F.max("ev").alias("ev"), F.max("rc").alias("rc"), F.max("_fee").alias("fee"))
@@ -217,6 +317,14 @@ def benchmark_result(bench: DataFrame, capital: float = 1.0) -> DataFrame:
     return x.select("d", (capital * F.col("px") / F.col("_first")).alias("nav"), F.coalesce(F.col("px") / F.col("_p") - 1, F.lit(0.0)).alias("ret"))
 
 
+def stream_result(rows: DataFrame) -> DataFrame:
+    """Return streams (run_id, d, ret, nav) in the shape of simulated runs: one asset that is all of the portfolio,
+    nothing traded, no cost."""
+    none = F.lit(0.0)
+    one = {"gross_ret": F.col("ret"), "turnover": none, "cost": none, "exposure": F.lit(1.0), "cash_w": none, "asset": F.col("run_id"), "w": F.lit(1.0)}
+    return rows.select("run_id", "d", "nav", "ret", *[c.alias(k) for k, c in one.items()])
+
+
 def first_active(run: DataFrame, threshold: float = 1e-9) -> DataFrame:
     """(run_id, first_d): the first day with exposure."""
     return run.groupBy("run_id").agg(F.min(F.when(F.col("exposure") > threshold, F.col("d"))).alias("first_d"))

@@ -29,15 +29,15 @@ def ratio(mean: Column, sd: Column, ppy: int) -> Column:
     return F.when(sd > FLAT, mean / F.when(sd > FLAT, sd) * ppy**0.5)
 
 
-def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_id", span: bool = False) -> DataFrame:
+def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_id", span: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
     """One aggregate for all: total_return, cagr, vol, sharpe, sortino, mdd, calmar, ulcer, skew, kurtosis,
     best, worst, positive, n. rows: ret and nav; the worst loss is counted from the first nav of `by`. span: start and end
-    too."""
+    too; extra: further aggregates."""
     x = drawdown(rows, [by]).withColumn("ex", F.col("ret") - rf / ppy)
     n = F.count("ret").cast("double")
     g1, g2 = F.skewness("ret"), F.kurtosis("ret")
     agg = x.groupBy(by).agg(
-        F.min("d").alias("start"), F.max("d").alias("end"),
+        F.min("d").alias("start"), F.max("d").alias("end"), *[c.alias(k) for k, c in (extra or {}).items()],
         F.count(F.lit(1)).alias("n"), F.min_by("nav", "d").alias("first"), F.max_by("nav", "d").alias("last"), F.stddev_samp("ret").alias("sd"),
         F.avg("ex").alias("mean"), F.stddev_samp("ex").alias("sx"), F.stddev_samp(F.when(F.col("ex") < -NOISE, F.col("ex"))).alias("sn"), F.min("dd").alias("mdd"),
         F.sqrt(F.avg(F.pow(100 * F.col("dd"), F.lit(2.0)))).alias("ulcer"), F.max("ret").alias("best"), F.min("ret").alias("worst"),
@@ -47,7 +47,7 @@ def statistics(rows: DataFrame, rf: float = 0.0, ppy: int = 252, by: str = "run_
     )
     cagr = F.when((F.col("n") >= 2) & (F.col("first") > 0), F.pow(F.col("last") / F.when(F.col("first") > 0, F.col("first")), F.lit(float(ppy)) / F.col("n")) - 1)
     out = agg.withColumn("cagr", cagr)
-    return out.select(by, *(["start", "end"] if span else []), "n", (F.col("last") / F.nullif("first", F.lit(0.0)) - 1).alias("total_return"), "cagr", (F.col("sd") * ppy**0.5).alias("vol"), ratio(F.col("mean"), F.col("sx"), ppy).alias("sharpe"), ratio(F.col("mean"), F.col("sn"), ppy).alias("sortino"), "mdd", F.try_divide("cagr", F.abs("mdd")).alias("calmar"), "ulcer", "skew", "kurtosis", "best", "worst", "positive")
+    return out.select(by, *(["start", "end"] if span else []), "n", (F.col("last") / F.nullif("first", F.lit(0.0)) - 1).alias("total_return"), "cagr", (F.col("sd") * ppy**0.5).alias("vol"), ratio(F.col("mean"), F.col("sx"), ppy).alias("sharpe"), ratio(F.col("mean"), F.col("sn"), ppy).alias("sortino"), "mdd", F.try_divide("cagr", F.abs("mdd")).alias("calmar"), "ulcer", "skew", "kurtosis", "best", "worst", "positive", *(extra or {}))
 
 
 def drawdown_table(rows: DataFrame, top: int = 5) -> DataFrame:
@@ -160,6 +160,23 @@ def return_histogram(rows: DataFrame, bins: int = 90) -> DataFrame:
     return rows.crossJoin(lim).where("ret IS NOT NULL").groupBy(F.coalesce(k, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_line(rows: DataFrame, level: float = 0.05) -> DataFrame:
+    """(run_id, line): the quantile that a histogram of returns in percent marks."""
+    return S.quantiles(rows, "ret", [level], RUN).select("run_id", (100 * F.col("q")[0]).alias("line"))
+
+
+def income_summary(days: DataFrame, ppy: int = 252) -> DataFrame:
+    """(run_id, total, per_year, payment_days) of simulated runs: income as a share of the portfolio's value."""
+    years = F.greatest(F.count(F.lit(1)) / ppy, F.lit(1e-9))
+    return days.groupBy("run_id").agg(F.sum("div_income").alias("total"), (F.sum("div_income") / years).alias("per_year"), F.count_if(F.col("div_income") > 0).alias("payment_days"))
+
+
+def cumulative_income(days: DataFrame) -> DataFrame:
+    """(run_id, d, cumulative): income so far, in percent."""
+    x = S.running_sum(days.select("run_id", "d", "div_income"), RUN, 100 * F.col("div_income"), "cumulative")
+    return x.select("run_id", "d", "cumulative")
+
+
 _PERCENT = {"total_return", "cagr", "vol", "mdd", "best", "worst", "positive", "alpha", "tracking_error"}
 
 

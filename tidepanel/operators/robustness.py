@@ -82,8 +82,8 @@ def cost_statistics(days: DataFrame, levels: list[float], ppy: int = 252) -> Dat
 
 def run_statistics(runs: DataFrame, ppy: int = 252) -> DataFrame:
     """(run_id, cagr, vol, sharpe, sortino, calmar, mdd, turnover) of simulated runs; turnover is a year's."""
-    t = runs.groupBy("run_id").agg((F.sum("turnover") / (F.count(F.lit(1)) / ppy)).alias("turnover"))
-    return M.statistics(runs, ppy=ppy).join(t, "run_id").select("run_id", "cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover")
+    turnover = F.sum("turnover") / (F.count(F.lit(1)) / ppy)
+    return M.statistics(runs, ppy=ppy, extra={"turnover": turnover}).select("run_id", *STATED)
 
 
 STATED = ("cagr", "vol", "sharpe", "sortino", "calmar", "mdd", "turnover")
@@ -133,7 +133,7 @@ def parameter_sweep(panel: DataFrame, key: str, base: dict, grid: dict[str, list
         for i in range(0, len(made), TOGETHER):
             part = stored(functools.reduce(DataFrame.unionByName, made[i : i + TOGETHER]))
             out = part if out is None else out.unionByName(part)
-    stats = run_statistics(stored(setting.simulate(panel, out, events).select("run_id", "d", "nav", "ret", "turnover")), setting.ppy)
+    stats = run_statistics(setting.simulate(panel, out, events).select("run_id", "d", "nav", "ret", "turnover"), setting.ppy)
     return table.join(stats, "run_id", "left").select("run_id", *grid, *STATED, "error")
 
 
@@ -257,7 +257,18 @@ def mc_summary(rows: DataFrame, sims: int = 500, block: int = 21, seed: int = 42
 
 def mc_bands(paths: DataFrame) -> DataFrame:
     """(step, p5 .. p95): over the paths of each step; a step has as many values as there are paths."""
-    return paths.groupBy("step").agg(*[F.expr(f"percentile(v, {p / 100})").alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
+    x = paths.groupBy("step").agg(F.sort_array(F.collect_list("v")).alias("q"))
+    at = lambda p: F.lit(p / 100) * (F.size("q") - 1)
+    low, high = lambda p: F.get("q", F.floor(at(p)).cast("int")), lambda p: F.get("q", F.ceil(at(p)).cast("int"))
+    return x.select("step", *[(low(p) + (high(p) - low(p)) * (at(p) - F.floor(at(p)))).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
+
+
+def fan(bands: DataFrame, rows: DataFrame) -> DataFrame:
+    """(d, p5, p50, p95, actual): bands by step on the days of the returns they come from (run_id, d, ret, nav), and
+    the path that was, 1 on the first day."""
+    x = SC.positions(rows.where("ret IS NOT NULL").select("d", "nav"), [], "step").withColumn("step", F.col("step") - 1)
+    first = x.agg(F.min_by("nav", "step").alias("_first"))
+    return x.crossJoin(F.broadcast(first)).join(bands, "step").select("d", "p5", "p50", "p95", (F.col("nav") / F.col("_first")).alias("actual"))
 
 
 # The coefficients of Acklam's published approximation of the normal quantile.

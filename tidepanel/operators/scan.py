@@ -57,6 +57,11 @@ def running_product(rows: DataFrame, by: list[str], factor: Column, name: str) -
     return x.withColumn(name, F.col("_s0") * F.product("_sf").over(within(by))).drop("_b", "_sf", "_s0")
 
 
+def running_sum(rows: DataFrame, by: list[str], part: Column, name: str) -> DataFrame:
+    x = carried(rows.withColumn("_sf", part), by, {"_p": F.sum("_sf")}, {"_s0": lambda o: F.coalesce(F.sum("_p").over(before(o)), F.lit(0))})
+    return x.withColumn(name, F.col("_s0") + F.coalesce(F.sum("_sf").over(within(by)), F.lit(0))).drop("_b", "_sf", "_s0")
+
+
 def running_max(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     x = carried(rows, by, {"_m": F.max(value)}, {"_s0": lambda o: F.max("_m").over(before(o))})
     return x.withColumn(name, F.greatest("_s0", F.max(value).over(within(by)))).drop("_b", "_s0")

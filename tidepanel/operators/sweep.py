@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,11 +125,7 @@ def targets(panel: DataFrame, key: str, runs: dict[str, dict]) -> DataFrame:
     """(run_id, d, n, asset, ord, w) of all runs (run_id -> every parameter of the strategy). At most some hundreds
     of runs, as they go to every task."""
     fn, back = GRID[key]
-    names = list(next(iter(runs.values())))
-    kinds = {int: "int", float: "double", str: "string", bool: "boolean"}
-    floats = {n for p in runs.values() for n in names if isinstance(p[n], float)}
-    schema = ", ".join(["run_id string", *(f"`{n}` {'double' if n in floats else kinds[type(next(iter(runs.values()))[n])]}" for n in names)])
-    rows = [(k, *(float(p[n]) if n in floats else p[n] for n in names)) for k, p in runs.items()]
-    table = panel.sparkSession.createDataFrame(rows, schema)
+    table = pa.Table.from_pylist([{"run_id": k, **p} for k, p in runs.items()])  # a literal, so that equal grids are equal plans
+    table = panel.sparkSession.createDataFrame(table)
     x = with_past(prefixes(panel), sorted(set().union(*(back(p) for p in runs.values()))))
     return fn(x.crossJoin(F.broadcast(table)))

@@ -537,7 +537,7 @@ sx AS (SELECT *, pow(l / f, 252.0 / n) - 1 AS cagr, l / f - 1 AS total_return, s
 
 @query("equity_curve", _EQ + ", q AS (SELECT * FROM eq)", "nav", "d")
 def _(spark, sf):
-    return _market(spark, sf).select("d", "nav")
+    return M.equity_curve(_market(spark, sf).drop("nav")).select("d", "nav")
 
 
 @query("drawdown", _EQ + ", q AS (SELECT * FROM dd)", "dd", "d")
@@ -604,6 +604,18 @@ def _(spark, sf):
     return M.return_histogram(_market(spark, sf))
 
 
+@query("histogram_line", "q AS (SELECT quantile_cont(100 * r, 0.05) AS line FROM bret)", "line")
+def _(spark, sf):
+    """The 5 % line of the histogram, in percent."""
+    return M.histogram_line(_market(spark, sf)).select("line")
+
+
+@query("stream_result", "eq AS (SELECT *, product(1 + r) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nav FROM bret), q AS (SELECT d, nav, r AS ret, r AS gross_ret, 0.0 AS turnover, 0.0 AS cost, 1.0 AS exposure, 0.0 AS cash_w, 'market' AS asset, 1.0 AS w FROM eq)", "nav ret gross_ret turnover cost exposure cash_w w", "d asset")
+def _(spark, sf):
+    """A bare return stream in the shape of a simulated run."""
+    return E.stream_result(_market(spark, sf)).drop("run_id")
+
+
 @query("format_metric", f"{_EQ}, {_STATS}, q AS (SELECT 'cagr' AS metric, printf('%,.2f%%', cagr * 100) AS said FROM sx UNION ALL SELECT 'sharpe', printf('%,.2f', sharpe) FROM sx)", "", "metric said")
 def _(spark, sf):
     s = M.summary(M.statistics(_market(spark, sf))).where(F.col("metric").isin("cagr", "sharpe"))
@@ -649,6 +661,13 @@ def _(spark, sf):
     return B.mc_bands(B.bootstrap(_market(spark, sf)))
 
 
+@query("mc_fan", _BOOT + ", bd AS (SELECT step, " + ", ".join(f"quantile_cont(v, {p / 100}) AS p{p}" for p in (5, 50, 95)) + " FROM mp GROUP BY step), ac AS (SELECT n - 1 AS step, d, product(1 + r) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nav FROM bret), q AS (SELECT d, p5, p50, p95, nav / (SELECT nav FROM ac WHERE step = 0) AS actual FROM bd JOIN ac USING (step))", "p5 p50 p95 actual", "d", 5)
+def _(spark, sf):
+    """Bands of the drawn paths beside the path that was."""
+    rows = _market(spark, sf)
+    return B.fan(B.mc_bands(B.bootstrap(rows)), rows)
+
+
 _BOOTS = """md AS (SELECT *, v / max(v) OVER (PARTITION BY sim ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd, v / lag(v, 1, 1.0) OVER (PARTITION BY sim ORDER BY step) - 1 AS r FROM mp),
 fs AS (SELECT sim, arg_max(v, step) AS f, pow(arg_max(v, step), 252.0 / count(*)) - 1 AS cagr, min(dd) AS mdd, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe FROM md GROUP BY sim)"""
 _BOOTQ = " UNION ALL ".join(f"SELECT '{p}th' AS percentile, quantile_cont(cagr, {p / 100}) AS cagr, quantile_cont(mdd, {p / 100}) AS mdd, quantile_cont(sharpe, {p / 100}) AS sharpe, avg(CAST(f < 1 AS DOUBLE)) AS prob_loss, avg(CAST(mdd < -0.2 AS DOUBLE)) AS prob_dd_20, quantile_cont(cagr, 0.5) AS median_cagr FROM fs" for p in (5, 25, 50, 75, 95))
@@ -781,7 +800,7 @@ def _(spark, sf):
     return B.walk_forward(_trend_run(spark, sf))
 
 
-@query("fold_dispersion", f"{_TRENDED}, pt AS (SELECT n, d, r, ntile(5) OVER (ORDER BY n) AS k FROM ru), {_PART}, q AS (SELECT stddev_samp(CASE WHEN vol > 0.002 THEN sharpe END) AS sharpe_dispersion, min(CASE WHEN vol > 0.002 THEN sharpe END) AS sharpe_min FROM ps)", "sharpe_dispersion sharpe_min", "", 5)
+@query("fold_dispersion", f"{_TRENDED}, pt AS (SELECT n, d, r, ntile(5) OVER (ORDER BY n) AS k FROM ru), {_PART}, q AS (SELECT stddev_samp(CASE WHEN vol > 0.002 THEN sharpe END) AS sharpe_dispersion, min(CASE WHEN vol > 0.002 THEN sharpe END) AS sharpe_min, sharpe_dispersion > 0.6 AS high FROM ps)", "sharpe_dispersion sharpe_min", "high", 5)
 def _(spark, sf):
     return B.dispersion(B.walk_forward(_trend_run(spark, sf)))
 
@@ -822,13 +841,30 @@ def _(spark, sf):
     return E.kernel(x, E.Costs().rate, min_trade=0.005).select("d", "nav", "turnover", "exposure")
 
 
-@query("dividend_totals")
-def _(spark, sf):
-    """Income by year of two runs, with and without a dead band."""
+_INCOME = _walk("0.005", income=_PAID) + "), di AS (SELECT b.d, b.n, list_sum(list_transform(list_zip(a.w, dy.dv), lambda z: z[1] * z[2])) AS income, b.tr * 0.003 AS cost FROM sim a JOIN sim b ON b.n = a.n + 1 JOIN dy ON dy.n = b.n UNION ALL SELECT d, n, 0.0::DOUBLE, 0.0::DOUBLE FROM sim WHERE n = 1)"
+
+
+def _paid(spark, sf) -> DataFrame:
     p, t = _held(spark, sf)
     x = E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1, dividends=D.dividends(p))
-    runs = E.kernel(x, E.Costs().rate, min_trade=0.005)
-    return runs.groupBy(F.year("d").alias("year")).agg(F.sum("div_income").alias("income"), F.sum("cost").alias("cost"))
+    return E.kernel(x, E.Costs().rate, min_trade=0.005)
+
+
+@query("dividend_totals", _INCOME + ", q AS (SELECT year(d)::INTEGER AS year, sum(income) AS income, sum(cost) AS cost FROM di GROUP BY 1)", "income cost", "year")
+def _(spark, sf):
+    """Income and costs by year."""
+    return _paid(spark, sf).groupBy(F.year("d").alias("year")).agg(F.sum("div_income").alias("income"), F.sum("cost").alias("cost"))
+
+
+@query("dividend_summary", _INCOME + ", q AS (SELECT sum(income) AS total, sum(income) / (count(*) / 252.0) AS per_year, count(*) FILTER (income > 0) AS payment_days FROM di)", "total per_year", "payment_days")
+def _(spark, sf):
+    return M.income_summary(_paid(spark, sf)).drop("run_id")
+
+
+@query("dividend_cumulative", _INCOME + ", q AS (SELECT d, sum(100 * income) OVER (ORDER BY n) AS cumulative FROM di)", "cumulative", "d")
+def _(spark, sf):
+    """The line of cumulative income, in percent of the portfolio's value."""
+    return M.cumulative_income(_paid(spark, sf)).select("d", "cumulative")
 
 
 @query("bt_explicit_dates", _walk("0", events=_SIGNALS) + "), q AS (SELECT d, v AS nav, tr AS turnover FROM sim)", "nav turnover", "d")
@@ -838,7 +874,18 @@ def _(spark, sf):
     return E.closed_form(x, E.Costs().rate).select("d", "nav", "turnover")
 
 
-@query("bt_open_exec")
+_OPEN = f"""r0 AS (SELECT *, lag(px) OVER (PARTITION BY asset ORDER BY n) AS before FROM px), r1 AS (SELECT *, CASE WHEN day(d) > 1 AND before + (px - before) / 4 > 0 THEN before + (px - before) / 4 ELSE before END AS op FROM r0),
+rr AS (SELECT d, n, asset, px, coalesce(op / before - 1, 0) AS ro, coalesce(px / op - 1, 0) AS r, CASE WHEN px IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS m FROM r1), tw AS ({_HELD}), tl AS (SELECT *, coalesce(lag(w, 1) OVER (PARTITION BY asset ORDER BY n), 0) AS t FROM tw), reb AS ({_MONTHLY}),
+dy AS (SELECT tl.d, n, list(ro ORDER BY asset) AS ro, list(r ORDER BY asset) AS r, list(t ORDER BY asset) AS t, bool_or(reb.d IS NOT NULL) AND n > 1 AS ev FROM tl LEFT JOIN reb ON tl.d = reb.d GROUP BY tl.d, n),
+sim AS (SELECT n, d, list_transform(t, lambda x: 0.0::DOUBLE) AS w, 1.0::DOUBLE AS c, 1.0::DOUBLE AS v, 0.0::DOUBLE AS tr, 0.0::DOUBLE AS port FROM dy WHERE n = 1 UNION ALL
+SELECT n, d, list_transform(w3, lambda x: x / (list_sum(w3) + c3)), c3 / (list_sum(w3) + c3), v * (list_sum(w3) + c3), tr, list_sum(w3) + c3 - 1 FROM (
+SELECT n, d, v, tr, list_transform(list_zip(w2, r), lambda z: z[1] * (1 + z[2])) AS w3, c2 AS c3 FROM (
+SELECT n, d, v, r, CASE WHEN ev THEN tr0 ELSE 0.0::DOUBLE END AS tr, CASE WHEN ev THEN list_transform(nw, lambda x: x * base * (1 - tr0 * 0.003)) ELSE w1 END AS w2, CASE WHEN ev THEN (1 - list_sum(nw)) * base * (1 - tr0 * 0.003) ELSE c END AS c2 FROM (
+SELECT *, list_sum(list_transform(list_zip(nw, now), lambda z: abs(z[1] - z[2]))) AS tr0 FROM (SELECT *, list_transform(list_zip(now, t), lambda z: CASE WHEN abs(z[2] - z[1]) < 0.005 THEN z[1] ELSE z[2] END) AS nw0, list_sum(list_transform(nw0, lambda x: abs(x))) AS g0, CASE WHEN g0 > 1 THEN list_transform(nw0, lambda x: x / g0) ELSE nw0 END AS nw FROM (
+SELECT *, list_transform(w1, lambda x: x / base) AS now FROM (SELECT dy.n, dy.d, dy.r, dy.t, dy.ev, sim.c, sim.v, list_transform(list_zip(sim.w, dy.ro), lambda z: z[1] * (1 + z[2])) AS w1, list_sum(w1) + sim.c AS base FROM sim JOIN dy ON dy.n = sim.n + 1))))))"""
+
+
+@query("bt_open_exec", _OPEN + "), q AS (SELECT d, v AS nav, port AS ret, port + tr * 0.003 AS gross_ret, tr AS turnover, tr * 0.003 AS cost FROM sim)", "nav ret gross_ret turnover cost", "d")
 def _(spark, sf):
     p, t = _held(spark, sf)
     x = E.legs(p, t, A.rebalance_calendar(p, "monthly"), 1, opens=D.opens(p))
@@ -850,25 +897,30 @@ def _(spark, sf):
     return E.kernel(_run(spark, sf), E.Costs().rate, min_trade=0.005).select("d", "ret", "gross_ret")
 
 
-@query("bt_general_trades")
+_CHANGED = "bg AS (SELECT dy.d, asset, s0.w[ord] * (1 + dy.r[ord]) / (list_sum(list_transform(list_zip(s0.w, dy.r), lambda z: z[1] * (1 + z[2]))) + s0.c) AS weight_before, s1.w[ord] AS weight_after FROM dy JOIN sim s0 ON s0.n = dy.n - 1 JOIN sim s1 ON s1.n = dy.n CROSS JOIN uni WHERE ev AND s1.tr > 0)"
+
+
+@query("bt_general_trades", _walk("0.005") + f"), {_CHANGED}, q AS (SELECT *, weight_after - weight_before AS change FROM bg WHERE abs(weight_after - weight_before) > 1e-12)", "weight_before weight_after change", "d asset")
 def _(spark, sf):
     x = _run(spark, sf)
     return E.kernel_trades(E.kernel(x, E.Costs().rate, min_trade=0.005), x).select("d", "asset", "weight_before", "weight_after", "change")
 
 
-@query("bt_segments")
+_BANDS = (0.0, 0.005, 0.01, 0.02)
+
+
+@query("bt_segments", " UNION ALL ".join(f"""SELECT '{b}' AS run_id, {", ".join(f"round({c}, 5) + 0.0::DOUBLE AS {c}" for c in _STATED)} FROM ({D.SQL.rstrip()},
+{_walk(str(b))}), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r FROM sim), {_stats_of("ru")} SELECT *, cagr / abs(mdd) AS calmar FROM e1)""" for b in _BANDS), digits=5)
 def _(spark, sf):
-    """Dead bands of four widths: four runs, spread over the cluster."""
-    x, out = _run(spark, sf), None
-    for band in (0.0, 0.005, 0.01, 0.02):
-        days = E.kernel(x.withColumn("run_id", F.lit(str(band))), E.Costs().rate, min_trade=band)
-        out = days if out is None else out.unionByName(days)
-    return B.run_statistics(out)
+    """Dead bands of four widths: four runs in one simulation."""
+    bands = spark.createDataFrame([(str(b), b) for b in _BANDS], "run_id string, band double")
+    x = _run(spark, sf).drop("run_id").crossJoin(F.broadcast(bands))
+    return B.run_statistics(E.kernel(x, E.Costs().rate, min_trade="band").select("run_id", "d", "nav", "ret", "turnover"))
 
 
-@query("trades_tail", _walk("0") + "), tt AS (SELECT dy.d, asset, dy.t[ord] AS weight_after FROM dy CROSS JOIN uni JOIN sim USING (n) WHERE ev AND tr > 0), q AS (SELECT * FROM tt ORDER BY d DESC, asset LIMIT 50)", "weight_after", "d asset")
+@query("trades_tail", _walk("0") + "), tt AS (SELECT dy.d, asset, dy.t[ord] AS weight_after FROM dy CROSS JOIN uni JOIN sim USING (n) WHERE ev AND tr > 0), q AS (SELECT * FROM tt ORDER BY d DESC, asset LIMIT 400)", "weight_after", "d asset")
 def _(spark, sf):
-    return E.trades(_run(spark, sf)).orderBy(F.desc("d"), "asset").limit(50).select("d", "asset", "weight_after")
+    return E.trades(_run(spark, sf)).orderBy(F.desc("d"), "asset").limit(400).select("d", "asset", "weight_after")
 
 
 @query("current_holdings", _walk("0") + "), la AS (SELECT * FROM sim ORDER BY n DESC LIMIT 1), q AS (SELECT asset AS instrument, la.w[ord] AS weight, la.w[ord] * v AS value FROM la CROSS JOIN uni WHERE abs(la.w[ord]) > 1e-6 UNION ALL SELECT 'Cash', 1 - list_sum(w), (1 - list_sum(w)) * v FROM la)", "weight value", "instrument")
@@ -891,7 +943,12 @@ def _(spark, sf):
     return M.report(_market(spark, sf)).select("metric", "value")
 
 
-@query("report_with_benchmark")
+_RUN_STATS = """rn AS (SELECT n, d, r, v AS nav, v / max(v) OVER (ORDER BY n) - 1 AS dd, tr, e FROM ru), st AS (SELECT count(*) AS n, arg_min(nav, n) AS f, arg_max(nav, n) AS l, stddev_samp(r) AS sd, avg(r) AS m, stddev_samp(r) FILTER (r < -1e-12) AS sn, min(dd) AS mdd, sqrt(avg(pow(100 * dd, 2))) AS ulcer, skewness(r) AS skew, kurtosis(r) AS kurtosis, sum(tr) / (count(*) / 252.0) AS annual_turnover, avg(e) AS average_exposure FROM rn),
+sx AS (SELECT *, pow(l / f, 252.0 / n) - 1 AS cagr, l / f - 1 AS total_return, sd * sqrt(252) AS vol, m / sd * sqrt(252) AS sharpe, m / sn * sqrt(252) AS sortino FROM st), vv AS (SELECT quantile_cont(r, 0.05) AS var FROM rn), vc AS (SELECT any_value(var) AS var, avg(r) FILTER (r <= var) AS cvar FROM rn, vv)"""
+_REGRESSED = "bb AS (SELECT rn.r AS y, bret.r AS x FROM rn JOIN bret ON rn.d = bret.d), bx AS (SELECT covar_samp(y, x) / var_samp(x) AS beta, (avg(y) - covar_samp(y, x) / var_samp(x) * avg(x)) * 252 AS alpha, corr(y, x) * corr(y, x) AS r2, stddev_samp(y - x) * sqrt(252) AS tracking_error, avg(y - x) * 252 / (stddev_samp(y - x) * sqrt(252)) AS information_ratio FROM bb)"
+
+
+@query("report_with_benchmark", f"""{_TRENDED}, {_RUN_STATS}, {_MON.replace("FROM bret", "FROM rn")}, {_MONTHS}, {_REGRESSED}, al AS (SELECT total_return, cagr, vol, sharpe, sortino, cagr / abs(mdd) AS calmar, mdd, ulcer, skew, kurtosis, var, cvar, positive_months, best_month, worst_month, annual_turnover, average_exposure, beta, alpha, r2, tracking_error, information_ratio FROM sx, vc, mq, bx), q AS (UNPIVOT al ON COLUMNS(*) INTO NAME metric VALUE value)""", "value", "metric", 5)
 def _(spark, sf):
     return M.report(_trend_run(spark, sf), _market(spark, sf)).select("metric", "value")
 
@@ -904,7 +961,7 @@ def _(spark, sf):
 # ---- imported weights and returns --------------------------------------------------------------
 
 _IMP = """wg AS (SELECT d AS file_d, sum(abs(w * 100)) AS g FROM wimp GROUP BY d), ws AS (SELECT d AS file_d, asset, w * 100 / CASE WHEN (SELECT quantile_cont(g, 0.5) FROM wg) BETWEEN 40 AND 160 THEN 100 ELSE 1 END AS w FROM wimp),
-sn AS (SELECT f.file_d, cal.d AS d FROM (SELECT DISTINCT file_d FROM ws) f ASOF JOIN cal ON f.file_d >= cal.d), wr AS (SELECT sn.d, asset, arg_max(w, sn.file_d) AS w FROM ws JOIN sn USING (file_d) GROUP BY 1, 2),
+sn AS (SELECT f.file_d, cal.d AS d FROM (SELECT DISTINCT file_d FROM ws) f ASOF JOIN cal ON f.file_d >= cal.d), wr AS (SELECT la.d, asset, w FROM ws JOIN (SELECT d, max(file_d) AS file_d FROM sn GROUP BY d) la USING (file_d)),
 wd AS (SELECT px.d, px.n, px.asset, CASE WHEN px.d IN (SELECT d FROM wr) THEN coalesce(wr.w, 0) END AS w0, px.d IN (SELECT d FROM wr) AS is_rebal FROM px LEFT JOIN wr ON px.d = wr.d AND px.asset = wr.asset),
 wf AS (SELECT *, coalesce(last_value(w0 IGNORE NULLS) OVER (PARTITION BY asset ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS w FROM wd)"""
 
@@ -950,11 +1007,30 @@ def _(spark, sf):
     return I.return_flags(I.prepared_returns(_streams(spark, sf)).withColumn("ret", F.abs("ret") * 30))
 
 
-@query("weights_scale_detect", "g AS (SELECT d, sum(abs(w * 100)) AS g FROM wimp GROUP BY d), q AS (SELECT quantile_cont(g, 0.5) AS median, 100.0::DOUBLE AS divisor FROM g)", "median divisor")
+@query("weights_scale_detect", "g AS (SELECT d, sum(abs(w * 100)) AS g FROM wimp GROUP BY d), q AS (SELECT quantile_cont(g, 0.5) AS median, CASE WHEN quantile_cont(g, 0.5) BETWEEN 40 AND 160 THEN 100.0 ELSE 1.0 END::DOUBLE AS divisor FROM g)", "median divisor")
 def _(spark, sf):
     return A.detect_scale(_percent(spark, sf).groupBy("d").agg(F.sum(F.abs("w")).alias("g")), 40, 160)
 
 
+@query("weights_scale_fractions", "g AS (SELECT d, sum(abs(w)) AS g FROM wimp GROUP BY d), q AS (SELECT quantile_cont(g, 0.5) AS median, CASE WHEN quantile_cont(g, 0.5) BETWEEN 40 AND 160 THEN 100.0 ELSE 1.0 END::DOUBLE AS divisor FROM g)", "median divisor")
+def _(spark, sf):
+    """Weights that are fractions already."""
+    return A.detect_scale(D.imported_weights(spark, sf).groupBy("d").agg(F.sum(F.abs("w")).alias("g")), 40, 160)
+
+
+_PAIRED = "w1 AS (SELECT d + 1 AS d, asset, w FROM wimp WHERE asset <> (SELECT min(asset) FROM uni)), wimp2 AS (SELECT * FROM wimp UNION ALL SELECT * FROM w1)"
+
+
+@query("external_weights_paired", _PAIRED + ", " + _IMP.replace("FROM wimp", "FROM wimp2") + ", q AS (SELECT * FROM wf)", "w", "d asset is_rebal")
+def _(spark, sf):
+    """A second file row a day after each, which leaves out an asset: where both fall on one session the later
+    holds as a whole."""
+    raw = _percent(spark, sf)
+    first = raw.agg(F.min("asset").alias("_least"))
+    later = raw.crossJoin(F.broadcast(first)).where("asset <> _least").select(F.date_add("d", 1).alias("d"), "asset", "w")
+    return I.external_weights(raw.unionByName(later), D.prices(spark, sf)).select("d", "asset", "is_rebal", "w")
+
+
 @query("returns_scale_detect", "s AS (SELECT CASE WHEN quantile_cont(abs(r * 100), 0.5) > 0.05 THEN 100 ELSE 1 END AS k FROM bret), q AS (SELECT d, r * 100 / k AS ret FROM bret, s)", "ret", "d")
 def _(spark, sf):
     return I.scaled_returns(_market(spark, sf).select("d", (F.col("ret") * 100).alias("ret")))

@@ -79,13 +79,9 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, d, ret, nav): the whole market as a return stream, stored."""
-    from ..operators import engine, metrics
+    from ..operators import engine
 
-    def build():
-        b = engine.benchmark_result(benchmark(spark, sf_dir)).withColumn("run_id", F.lit("market"))
-        return metrics.equity_curve(b.select("run_id", "d", "ret"))
-
-    return derived(spark, "market", _trades(sf_dir), (), build)
+    return derived(spark, "market", _trades(sf_dir), (), lambda: engine.benchmark_result(benchmark(spark, sf_dir)).select(F.lit("market").alias("run_id"), "d", "ret", "nav"))
 
 
 def opens(panel: DataFrame) -> DataFrame:
