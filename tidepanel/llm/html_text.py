@@ -1,13 +1,14 @@
 """Main text of web pages: flat text blocks, judged by a decision tree.
 
-A page is read once, left to right, in time that grows with its length: `<` ends an unfinished tag, and an end
-tag that never comes hides nothing but what a browser hides too (script, style, comments). A block tag ends a
-text block. Each block has its word count and link density and those of its neighbours, its tag, whether it
-ends as a sentence does, and where it stands: in an article, after one, in a menu, footer, aside or form, in a
-container with a name that tells, or under a heading that does. A decision tree keeps or drops it. It is grown
-here on a small labelled table: the blocks of PAGES pages laid out by chance (`layout`), with and without
-containers, with telling and with empty names, with adverts, notices, link lists and comments in and around
-the article. So no single mark decides: without an article container word counts and link densities do.
+A page is read once, left to right, in time that grows with its length, at any depth of containers: `<` ends an
+unfinished tag, an end tag finds the last open container of its name at once, and an end tag that never comes hides
+nothing but what a browser hides too (script, style, comments). A block tag ends a text block. Each block has its
+word count and link density, those of the two blocks before and after it, its tag, how it is punctuated, and where
+it stands: in an article, after one, in a menu, footer, aside or form, in a container with a name that tells. No
+word of the text itself counts. A decision tree keeps or drops it. It is grown here on a small labelled table: the
+blocks of PAGES pages laid out by chance (`layout`), with and without containers, with telling, empty and misleading
+names, with menus and link lists of short and long link texts, adverts, notices and comments in and around the
+article. So no single mark decides: without containers word counts and link densities do.
 
 Null or empty html, or no kept block: the empty text. Unclosed and cut-off markup is read as far as it
 goes. Extra columns are ignored; repeated rows give repeated rows; an empty table gives an empty result.
@@ -41,11 +42,12 @@ PLACE = {"nav": "nav", "menu": "nav", "header": "nav", "footer": "foot", "aside"
 #: Parts of a class or id that name what isn't the article.
 BAD_NAMES = frozenset("nav navbar navigation menu footer foot sidebar side ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal share sharing social comment comments disqus reply replies breadcrumb breadcrumbs related recommended widget newsletter subscribe pagination pager copyright masthead toolbar login signup".split())
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
-#: Headings that begin what isn't the article, in the languages of the corpus.
-LABELS = frozenset("comments comment replies discussion related kommentare kommentar commentaires commentaire comentarios comentario réactions antworten".split())
+#: Containers that an end tag of another name doesn't close from inside.
+CELLS = frozenset("td th".split())
 TAGS = ("p", "h", "li", "td", "pre", "other")
-PLACES = ("article", "nav", "foot", "aside", "form", "bad", "hidden")
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "sentence", "after_article", "page_has_article", "labelled", *(f"in_{x}" for x in PLACES), *(f"is_{x}" for x in TAGS[:5]))
+PLACES = ("article", "named", "nav", "foot", "aside", "form", "bad", "hidden")
+NEAR = ("words", "density")
+FEATURES = (*NEAR, *(f"{x}_{side}{k}" for k in (1, 2) for side in ("before", "after") for x in NEAR), "marks", "sentence", "outside", "after_article", "page_has_article", "page_has_named", *(f"in_{x}" for x in PLACES), *(f"is_{x}" for x in TAGS[:5]), "before_is_h")
 
 
 def tokens(page: str):
@@ -103,7 +105,7 @@ def tokens(page: str):
 
 
 def places(name: str, attributes: str, inside: frozenset) -> frozenset:
-    """What a container adds to where its blocks stand."""
+    """What a container adds to where its blocks stand. An article or main begins anew, whatever it stands in."""
     names, hidden = set(), False
     for a in _ATTR.finditer(attributes):
         key, value = a[1].lower(), (a[2] or "").lower()
@@ -112,33 +114,37 @@ def places(name: str, attributes: str, inside: frozenset) -> frozenset:
         elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "") or key == "aria-hidden" and "true" in value:
             hidden = True
     out = set(inside)
+    if name in ("article", "main"):
+        out = {"article"} | inside & {"hidden"}
+        if name == "article" and names & BAD_NAMES and not names & GOOD_NAMES:
+            out.add("bad")  # a comment or a teaser
+    elif name in PLACE and not (name == "header" and "article" in inside):
+        out.add(PLACE[name])
+    if name not in ("article", "main", "body"):
+        if names & BAD_NAMES:
+            out.add("bad")
+        elif names & GOOD_NAMES:
+            out = out - {"bad"} | {"named"} if "article" not in inside else out | {"named"}
     if hidden:
         out.add("hidden")
-    if name in PLACE and not (name == "header" and "article" in inside):
-        out.add(PLACE[name])
-    if names & BAD_NAMES and name not in ("article", "main", "body"):
-        out.add("bad")
-    elif name in ("article", "main") or names & GOOD_NAMES and name != "body":
-        out.add("article")
     return frozenset(out)
 
 
 def blocks(page: str) -> list[tuple]:
-    """(text, words, linked words, places, tag, after an article, under a telling heading) of each block."""
+    """(text, words, linked words, places, tag, after an article) of each block."""
     out: list = []
-    stack: list[tuple[str, frozenset, bool]] = []
+    stack: list[tuple[str, frozenset]] = []
+    open_: dict[str, list[int]] = {}  # places in the stack of each open name
+    cells: list[int] = []
     inside, parts, linked = frozenset(), [], []
-    in_a, tag, after, label = False, "other", False, False
+    in_a, tag, after = False, "other", False
 
     def end() -> None:
-        nonlocal parts, linked, label
+        nonlocal parts, linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                words = text.count(" ") + 1
-                if tag == "h":
-                    label = words <= 4 and not LABELS.isdisjoint(_SPLIT.sub(" ", text.lower()).split() + text.lower().split())
-                out.append((text, words, len(_html.unescape(" ".join(linked)).split()), inside, tag, after, label))
+                out.append((text, text.count(" ") + 1, len(_html.unescape(" ".join(linked)).split()), inside, tag, after))
             parts, linked = [], []
 
     for text, name, closing, attributes in tokens(page):
@@ -154,106 +160,147 @@ def blocks(page: str) -> list[tuple]:
         elif closing:
             end()
             in_a, tag = False, "other"
-            for k in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
-                if stack[k][0] == name:
-                    after = after or "article" in inside and "article" not in stack[k][1]
-                    label = stack[k][2]
-                    inside = stack[k][1]
-                    del stack[k:]
-                    break
+            at = open_.get(name)
+            if at and (not cells or at[-1] >= cells[-1] or name in ("table", "tr")):
+                k = at[-1]
+                after = after or "article" in inside and "article" not in stack[k][1]
+                inside = stack[k][1]
+                for gone, _ in stack[k:]:
+                    open_[gone].pop()
+                del stack[k:]
+                while cells and cells[-1] >= k:
+                    cells.pop()
         else:
             end()
             in_a = False
-            tag = "h" if len(name) == 2 and name[0] == "h" and name[1] in "123456" else "li" if name in ("li", "dt", "dd") else "td" if name in ("td", "th") else name if name in TAGS else "other"
+            tag = "h" if len(name) == 2 and name[0] == "h" and name[1] in "123456" else "li" if name in ("li", "dt", "dd") else "td" if name in CELLS else name if name in TAGS else "other"
             if name in CONTAINER or name in PLACE:
-                stack.append((name, inside, label))
+                if name in CELLS:
+                    cells.append(len(stack))
+                open_.setdefault(name, []).append(len(stack))
+                stack.append((name, inside))
                 inside = places(name, attributes, inside)
-                if name in ("article", "main"):
-                    label = False
     end()
     return out
 
 
+_MARKS = re.compile(r"[.!?…。,;:]")
+
+
 def features(found: list) -> np.ndarray:
     if not found:
         return np.zeros((0, len(FEATURES)))
     words = np.array([b[1] for b in found], float)
     density = np.array([min(1.0, b[2] / b[1]) for b in found])
-    before = lambda x: np.concatenate([[0.0], x[:-1]])
-    next_ = lambda x: np.concatenate([x[1:], [0.0]])
-    has = float(any("article" in b[3] for b in found))
-    flags = [[b[0][-1] in ".!?…。:;\"”»" for b in found], [b[5] for b in found], [has] * len(found), [b[6] for b in found]]
+    shift = lambda x, k: np.concatenate([np.zeros(min(k, len(x))), x[: max(0, len(x) - k)]]) if k > 0 else np.concatenate([x[-k:], np.zeros(min(-k, len(x)))])
+    near = [shift(x, k) for k in (1, -1, 2, -2) for x in (words, density)]
+    has, named = (float(any(p in b[3] for b in found)) for p in ("article", "named"))
+    heading = np.array([b[4] == "h" for b in found], float)
+    flags = [[len(_MARKS.findall(b[0])) for b in found], [b[0][-1] in ".!?…。:;\"”»" for b in found], [has > 0 and "article" not in b[3] for b in found], [b[5] for b in found], [has] * len(found), [named] * len(found)]
     flags += [[x in b[3] for b in found] for x in PLACES] + [[b[4] == t for b in found] for t in TAGS[:5]]
-    return np.stack([words, density, before(words), before(density), next_(words), next_(density), *(np.array(f, float) for f in flags)], axis=1)
+    return np.stack([words, density, *near, *(np.array(f, float) for f in flags), shift(heading, 1)], axis=1)
 
 
 # ---- the labelled table -----------------------------------------------------------------------
 
 #: Pages of the table and the seed of their layout.
-PAGES, SEED = 900, 11
+PAGES, SEED = 1000, 11
 KEEP = "keep"
 
 
 def layout(rng: random.Random) -> str:
-    """A page; a block is article if its text begins with KEEP."""
+    """A page; a block is article if its text begins with KEEP. Pages of three kinds: with an article or main
+    (`held`), with a container whose name tells (`named`), and with neither, where long text is all that tells."""
     pick, chance = rng.choice, lambda p: rng.random() < p
-    words = lambda a, b: " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(a, b)))
+    kind = pick(["held"] * 5 + ["named"] * 2 + ["bare"] * 3)
+    held, bare = kind == "held", kind == "bare"
+    words = lambda a, b: " ".join("w" * rng.randint(1, 9) + pick([""] * 7 + [","]) for _ in range(rng.randint(a, b)))
     said = lambda a, b: words(a, b) + pick(["."] * 5 + ["?", "!"])
-    link = lambda a, b: f"<a href=/x>{words(a, b)}</a>"
-    box = lambda names, inner: f"<div class='{pick(names)}'>{inner}</div>"
+    link = lambda a, b: f"<a href=/x>{words(a, b)}{pick(['', '', '', '.', '?', '!'])}</a>"
+    box = lambda names, inner: f"<{pick(['div', 'div', 'section'])} class='{pick(names)}'>{inner}</div></section>"
     plain = ["row", "c1", "x", "wrap"]
-    links = lambda: pick(["<ul>{}</ul>", "<div>{}</div>", "<p>{}</p>"]).format(pick(["<li>{}</li>"] * 3 + ["{} | "]).format("</li><li>".join(link(1, 4) for _ in range(rng.randint(2, 7)))))
-    held = chance(0.6)
+
+    def links(a: int = 1, b: int = 0) -> str:
+        """A list of links, of short texts or of headlines."""
+        b = b or pick([2, 4, 4, 9, 14])
+        items = [link(max(1, b // 2) if chance(0.7) else a, b) + pick(["", "", "", f" {words(1, 3)}"]) for _ in range(rng.randint(2, 9))]
+        form = rng.random()
+        if form < 0.6:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+        if form < 0.75:
+            return "".join(f"<div>{x}</div>" for x in items)
+        if form < 0.85:
+            return "".join(f"<p>{x}</p>" for x in items[:3]) if not held else "<div>" + " | ".join(items) + "</div>"
+        return pick(["<p>{}</p>", "<div>{}</div>"]).format(pick([" | ", " ", " - "]).join(items))
+
+    def heading(level: int = 2) -> str:
+        return f"<h{rng.randint(level, 4)}>{KEEP} {words(0, 8)}</h2>"
 
     def para() -> str:
-        kind = rng.random()
-        if kind < 0.55:
-            inner = f"{KEEP} {said(1, 70)}"
-            if chance(0.2):
-                inner += f" {link(1, 4)} {said(2, 30)}"
-            return pick([f"<p>{inner}</p>"] * 4 + [f"<div>{inner}</div>", f"<p>{inner}"])
-        if kind < 0.65:
-            return f"<p>{KEEP}{pick(['', '.', words(0, 3)])}</p>" if held else f"<p>{KEEP} {said(8, 20)}</p>"
-        if kind < 0.75:
-            return f"<h{rng.randint(2, 4)}>{KEEP} {words(1, 7)}</h2>"
-        if kind < 0.85:
-            return "<ul>" + "".join(f"<li>{KEEP} {words(2, 15)} {link(1, 3) if held and chance(0.3) else said(1, 9)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>"
-        if kind < 0.9:
-            return f"<blockquote>{KEEP} {said(5, 40)}</blockquote>"
-        if kind < 0.95:
-            return f"<pre>{KEEP} {words(2, 20)}</pre>" if held else f"<p>{KEEP} {said(20, 60)}</p>"
-        return f"<table><tr><td>{KEEP} {words(1, 5)}</td><td>{KEEP} {words(1, 5)}</td></tr></table>" if held else f"<p>{KEEP} {said(12, 50)}</p>"
+        form = rng.random()
+        if form < 0.6:
+            inner = f"{KEEP} {said(1 if not bare else 7, 80)}"
+            for _ in range(rng.choice([0, 0, 0, 1, 2])):
+                inner += f" {link(1, 4)} {said(2 if not bare else 6, 30)}"
+            return pick([f"<p>{inner}</p>"] * 4 + [f"<div>{inner}</div>", f"<p>{inner}", f"<p><b>{inner}<br>"])
+        if form < 0.68:
+            if bare:
+                return f"<p>{KEEP} {said(10, 30)}</p>"
+            return pick([f"<p>{KEEP}{pick(['', '.', ' ' + words(1, 4)])}</p>", f"<p><a href=/x>{KEEP} {words(0, 12)}</a></p>", f"<p><a href=/x>{KEEP} {words(3, 9)}</a>.</p>"])
+        if form < 0.78:
+            return heading()
+        if form < 0.86:
+            ending = lambda: pick([said(1, 12), said(2, 20), f"{link(1, 3)} {words(2, 6)}" if not bare else said(4, 9)])
+            return pick(["<ul>{}</ul>", "<ol>{}</ol>"]).format("".join(f"<li>{KEEP} {words(2 if not bare else 5, 12)} {ending()}</li>" for _ in range(rng.randint(2, 6))))
+        if form < 0.91:
+            return f"<blockquote>{KEEP} {said(6, 40)}</blockquote>"
+        if form < 0.95:
+            return f"<pre>{KEEP} {words(2, 30)}</pre>" if not bare else f"<p>{KEEP} {said(20, 60)}</p>"
+        return "<table>" + "".join(f"<tr><td>{KEEP} {words(0, 5)}</td><td>{KEEP} {words(0, 5)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>" if held else f"<p>{KEEP} {said(12, 50)}</p>"
 
     def between() -> str:
         return pick([
-            box(["ad", "advert box", "sponsored"], said(3, 25)), box(["share", "social-bar"], words(1, 6)), box(["related", "promo"], f"<h3>{words(1, 3)}</h3>{links()}"),
-            f"<aside><p>{said(5, 40)}</p></aside>", f"<form><p>{words(2, 12)}</p><button>{words(1, 2)}</button></form>", box(["newsletter", "cookie-notice", "alert"], f"<p>{said(4, 30)}</p>"),
-            f"<div style='display:none'>{said(3, 30)}</div>", links(),
+            box(["ad", "advert box", "sponsored"], said(3, 40)), box(["share", "social-bar"], words(1, 6) + links(1, 2)), box(["related", "promo", "related-posts"], f"<h3>{words(1, 3)}</h3>{links()}"),
+            f"<aside><p>{said(5, 60)}</p></aside>", f"<aside class={pick(['related', 'x'])}>{pick(['', f'<h3>{words(1, 4)}</h3>'])}{links()}</aside>", f"<nav>{links()}</nav>",
+            f"<form><p>{words(2, 25)}</p><input><button>{words(1, 2)}</button></form>", box(["newsletter", "cookie-notice", "alert"], f"<p>{said(4, 40)}</p>"), f"<div style='display:none'>{said(3, 50)}</div>", links(3, 10) if not held else f"<nav>{links()}</nav>",
         ])
 
-    def comments() -> str:
-        inner = "".join(pick(["<p>{}</p>", "<li>{}</li>", "<div>{}</div>"]).format(said(2, 60)) for _ in range(rng.randint(1, 5)))
-        label = f"<h3>{pick(sorted(LABELS))}</h3>"
-        return pick([box(["comments", "comment-list", "replies"], label * chance(0.5) + inner), f"<section id=comments>{inner}</section>", box(plain, label + inner)])
+    def comments(inside: bool = False) -> str:
+        inner = "".join(pick(["<p>{}</p>", "<li>{}</li>", "<div>{}</div>", "<article class=comment><p>{}</p></article>"]).format(said(2, 70)) for _ in range(rng.randint(1, 6)))
+        head = f"<h3>{words(1, 3)}</h3>" * chance(0.5)
+        return pick([box(["comments", "comment-list", "replies"], head + inner), f"<section id=comments>{head}{inner}</section>"] + ([box(plain, head + inner)] if held and not inside else []))
 
-    inner = f"<h1>{KEEP} {words(1, 9)}</h1>" if chance(0.65) else ""
+    body = f"<h1>{KEEP} {words(0, 10)}</h1>" if chance(0.7) else ""
+    if chance(0.15):
+        body = heading()
     for _ in range(rng.randint(1, 9)):
-        inner += para() + (between() if chance(0.2) else "")
+        body += para() + (between() if chance(0.25) else "")
     if not held:  # nothing but its paragraphs tells such an article
-        inner += f"<p>{KEEP} {said(15, 60)}</p>"
+        body += f"<p>{KEEP} {said(15, 60)}</p>"
     if held and chance(0.2):
-        inner += comments()
-    shell = pick(["<article>{}</article>"] * 3 + ["<main>{}</main>", "<div class=content>{}</div>", "<div id=post-12>{}</div>", "<section class='entry body'>{}</section>", "<main><article>{}</article></main>"]) if held else pick(["{}", "<div class=x>{}</div>", "<table><tr><td>{}</td></tr></table>", "<section>{}</section>"])
-    top = pick([f"<nav>{links()}</nav>", f"<header><div>{words(1, 4)}</div>{links()}</header>", f"<div id=menu>{links()}</div>", links(), f"<header><h1>{words(1, 3)}</h1></header><nav>{links()}</nav>"])
-    top = top if chance(0.75) else ""
-    top += (box(["banner ad", "notice", "cookie-consent"], said(3, 25)) if chance(0.4) else "") + (f"<p>{said(1, 40)}</p>" if held and chance(0.35) else "")
-    foot = (comments() if chance(0.4) else "") + (pick([f"<aside><h3>{words(1, 3)}</h3><p>{said(10, 60)}</p></aside>", box(["sidebar", "side widget"], f"<p>{said(5, 50)}</p>{links()}"), box(plain, links())]) if chance(0.6) else "")
-    if held and chance(0.4):
-        foot += box(plain, f"<p>{said(2, 60)}</p>")
-    if held and chance(0.25):
-        foot += pick(["", links()]) + shell.format(f"<h2>{KEEP} {words(1, 6)}</h2>" + para())
-    foot += "" if chance(0.2) else pick([f"<footer>{said(3, 40)}</footer>", f"<div id=footer>{words(2, 20)} {link(1, 3)}</div>", f"<div>{link(1, 2)} | {link(1, 2)} {words(0, 2)}</div>", f"<footer><p>{said(5, 30)}</p>{links()}</footer>"])
-    return f"<html><body>{top}{shell.format(inner)}{foot}</body></html>"
+        body += comments(True)
+    if held:
+        shell = pick(["<article>{}</article>"] * 3 + ["<main>{}</main>", "<main><article>{}</article></main>", "<article class='post x'><div class=content>{}</div></article>", "<div class='page with-sidebar'><article>{}</article></div>", "<main><div class=row><div class=c1>{}</div></div></main>"])
+    elif bare:
+        shell = pick(["{}", "<div class=x>{}</div>", "<table><tr><td>{}</td></tr></table>", "<section>{}</section>", "<div class=row><div class=c1>{}</div></div>"])
+    else:
+        shell = pick(["<div class=content>{}</div>", "<div id=post-12>{}</div>", "<section class='entry body'>{}</section>", "<div class='story text'>{}</div>"])
+    if chance(0.15):
+        shell = "<div>" * rng.randint(1, 90) + shell
+    body = shell.format(body)
+    if kind == "named" and chance(0.4):  # the container begins late or ends early
+        body = f"<p>{KEEP} {said(12, 60)}</p>" * chance(0.7) + body + f"<p>{KEEP} {said(12, 60)}</p>" * chance(0.5)
+    top = pick([f"<nav>{links()}</nav>"] * 2 + [f"<nav>{'<div>' * rng.randint(1, 80)}{links()}</nav>", f"<header><div>{words(1, 4)}</div>{links()}</header>", f"<div id=menu>{links()}</div>", links(), f"<header><h1>{words(1, 3)}</h1></header><nav>{links()}</nav>", f"<header>{words(1, 12)}</header><div role=navigation>{links()}</div>"])
+    top = top if chance(0.8) else ""
+    top += box(["banner ad", "notice", "cookie-consent", "ad"], said(3, 40)) if chance(0.45) else ""
+    top += f"<div class=x><p>{said(1, 40)}</p></div>" if held and chance(0.3) else ""
+    foot = comments() if chance(0.4) else ""
+    foot += pick([f"<aside><h3>{words(1, 3)}</h3><p>{said(10, 60)}</p></aside>", f"<aside>{links()}</aside>", box(["sidebar", "side widget"], f"<p>{said(5, 50)}</p>{links()}"), box(plain, links()), links(4, 12), f"<h3>{words(1, 4)}</h3>{links()}", box(plain, f"<h3>{words(1, 4)}</h3>{links()}")]) if chance(0.7) else ""
+    foot += box(plain, f"<p>{said(2, 60)}</p>") if held and chance(0.4) else ""
+    if held and chance(0.2):  # a second article
+        foot += pick(["", links()]) + f"<article><h2>{KEEP} {words(1, 6)}</h2>{para()}</article>"
+    foot += "" if chance(0.15) else pick([f"<footer>{said(3, 50)}</footer>", f"<footer>{words(3, 20)} {link(1, 3)}</footer>", f"<div id=footer>{words(2, 20)} {link(1, 3)}</div>", f"<div>{link(1, 2)} | {link(1, 2)} {words(0, 2)}</div>", f"<footer><p>{said(5, 40)}</p>{links()}</footer>"])
+    return f"<html><body>{top}{body}{foot}</body></html>"
 
 
 def labelled(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
