@@ -12,9 +12,11 @@ rows, and what is near t is decided in double precision.
 A tile returns the number of links of each vector it holds and, for the components, one link from each
 vector to the first of its group of linked vectors, not all pairs.
 
-Vectors that are null, zero, or hold a null or non-finite component link with nothing. vec_id identifies a
-vector. Vectors of another length than the commonest link only among their own length. Extra columns are
-ignored; an empty table gives an empty result.
+Vectors that are null, zero, or hold a null or non-finite component link with nothing. Each row is a vector of
+its own, whatever its id: rows are numbered once, and ids come in at the end. So repeated ids give a row each, with
+that row's links; component_id is the least id in a row's group, null if all of them are null, and kept says that
+the two are the same, null or not. Vectors of another length than the commonest link only among their own length.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ from .texts import batch_of
 FIT, CELL, MOST_CELLS, SIDE, NUMBERS, SLICE = 20_000, 4096, 4096, 8192, 1 << 20, 256
 
 
-def usable(df: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that can link."""
+def usable(rows: DataFrame) -> DataFrame:
+    """(row, vec_id, v array<double>) of the vectors that can link."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
+    return rows.select("row", "vec_id", v.alias("v")).where(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -148,13 +150,14 @@ def merged(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def near_vectors(ws: Workspace, df: DataFrame, t: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    spark = df.sparkSession
-    every = df.select(F.col("vec_id").cast("long").alias("vec_id"))
-    good = ws.table(usable(df), "usable")
-    classes = ws.table(good.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "classes")
+    every = df.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    every = ws.table(every, "rows")
+    good = ws.table(usable(every), "usable")
+    # inside, a class goes by its least row
+    classes = ws.table(good.groupBy("v").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count("*").alias("copies")), "classes")
     results = []
     for size, n in sorted((r["d"], r["n"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
-        same = classes.where(F.size("v") == size)
+        same = classes.where(F.size("v") == size).select(F.col("id").alias("vec_id"), "copies", "v")
         share = min(1.0, FIT / n)
         sample = same.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * FIT).toPandas()["v"]
         rows = unit(np.stack(sample.to_numpy()).astype(float)) if len(sample) else None
@@ -163,19 +166,22 @@ def near_vectors(ws: Workspace, df: DataFrame, t: float = 0.9) -> DataFrame:
         rows = ws.table(assign(same, centres, (2 - 2 * t) ** 0.5 / 2), f"cells-{size}")
         results.append(_within(dealt(rows, max(1, min(SIDE, NUMBERS // size))), t, centres))
     if not results:
-        none = F.lit(0).cast("long")
-        return every.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = results[0]
     for r in results[1:]:
         found = found.unionByName(r)
     found = ws.table(found, "found")
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-    comp = ws.table(components(ws, found.where("b IS NOT NULL").select("a", "b"), "groups"), "components")
-    of_class = classes.join(links, F.col("vec_id") == F.col("a"), "left").join(comp, F.col("vec_id") == F.col("id"), "left")
-    of_class = ws.table(of_class.select("v", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "of-class")
-    per = split_join(good, of_class, ["v"], "inner", "copies").select("vec_id", "n_links", "component_id")
-    out = every.join(per, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    comp = ws.table(components(ws, found.where("b IS NOT NULL").select("a", "b"), "groups"), "components").withColumnRenamed("id", "cid")
+    of_class = classes.join(links, F.col("id") == F.col("a"), "left").join(comp, F.col("id") == F.col("cid"), "left")
+    of_class = ws.table(of_class.select("v", "least", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("group")), "of-class")
+    groups = ws.table(of_class.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least")
+    named = ws.table(split_join(of_class, groups, ["group"], "inner", "m").select("v", "copies", "n_links", "component_id"), "named")
+    per = split_join(good, named, ["v"], "inner", "copies").select("row", "n_links", "component_id", F.lit(True).alias("found"))
+    out = every.select("row", "vec_id").join(per, "row", "left")
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("vec_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _within(tiles: DataFrame, t: float, centres: np.ndarray) -> DataFrame:
