@@ -11,7 +11,7 @@ from . import scan as S
 #: What tells streams apart.
 RUN = ["run_id"]
 FLAT = 1e-5
-#: A day that loses less is one of rounding, as days without a position are.
+#: A day that loses (a month that gains) less is one of rounding, as those without a position are.
 NOISE = 1e-12
 
 
@@ -196,7 +196,7 @@ def report(rows: DataFrame, bench: DataFrame | None = None, rf: float = 0.0, ppy
     the statistics, VaR and CVaR, months, turnover and exposure, and with bench (d, ret) the regression on it."""
     names = {"total_return": "total_return", "cagr": "cagr", "vol": "vol", "sharpe": "sharpe", "sortino": "sortino", "calmar": "calmar", "mdd": "mdd", "ulcer": "ulcer", "skew": "skew", "kurtosis": "kurtosis"}
     out = statistics(rows, rf, ppy).select("run_id", *names).join(var_cvar(rows), "run_id")
-    m = monthly_returns(rows).groupBy("run_id").agg(F.avg((F.col("ret") > 0).cast("double")).alias("positive_months"), F.max("ret").alias("best_month"), F.min("ret").alias("worst_month"))
+    m = monthly_returns(rows).groupBy("run_id").agg(F.avg((F.col("ret") > NOISE).cast("double")).alias("positive_months"), F.max("ret").alias("best_month"), F.min("ret").alias("worst_month"))
     out = out.join(m, "run_id")
     extra = []
     if "turnover" in rows.columns:

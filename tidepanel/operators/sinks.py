@@ -66,6 +66,6 @@ def returns_template(spark: SparkSession, daily: bool = False, rows: int = 6) ->
 
 
 def tearsheet(title: str, stats: DataFrame, config: str = "") -> str:
-    """One HTML page of a statistics table (metric, value): a few dozen rows."""
-    rows = "".join(f"<tr><td>{html.escape(r.metric)}</td><td>{'-' if r.value is None else f'{r.value:,.4f}'}</td></tr>" for r in stats.orderBy("metric").limit(200).collect())
+    """One HTML page of a statistics table (metric, value): a row for each metric."""
+    rows = "".join(f"<tr><td>{html.escape(r.metric)}</td><td>{'-' if r.value is None else f'{r.value:,.4f}'}</td></tr>" for r in stats.orderBy("metric").collect())
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{rows}</table><pre>{html.escape(config)}</pre>"

@@ -918,7 +918,7 @@ def _(spark, sf):
     return B.run_statistics(E.kernel(x, E.Costs().rate, min_trade="band").select("run_id", "d", "nav", "ret", "turnover"))
 
 
-@query("trades_tail", _walk("0") + "), tt AS (SELECT dy.d, asset, dy.t[ord] AS weight_after FROM dy CROSS JOIN uni JOIN sim USING (n) WHERE ev AND tr > 0), q AS (SELECT * FROM tt ORDER BY d DESC, asset LIMIT 400)", "weight_after", "d asset")
+@query("trades_tail", _walk("0") + f"), {_BEFORE}, q AS (SELECT d, asset, weight_after FROM bf WHERE held <> 0 OR weight_after <> 0 ORDER BY d DESC, asset LIMIT 400)", "weight_after", "d asset")
 def _(spark, sf):
     return E.trades(_run(spark, sf)).orderBy(F.desc("d"), "asset").limit(400).select("d", "asset", "weight_after")
 
@@ -934,7 +934,7 @@ def _(spark, sf):
     return K.daily_series(E.closed_form(_run(spark, sf), E.Costs().rate), E.benchmark_result(D.benchmark(spark, sf))).drop("run_id")
 
 
-_MONTHS = "mq AS (SELECT avg(CAST(ret > 0 AS DOUBLE)) AS positive_months, max(ret) AS best_month, min(ret) AS worst_month FROM mr)"
+_MONTHS = "mq AS (SELECT avg(CAST(ret > 1e-12 AS DOUBLE)) AS positive_months, max(ret) AS best_month, min(ret) AS worst_month FROM mr)"
 
 
 @query("report", f"""{_EQ}, {_STATS}, {_MON}, {_MONTHS}, vv AS (SELECT quantile_cont(r, 0.05) AS var FROM bret), vc AS (SELECT any_value(var) AS var, avg(r) FILTER (r <= var) AS cvar FROM bret, vv),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -50,7 +51,9 @@ def run(prices: DataFrame, config: Run, exog: DataFrame | None = None, weights:
     dated = dated.where(F.col("d") <= F.lit(data.end).cast("date")) if data.end else dated
     every = cleaned(dated, data.fill_limit)
     parts = split_panel(every, data.benchmark, data.cash_proxy)
-    panel = parts["universe"].where(F.col("asset").isin(data.tickers))
+    # ties between names follow the order of the configuration
+    place = F.array_position(F.array(*map(F.lit, data.tickers)), F.col("asset"))
+    panel = parts["universe"].withColumn("ord", place.cast("long")).where("ord > 0")
     signals = None
     if config.strategy.mode == "external_weights":
         dense = I.external_weights(weights, panel, config.strategy.weights_normalize != "None")
@@ -64,6 +67,11 @@ def run(prices: DataFrame, config: Run, exog: DataFrame | None = None, weights:
     legs = E.legs(panel, targets.withColumn("run_id", F.lit(config.label)), A.rebalance_calendar(panel, RULES[engine.rebalance]), engine.execution_lag, engine.max_leverage, cash, opens if at_open else None, dividends if data.use_dividends else None, signals)
     legs = stored(legs)
     days = E.kernel(legs, (costs.commission_bps + costs.slippage_bps) / 1e4, engine.min_trade_weight, engine.max_leverage, costs.borrow_rate_pa, engine.initial_capital, engine.periods_per_year, at_open)
-    days = E.trim_warmup(days, engine.initial_capital) if engine.trim_warmup else days
     bench = E.benchmark_result(parts["benchmark"], engine.initial_capital) if data.benchmark else None
+    if engine.trim_warmup:  # both from the latest of their first active days on
+        days = stored(days)
+        sides = {config.label: days} | ({"benchmark": bench.select(F.lit("benchmark").alias("run_id"), "d", "nav", "ret", F.lit(1.0).alias("exposure"))} if bench is not None else {})
+        first = functools.reduce(DataFrame.unionByName, [E.first_active(x) for x in sides.values()]).agg(F.max("first_d").alias("first_d"))
+        trim = lambda x: E.trim_warmup(x, engine.initial_capital, x.select("run_id").distinct().crossJoin(F.broadcast(first)))
+        days, bench = trim(days), trim(sides["benchmark"]).select("d", "nav", "ret") if bench is not None else None
     return Result(days, legs, bench, panel)

@@ -9,6 +9,9 @@ from dataclasses import dataclass, field
 RULES = {"D": "daily", "W": "weekly", "M": "monthly", "Q": "quarterly", "A": "annual"}
 
 
+# The names and defaults of a configuration's fields, which files of others use.
+
+
 @dataclass
 class Data:
     source: str = "yfinance"
@@ -93,18 +96,17 @@ class Run:
         return yaml.safe_dump(dataclasses.asdict(self), sort_keys=False, allow_unicode=True)
 
     def problems(self) -> list[str]:
-        """What stands against a run; a line that begins with WARNING doesn't."""
-        e, out = self.engine, []
-        checks = [
-            (e.rebalance not in RULES, f"no rebalance rule {e.rebalance!r}"),
-            (e.execution_lag < 0, "execution_lag is negative"),
-            (e.execution_lag == 0, "WARNING: execution_lag 0 trades on what is known only at the close"),
-            (e.initial_capital <= 0, "initial_capital must be positive"),
-            (e.max_leverage < 0.1, "max_leverage is under 0.1"),
-            (self.data.source == "yfinance" and not self.data.tickers, "no ticker"),
-            (self.strategy.mode not in ("builtin", "external_weights"), f"no strategy mode {self.strategy.mode!r}"),
-            (self.exog.enabled and self.exog.publication_lag_days < 0, "publication_lag_days is negative"),
-            (self.data.use_dividends and self.data.adjusted, "adjusted prices hold the dividends already"),
-        ]
-        out += [said for wrong, said in checks if wrong]
-        return out
+        """What stands against a run, by section; a line that begins with WARNING doesn't."""
+        found = {
+            "data": {"no ticker": self.data.source == "yfinance" and not self.data.tickers, "adjusted prices hold the dividends already": self.data.use_dividends and self.data.adjusted},
+            "exog": {"publication_lag_days is negative": self.exog.enabled and self.exog.publication_lag_days < 0},
+            "strategy": {f"no strategy mode {self.strategy.mode!r}": self.strategy.mode not in ("builtin", "external_weights")},
+            "engine": {
+                "initial_capital must be positive": self.engine.initial_capital <= 0,
+                "max_leverage is under 0.1": self.engine.max_leverage < 0.1,
+                "execution_lag is negative": self.engine.execution_lag < 0,
+                "WARNING: execution_lag 0 trades on what is known only at the close": self.engine.execution_lag == 0,
+                f"no rebalance rule {self.engine.rebalance!r}": self.engine.rebalance not in RULES,
+            },
+        }
+        return [said for section in found.values() for said, wrong in section.items() if wrong]
