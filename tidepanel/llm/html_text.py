@@ -187,18 +187,31 @@ def blocks(page: str) -> list[tuple]:
 _MARKS = re.compile(r"[.!?…。,;:]")
 
 
-def features(found: list) -> np.ndarray:
+def features(pages: list[list]) -> np.ndarray:
+    """A row for each block of all pages, one page after the other."""
+    found = [b for page in pages for b in page]
     if not found:
         return np.zeros((0, len(FEATURES)))
+    at = np.repeat(np.arange(len(pages)), [len(page) for page in pages])
     words = np.array([b[1] for b in found], float)
-    density = np.array([min(1.0, b[2] / b[1]) for b in found])
-    shift = lambda x, k: np.concatenate([np.zeros(min(k, len(x))), x[: max(0, len(x) - k)]]) if k > 0 else np.concatenate([x[-k:], np.zeros(min(-k, len(x)))])
+    density = np.minimum(1.0, np.array([b[2] for b in found]) / words)
+
+    def shift(x: np.ndarray, k: int) -> np.ndarray:
+        """x of the block k before (after, if negative) on the same page, else 0."""
+        out = np.zeros(len(x))
+        if k > 0:
+            out[k:] = np.where(at[k:] == at[:-k], x[:-k], 0)
+        else:
+            out[:k] = np.where(at[:k] == at[-k:], x[-k:], 0)
+        return out
+
+    places_ = {p: np.fromiter((p in b[3] for b in found), bool, len(found)) for p in PLACES}
+    has, named = (np.bincount(at, places_[p], len(pages))[at] > 0 for p in ("article", "named"))
+    tag = np.array([b[4] for b in found])
     near = [shift(x, k) for k in (1, -1, 2, -2) for x in (words, density)]
-    has, named = (float(any(p in b[3] for b in found)) for p in ("article", "named"))
-    heading = np.array([b[4] == "h" for b in found], float)
-    flags = [[len(_MARKS.findall(b[0])) for b in found], [b[0][-1] in ".!?…。:;\"”»" for b in found], [has > 0 and "article" not in b[3] for b in found], [b[5] for b in found], [has] * len(found), [named] * len(found)]
-    flags += [[x in b[3] for b in found] for x in PLACES] + [[b[4] == t for b in found] for t in TAGS[:5]]
-    return np.stack([words, density, *near, *(np.array(f, float) for f in flags), shift(heading, 1)], axis=1)
+    flags = [[len(_MARKS.findall(b[0])) for b in found], [b[0][-1] in ".!?…。:;\"”»" for b in found], has & ~places_["article"], [b[5] for b in found], has, named]
+    flags += [*places_.values(), *(tag == t for t in TAGS[:5]), shift((tag == "h").astype(float), 1)]
+    return np.stack([words, density, *near, *(np.asarray(f, float) for f in flags)], axis=1)
 
 
 # ---- the labelled table -----------------------------------------------------------------------
@@ -304,12 +317,9 @@ def layout(rng: random.Random) -> str:
 
 
 def labelled(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    rng, xs, ys = random.Random(seed), [], []
-    for _ in range(pages):
-        found = blocks(layout(rng))
-        xs.append(features(found))
-        ys.append([b[0].startswith(KEEP) for b in found])
-    return np.concatenate(xs), np.concatenate([np.array(y, float) for y in ys])
+    rng = random.Random(seed)
+    found = [blocks(layout(rng)) for _ in range(pages)]
+    return features(found), np.array([b[0].startswith(KEEP) for page in found for b in page], float)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 20, least: int = 4):
@@ -349,9 +359,31 @@ def grown():
     return grow(*labelled())
 
 
+def main_texts(pages: list[str | None], tree) -> list[str]:
+    found = [blocks(page or "") for page in pages]
+    kept = iter(judge(tree, features(found)).tolist())
+    return ["\n".join([b[0] for b in page if next(kept)]) for page in found]
+
+
 def main_text(page: str | None, tree) -> str:
-    found = blocks(page or "")
-    return "\n".join(b[0] for b, ok in zip(found, judge(tree, features(found)), strict=True) if ok)
+    return main_texts([page], tree)[0]
+
+
+#: Characters of html whose blocks a task holds at once; one longer page is held on its own.
+TOGETHER = 1 << 20
+
+
+def _groups(pages):
+    """Consecutive pages of TOGETHER characters."""
+    group, size = [], 0
+    for page in pages:
+        if group and size + len(page or "") > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(page)
+        size += len(page or "")
+    if group:
+        yield group
 
 
 def extract(df: DataFrame) -> DataFrame:
@@ -361,7 +393,7 @@ def extract(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x.as_py(), tree) for x in batch.column(2)]
+            texts = [t for group in _groups(x.as_py() for x in batch.column(2)) for t in main_texts(group, tree)]
             yield batch_of(page_id=batch.column(0).cast(pa.int64()), url=batch.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
     return df.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
