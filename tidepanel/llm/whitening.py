@@ -9,8 +9,8 @@ their standard deviations, so no covariance is ever squared together.
 
 Left out: null and empty vectors, those with a null, NaN or infinite entry, and those of another length than most
 vectors have (ties: the longer). Entries beyond +-2^46 count as that much. Repeated vectors and ids: each row has its own
-result. A component without variance (fewer different vectors than dimensions, or equal entries) has no whitened
-value and an explained share of 0, and identity_error looks at the others; without variance at all explained is null. A
+result. A component without variance (fewer different vectors than dimensions, or equal entries; a deviation under 1e-13
+of the largest is one of rounding) has no whitened value and an explained share of 0, and identity_error looks at the others; without variance at all explained is null. A
 deviation that a long can't hold is null. Components have their largest entry (the first of equals) positive.
 Null ids stay. Extra columns are ignored. A table without such vectors gives an empty result.
 """
