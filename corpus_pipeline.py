@@ -26,8 +26,8 @@ MIX = mixing.Mix(share=0.9, max_epochs=1)
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    path = bpe.vocabulary("piece_bpe_32k.model")
-    return quality.filter_quality(docs, path, quality.learn(docs, read(spark, sf_dir, "labels"), path))
+    paths = quality.paths_of()
+    return quality.filter_quality(docs, paths, quality.learn(docs, read(spark, sf_dir, "labels"), paths))
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of every document."""
+    """(doc_id, n_tokens, ids, decoded) of every document; the other columns end here."""
     return bpe.round_trip(docs, bpe.vocabulary())
 
 
