@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ranks as RK
 from ..functions import rolling as R
 from ..operators import align as A
 from ..operators import clean as C
@@ -302,12 +303,12 @@ _MOM = "mo AS (SELECT *, px / lag(px, 20) OVER (PARTITION BY asset ORDER BY n) -
 
 @query("topn_rank", _MOM + ", q AS (SELECT d, asset, CAST(s IS NOT NULL AND row_number() OVER (PARTITION BY d ORDER BY s DESC NULLS LAST, ord) <= 3 AS DOUBLE) AS x FROM mo)", "x", "d asset")
 def _(spark, sf):
-    return D.prices(spark, sf).withColumn("s", R.total_return(SHORT)).select("d", "asset", R.top_n("s", 3).alias("x"))
+    return RK.top_n(D.prices(spark, sf).withColumn("s", R.total_return(SHORT)), "s", 3, "x").select("d", "asset", "x")
 
 
 @query("pct_rank_avg", _MOM + ", q AS (SELECT d, asset, CASE WHEN s IS NOT NULL THEN (rank() OVER (PARTITION BY d, s IS NULL ORDER BY s) + (count(*) OVER (PARTITION BY d, s) - 1) / 2.0) / count(s) OVER (PARTITION BY d) END AS x FROM mo)", "x", "d asset")
 def _(spark, sf):
-    return D.prices(spark, sf).withColumn("s", R.total_return(SHORT)).select("d", "asset", R.pct_rank("s").alias("x"))
+    return RK.pct_rank(D.prices(spark, sf).withColumn("s", R.total_return(SHORT)), "s", "x").select("d", "asset", "x")
 
 
 _STICKY = f"ma AS (SELECT *, {_SMA} AS ma FROM px), st AS (SELECT *, CASE WHEN coalesce(px < ma * 0.98, false) THEN 0.0 WHEN coalesce(px > ma * 1.02, false) THEN 1.0 END AS s FROM ma), hy AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY asset ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS x FROM st)"
