@@ -3,11 +3,13 @@
 Every language has a codeword of bits. For each bit a binary classifier over hashed byte n-grams (log
 odds between the languages with that bit and those without, each language with equal weight) gives the
 mean log odds of a text. Decoding is loss-weighted: a bit counts by how well its classifier did on the
-training sample, and the codeword of the least logistic loss wins; a small lead flags ambiguity.
+training sample, and the codeword of the least logistic loss wins, of equal ones that of the language first in
+the alphabet; a small lead flags ambiguity.
 
 Training: rows with text and language, of which at most about SAMPLE a language are taken by a hash of
 the id (all, if a language has fewer). Null text or one without a letter: `und` with score 0, as
-everything is if there is nothing to learn from. Extra columns are ignored; repeated rows give repeated
+everything is if there is nothing to learn from. A null id has no remainder: the query's held_out is null, and
+the row isn't learnt from. Extra columns are ignored; repeated rows give repeated
 rows; an empty table gives an empty result.
 """
 

@@ -213,7 +213,7 @@ def whiten(ws: Workspace, df: DataFrame, top: int = TOP, key: str = "vec_id", ve
     along = v[:, :k] / np.where(live, np.sqrt(e[:k]), 1)
     share = e[:k] / trace if trace > 0 else np.full(k, np.nan)
     error = float(np.abs(moments(ws, fit, n, total, along[:, live], driver) - np.eye(int(live.sum()))).max(initial=0)) if live.any() else None
-    shares = [float(s) if s == s else None for s in np.where(live | ~(trace > 0), share, 0.0)]
+    shares = [float(s) if s == s else None for s in np.where(live | (trace <= 0), share, 0.0)]
 
     def run(batches):
         for batch in batches:
