@@ -5,7 +5,9 @@ Vectors are scaled to length 1; equal ones are one class, counted and not compar
 with cosine >= t is at most r = sqrt(2 - 2t) apart, so it lies in one cell, or the distances of its two ends
 to the plane between their cells add up to r at most, and one of them is r / 2 or less. A vector visits every
 other cell whose plane is within r / 2 of it: no pair is lost. If both ends visit, the pair counts where the
-one nearer to the plane visits (of equally near ones that of the lower id). Cells are dealt in blocks of a
+one nearer to the plane visits (of equally near ones that of the lower id). A cell with more than SPLIT members
+is cut again in the same way, by centres fitted on its own members: its members and visitors get cells within it,
+visit those nearby, and a pair counts where both levels say so. Cells are dealt in blocks of a
 bounded size; a block of members is held against a block of members or visitors in float32 products of SLICE
 rows, and what is near t is decided in double precision.
 
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 from .common import Workspace, components, read, split_join
 from .texts import batch_of
 
-#: Vectors that k-means is fitted on, at most; a cell's expected size; cells at most; a tile's side, and
-#: numbers in one side at most (longer vectors get smaller tiles); rows of a product.
-FIT, CELL, MOST_CELLS, SIDE, NUMBERS, SLICE = 20_000, 4096, 4096, 8192, 1 << 20, 256
+#: Vectors that k-means is fitted on, about; a cell's expected size; cells of one level at most, and the members
+#: from which a cell is cut again; a tile's side, and numbers in one side at most (longer vectors get smaller tiles);
+#: rows of a product.
+FIT, CELL, LEVEL, SPLIT, SIDE, NUMBERS, SLICE = 20_000, 4096, 4096, 16_384, 8192, 1 << 20, 256
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -62,9 +65,19 @@ def fit(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.nd
     return centres
 
 
+def placed(y: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, own cell): each row in its own cell and in each cell it visits, whose plane is within the radius."""
+    score = y @ centres.T
+    own = score.argmax(1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[own]
+    near = score[np.arange(len(y)), own][:, None] - score <= radius * gap + 1e-9
+    near[np.arange(len(y)), own] = True
+    row, cell = np.nonzero(near)
+    return row, cell, own[row]
+
+
 def assign(df: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
-    """(cell, vec_id, copies, own, home, v): a row in its own cell and one in each cell it visits, whose plane
-    is within the radius."""
+    """(cell, vec_id, copies, own, home, v)."""
 
     def run(batches):
         for batch in batches:
@@ -73,32 +86,72 @@ def assign(df: DataFrame, centres: np.ndarray, radius: float) -> DataFrame:
             x = unit(np.array(batch.column(1).to_pylist(), float))
             for i in range(0, len(x), 4096):
                 y = x[i : i + 4096]
-                score = y @ centres.T
-                own = score.argmax(1)
-                gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[own]
-                near = score[np.arange(len(y)), own][:, None] - score <= radius * gap + 1e-9
-                near[np.arange(len(y)), own] = True
-                row, cell = np.nonzero(near)
+                row, cell, own = placed(y, centres, radius)
                 flat = pa.array(y[row].ravel())
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) + 1, dtype=np.int32) * y.shape[1]), flat)
-                yield batch_of(cell=pa.array(cell.astype(np.int32)), vec_id=batch.column(0).slice(i, len(y)).take(pa.array(row)), copies=batch.column(2).slice(i, len(y)).take(pa.array(row)), own=pa.array(own[row].astype(np.int32)), home=pa.array(own[row] == cell), v=vec)
+                yield batch_of(cell=pa.array(cell.astype(np.int32)), vec_id=batch.column(0).slice(i, len(y)).take(pa.array(row)), copies=batch.column(2).slice(i, len(y)).take(pa.array(row)), own=pa.array(own.astype(np.int32)), home=pa.array(own == cell), v=vec)
 
     return df.select("vec_id", "v", "copies").mapInArrow(run, "cell int, vec_id long, copies long, own int, home boolean, v array<double>")
 
 
+def cut(ws: Workspace, rows: DataFrame, radius: float, tag: str) -> DataFrame:
+    """assign's rows with sub (the cell within the cell), own2, inside (whether the row is one of the tile's members)
+    and diff, its own centre less that of the cell it visits. Cells that aren't cut have sub 0 and no diff."""
+    plain = rows.select("*", F.lit(0).alias("sub"), F.lit(0).alias("own2"), F.col("home").alias("inside"), F.lit(None).cast("array<double>").alias("diff"))
+    sizes = ws.table(rows.groupBy("cell").agg(F.count_if("home").alias("members"), F.count("*").alias("all")).where(F.col("members") > SPLIT), f"large-{tag}")
+    large = sizes.count()
+    if not large:
+        return plain
+    big = rows.join(F.broadcast(sizes), "cell")  # at most LEVEL cells
+    share = F.lit(float(FIT)) / F.col("members") * (1 << 20)
+    sample = big.where(F.col("home") & (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) <= share)).select("cell", "members", "v")
+
+    size, level = CELL, LEVEL
+
+    def centres_of(pdf):
+        import pandas as pd
+
+        x = np.stack(pdf["v"].to_numpy())
+        c = fit(x, max(2, min(level, round(pdf["members"].iat[0] / size))))
+        return pd.DataFrame({"cell": pdf["cell"].iat[0], "at": np.arange(len(c)), "c": list(c)})
+
+    centres = ws.table(sample.groupBy("cell").applyInPandas(centres_of, "cell int, at int, c array<double>"), f"centres-{tag}")
+    part = F.ceil(F.col("all") / F.lit(SIDE)).cast("int")
+    spread = centres.join(F.broadcast(sizes), "cell").select("cell", "at", "c", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"))
+
+    def place(left, right):
+        import pandas as pd
+
+        c = np.stack(right.sort_values("at")["c"].to_numpy())
+        y = np.stack(left["v"].to_numpy())
+        row, sub, own = placed(y, c, radius)
+        out = left.drop(columns="part").iloc[row].reset_index(drop=True)
+        home = own == sub
+        return out.assign(sub=sub.astype(np.int32), own2=own.astype(np.int32), inside=home, diff=pd.Series([None if h else c[o] - c[k] for h, o, k in zip(home, own, sub, strict=True)], dtype=object))
+
+    dealt_ = big.withColumn("part", F.pmod(F.xxhash64("vec_id"), part).cast("int")).select("cell", "vec_id", "copies", "own", "home", "v", "part")
+    small = plain.join(F.broadcast(sizes.select("cell")), "cell", "left_anti")
+    schema = "cell int, vec_id long, copies long, own int, home boolean, v array<double>, sub int, own2 int, inside boolean, diff array<double>"
+    split = dealt_.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInPandas(place, schema)
+    return ws.table(small.unionByName(split), f"cut-{tag}")
+
+
+ROW = ("vec_id", "copies", "own", "home", "own2", "diff", "v")
+
+
 def dealt(rows: DataFrame, side: int) -> DataFrame:
     """Rows with their tiles (x, y). Members of a cell form blocks, visitors too; a block of members
     meets itself, the blocks of members before it, and every block of visitors."""
-    size = rows.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / F.lit(side)).cast("int").alias("members"), F.ceil(F.count(F.when(~F.col("home"), 1)) / F.lit(side)).cast("int").alias("visitors"))
-    placed = rows.join(size.where("members > 0"), "cell")
-    k = F.pmod(F.xxhash64("vec_id"), F.when(F.col("home"), F.col("members")).otherwise(F.col("visitors"))).cast("int")
-    placed = placed.withColumn("k", k)
+    size = rows.groupBy("cell", "sub").agg(F.ceil(F.count_if("inside") / F.lit(side)).cast("int").alias("members"), F.ceil(F.count_if(~F.col("inside")) / F.lit(side)).cast("int").alias("visitors"))
+    placed_ = rows.join(size.where("members > 0"), ["cell", "sub"])
+    k = F.pmod(F.xxhash64("vec_id"), F.when(F.col("inside"), F.col("members")).otherwise(F.col("visitors"))).cast("int")
+    placed_ = placed_.withColumn("k", k)
     all_members = F.sequence(F.lit(0), F.col("members") - 1)
     guests = F.when(F.col("visitors") > 0, F.transform(F.sequence(F.lit(1), F.greatest("visitors", F.lit(1))), lambda i: F.struct(F.col("k").alias("x"), (-i).alias("y")))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
     among = F.transform(all_members, lambda i: F.struct(F.greatest(i, F.col("k")).alias("x"), F.least(i, F.col("k")).alias("y")))
     visits = F.transform(all_members, lambda i: F.struct(i.alias("x"), (-F.col("k") - 1).alias("y")))
-    tile = F.explode(F.when(F.col("home"), F.concat(among, guests)).otherwise(visits)).alias("t")
-    return placed.select("cell", "vec_id", "copies", "own", "v", F.when(F.col("home"), F.col("k")).otherwise(-F.col("k") - 1).alias("side"), tile).select("cell", "vec_id", "copies", "own", "v", "side", "t.x", "t.y")
+    tile = F.explode(F.when(F.col("inside"), F.concat(among, guests)).otherwise(visits)).alias("t")
+    return placed_.select("cell", "sub", *ROW, F.when(F.col("inside"), F.col("k")).otherwise(-F.col("k") - 1).alias("side"), tile).select("cell", "sub", *ROW, "side", "t.x", "t.y")
 
 
 def tile_links(x: np.ndarray, y: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,19 +167,21 @@ def tile_links(x: np.ndarray, y: np.ndarray, t: float) -> Iterator[tuple[np.ndar
         yield a + i, j
 
 
-def nearer(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, own: np.ndarray, cell: int, centres: np.ndarray) -> Callable:
-    """For visitors y (from the cells own) of members x of a cell: (i, j) -> which pairs count here. Distances are
-    sums of the same products on both sides of a plane, so exactly one side has a pair."""
-    cells, at = np.unique(own, return_inverse=True)
-    of_y = (y * (centres[own] - centres[cell])).sum(1)
+def nearer(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, own: np.ndarray, diffs: dict[int, np.ndarray]) -> Callable:
+    """For visitors y (from the cells own) of members x of a cell: (i, j) -> which pairs count here. diffs: a
+    visitor's own centre less the cell's. Distances are sums of the same products on both sides of a plane, so exactly
+    one side has a pair."""
+    of_y = np.zeros(len(y))
+    for c in diffs:
+        of_y[own == c] = (y[own == c] * diffs[c]).sum(1)
     of_x: dict[int, np.ndarray] = {}
 
     def counts(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), bool)
-        for c in np.unique(at[j]):
+        for c in np.unique(own[j]).tolist():
             if c not in of_x:
-                of_x[c] = (x * (centres[cell] - centres[cells[c]])).sum(1)
-            k = np.flatnonzero(at[j] == c)
+                of_x[c] = (x * -diffs[c]).sum(1)
+            k = np.flatnonzero(own[j] == c)
             mine, theirs = of_y[j[k]], of_x[c][i[k]]
             out[k] = (mine < theirs) | ((mine == theirs) & (ids_y[j[k]] < ids_x[i[k]]))
         return out
@@ -134,6 +189,26 @@ def nearer(x: np.ndarray, y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, o
     return counts
 
 
+def allowed(x: dict, y: dict, cell: int, centres: np.ndarray) -> Callable:
+    """(i, j) -> which pairs count in a cell of the first level: two members, or a member and a visitor that is
+    nearer to the plane; never two visitors. x, y: the columns of both sides."""
+    if x["home"].all() and y["home"].all():
+        return lambda i, j: np.ones(len(i), bool)
+    diffs = {c: centres[c] - centres[cell] for c in np.unique(np.concatenate([x["own"], y["own"]])).tolist()}
+    of_y, of_x = (nearer(a["v"], b["v"], a["vec_id"], b["vec_id"], b["own"], diffs) for a, b in ((x, y), (y, x)))
+
+    def counts(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = x["home"][i], y["home"][j]
+        out = a & b
+        k = np.flatnonzero(a & ~b)
+        out[k] = of_y(i[k], j[k])
+        k = np.flatnonzero(~a & b)
+        out[k] = of_x(j[k], i[k])
+        return out
+
+    return counts
+
+
 def merged(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Least place of each place's component, after the links (i, j) are added to those that low stands for."""
     while True:
@@ -161,9 +236,10 @@ def near_vectors(ws: Workspace, df: DataFrame, t: float = 0.9) -> DataFrame:
         share = min(1.0, FIT / n)
         sample = same.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * FIT).toPandas()["v"]
         rows = unit(np.stack(sample.to_numpy()).astype(float)) if len(sample) else None
-        cells = max(1, min(MOST_CELLS, round(n / CELL)))
+        cells = max(1, min(LEVEL, round(n / CELL)))
         centres = fit(rows, cells) if rows is not None else np.eye(1, size)
-        rows = ws.table(assign(same, centres, (2 - 2 * t) ** 0.5 / 2), f"cells-{size}")
+        radius = (2 - 2 * t) ** 0.5 / 2
+        rows = cut(ws, ws.table(assign(same, centres, radius), f"cells-{size}"), radius, str(size))
         results.append(_within(dealt(rows, max(1, min(SIDE, NUMBERS // size))), t, centres))
     if not results:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -191,27 +267,30 @@ def _within(tiles: DataFrame, t: float, centres: np.ndarray) -> DataFrame:
         import pandas as pd
 
         k, m = pdf["x"].iat[0], pdf["y"].iat[0]
-        left, right = (pdf["side"] == k).to_numpy(), (pdf["side"] == m).to_numpy()
-        ids, copies, own = (pdf[c].to_numpy() for c in ("vec_id", "copies", "own"))
-        if not left.any() or not right.any():
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="Int64")})
-        x = np.stack(pdf["v"][left].to_numpy())
-        y = x if k == m else np.stack(pdf["v"][right].to_numpy())
-        a, b = ids[left], ids[right]
+        sides = {}
+        for side in (k, m):
+            part = pdf[pdf["side"] == side]
+            if part.empty:
+                return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="Int64")})
+            if side not in sides:
+                sides[side] = {c: part[c].to_numpy() for c in ROW if c != "v"} | {"v": np.stack(part["v"].to_numpy())}
+        left, right = sides[k], sides[m]
+        x, y, a, b = left["v"], right["v"], left["vec_id"], right["vec_id"]
+        rules = [allowed(left, right, pdf["cell"].iat[0], centres)]
         if k == m:
-            once = lambda i, j: i < j
-        elif m < 0:
-            once = nearer(x, y, a, b, own[right], pdf["cell"].iat[0], centres)
-        else:
-            once = lambda i, j: np.full(len(i), True)
+            rules.append(lambda i, j: i < j)
+        elif m < 0 and right["diff"][0] is not None:
+            cells, at = np.unique(right["own2"], return_index=True)
+            rules.append(nearer(x, y, a, b, right["own2"], {int(c): np.asarray(right["diff"][p]) for c, p in zip(cells, at, strict=True)}))
         of_x, of_y = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         who = a if k == m else np.concatenate([a, b])
         low = np.arange(len(who))
         for i, j in tile_links(x, y, t):
-            keep = once(i, j)
-            i, j = i[keep], j[keep]
-            np.add.at(of_x, i, copies[right][j])
-            np.add.at(of_y, j, copies[left][i])
+            for rule in rules:
+                keep = rule(i, j)
+                i, j = i[keep], j[keep]
+            np.add.at(of_x, i, right["copies"][j])
+            np.add.at(of_y, j, left["copies"][i])
             low = merged(low, i, j + len(who) - len(b))
         n = of_x + of_y if k == m else np.concatenate([of_x, of_y])
         far = np.flatnonzero(low != np.arange(len(who)))
@@ -219,7 +298,7 @@ def _within(tiles: DataFrame, t: float, centres: np.ndarray) -> DataFrame:
         count = pd.DataFrame({"a": who[n > 0], "b": pd.array([None] * int((n > 0).sum()), "Int64"), "n": pd.array(n[n > 0], "Int64")})
         return pd.concat([count, star])
 
-    return tiles.groupBy("cell", "x", "y").applyInPandas(tile, "a long, b long, n long")
+    return tiles.groupBy("cell", "sub", "x", "y").applyInPandas(tile, "a long, b long, n long")
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
