@@ -99,6 +99,8 @@ def test_runner_and_sinks(spark, tmp_path):
     out = runner.run(prices, c, weights=w)
     assert out.days.where("turnover > 0").count() == 1 and abs(out.days.agg(F.max("turnover")).first()[0] - 0.6) < 1e-9
     assert _rows(I.name_report(w, out.panel)) == [("B", "absent"), ("X", "unknown")]
+    page = K.report_page("run <1>", K.report_tables(r.days, r.weights(), r.benchmark), c.to_yaml())
+    assert page.count("<h2>") == 4 and "run &lt;1&gt;" in page and "cagr" in page and "Cash" in page and "beta" in page and page.count("<li>") == 6
     page = K.tearsheet("a < b", spark.createDataFrame([("cagr", 0.1)], "metric string, value double"))
     assert "a &lt; b" in page and "0.1000" in page
     t = K.weights_template(spark, ["A", "B", "C"]).orderBy("Date").collect()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import metrics as M
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -65,6 +67,43 @@ def returns_template(spark: SparkSession, daily: bool = False, rows: int = 6) ->
     return spark.range(rows).select(day.alias("Date"), F.round(0.006 + 0.03 * F.randn(0), 4).alias("Strategy"), F.round(0.005 + 0.035 * F.randn(1), 4).alias("Benchmark"))
 
 
+#: Statistics that head a page.
+HEAD = ("cagr", "vol", "sharpe", "sortino", "calmar", "mdd")
+
+
+def report_tables(days: DataFrame, weights: DataFrame | None = None, bench: DataFrame | None = None, ppy: int = 252) -> dict[str, DataFrame]:
+    """What a report's page shows of one run (run_id, d, ret, nav[, turnover, exposure, cash_w]), each a table of
+    bounded size: head, statistics (with the regression on bench), drawdowns, months and, with weights, holdings."""
+    stats = M.report(days, bench, ppy=ppy).select("metric", "value")
+    out = {"head": stats.where(F.col("metric").isin(*HEAD)).select("metric", M.format_metric(F.col("metric"), F.col("value")).alias("value"))}
+    out["statistics"] = stats.orderBy("metric")
+    out["drawdowns"] = M.drawdown_table(days).drop("run_id").orderBy("drawdown")
+    out["months"] = M.monthly_pivot(days).drop("run_id").orderBy("year")
+    if weights is not None:
+        out["holdings"] = current_holdings(weights, days).drop("run_id").orderBy(F.desc(F.abs("weight")), "instrument").limit(TOP_HOLDINGS)
+    return out
+
+
+#: Holdings on a page, the largest.
+TOP_HOLDINGS = 30
+
+
+def _cell(x) -> str:
+    return "–" if x is None else f"{x:,.4f}" if isinstance(x, float) else html.escape(str(x))
+
+
+def report_page(title: str, tables: dict[str, DataFrame], config: str = "") -> str:
+    """One HTML page of report_tables: tiles of the head, then a table each. The rows of tables that don't grow with
+    a run come to the driver."""
+    tiles = "".join(f"<li><b>{_cell(r.metric)}</b> {_cell(r.value)}</li>" for r in tables["head"].collect())
+    parts = []
+    for name, df in tables.items():
+        if name != "head":
+            body = "".join("<tr>" + "".join(f"<td>{_cell(v)}</td>" for v in row) + "</tr>" for row in df.collect())
+            parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>{body}</table>")
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><ul>{tiles}</ul>{''.join(parts)}<pre>{html.escape(config)}</pre>"
+
+
 def tearsheet(title: str, stats: DataFrame, config: str = "") -> str:
     """One HTML page of a statistics table (metric, value): a row for each metric."""
     rows = "".join(f"<tr><td>{html.escape(r.metric)}</td><td>{'-' if r.value is None else f'{r.value:,.4f}'}</td></tr>" for r in stats.orderBy("metric").collect())

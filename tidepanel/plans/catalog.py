@@ -816,6 +816,28 @@ lr AS (SELECT bps, n, g * (1 - tr * bps / 1e4) - 1 AS r FROM gr CROSS JOIN lv),
 SELECT bps, round(pow(arg_max(v, n) / arg_min(v, n), 252.0 / count(*)) - 1, 5) + 0.0::DOUBLE AS cagr, round(avg(r) / stddev_samp(r) * sqrt(252), 5) + 0.0::DOUBLE AS sharpe, round(min(dd), 5) + 0.0::DOUBLE AS mdd FROM ld GROUP BY bps"""
 
 
+def _banded(spark, sf, rate: float) -> DataFrame:
+    """Half in the assets, cash at its proxy's return, under a dead band."""
+    return stored(E.kernel(_half(spark, sf), rate, min_trade=0.005).select("run_id", "d", "nav", "ret", "turnover"))
+
+
+_HALF_RUN = _walk("0.005", held=_HALF, cash=_PROXY) + "), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r FROM sim)"
+
+
+@query("walk_forward_banded", f"{_HALF_RUN}, pt AS (SELECT n, d, r, ntile(5) OVER (ORDER BY n) AS k FROM ru), {_PART}, q AS (SELECT k AS fold, start, \"end\", cagr, vol, CASE WHEN vol > 0.002 THEN sharpe END AS sharpe, mdd FROM ps)", "cagr vol sharpe mdd", 'fold start "end"', 5)
+def _(spark, sf):
+    return B.walk_forward(_banded(spark, sf, E.Costs().rate))
+
+
+@query("cost_statistics_banded", "q AS (SELECT 1)", digits=5)
+def _(spark, sf):
+    """Levels of costs of a run with a cash proxy and a dead band: what is traded doesn't depend on them."""
+    return B.cost_statistics(_banded(spark, sf, 0.0), LEVELS).drop("run_id")
+
+
+_SQL["cost_statistics_banded"] = _SQL["cost_statistics"].replace(_walk("0", "0.0"), _walk("0.005", "0.0", held=_HALF, cash=_PROXY))
+
+
 @query("align_start", f"{_TRENDED}, fa AS (SELECT min(n) AS n0 FROM ru WHERE e > 1e-9), q AS (SELECT 'trend' AS run_id, d, v / first_value(v) OVER (ORDER BY n) AS nav, CASE WHEN n = n0 THEN 0 ELSE r END AS ret FROM ru, fa WHERE n >= n0 UNION ALL SELECT 'market', b.d, px / first_value(px) OVER (ORDER BY b.n), CASE WHEN b.n = n0 THEN 0 ELSE r END FROM bret b, fa WHERE b.n >= n0)", "nav ret", "run_id d")
 def _(spark, sf):
     market = E.benchmark_result(D.benchmark(spark, sf)).select(F.lit("market").alias("run_id"), "d", "nav", "ret", F.lit(1.0).alias("exposure"))

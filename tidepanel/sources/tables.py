@@ -16,6 +16,7 @@ import shutil
 import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -60,13 +61,12 @@ def _listed(spark: SparkSession, folder: str) -> Iterator[tuple[str, str]]:
 
 def files_of(df: DataFrame) -> list[str]:
     """What df reads, one line a file with its size and time of change; a folder is listed once."""
-    files = {f.removeprefix("file://").removeprefix("file:"): f for f in df.inputFiles()}
-    seen = {}
-    for parent in {f.rpartition("/")[0] for f in files.values()}:
+    files, seen = df.inputFiles(), {}
+    for parent in {f.rpartition("/")[0] for f in files}:
         at, fs = _filesystem(df.sparkSession, parent)
         for s in fs.listStatus(at):
             seen[s.getPath().toUri().getRawPath()] = f"{s.getLen()} {s.getModificationTime()}"
-    return sorted(f"{f} {seen.get(f, '')}" for f in files)
+    return sorted(f"{f} {seen.get(urlsplit(f).path, '')}" for f in files)
 
 
 def content(df: DataFrame) -> str:
