@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import byte_alphabet, vocabulary
