@@ -38,7 +38,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._count = 0
+        self._count, self._names = 0, set()
         _OPEN.append(self)
 
     def next(self) -> int:
@@ -50,11 +50,17 @@ class Workspace:
         schema = df.schema
         with shuffle_cleanup(self.spark):
             df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        self._names.add(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")
+            self._names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(self._names - set(names)))
 
     def close(self) -> None:
         """Deletes every table. A result that still reads them must be stored before."""

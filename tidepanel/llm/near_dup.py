@@ -310,6 +310,7 @@ def without_near_duplicates(ws: Workspace, docs: DataFrame, width: int = 5, perc
     """The rows of docs, one of each group; rows without words stay."""
     rows = numbered(ws, docs)
     gone = ws.table(groups(ws, rows, width, percent).where(~F.col("stays")).select("row"), "gone")
+    ws.keep("rows", "gone")
     return rows.join(_small(gone), "row", "left_anti").select(*fields("doc", docs.columns))
 
 

@@ -297,6 +297,7 @@ def spanned(ws: Workspace, docs: DataFrame, length: int) -> DataFrame:
     rows = numbered(ws, docs)
     runs = repeated_windows(ws, rows.select("row", F.col("doc.text").alias("text")), length)
     spans = ws.table(removed_spans(runs), "spans")
+    ws.keep("rows", "spans")
     return rows.join(spans, "row", "left").select("doc", "spans")
 
 
