@@ -35,6 +35,17 @@ def test_oracle(spark, name):
     assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str)
 
 
+def test_sweep_line_rounds_once(spark, tmp_path):
+    """Trades whose mean Sharpe ratio is -0.01044975: a mean of ratios rounded to 5 digits is -0.01045."""
+    small, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("lineitem", "part"):
+        c.sql(f"COPY (SELECT * FROM '{small}/{t}.parquet'{' WHERE l_orderkey % 41 <> 14' if t == 'lineitem' else ''}) TO '{tmp_path}/{t}.parquet'")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = {r["window"]: r["sharpe"] for r in K.queries()["sweep_line"](spark, str(tmp_path)).collect()}
+    rel = c.sql(K.oracle_sql()["sweep_line"])
+    assert got == dict(rel.select('"window"', "sharpe").fetchall()) and got[50.0] == -0.0104
+
+
 def _panel(spark, values: dict[str, list], start="2020-01-01"):
     days = pd.date_range(start, periods=len(next(iter(values.values())))).date
     rows = [(d, i + 1, a, k + 1, v[i]) for k, (a, v) in enumerate(values.items()) for i, d in enumerate(days)]

@@ -718,9 +718,9 @@ _STATED = "cagr vol sharpe sortino calmar mdd turnover".split()
 _GRID = {"window": [20, 50, 100], "sizing": ["Equal"]}
 
 
-def _sweep_sql(runs: list[tuple[str, str, str]]) -> str:
-    """Statistics of runs (columns that name it, its target weights, its dead band)."""
-    cols = ", ".join(f"round({c}, 5) + 0.0::DOUBLE AS {c}" for c in _STATED)
+def _sweep_sql(runs: list[tuple[str, str, str]], rounded: bool = True) -> str:
+    """Statistics of runs (columns that name it, its target weights, its dead band); unrounded for what sums them up."""
+    cols = ", ".join(f"round({c}, 5) + 0.0::DOUBLE AS {c}" if rounded else c for c in _STATED)
     return " UNION ALL ".join(f"""SELECT {named}, NULL::VARCHAR AS error, {cols} FROM ({D.SQL.rstrip()},
 {_walk(band, held=held)}), ru AS (SELECT *, v / lag(v, 1, 1.0) OVER (ORDER BY n) - 1 AS r FROM sim), {_stats_of("ru")} SELECT *, cagr / abs(mdd) AS calmar FROM e1)""" for named, held, band in runs)
 
@@ -747,7 +747,8 @@ def _buffered(n: int, b: float) -> str:
 
 
 _SURFACE = {"window": [20, 50], "buffer": [0.0, 2.0]}
-_SURFACE_SQL = _sweep_sql([(f"""'{n}-{b}' AS run_id, '{n}' AS "window", '{b}' AS buffer""", _buffered(n, b / 100), "0") for n in _SURFACE["window"] for b in _SURFACE["buffer"]])
+_SURFACE_RUNS = [(f"""'{n}-{b}' AS run_id, '{n}' AS "window", '{b}' AS buffer""", _buffered(n, b / 100), "0") for n in _SURFACE["window"] for b in _SURFACE["buffer"]]
+_SURFACE_SQL = _sweep_sql(_SURFACE_RUNS)
 
 
 @query("sweep_pivot", f"""SELECT "window", round(max(sharpe) FILTER (buffer = '0.0'), 5) AS b0, round(max(sharpe) FILTER (buffer = '2.0'), 5) AS b2 FROM ({_SURFACE_SQL}) GROUP BY 1""", digits=5)
@@ -755,7 +756,7 @@ def _(spark, sf):
     return B.sweep_pivot(_swept(spark, sf, _SURFACE), "window", "buffer", "sharpe").withColumnsRenamed({"0.0": "b0", "2.0": "b2"})
 
 
-@query("sweep_line", f"""SELECT CAST("window" AS DOUBLE) AS "window", round(avg(sharpe), 4) AS sharpe FROM ({_SURFACE_SQL}) GROUP BY 1""", digits=4)
+@query("sweep_line", f"""SELECT CAST("window" AS DOUBLE) AS "window", round(avg(sharpe), 4) AS sharpe FROM ({_sweep_sql(_SURFACE_RUNS, rounded=False)}) GROUP BY 1""", digits=4)
 def _(spark, sf):
     """A line over one parameter: the mean over the other."""
     return B.sweep_line(_swept(spark, sf, _SURFACE), "window", "sharpe")
