@@ -46,6 +46,17 @@ def test_sweep_line_rounds_once(spark, tmp_path):
     assert got == dict(rel.select('"window"', "sharpe").fetchall()) and got[50.0] == -0.0104
 
 
+def test_macro_gate_flat_by_rounding(spark):
+    """A series that is flat but for its last bit has no score; the orders' totals are made once."""
+    panel = _panel(spark, {"a": [1.0] * 60})
+    v = [1.1e10, float(np.nextafter(1.1e10, 2e10))]
+    series = panel.select("d", F.lit("X").alias("series"), F.when(F.col("n") % 3 == 0, v[1]).otherwise(v[0]).alias("v"))
+    for rule, threshold in (("z below", -0.5), ("z above", 0.5)):
+        g = S.get("macro_gate").generate(panel, {"series": "X", "rule": rule, "threshold": threshold, "window": 50, "risk_off": 0.25}, series)
+        assert {r.w for r in g.select("w").distinct().collect()} == {0.25}
+    assert "Aggregate" not in D.macro(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _panel(spark, values: dict[str, list], start="2020-01-01"):
     days = pd.date_range(start, periods=len(next(iter(values.values())))).date
     rows = [(d, i + 1, a, k + 1, v[i]) for k, (a, v) in enumerate(values.items()) for i, d in enumerate(days)]

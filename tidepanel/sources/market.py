@@ -97,9 +97,14 @@ def dividends(panel: DataFrame) -> DataFrame:
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, series, v): orders' total by month, on its last day."""
-    orders = read(spark, sf_dir, "orders")
-    return orders.groupBy(F.last_day(F.to_date("o_orderdate")).alias("d")).agg(F.sum("o_totalprice").alias("v")).select("d", F.lit("ORDERS").alias("series"), "v")
+    """(d, series, v): orders' total by month, on its last day. Stored: a sum of doubles made twice may differ in its
+    last bits, and a month's days would then not be equal."""
+
+    def build():
+        month = read(spark, sf_dir, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("d"))
+        return month.agg(F.sum("o_totalprice").alias("v")).select("d", F.lit("ORDERS").alias("series"), "v")
+
+    return derived(spark, "macro", [f"{sf_dir}/orders.parquet"], (), build)
 
 
 def factor(spark: SparkSession, sf_dir: str) -> DataFrame:
