@@ -125,6 +125,24 @@ def test_quality_bands(spark):
     assert share["script"][0] > 0.5 and share["script"][1] < 6 * quality.QUANTILE
 
 
+def test_quality_bands_of_all_rows(spark):
+    """4,500 labelled rows, of one language and of none: the quantiles are those of every row, repeated ids too."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(800)]
+    rows = [(i // 2 if i < 10 else i, " ".join(rng.choices(words, k=60)), "en" if i % 3 else None) for i in range(4500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    path = quality.paths_of()
+    bands = quality.learn(docs, labels, path)
+    x = quality.measured(docs, path).where("NOT base_failed").toPandas()
+    assert len(x) == 4500 and set(bands) == {(v, k, "latin") for v in (0, 1) for k in (None, "en")}
+    for (v, lang, _), band in bands.items():
+        y = x[x.lang == lang] if lang else x
+        n = np.array([t[v] for t in y.n_tokens])
+        want = (np.quantile(y.word_chars / n, quality.QUANTILE), np.quantile([t[v] for t in y.byte_tokens] / n, 1 - quality.QUANTILE) + quality.MARGIN, np.quantile([t[v] for t in y.entropy], quality.QUANTILE))
+        assert np.allclose(band, want, atol=1e-12, rtol=0)
+
+
 def _components(n, links):
     low = list(range(n))
     for _ in range(n):
