@@ -189,6 +189,29 @@ def test_repeats(spark, texts, length, chunk, key, sort, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest()), i
 
 
+def test_repeats_shuffle_few_rows(spark, texts, monkeypatch):
+    """Texts without a repeat aren't dealt anew to be cut, unless more than BROADCAST_IDS have one; blocks that share no anchor
+    are left out before a shuffle; the results are the same."""
+    docs = table(spark, texts)
+    out = repeats.digests(Workspace(spark, "t"), docs, 120)
+    assert "LeftOuter" not in out._jdf.queryExecution().optimizedPlan().toString() and out.where("n_removed > 0").count() > 0
+    monkeypatch.setattr(repeats, "BROADCAST_IDS", 0)
+    whole = repeats.digests(Workspace(spark, "t"), docs, 120)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+    ws = Workspace(spark, "t")
+    rows, keys = ws.table(spark.range(100_000).selectExpr("id * 7 AS h", "id", "cast(id AS string) s"), "rows"), ws.table(spark.range(50).selectExpr("id AS h", "id + 2 AS n"), "keys")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with common.bloom_joins(spark):
+            spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+            joined = rows.join(keys.where("n > 1"), "h", "left_semi")
+            assert "might_contain" in joined._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted(r.h for r in joined.collect()) == list(range(0, 50, 7))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("cell,side,split", [(4096, 2048, 9999), (40, 16, 9999), (40, 16, 20), (12, 5, 8)])
 def test_vectors(spark, cell, side, split, monkeypatch):
     """In one cell, in cells, in cells that are cut again, and in small ones with small tiles."""
