@@ -212,6 +212,23 @@ def test_repeats_shuffle_few_rows(spark, texts, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("size", [399, 400, 650])
+def test_op1_planted_passages(spark, tmp_path, size):
+    """A passage of over 50 words goes from both texts if it has 400 bytes; n_bytes is the input's length either way."""
+    rng = random.Random(size)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n // 6 + 1))[:n]
+    passage = prose(size)
+    assert len(passage.split()) > 50
+    rows = [(i, f"{prose(900)} {i}{passage}{i + 4} {prose(700)}") for i in range(2)] + [(2, prose(2000))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in repeats.op1_suffix(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        left = t.replace(passage, "") if size >= 400 else t
+        removed = len(t) - len(left)
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].text) == (len(t), removed, int(removed > 0), left), i
+        assert got[i].kept_sha256 == hashlib.sha256(left.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("cell,side,split", [(4096, 2048, 9999), (40, 16, 9999), (40, 16, 20), (12, 5, 8)])
 def test_vectors(spark, cell, side, split, monkeypatch):
     """In one cell, in cells, in cells that are cut again, and in small ones with small tiles."""
